@@ -1,0 +1,153 @@
+"""Personal data: regular expressions propose spans, checksums confirm them, words nearby adjust the score.
+
+Base kinds are email, ip (parts at most 255), card (12 to 19 digits passing Luhn) and phone (9 to 15 digits); a match that fails its
+check is dropped, and no other match is tried in its place. Further kinds are iban (mod-97) and ssn, which only counts with a word
+nearby that speaks of it. Every base span is kept whatever its score. Scores lie in 0..1: a prior for each kind, plus or minus what
+words within `REACH` characters say.
+
+Defined results: null text counts as empty; a row without doc_id is left out by find_personal_data and kept by redact; repeated
+rows give repeated results; positions are code points, ends exclusive. Every pattern runs in time linear in the text.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+from .common import keyed_text
+
+BASE = ("email", "ip", "card", "phone")
+KINDS = (*BASE, "iban", "ssn")
+REACH = 48
+LEAST = 0.5  # for spans beyond the base kinds
+
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+_CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
+_PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+_PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9, "ssn": 0.3}
+#: Words that speak for a kind when near it, and words that speak against.
+_FOR = {
+    "email": ("mail", "contact", "write", "reply"),
+    "ip": ("ip", "host", "server", "address", "login"),
+    "card": ("card", "visa", "mastercard", "amex", "credit", "debit", "payment"),
+    "phone": ("phone", "tel", "call", "mobile", "fax", "whatsapp"),
+    "iban": ("iban", "bank", "account", "konto"),
+    "ssn": ("ssn", "social security", "tax id"),
+}
+_AGAINST = {"ip": ("version", "release", "section"), "card": ("isbn", "tracking", "order no"), "phone": ("isbn", "order no"), "email": (), "iban": (), "ssn": ("part no", "model")}
+
+
+def luhn(digits: str) -> bool:
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = ord(c) - 48
+        total += d if i % 2 == 0 else (d * 2 - 9 if d > 4 else d * 2)
+    return total % 10 == 0
+
+
+def mod97(iban: str) -> bool:
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+
+
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    last = 0
+    for m in _DOMAIN.finditer(text):
+        at = begin = m.start()
+        while begin > last and text[begin - 1] in _LOCAL:
+            begin -= 1
+        if begin < at:
+            last = m.end()
+            yield begin, last
+
+
+def _digits(s: str) -> str:
+    return "".join(c for c in s if "0" <= c <= "9")
+
+
+def _score(kind: str, text: str, start: int, end: int) -> float:
+    near = (text[max(0, start - REACH) : start] + " " + text[end : end + REACH]).lower()
+    score = _PRIOR[kind] + 0.3 * any(w in near for w in _FOR[kind]) - 0.3 * any(w in near for w in _AGAINST[kind])
+    return min(1.0, max(0.0, score))
+
+
+def spans(text: str) -> list[tuple[str, int, int, float]]:
+    """kind, start, end, score of every span, by start and then by kind."""
+    found = [("email", a, z) for a, z in _emails(text)] if "@" in text else []
+    found += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0")[:4] or 0) <= 255 for p in m[0].split("."))]
+    found += [("card", m.start(), m.end()) for m in _CARD.finditer(text) if 12 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
+    if "+" in text:
+        found += [("phone", m.start(), m.end()) for m in _PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15]
+    out = [(k, a, z, _score(k, text, a, z)) for k, a, z in found]
+    more = [("iban", m.start(), m.end()) for m in _IBAN.finditer(text) if mod97(m[0].replace(" ", ""))] + [("ssn", m.start(), m.end()) for m in _SSN.finditer(text)]
+    out += [(k, a, z, s) for k, a, z in more if (s := _score(k, text, a, z)) >= LEAST]
+    return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
+
+
+def joined(found: list[tuple[str, int, int, float]]) -> str:
+    return ",".join(f"{k}:{a}:{z}" for k, a, z, _ in found)
+
+
+def _suspects(texts: pa.Array) -> dict[int, str]:
+    """Texts that hold a digit or @ at all, by position; no kind does without."""
+    at = pc.indices_nonzero(pc.fill_null(pc.match_substring_regex(texts, "[0-9@]"), False))
+    return dict(zip(at.to_pylist(), texts.take(at).to_pylist(), strict=True))
+
+
+_SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, scores string"
+
+
+def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        got = {i: spans(t) for i, t in _suspects(b.column(1)).items()}
+        rows = [got.get(i, []) for i in range(b.num_rows)]
+        base = [[s for s in r if s[0] in BASE] for r in rows]
+        cols = [b.column(0), *(pa.array([sum(s[0] == k for s in r) for r in base], pa.int64()) for k in BASE), pa.array([hashlib.sha256(joined(r).encode()).hexdigest() for r in base]), pa.array([joined(r) for r in rows], pa.string()), pa.array([",".join(f"{s[3]:.2f}" for s in r) for r in rows], pa.string())]
+        yield pa.record_batch(cols, names=["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "scores"])
+
+
+def find_personal_data(docs: DataFrame) -> DataFrame:
+    """doc_id, counts of the base kinds, hash of the base spans, all spans and their scores; one row per document."""
+    return keyed_text(docs).mapInArrow(_find, _SCHEMA)
+
+
+def redacted(text: str, least: float = 0.0) -> str:
+    out, last = [], 0
+    for kind, a, z, score in spans(text):
+        if score >= least and z > last:
+            out.append(text[last : max(a, last)])
+            if a >= last:
+                out.append(f"<{kind.upper()}>")
+            last = z
+    return "".join(out) + text[last:]
+
+
+def _redact(text: int, n_chars: int | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            new = {i: r for i, t in _suspects(b.column(text)).items() if (r := redacted(t)) != t}
+            if new:
+                old = b.column(text).to_pylist()
+                col = pa.array([new.get(i, t) for i, t in enumerate(old)], b.schema.field(text).type)
+                b = b.set_column(text, b.schema.field(text), col)
+                if n_chars is not None:
+                    size = [len(new[i]) if i in new else n for i, n in enumerate(b.column(n_chars).to_pylist())]
+                    b = b.set_column(n_chars, b.schema.field(n_chars), pa.array(size, b.schema.field(n_chars).type))
+            yield b
+
+    return run
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """The same rows and columns; each span in text is replaced by its kind in angle brackets, and n_chars, if there, follows."""
+    n = docs.columns.index("n_chars") if "n_chars" in docs.columns and isinstance(docs.schema["n_chars"].dataType, T.IntegralType) else None
+    return docs.mapInArrow(_redact(docs.columns.index("text"), n), docs.schema)
