@@ -45,8 +45,12 @@ def balls(x: np.ndarray, leaf: int = LEAF) -> list[np.ndarray]:
 def _scores(q: np.ndarray, x: np.ndarray, exact: bool) -> np.ndarray:
     if exact:
         return q @ x.T
-    wide = np.array([[sum(int(a) * int(b) for a, b in zip(u, v, strict=True)) for v in x] for u in q], object)
-    return np.clip(wide, -(1 << 63), (1 << 63) - 1)
+    clip = lambda s: min(max(s, -(1 << 63)), (1 << 63) - 1)
+    out = np.empty((len(q), len(x)), object)
+    for i, u in enumerate(q):
+        for j, v in enumerate(x):
+            out[i, j] = clip(sum(int(a) * int(b) for a, b in zip(u, v, strict=True)))
+    return out
 
 
 def search(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, kth: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -77,7 +81,7 @@ def search(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, kth:
             s[qids[qs][:, None] == ids[rows][None, :]] = -np.inf if exact else -(1 << 70)
             score = np.concatenate([best[qs], s], axis=1)
             name = np.concatenate([who[qs], np.broadcast_to(ids[rows], s.shape)], axis=1)
-            pick = np.lexsort((name, -score), axis=1)[:, :k]
+            pick = np.lexsort((name, -score), axis=1)[:, :k] if exact else np.array([sorted(range(len(r)), key=lambda i: (-r[i], w[i]))[:k] for r, w in zip(score, name, strict=True)])  # noqa: B023
             best[qs], who[qs] = np.take_along_axis(score, pick, 1), np.take_along_axis(name, pick, 1)
             kth[qs] = np.maximum(kth[qs], best[qs, k - 1].astype(float))
     hit = best > (-np.inf if exact else -(1 << 70))
@@ -99,8 +103,8 @@ def _search(k: int):
     def run(x: pa.Table, q: pa.Table) -> pa.Table:
         if not (x.num_rows and q.num_rows):
             return schema.empty_table()
-        qids, kth = q.column("vec_id").to_numpy(), np.nan_to_num(q.column("kth").to_numpy(), nan=-np.inf)
-        row, ids, score = search(x.column("vec_id").to_numpy(), _matrix(x.column("v")), qids, _matrix(q.column("v")), kth, k)
+        qids, kth = q.column("qvec").to_numpy(), np.nan_to_num(q.column("kth").to_numpy(), nan=-np.inf)
+        row, ids, score = search(x.column("vec_id").to_numpy(), _matrix(x.column("v")), qids, _matrix(q.column("qv")), kth, k)
         return pa.table([qids[row], ids, score], schema=schema)
 
     return run
@@ -129,7 +133,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, shard_rows: int =
     out = None
     for b in range(blocks):
         q = queries.where(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)) == b)
-        meet = lambda side: v.select("dim", "shard", "vec_id", "v").groupBy("dim", "shard").cogroup(side.groupBy("dim", "shard")).applyInArrow(_search(k), _FOUND)
+        meet = lambda side: v.select("dim", "shard", "vec_id", "v").groupBy("dim", "shard").cogroup(side.toDF("qdim", "qshard", "qvec", "qv", "kth").groupBy("qdim", "qshard")).applyInArrow(_search(k), _FOUND)
         home = meet(q.select("dim", "shard", "vec_id", "v", F.lit(float("-inf")).alias("kth")))
         kth = _ranked(home, k).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("kth"))
         away = q.join(kth, "vec_id", "left").withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))).where("to != shard").select("dim", F.col("to").alias("shard"), "vec_id", "v", F.coalesce("kth", F.lit(float("-inf"))).alias("kth"))
