@@ -26,14 +26,22 @@ def scratch_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def spool(df: DataFrame, tag: str) -> DataFrame:
     """Cuts lineage: writes df to the shared folder and reads it back, so that a lost executor costs no recomputation beyond it.
 
-    The files go when the application ends.
+    The files go when the application ends; shuffle files that only led to them go as soon as they are written.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/quarry-{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    was = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, was)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
