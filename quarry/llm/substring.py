@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import keyed_text, partitions
+from .common import keyed_text, partitions, spool
 
 WIDTH = 13
 
@@ -138,5 +138,5 @@ def _parse(width: int, with_text: bool):
 def deduplicate(docs: DataFrame, width: int = WIDTH, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, spans (removed words as begin:end, in words), kept_sha256 and, if wanted, kept_text; one row per document."""
     text = keyed_text(docs)
-    joined = text.join(copied_windows(docs, width).withColumnRenamed("doc_id", "_of"), F.col("doc_id") == F.col("_of"), "left").select("doc_id", "text", "copied")
+    joined = text.join(spool(copied_windows(docs, width), "copied").withColumnRenamed("doc_id", "_of"), F.col("doc_id") == F.col("_of"), "left").select("doc_id", "text", "copied")
     return joined.mapInArrow(_parse(width, with_text), _SCHEMA + ", kept_text string" * with_text)
