@@ -13,6 +13,7 @@ repeated rows give repeated results; extra columns are ignored. Reading takes ti
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -53,19 +54,55 @@ def _tag_end(html: str, at: int, none: dict[str, int]) -> int:
         pos = end + 1
 
 
-def lines(html: str) -> list[tuple[str, tuple[int, ...]]]:
-    """Text of each block that is not left out, in page order, with the numbers of the elements around it, negative for article and main."""
-    out: list[tuple[str, tuple[int, ...]]] = []
-    open_: list[tuple[str, int, bool]] = []  # name, number, left out
+class Tree:
+    """Block elements in page order: parent, depth, last element inside, and outermost article or main (0: none); 0 is the page."""
+
+    def __init__(self) -> None:
+        self.parent, self.depth, self.last, self.held = [0], [0], [0], [0]
+
+    def add(self, parent: int, holds: bool) -> int:
+        k = len(self.parent)
+        self.parent.append(parent)
+        self.depth.append(self.depth[parent] + 1)
+        self.last.append(k)
+        self.held.append(self.held[parent] or k * holds)
+        return k
+
+    def around(self, a: int, b: int) -> int:
+        """The innermost element that holds both."""
+        while a != b:
+            if self.depth[a] >= self.depth[b]:
+                a = self.parent[a]
+            else:
+                b = self.parent[b]
+        return a
+
+
+def lines(html: str) -> tuple[list[tuple[str, int]], Tree]:
+    """Text of each block that is not left out, in page order, with the number of the element around it."""
+    out: list[tuple[str, int]] = []
+    tree = Tree()
+    open_: list[tuple[str, int, bool]] = []  # name, number of the block (its own or the one around it), left out
+    names: Counter[str] = Counter()
     parts: list[str] = []
-    number, dropped, n, pos, none = 0, 0, len(html), 0, {}
+    dropped, n, pos, none = 0, len(html), 0, {}
     holds = 0
 
     def flush() -> None:
         text = " ".join(unescape("".join(parts)).split())
         parts.clear()
         if text:
-            out.append((text, tuple(k for _, k, _ in open_)))
+            out.append((text, open_[-1][1] if open_ else 0))
+
+    def pop() -> str:
+        nonlocal dropped, holds
+        name, k, bad = open_.pop()
+        names[name] -= 1
+        dropped -= bad
+        holds -= name in _HOLD
+        if name in _BLOCK:
+            tree.last[k] = len(tree.parent) - 1
+        return name
 
     while pos < n:
         lt = html.find("<", pos)
@@ -94,13 +131,8 @@ def lines(html: str) -> list[tuple[str, tuple[int, ...]]]:
         if name in _BLOCK and not dropped:
             flush()
         if closing:
-            if any(o[0] == name for o in open_):
-                while True:
-                    o = open_.pop()
-                    dropped -= o[2]
-                    holds -= o[0] in _HOLD
-                    if o[0] == name:
-                        break
+            while names[name] and pop() != name:
+                pass
             if name in _BLOCK:
                 parts.clear()
             continue
@@ -121,28 +153,30 @@ def lines(html: str) -> list[tuple[str, tuple[int, ...]]]:
             continue
         if name in _HOLD and dropped and not holds:  # an unclosed menu or advert ends where the article begins
             while open_ and dropped:
-                o = open_.pop()
-                dropped -= o[2]
+                pop()
         if name == "p" or name == "li":  # a new paragraph or item ends one that is still open
             for k in range(len(open_) - 1, max(-1, len(open_) - 12), -1):
                 if open_[k][0] == name:
-                    for o in open_[k:]:
-                        dropped -= o[2]
-                    del open_[k:]
+                    while len(open_) > k:
+                        pop()
                     break
                 if open_[k][0] in _BLOCK and open_[k][0] != "p":
                     break
         hints = " ".join(h.strip("\"'") for h in _HINT.findall(attributes)) if "=" in attributes else ""
         bad = name in _DROP or (name == "header" and not holds) or bool(name not in ("html", "body", *_HOLD) and hints and _NOISE.search(hints)) or bool(attributes and _HIDDEN.search(attributes))
-        number += 1
-        open_.append((name, 0 if name not in _BLOCK else -number if name in _HOLD else number, bad))
+        k = open_[-1][1] if open_ else 0
+        open_.append((name, tree.add(k, name in _HOLD) if name in _BLOCK else k, bad))
+        names[name] += 1
         dropped += bad
         holds += name in _HOLD
         if bad:
             parts.clear()
     if not dropped:
         flush()
-    return [(t, tuple(k for k in path if k)) for t, path in out]
+    while open_:
+        pop()
+    tree.last[0] = len(tree.parent) - 1
+    return out, tree
 
 
 def core(sizes: list[int], window: int = WINDOW, surge: int = SURGE) -> tuple[int, int]:
@@ -159,37 +193,36 @@ def core(sizes: list[int], window: int = WINDOW, surge: int = SURGE) -> tuple[in
         while i < n and block[i] > 0 and (block[i] >= level or (i + 1 < n and block[i + 1] >= level)):
             i += 1
         end = min(n - 1, i + window - 2)  # dive
-        while end > begin and sizes[end] == 0:
+        while end > begin and sizes[begin] * window < level:  # the window reaches over the edges; short lines there come back with their element
+            begin += 1
+        while end > begin and sizes[end] * window < level:
             end -= 1
         total = sum(sizes[begin : end + 1])
         if total > best[0]:
             best = (total, begin, end)
-        i = max(i, begin + 1)
+        i = max(i, end + 1)
     return best[1], best[2]
 
 
 def main_text(html: str | None) -> str:
     if not html:
         return ""
-    got = lines(html)
+    got, tree = lines(html)
     if not got:
         return ""
-    held: dict[int, int] = {}
-    for t, path in got:
-        if outer := next((k for k in path if k < 0), 0):
-            held[outer] = held.get(outer, 0) + len(t)
+    held: Counter[int] = Counter()
+    for t, k in got:
+        held[tree.held[k]] += len(t)
+    del held[0]
     if held and 2 * max(held.values()) >= sum(len(t) for t, _ in got):  # most text stands in one article
         most = max(held, key=held.get)
-        got = [(t, path) for t, path in got if most in path]
+        got = [(t, k) for t, k in got if tree.held[k] == most]
     begin, end = core([len(t) for t, _ in got])
-    paths = [p for _, p in got[begin : end + 1]]
-    shared = 0
-    while all(len(p) > shared and p[shared] == paths[0][shared] for p in paths):
-        shared += 1
-    if shared == len(paths[0]) and shared > 1 and len(paths) == 1:
-        shared -= 1  # one block alone: what is around it
-    around = paths[0][:shared]
-    return "\n".join(t for t, p in got if p[:shared] == around)
+    inside = [k for _, k in got[begin : end + 1]]
+    top = tree.around(min(inside), max(inside))
+    if begin == end and tree.parent[top]:
+        top = tree.parent[top]  # one block alone: what is around it
+    return "\n".join(t for t, k in got if top <= k <= tree.last[top])
 
 
 _SCHEMA = "page_id long, url string, text string, n_chars long"
