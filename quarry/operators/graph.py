@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from quarry.session import cut
+
 
 def valid_at(edges: DataFrame, at: str) -> DataFrame:
     t = F.lit(at).cast("timestamp_ntz")
@@ -25,53 +27,50 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int = 6, both_ways:
     frontier = seen
     for _ in range(most):
         reached = frontier.join(step, F.col("node") == F.col("a")).groupBy("start", "b").agg(F.min(F.concat("path", F.array("b"))).alias("path")).select("start", F.col("b").alias("node"), "path")
-        frontier = reached.join(seen.select("start", "node"), ["start", "node"], "left_anti")
+        frontier = cut(reached.join(seen.select("start", "node"), ["start", "node"], "left_anti"))
         seen = seen.unionByName(frontier)
     asked = pairs.select(F.col("start").alias("_start"), "target")
     found = asked.join(seen, (F.col("_start") == F.col("start")) & (F.col("target") == F.col("node")), "left")
     return found.select(F.col("_start").alias("start"), "target", F.array_join("path", ">").alias("path"), F.when(F.col("path").isNotNull(), F.size("path") - 1).cast("long").alias("hops"))
 
 
-def reachable(edges: DataFrame, starts: DataFrame, most: int = 32) -> DataFrame:
+def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """start, node of everything reachable from the starts (column node) over edges (parent, child), distinct, until nothing is new."""
     seen = starts.select(F.col("node").alias("start"), "node").distinct()
     frontier, out = seen, None
-    for _ in range(most):
+    while True:
         frontier = frontier.join(edges, F.col("node") == F.col("parent")).select("start", F.col("child").alias("node")).distinct()
         if out is not None:
             frontier = frontier.join(out, ["start", "node"], "left_anti")
-        frontier = frontier.checkpoint() if _shared(frontier) else frontier
+        frontier = cut(frontier)
         if frontier.isEmpty():
             break
         out = frontier if out is None else out.unionByName(frontier)
     return out if out is not None else seen.limit(0)
 
 
-def _shared(df: DataFrame) -> bool:
-    """Lineage is cut wherever the session names a checkpoint folder."""
-    return df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-
-
-def would_cycle(edges: DataFrame, candidates: DataFrame, most: int = 32) -> DataFrame:
+def would_cycle(edges: DataFrame, candidates: DataFrame) -> DataFrame:
     """Candidate edges (parent, child) whose child already reaches the parent, or is the parent."""
-    back = reachable(edges, candidates.select(F.col("child").alias("node")), most).select(F.col("start").alias("child"), F.col("node").alias("parent"))
+    back = reachable(edges, candidates.select(F.col("child").alias("node"))).select(F.col("start").alias("child"), F.col("node").alias("parent"))
     loops = candidates.where("parent = child")
     return candidates.join(back, ["parent", "child"], "left_semi").unionByName(loops).distinct()
 
 
-def waves(nodes: DataFrame, edges: DataFrame, most: int = 32) -> DataFrame:
+def waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, wave: the longest way to it over edges (parent, child); nodes on or behind a cycle have none."""
     left, out, wave = nodes.select("node").distinct(), None, 0
     open_ = edges.select("parent", "child").distinct()
-    while wave < most:
+    while True:
         ready = left.join(open_.select(F.col("child").alias("node")), "node", "left_anti")
-        ready = ready.checkpoint() if _shared(ready) else ready
+        ready = cut(ready)
         if ready.isEmpty():
             break
         step = ready.withColumn("wave", F.lit(wave).cast("long"))
         out = step if out is None else out.unionByName(step)
         left = left.join(ready, "node", "left_anti")
         open_ = open_.join(ready.select(F.col("node").alias("parent")), "parent", "left_anti")
+        if wave % 8 == 7:
+            left, open_ = cut(left), cut(open_)
         wave += 1
     rest = left.withColumn("wave", F.lit(None).cast("long"))
     return rest if out is None else out.unionByName(rest)

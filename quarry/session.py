@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -26,6 +26,21 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder all executors share, as spark.checkpoint.dir names it; one of our own only where that is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not held.isDefined():
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="quarry-"))
+    return named or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut in the shared folder."""
+    scratch_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def build(app: str = "quarry", cpus: str | None = None, **conf: str) -> SparkSession:
     """A local session for tests and benches; a cluster's own settings win over these."""
     b = SparkSession.builder.appName(app).master(f"local[{cpus or os.environ.get('BENCH_CPUS', '8')}]")

@@ -149,8 +149,8 @@ def test_paths_cycles_and_conflicts(spark):
     assert {(r.start, r.target): (r.path, r.hops) for r in graph.shortest_paths(edges, pairs).collect()} == {("A", "C"): ("A>B>C", 2), ("A", "E"): (None, None), ("D", "A"): (None, None)}
     assert {(r.start, r.target): r.hops for r in graph.shortest_paths(edges, pairs, both_ways=True).collect()}[("D", "A")] == 1
     plain = edges.select(F.col("source_node_id").alias("parent"), F.col("target_node_id").alias("child"))
-    asked = spark.createDataFrame([("B", "A"), ("A", "A"), ("D", "B")], "parent string, child string")
-    assert {(r.parent, r.child) for r in graph.would_cycle(plain, asked).collect()} == {("B", "A"), ("A", "A")}
+    asked = spark.createDataFrame([("B", "A"), ("A", "A"), ("D", "B"), ("A", "E")], "parent string, child string")
+    assert {(r.parent, r.child) for r in graph.would_cycle(plain, asked).collect()} == {("B", "A"), ("A", "A"), ("D", "B")}
     nodes = spark.createDataFrame([(x,) for x in "ABCDE"], "node string")
     assert {r.node: r.wave for r in graph.waves(nodes, plain).collect()} == dict.fromkeys("ABCDE")
     assert {r.node: r.wave for r in graph.waves(nodes, plain.where("child <> 'A'")).collect()} == {"A": 0, "B": 1, "D": 1, "C": 2, "E": 2}
