@@ -74,7 +74,8 @@ def floor_rank(rows: DataFrame, key: str, values: str, shares: tuple[float, ...]
 
 def summary(rows: DataFrame, key: str, values: str) -> DataFrame:
     n = F.count(F.lit(1))
-    return rows.groupBy(key).agg(n.alias("n"), F.round(F.avg(values), 4).alias("mean"), nearest_rank(values, 0.5).alias("p50"), nearest_rank(values, 0.95).alias("p95"), nearest_rank(values, 0.99).alias("p99"), (n >= 100).alias("p99_reliable"), F.max(values).alias("max"))
+    at = lambda p: nearest_rank(values, p).cast(rows.schema[values].dataType).alias(f"p{round(100 * p)}")
+    return rows.groupBy(key).agg(n.alias("n"), F.round(F.avg(values), 4).alias("mean"), at(0.5), at(0.95), at(0.99), (n >= 100).alias("p99_reliable"), F.max(values).alias("max"))
 
 
 def probe_scores(expected: DataFrame, hits: DataFrame, threshold: float = 0.9) -> DataFrame:
