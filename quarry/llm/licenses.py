@@ -1,9 +1,9 @@
 """Licence scan in DataFrame operations only.
 
 Headers: every line and sentence of a text, and licence files: the whole text, are compared with templates by the cosine of sparse TF-IDF
-vectors. Inverse document frequencies come from the templates; a word of no template has the largest one and only adds to the norm.
-Lines without a telling word cannot reach the threshold (a template's other words carry too little of its norm, which is asserted
-when the templates are weighed), so only the lines that hold one are taken apart into words.
+vectors. Inverse document frequencies of the templates' words are counted over all texts; a word of no template has the largest one
+and only adds to the norm. Telling words are the rarest ones of each template, as many as it takes until the others carry less of its
+norm than the threshold: a text without a telling word then cannot reach the threshold, so only lines that hold one are taken apart.
 
 Inheritance: a file whose whole text is a licence, or a short text that is little else, is its directory's licence file. A file
 without a header of its own takes the licence of the nearest ancestor directory that has a licence file, found by joining the
@@ -22,6 +22,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import spool
+
 THRESHOLD, FILE_WORDS = 0.6, 40
 UNIT = "\n|(?<=[A-Za-z]{2}[.]|[0-9][.]) "  # between lines, and between sentences of a line
 
@@ -38,20 +40,28 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
-_COMMON = frozenset("a all and are author binary by extent form forms free has in into is law of or possible public domain related rights source code software subject terms the this to under use version with without work v 0 1 2 3 4 released international modification".split())
+
 
 
 def _words(s: str) -> list[str]:
     return re.findall(r"[a-z0-9]+", s.lower())
 
 
-def weigh(templates: dict[str, str]) -> tuple[dict[str, dict[str, float]], dict[str, float], float]:
+def vocabulary(templates: dict[str, str]) -> list[str]:
+    return sorted({w for t in templates.values() for w in _words(t)})
+
+
+def document_frequency(texts: DataFrame, words: list[str]) -> tuple[dict[str, int], int]:
+    """In how many texts each of the words stands, and how many texts there are; only the vocabulary's counts reach the driver."""
+    own = F.array_intersect(F.split(F.lower("text"), "[^a-z0-9]+"), F.array(*map(F.lit, words)))
+    rows = texts.select(F.explode(F.array_append(own, F.lit(""))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()
+    df = {r["word"]: r["n"] for r in rows}
+    return df, df.pop("", 0)
+
+
+def weigh(templates: dict[str, str], df: dict[str, int], n: int) -> tuple[dict[str, dict[str, float]], dict[str, float], float]:
     """Unit vectors of the templates, inverse document frequencies, and that of unknown words."""
-    df: dict[str, int] = {}
-    for t in templates.values():
-        for w in set(_words(t)):
-            df[w] = df.get(w, 0) + 1
-    idf = {w: math.log((1 + len(templates)) / (1 + n)) + 1 for w, n in df.items()}
+    idf = {w: math.log((1 + n) / (1 + df.get(w, 0))) + 0.1 for w in vocabulary(templates)}
     vectors = {}
     for name, t in templates.items():
         tf: dict[str, float] = {}
@@ -59,30 +69,33 @@ def weigh(templates: dict[str, str]) -> tuple[dict[str, dict[str, float]], dict[
             tf[w] = tf.get(w, 0) + idf[w]
         norm = math.sqrt(sum(v * v for v in tf.values()))
         vectors[name] = {w: v / norm for w, v in tf.items()}
-    return vectors, idf, math.log(1 + len(templates)) + 1
+    return vectors, idf, math.log(1 + n) + 0.1
 
 
-def telling(vectors: dict[str, dict[str, float]], threshold: float) -> list[str]:
+def telling(vectors: dict[str, dict[str, float]], df: dict[str, int], threshold: float) -> list[str]:
     """Words of which any text at the threshold holds one: those left out carry less than the threshold of every template's norm."""
-    out = {w for v in vectors.values() for w in v if w not in _COMMON}
+    out: set[str] = set()
     for v in vectors.values():
-        rest = sorted(((x * x, w) for w, x in v.items() if w not in out), reverse=True)
-        while sum(x for x, _ in rest) >= threshold**2 - 1e-9:
-            out.add(rest.pop(0)[1])
+        rest = sorted(v, key=lambda w: (-df.get(w, 0), w))
+        while sum(v[w] ** 2 for w in rest) >= threshold**2 - 1e-9:
+            out.add(rest.pop())
     return sorted(out)
 
 
-def _matches(units: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
+Weights = tuple[dict[str, dict[str, float]], dict[str, float], float]
+
+
+def _matches(units: DataFrame, weighed: Weights, threshold: float) -> DataFrame:
     """units: key columns and `line`; adds license and score of the best template at the threshold."""
-    vectors, idf, unknown = weigh(templates)
+    vectors, idf, unknown = weighed
     keys = [c for c in units.columns if c != "line"]
     spark = units.sparkSession
     weights = spark.createDataFrame([(w, idf[w], {n: v[w] for n, v in vectors.items() if w in v}) for w in sorted(idf)], "word string, idf double, of map<string,double>")
     words = units.select(*keys, F.explode(F.regexp_extract_all(F.lower("line"), F.lit("[a-z0-9]+"), 0)).alias("word")).groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("tf"))
     weighed = words.join(F.broadcast(weights), "word", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
-    norm = weighed.groupBy(*keys).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), *(F.sum(F.when(F.col("of").isNotNull(), F.col("x") * F.coalesce(F.col("of")[n], F.lit(0.0))).otherwise(0.0)).alias(f"t{i}") for i, n in enumerate(sorted(templates))))
-    best = F.array_max(F.array(*(F.struct((F.round(F.col(f"t{i}") / F.col("norm"), 9)).alias("score"), F.lit(-i).alias("i")) for i in range(len(templates)))))
-    names = F.array(*(F.lit(n) for n in sorted(templates)))
+    norm = weighed.groupBy(*keys).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), *(F.sum(F.when(F.col("of").isNotNull(), F.col("x") * F.coalesce(F.col("of")[n], F.lit(0.0))).otherwise(0.0)).alias(f"t{i}") for i, n in enumerate(sorted(vectors))))
+    best = F.array_max(F.array(*(F.struct((F.round(F.col(f"t{i}") / F.col("norm"), 9)).alias("score"), F.lit(-i).alias("i")) for i in range(len(vectors)))))
+    names = F.array(*(F.lit(n) for n in sorted(vectors)))
     return norm.select(*keys, best.alias("b")).where(F.col("b.score") >= threshold).select(*keys, F.element_at(names, 1 - F.col("b.i")).alias("license"), F.col("b.score").alias("score"))
 
 
@@ -95,16 +108,18 @@ def ancestors(directory: Column) -> Column:
 def scan(files: DataFrame, path: Column, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, file_words: int = FILE_WORDS) -> DataFrame:
     """doc_id, path, own_license, own_score, is_license_file, license, inherited_from; one row per file."""
     templates = templates or TEMPLATES
-    signs = telling(weigh(templates)[0], threshold)
-    pattern = "(?i)(?<![a-z0-9])(?:" + "|".join(signs) + ")(?![a-z0-9])"
     base = files.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_replace(F.coalesce(path.cast("string"), F.lit("")), "^/+", "").alias("path"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     base = base.withColumn("row", F.monotonically_increasing_id()).withColumn("directory", F.regexp_replace("path", "/?[^/]*$", ""))
-    suspects = base.where(F.col("text").rlike(pattern)).select("doc_id", "row", "directory", "text")
-    lines = suspects.select("doc_id", "row", "directory", F.posexplode(F.filter(F.split("text", UNIT), lambda x: x.rlike(pattern))).alias("at", "line"))
-    header = _matches(lines.select("doc_id", "directory", "row", "at", "line"), templates, threshold)
+    df, n = document_frequency(base, vocabulary(templates))
+    weighed = weigh(templates, df, n)
+    signs = F.array(*map(F.lit, telling(weighed[0], df, threshold)))
+    holds = lambda t: F.arrays_overlap(F.split(F.lower(t), "[^a-z0-9]+"), signs)
+    suspects = spool(base.where(holds(F.col("text"))).select("doc_id", "row", "directory", "text"), "suspects")
+    lines = suspects.select("doc_id", "row", "directory", F.posexplode(F.filter(F.split("text", UNIT), holds)).alias("at", "line"))
+    header = _matches(lines.select("doc_id", "directory", "row", "at", "line"), weighed, threshold)
     header = header.groupBy("row").agg(F.max(F.struct("score", (-F.col("at")).alias("at"), "license")).alias("b")).select("row", F.col("b.license").alias("own_license"), F.col("b.score").alias("own_score"))
     short = suspects.where(F.size(F.split(F.trim("text"), "[ \\n\\t\\r]+")) <= file_words)
-    whole = _matches(short.select("doc_id", "directory", "row", F.col("text").alias("line")), templates, threshold)
+    whole = _matches(short.select("doc_id", "directory", "row", F.col("text").alias("line")), weighed, threshold)
     held = whole.groupBy("directory").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("o"), "license")).alias("b")).select("directory", F.col("b.license").alias("dir_license"))
     files_ = whole.select("row").withColumn("is_license_file", F.lit(True))
     directories = base.select("directory").distinct().select("directory", F.posexplode(ancestors(F.col("directory"))).alias("up", "above"))
