@@ -4,9 +4,15 @@ Items fall into classes by length; each class has a window width w of at most tw
 of an item are fingerprinted: 64 bits, each the sign of the sum of its words' hash bits. Documents are fingerprinted in windows of
 the same widths, a stride apart that is no more than the number of an item's windows, so that a copied item always has a document
 window that covers exactly the same words as one of the item's windows. Fingerprints within `RADIUS` bits are found by multi-index
-blocks: of RADIUS + 1 blocks of bits at least one is equal, so four tables by 16 bits lose none within radius 3. Each candidate fixes where the item would lie in the document; there, the weighted
-Jaccard similarity of the word five-shingles (weights: inverse document frequency over the items) is computed exactly, over a few
-shifts of the ends, and a document leaks an item at `SIMILARITY` or more.
+blocks: of RADIUS + 1 blocks of bits at least one is equal, so four tables by 16 bits lose none within radius 3.
+
+Changed copies lie beyond any small radius, so candidates also come from an exact path: the rarest word five-shingles of each item, as
+many as it takes until the others carry less of its weight than `SIMILARITY`. A stretch at the threshold holds one of them, and they
+are looked up at every position of every document. No leak is lost by the search, up to 64-bit hash equality.
+
+The similarity of a document to an item is the largest weighted Jaccard similarity of shingles (weights: inverse document frequency
+over the items) of any stretch of its words; it is computed exactly for each candidate, and a document leaks an item at `SIMILARITY`
+or more.
 
 Words are compared in lower case with punctuation left out. Items are taken in blocks of `ITEMS`, one pass over the documents each, so
 the index that goes to every task is bounded.
@@ -58,10 +64,10 @@ def fingerprints(h: np.ndarray, width: int, stride: int) -> np.ndarray:
 
 
 class Index:
-    """Fingerprints of all items' windows in four tables by 16 bits, and the items' weighted shingles."""
+    """Fingerprints of all items' windows in four tables by 16 bits, the items' weighted shingles, and where the rarest of them stand."""
 
-    def __init__(self, items: list[tuple[int, str]], words: int = WORDS):
-        self.words = words
+    def __init__(self, items: list[tuple[int, str]], words: int = WORDS, least: float = SIMILARITY):
+        self.words, self.least = words, least
         self.ids, self.n, self.shingles = [], [], []
         rows: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         spare: dict[int, int] = {}
@@ -93,6 +99,21 @@ class Index:
                 order = np.argsort(key, kind="stable")
                 tables.append((np.searchsorted(key[order], np.arange(65537)), order))
             self.classes[w] = (spare[w], f, np.array([x[1:] for x in r], np.int64).reshape(-1, 2), tables)
+        rare: dict[int, list[tuple[int, int]]] = defaultdict(list)  # by words in a shingle: hash, item
+        for k, s in enumerate(self.shingles):
+            rest = self.total[k]
+            for v in sorted(s.tolist(), key=lambda v: (df[v], v)):
+                if rest < least * self.total[k] - 1e-9:
+                    break
+                rare[min(words, self.n[k])].append((v, k))
+                rest -= self.weight[v]
+        self.rare = {}
+        for n, r in rare.items():
+            r.sort()
+            v = np.array([x[0] for x in r], K.U)
+            marks = np.zeros(1 << max(16, (16 * len(r)).bit_length()), bool)
+            marks[v & K.U(len(marks) - 1)] = True
+            self.rare[n] = marks, v, np.array([x[1] for x in r], np.int64)
 
     def _shingles(self, h: np.ndarray) -> np.ndarray:
         return np.unique(K.ngrams(h, self.words) if len(h) >= self.words else K.ngrams(h, max(1, len(h))))
@@ -117,32 +138,69 @@ class Index:
             out[w] = np.unique(np.column_stack([hits[:, 0], hits[:, 2] - hits[:, 1]]), axis=0)
         return out
 
-    def leaks(self, h: np.ndarray, first: np.ndarray, least: float) -> dict[int, dict[int, float]]:
-        """Of each document (its words h[first[i] : first[i + 1]]): items that it leaks, with their similarity."""
-        out: dict[int, dict[int, float]] = defaultdict(dict)
-        seen: set[tuple[int, int]] = set()
-        for w, rows in self.candidates(h).items():
-            for item, begin in rows.tolist():
-                n = self.n[item]
-                i = int(np.searchsorted(first, begin + n // 2, "right")) - 1
-                if not 0 <= i < len(first) - 1 or (item, begin) in seen:
+    def pairs(self, h: np.ndarray, first: np.ndarray) -> set[tuple[int, int]]:
+        """Document and item of all candidates; documents are h[first[i] : first[i + 1]]."""
+        out = set()
+        for rows in self.candidates(h).values():
+            n = np.array(self.n, np.int64)[rows[:, 0]]
+            i = np.searchsorted(first, rows[:, 1] + n // 2, "right") - 1
+            fit = (i >= 0) & (i < len(first) - 1)
+            out.update(zip(i[fit].tolist(), rows[fit, 0].tolist(), strict=True))
+        for n, (marks, v, item) in self.rare.items():
+            g = K.ngrams(h, n)
+            at = np.flatnonzero(marks[g & K.U(len(marks) - 1)])
+            lo = np.searchsorted(v, g[at])
+            hit, owner = K.flat(lo, np.searchsorted(v, g[at], "right") - lo)
+            at = at[owner]
+            i = np.searchsorted(first, at, "right") - 1
+            fit = at + n <= first[np.minimum(i + 1, len(first) - 1)]
+            if fit.any():
+                out.update(map(tuple, np.unique(np.column_stack([i[fit], item[hit[fit]]]), axis=0).tolist()))
+        return out
+
+    def best(self, item: int, g: np.ndarray) -> float:
+        """The largest similarity of any stretch of a document, whose shingles are g; 0 if it is below the threshold.
+
+        Such a stretch begins and ends with shingles of the item, and its first shingle does not come again in it: otherwise the
+        stretch without its ends holds the same of the item and no more of anything else.
+        """
+        own, total = self.shingles[item], self.total[item]
+        mine = own[np.minimum(np.searchsorted(own, g), len(own) - 1)] == g
+        at = np.flatnonzero(mine)
+        if sum(self.weight[v] for v in np.unique(g[at]).tolist()) < self.least * total - 1e-9:
+            return 0.0
+        values, mine, top = g[at[0] : at[-1] + 1].tolist(), mine[at[0] : at[-1] + 1].tolist(), 0.0
+        for a in (at - at[0]).tolist():
+            both, more, seen = 0.0, 0.0, set()
+            for z in range(a, len(values)):
+                v = values[z]
+                if v in seen:
+                    if v == values[a]:
+                        break
                     continue
-                seen.add((item, begin))
-                lo, hi = int(first[i]), int(first[i + 1])
-                best = out[i].get(item, 0.0)
-                for shift in (0, -1, 1):
-                    for grow in (0, -1, 1):
-                        a, z = max(lo, begin + shift), min(hi, begin + shift + n + grow)
-                        if z - a >= min(n, self.words):
-                            best = max(best, self.similarity(item, h[a:z]))
-                    if best >= 1:
+                seen.add(v)
+                if mine[z]:
+                    both += self.weight[v]
+                    top = max(top, both / (total + more))
+                else:
+                    more += self.weight.get(v, self.unseen)
+                    if total / (total + more) < max(top, self.least - 1e-9):
                         break
-                if best >= least:
-                    out[i][item] = best
-        return {i: found for i, found in out.items() if found}
+            if top >= 1 - 1e-12:
+                return 1.0
+        return top if top >= self.least - 1e-12 else 0.0
+
+    def leaks(self, h: np.ndarray, first: np.ndarray) -> dict[int, dict[int, float]]:
+        """Of each document (its words h[first[i] : first[i + 1]]): items that it leaks, with their similarity."""
+        out: dict[int, dict[int, float]] = defaultdict(dict)
+        for i, item in self.pairs(h, first):
+            g = K.ngrams(h[first[i] : first[i + 1]], min(self.words, self.n[item]))
+            if len(g) and (s := self.best(item, g)):
+                out[i][item] = s
+        return dict(out)
 
 
-def _search(index: Index, least: float):
+def _search(index: Index):
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,31 +209,31 @@ def _search(index: Index, least: float):
             out = []
             for lo, hi in K.chunks(off):
                 w = K.words(buf, off, lo, hi, lower=True, space=K.PUNCT)
-                found = index.leaks(w.hash, w.first, least)
+                found = index.leaks(w.hash, w.first)
                 out += [(b.column(0)[lo + i].as_py(), index.ids[item], s) for i, items in sorted(found.items()) for item, s in sorted(items.items())]
             yield pa.record_batch([pa.array([r[k] for r in out], t.type) for k, t in enumerate(schema)], schema=schema)
 
     return run
 
 
-def _indexes(benchmark: DataFrame, block: int) -> Iterator[Index]:
+def _indexes(benchmark: DataFrame, block: int, least: float) -> Iterator[Index]:
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     blocks = max(1, -(-items.count() // block))
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
-        yield Index([(r["item_id"], r["text"]) for r in rows])
+        yield Index([(r["item_id"], r["text"]) for r in rows], least=least)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, block: int = ITEMS) -> DataFrame:
     """doc_id, item_id, similarity of every item that a document leaks."""
     out = None
-    for index in _indexes(benchmark, block):
-        part = keyed_text(docs).mapInArrow(_search(index, least), "doc_id long, item_id long, similarity double")
+    for index in _indexes(benchmark, block, least):
+        part = keyed_text(docs).mapInArrow(_search(index), "doc_id long, item_id long, similarity double")
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _clean(indexes: list[Index], at: int, least: float):
+def _clean(indexes: list[Index], at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             buf, off = K.text_buffer(b.column(at))
@@ -183,7 +241,7 @@ def _clean(indexes: list[Index], at: int, least: float):
             for lo, hi in K.chunks(off):
                 w = K.words(buf, off, lo, hi, lower=True, space=K.PUNCT)
                 for index in indexes:
-                    keep[[lo + i for i in index.leaks(w.hash, w.first, least)]] = False
+                    keep[[lo + i for i in index.leaks(w.hash, w.first)]] = False
             yield b.filter(pa.array(keep))
 
     return run
@@ -191,6 +249,6 @@ def _clean(indexes: list[Index], at: int, least: float):
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, block: int = ITEMS) -> DataFrame:
     """The same columns without the rows that leak an item."""
-    for index in _indexes(benchmark, block):
-        docs = docs.mapInArrow(_clean([index], docs.columns.index("text"), least), docs.schema)
+    for index in _indexes(benchmark, block, least):
+        docs = docs.mapInArrow(_clean([index], docs.columns.index("text")), docs.schema)
     return docs

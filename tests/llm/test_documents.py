@@ -203,6 +203,26 @@ def test_decontamination(docs, spark):
     assert kept == {r.doc_id for r in all_docs.collect()} - set(planted)
 
 
+def test_decontamination_of_changed_copies(spark):
+    rng = random.Random(8)
+    items = [(k, " ".join(f"w{rng.randrange(400)}" for _ in range(n))) for k, n in enumerate((9, 14, 30, 40, 50, 60, 60))]
+    index = decontam.Index(items)
+    rows, want = [], {}
+    for doc, (k, t) in enumerate(items * 3):
+        words = t.split()
+        for _ in range(rng.randrange(1, 3)):
+            at = rng.randrange(len(words))
+            words[at : at + rng.randrange(2)] = [f"new{rng.randrange(99)}"] * rng.randrange(2)
+        rows.append((doc, " ".join(["before"] * rng.randrange(9) + words + ["after"] * rng.randrange(9))))
+        h = decontam.K.words(*decontam.K.text_buffer(decontam.pa.array([rows[-1][1]])), 0, 1, lower=True, space=decontam.K.PUNCT).hash
+        best = max(index.similarity(k, h[a:z]) for a in range(len(h)) for z in range(a + 1, len(h) + 1))
+        if best >= decontam.SIMILARITY:
+            want[doc, k] = pytest.approx(best)
+    assert 5 <= len(want) < len(rows)
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id): r.similarity for r in decontam.leaks(docs, bench).collect()} == want
+
+
 def test_fingerprints_match_the_definition():
     h = np.random.default_rng(1).integers(0, 1 << 63, 50000, dtype=np.uint64) * np.uint64(2)
     got = decontam.fingerprints(h, 16, 9)
