@@ -3,9 +3,11 @@
 Headers: every line and sentence of a text, and licence files: the whole text, are compared with templates by the cosine of sparse TF-IDF
 vectors. Inverse document frequencies of the templates' words are counted over all texts; a word of no template has the largest one
 and only adds to the norm. Telling words are the rarest ones of each template, as many as it takes until the others carry less of its
-norm than the threshold: a text without a telling word then cannot reach the threshold, so only lines that hold one are taken apart.
+norm than the threshold: a text without enough telling words then cannot reach the threshold, so only lines and texts that hold them
+are taken apart. A licence has a template for its notice and, where there is one, for its full text; whole texts of any length are
+compared, and the norm keeps those out that hold much else.
 
-Inheritance: a file whose whole text is a licence, or a short text that is little else, is its directory's licence file. A file
+Inheritance: a file whose whole text is a licence, or that is little else, is its directory's licence file. A file
 without a header of its own takes the licence of the nearest ancestor directory that has a licence file, found by joining the
 ancestors of all files' directories with the licensed directories.
 
@@ -18,17 +20,18 @@ from __future__ import annotations
 
 import math
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import spool
 
-THRESHOLD, FILE_WORDS = 0.6, 40
+THRESHOLD = 0.6
 UNIT = "\n|(?<=[A-Za-z]{2}[.]|[0-9][.]) "  # between lines, and between sentences of a line
 
 #: The notices by which these licences ask to be named.
-TEMPLATES = {
+NOTICES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD License.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
@@ -40,13 +43,23 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
-
+#: The notices, and full texts of the licences that have a file in license_texts.
+TEMPLATES = {n: [t, *(f.read_text("utf-8") for f in [Path(__file__).parent / "license_texts" / f"{n}.txt"] if f.exists())] for n, t in NOTICES.items()}
 
 
 def _words(s: str) -> list[str]:
     return re.findall(r"[a-z0-9]+", s.lower())
 
 
+def flat(templates: dict[str, str | list[str]]) -> dict[str, str]:
+    """One entry for each text; see name()."""
+    return {f"{n}\n{k}": t for n, ts in templates.items() for k, t in enumerate([ts] if isinstance(ts, str) else ts)}
+
+
+def name(key: str) -> str:
+    return key.rpartition("\n")[0]
+
+
 def vocabulary(templates: dict[str, str]) -> list[str]:
     return sorted({w for t in templates.values() for w in _words(t)})
 
@@ -63,23 +76,56 @@ def weigh(templates: dict[str, str], df: dict[str, int], n: int) -> tuple[dict[s
     """Unit vectors of the templates, inverse document frequencies, and that of unknown words."""
     idf = {w: math.log((1 + n) / (1 + df.get(w, 0))) + 0.1 for w in vocabulary(templates)}
     vectors = {}
-    for name, t in templates.items():
+    for key, t in templates.items():
         tf: dict[str, float] = {}
         for w in _words(t):
             tf[w] = tf.get(w, 0) + idf[w]
         norm = math.sqrt(sum(v * v for v in tf.values()))
-        vectors[name] = {w: v / norm for w, v in tf.items()}
+        vectors[key] = {w: v / norm for w, v in tf.items()}
     return vectors, idf, math.log(1 + n) + 0.1
 
 
-def telling(vectors: dict[str, dict[str, float]], df: dict[str, int], threshold: float) -> list[str]:
-    """Words of which any text at the threshold holds one: those left out carry less than the threshold of every template's norm."""
-    out: set[str] = set()
+Signs = list[list[tuple[list[str], int]]]
+
+
+def telling(vectors: dict[str, dict[str, float]], df: dict[str, int], threshold: float) -> Signs:
+    """Of each template, sets of words and how many of each any text at the threshold holds.
+
+    By Cauchy's inequality the words that a text shares with a template carry at least threshold**2 of the template's squared norm,
+    however often they stand in the text; those left out of a set carry less than that, or than half of it.
+    """
+    out = []
     for v in vectors.values():
-        rest = sorted(v, key=lambda w: (-df.get(w, 0), w))
-        while sum(v[w] ** 2 for w in rest) >= threshold**2 - 1e-9:
-            out.add(rest.pop())
-    return sorted(out)
+        sets = []
+        for part in (1.0, 0.5):
+            rest, own = sorted(v, key=lambda w: (-df.get(w, 0), w)), []
+            while rest and sum(v[w] ** 2 for w in rest) >= part * threshold**2 - 1e-9:
+                own.append(rest.pop())
+            due, n = threshold**2 - 1e-9 - sum(v[w] ** 2 for w in rest), 0
+            for x in sorted((v[w] ** 2 for w in own), reverse=True):
+                if due <= 0:
+                    break
+                due, n = due - x, n + 1
+            sets.append((sorted(own), n))
+        out.append(sets)
+    return out
+
+
+def holds(text: Column, signs: Signs) -> Column:
+    """Whether a text holds enough telling words of any template."""
+    lits = lambda ws: F.array(*map(F.lit, ws))
+    met = F.array_intersect(F.split(F.lower(text), "[^a-z0-9]+"), lits(sorted({w for sets in signs for ws, _ in sets for w in ws})))
+
+    def enough(o: Column) -> Column:
+        out = F.lit(False)
+        for sets in signs:
+            each = F.lit(True)
+            for ws, n in sets:
+                each = each & (F.size(F.array_intersect(o, lits(ws))) >= n)
+            out = out | each
+        return (F.size(o) > 0) & out
+
+    return F.exists(F.array(met), enough)
 
 
 Weights = tuple[dict[str, dict[str, float]], dict[str, float], float]
@@ -95,7 +141,7 @@ def _matches(units: DataFrame, weighed: Weights, threshold: float) -> DataFrame:
     weighed = words.join(F.broadcast(weights), "word", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
     norm = weighed.groupBy(*keys).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), *(F.sum(F.when(F.col("of").isNotNull(), F.col("x") * F.coalesce(F.col("of")[n], F.lit(0.0))).otherwise(0.0)).alias(f"t{i}") for i, n in enumerate(sorted(vectors))))
     best = F.array_max(F.array(*(F.struct((F.round(F.col(f"t{i}") / F.col("norm"), 9)).alias("score"), F.lit(-i).alias("i")) for i in range(len(vectors)))))
-    names = F.array(*(F.lit(n) for n in sorted(vectors)))
+    names = F.array(*(F.lit(name(n)) for n in sorted(vectors)))
     return norm.select(*keys, best.alias("b")).where(F.col("b.score") >= threshold).select(*keys, F.element_at(names, 1 - F.col("b.i")).alias("license"), F.col("b.score").alias("score"))
 
 
@@ -105,21 +151,19 @@ def ancestors(directory: Column) -> Column:
     return F.transform(F.reverse(F.sequence(F.lit(0), F.size(parts))), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
 
 
-def scan(files: DataFrame, path: Column, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, file_words: int = FILE_WORDS) -> DataFrame:
+def scan(files: DataFrame, path: Column, templates: dict[str, str | list[str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, path, own_license, own_score, is_license_file, license, inherited_from; one row per file."""
-    templates = templates or TEMPLATES
+    templates = flat(templates or TEMPLATES)
     base = files.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_replace(F.coalesce(path.cast("string"), F.lit("")), "^/+", "").alias("path"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     base = base.withColumn("row", F.monotonically_increasing_id()).withColumn("directory", F.regexp_replace("path", "/?[^/]*$", ""))
     df, n = document_frequency(base, vocabulary(templates))
     weighed = weigh(templates, df, n)
-    signs = F.array(*map(F.lit, telling(weighed[0], df, threshold)))
-    holds = lambda t: F.arrays_overlap(F.split(F.lower(t), "[^a-z0-9]+"), signs)
-    suspects = spool(base.where(holds(F.col("text"))).select("doc_id", "row", "directory", "text"), "suspects")
-    lines = suspects.select("doc_id", "row", "directory", F.posexplode(F.filter(F.split("text", UNIT), holds)).alias("at", "line"))
-    header = _matches(lines.select("doc_id", "directory", "row", "at", "line"), weighed, threshold)
+    signs = telling(weighed[0], df, threshold)
+    suspects = spool(base.where(holds(F.col("text"), signs)).select("doc_id", "row", "directory", "text"), "suspects")
+    lines = suspects.select("doc_id", "row", "directory", F.posexplode(F.split("text", UNIT)).alias("at", "line")).where(holds(F.col("line"), signs))
+    whole = spool(_matches(suspects.select("doc_id", "directory", "row", F.col("text").alias("line")), weighed, threshold), "whole")
+    header = _matches(lines.select("doc_id", "directory", "row", "at", "line"), weighed, threshold).unionByName(whole.withColumn("at", F.lit(-1)))
     header = header.groupBy("row").agg(F.max(F.struct("score", (-F.col("at")).alias("at"), "license")).alias("b")).select("row", F.col("b.license").alias("own_license"), F.col("b.score").alias("own_score"))
-    short = suspects.where(F.size(F.split(F.trim("text"), "[ \\n\\t\\r]+")) <= file_words)
-    whole = _matches(short.select("doc_id", "directory", "row", F.col("text").alias("line")), weighed, threshold)
     held = whole.groupBy("directory").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("o"), "license")).alias("b")).select("directory", F.col("b.license").alias("dir_license"))
     files_ = whole.select("row").withColumn("is_license_file", F.lit(True))
     directories = base.select("directory").distinct().select("directory", F.posexplode(ancestors(F.col("directory"))).alias("up", "above"))

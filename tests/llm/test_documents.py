@@ -285,6 +285,25 @@ def test_licenses(spark):
     assert len(got) == 9 and {r.doc_id for r in got if r.is_license_file} == {3, 4}
 
 
+def test_licence_files_of_any_length(spark):
+    rng = random.Random(6)
+    filler = lambda n: " ".join(rng.choice(PROSE) for _ in range(n))
+    own = " ".join(f"clause{k} of my own terms" for k in range(40))
+    rows = [(10 * k + 1, texts[-1], f"r{k}/LICENSE") for k, texts in enumerate(licenses.TEMPLATES.values())]
+    rows += [(10 * k + 2, filler(30), f"r{k}/src/x.c") for k in range(len(licenses.TEMPLATES))]
+    rows += [(1000 + k, filler(50), "other/x.c") for k in range(200)] + [(2000, own, "own/LICENSE"), (2001, filler(9), "own/x.c"), (2002, "\n".join(["Released under the MIT License."] * 20), "many/LICENSE")]
+    rows += [(2003, "Released under the MIT License.\n" + own.replace("own", "long") + " ".join(f"word{k}" for k in range(300)), "code/x.c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, path string")
+    got = {r.doc_id: r for r in licenses.scan(df, df["path"]).collect()}
+    for k, n in enumerate(licenses.TEMPLATES):
+        assert (got[10 * k + 1].own_license, got[10 * k + 1].is_license_file) == (n, True)
+        assert (got[10 * k + 2].own_license, got[10 * k + 2].license, got[10 * k + 2].inherited_from) == (None, n, f"r{k}")
+    assert got[2002].is_license_file and got[2002].license == "MIT" and not got[2000].is_license_file
+    assert not got[2003].is_license_file and got[2003].own_license == "MIT"
+    mine = {r.doc_id: r for r in licenses.scan(df, df["path"], {"Own": own}).collect()}
+    assert mine[2000].is_license_file and mine[2001].license == "Own" and {r.license for r in mine.values() if r.doc_id < 2000} == {None}
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert substring.deduplicate(none).count() == 0
