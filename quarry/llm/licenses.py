@@ -1,8 +1,8 @@
 """Licence scan in DataFrame operations only.
 
 Headers: every line and sentence of a text, and licence files: the whole text, are compared with templates by the cosine of sparse TF-IDF
-vectors. Inverse document frequencies of the templates' words are counted over all texts; a word of no template has the largest one
-and only adds to the norm. Telling words are the rarest ones of each template, as many as it takes until the others carry less of its
+vectors. Inverse document frequencies of all words are counted over all texts, so that common words weigh little whether a template has
+them or not, and scores do not drift with the size of the corpus. Telling words are the rarest ones of each template, as many as it takes until the others carry less of its
 norm than the threshold: a text without enough telling words then cannot reach the threshold, so only lines and texts that hold them
 are taken apart. A licence has a template for its notice and, where there is one, for its full text; whole texts of any length are
 compared, and the norm keeps those out that hold much else.
@@ -64,25 +64,29 @@ def vocabulary(templates: dict[str, str]) -> list[str]:
     return sorted({w for t in templates.values() for w in _words(t)})
 
 
-def document_frequency(texts: DataFrame, words: list[str]) -> tuple[dict[str, int], int]:
-    """In how many texts each of the words stands, and how many texts there are; only the vocabulary's counts reach the driver."""
-    own = F.array_intersect(F.split(F.lower("text"), "[^a-z0-9]+"), F.array(*map(F.lit, words)))
-    rows = texts.select(F.explode(F.array_append(own, F.lit(""))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()
-    df = {r["word"]: r["n"] for r in rows}
+def document_frequency(texts: DataFrame) -> DataFrame:
+    """word, n: in how many texts each word stands; the empty word stands in all."""
+    words = F.array_distinct(F.array_append(F.split(F.lower("text"), "[^a-z0-9]+"), F.lit("")))
+    return texts.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def counts_of(frequency: DataFrame, words: list[str]) -> tuple[dict[str, int], int]:
+    """The counts of these words, and how many texts there are; only these reach the driver."""
+    known = frequency.sparkSession.createDataFrame([(w,) for w in ["", *words]], "word string")
+    df = {r["word"]: r["n"] for r in frequency.join(F.broadcast(known), "word").collect()}
     return df, df.pop("", 0)
 
 
-def weigh(templates: dict[str, str], df: dict[str, int], n: int) -> tuple[dict[str, dict[str, float]], dict[str, float], float]:
-    """Unit vectors of the templates, inverse document frequencies, and that of unknown words."""
-    idf = {w: math.log((1 + n) / (1 + df.get(w, 0))) + 0.1 for w in vocabulary(templates)}
+def weigh(templates: dict[str, str], df: dict[str, int], n: int) -> dict[str, dict[str, float]]:
+    """Unit vectors of the templates."""
     vectors = {}
     for key, t in templates.items():
         tf: dict[str, float] = {}
         for w in _words(t):
-            tf[w] = tf.get(w, 0) + idf[w]
+            tf[w] = tf.get(w, 0) + math.log((1 + n) / (1 + df.get(w, 0))) + 0.1
         norm = math.sqrt(sum(v * v for v in tf.values()))
         vectors[key] = {w: v / norm for w, v in tf.items()}
-    return vectors, idf, math.log(1 + n) + 0.1
+    return vectors
 
 
 Signs = list[list[tuple[list[str], int]]]
@@ -128,17 +132,14 @@ def holds(text: Column, signs: Signs) -> Column:
     return F.exists(F.array(met), enough)
 
 
-Weights = tuple[dict[str, dict[str, float]], dict[str, float], float]
-
-
-def _matches(units: DataFrame, weighed: Weights, threshold: float) -> DataFrame:
+def _matches(units: DataFrame, vectors: dict[str, dict[str, float]], frequency: DataFrame, n: int, threshold: float) -> DataFrame:
     """units: key columns and `line`; adds license and score of the best template at the threshold."""
-    vectors, idf, unknown = weighed
     keys = [c for c in units.columns if c != "line"]
     spark = units.sparkSession
-    weights = spark.createDataFrame([(w, idf[w], {n: v[w] for n, v in vectors.items() if w in v}) for w in sorted(idf)], "word string, idf double, of map<string,double>")
+    of = spark.createDataFrame([(w, {k: v[w] for k, v in vectors.items() if w in v}) for w in sorted({w for v in vectors.values() for w in v})], "word string, of map<string,double>")
     words = units.select(*keys, F.explode(F.regexp_extract_all(F.lower("line"), F.lit("[a-z0-9]+"), 0)).alias("word")).groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("tf"))
-    weighed = words.join(F.broadcast(weights), "word", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
+    idf = F.log((1 + F.lit(n)) / (1 + F.col("n"))) + 0.1
+    weighed = words.join(frequency, "word").join(F.broadcast(of), "word", "left").withColumn("x", F.col("tf") * idf)
     norm = weighed.groupBy(*keys).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), *(F.sum(F.when(F.col("of").isNotNull(), F.col("x") * F.coalesce(F.col("of")[n], F.lit(0.0))).otherwise(0.0)).alias(f"t{i}") for i, n in enumerate(sorted(vectors))))
     best = F.array_max(F.array(*(F.struct((F.round(F.col(f"t{i}") / F.col("norm"), 9)).alias("score"), F.lit(-i).alias("i")) for i in range(len(vectors)))))
     names = F.array(*(F.lit(name(n)) for n in sorted(vectors)))
@@ -156,13 +157,14 @@ def scan(files: DataFrame, path: Column, templates: dict[str, str | list[str]] |
     templates = flat(templates or TEMPLATES)
     base = files.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_replace(F.coalesce(path.cast("string"), F.lit("")), "^/+", "").alias("path"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     base = base.withColumn("row", F.monotonically_increasing_id()).withColumn("directory", F.regexp_replace("path", "/?[^/]*$", ""))
-    df, n = document_frequency(base, vocabulary(templates))
-    weighed = weigh(templates, df, n)
-    signs = telling(weighed[0], df, threshold)
+    frequency = spool(document_frequency(base), "frequency")
+    df, n = counts_of(frequency, vocabulary(templates))
+    vectors = weigh(templates, df, n)
+    signs = telling(vectors, df, threshold)
     suspects = spool(base.where(holds(F.col("text"), signs)).select("doc_id", "row", "directory", "text"), "suspects")
     lines = suspects.select("doc_id", "row", "directory", F.posexplode(F.split("text", UNIT)).alias("at", "line")).where(holds(F.col("line"), signs))
-    whole = spool(_matches(suspects.select("doc_id", "directory", "row", F.col("text").alias("line")), weighed, threshold), "whole")
-    header = _matches(lines.select("doc_id", "directory", "row", "at", "line"), weighed, threshold).unionByName(whole.withColumn("at", F.lit(-1)))
+    whole = spool(_matches(suspects.select("doc_id", "directory", "row", F.col("text").alias("line")), vectors, frequency, n, threshold), "whole")
+    header = _matches(lines.select("doc_id", "directory", "row", "at", "line"), vectors, frequency, n, threshold).unionByName(whole.withColumn("at", F.lit(-1)))
     header = header.groupBy("row").agg(F.max(F.struct("score", (-F.col("at")).alias("at"), "license")).alias("b")).select("row", F.col("b.license").alias("own_license"), F.col("b.score").alias("own_score"))
     held = whole.groupBy("directory").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("o"), "license")).alias("b")).select("directory", F.col("b.license").alias("dir_license"))
     files_ = whole.select("row").withColumn("is_license_file", F.lit(True))

@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm import decontam, jaccard, licenses, packing, pii, quality, secrets, substring, topk
 
@@ -304,6 +305,18 @@ def test_licence_files_of_any_length(spark):
     assert mine[2000].is_license_file and mine[2001].license == "Own" and {r.license for r in mine.values() if r.doc_id < 2000} == {None}
 
 
+def test_license_scores_do_not_drift_with_the_corpus(spark):
+    """A common word that no template holds weighs little, so a notice with one scores the same in a corpus of any size."""
+    scores = []
+    for n in (300, 30_000):
+        texts = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 < 2, F.lit("every file is of prose")).otherwise(F.lit("rivers and stones")).alias("text"))
+        notices = spark.range(n, n + n // 100).select(F.col("id").alias("doc_id"), F.lit("this lies under the MIT, released: a license of rivers, stones, lanterns and much prose of every kind besides").alias("text"))
+        one = spark.createDataFrame([(10**6, "This file is released under the MIT License.\nrivers of words")], "doc_id long, text string")
+        df = texts.unionByName(notices).unionByName(one)
+        scores += [r.own_score for r in licenses.scan(df, F.lit("a/b.c"), {"MIT": licenses.NOTICES["MIT"]}).where("doc_id = 1000000 and own_score is not null").collect()]
+    assert len(scores) == 2 and abs(scores[0] - scores[1]) < 0.1 and min(scores) > 0.8
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert substring.deduplicate(none).count() == 0
