@@ -421,11 +421,17 @@ def vector_halfprec_overlap(spark, sf):
 _TWO = f"{_LEX}, {_VEC.format('')}, lists AS (SELECT query_id, 'lexical' AS retriever, chunk_id, rank, score FROM lex WHERE query_id < 10 UNION ALL SELECT query_id, 'vector', chunk_id, rank, score FROM vec)"
 
 
-def _two(spark, sf):
-    a, b = lexical_topk(spark, sf).where("query_id < 10"), vector_topk_exact(spark, sf)
+def _lists(spark, sf):
+    """Lexical and vector lists of all queries."""
+    a, b = lexical_topk(spark, sf), vector_topk_exact(spark, sf)
     return a.withColumn("retriever", F.lit("lexical")).unionByName(b.withColumn("retriever", F.lit("vector")))
 
 
+def _two(spark, sf):
+    """The lists that _TWO takes: lexical ones of the first ten items only."""
+    return _lists(spark, sf).where("retriever = 'vector' or query_id < 10")
+
+
 _RRF = f"{_TWO}, e AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS raw, count(*) AS agreement, min(rank) AS best_rank FROM lists GROUP BY ALL), n AS (SELECT *, round(raw / max(raw) OVER (PARTITION BY query_id), 6) AS score FROM e), rrf AS (SELECT query_id, chunk_id, score, agreement, best_rank, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, agreement DESC, best_rank, chunk_id) AS position FROM n)"
 
 
@@ -479,7 +485,7 @@ def plan_table(spark, sf):
 
 def _candidates(spark, sf):
     docs = L.read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), T.token_estimate(F.col("text")).alias("token_count"), F.col("source").alias("source_type"), F.array("lang").alias("entity_keys"))
-    return rrf_fusion(spark, sf).join(docs, "chunk_id")
+    return retrieval.fuse(_lists(spark, sf)).join(docs, "chunk_id")
 
 
 @query()

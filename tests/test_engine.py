@@ -197,3 +197,12 @@ def test_artifact_digest(spark, tmp_path):
     cited = spark.createDataFrame([(url("a.md"), "sha256:" + hashlib.sha256(b"# x\n").hexdigest()), (url("b.md"), "sha256:" + hashlib.sha256(b"\xff\xfe").hexdigest()), (url("c.md"), "")], "path string, digest string")
     assert {r.path[-4:]: r.error for r in parsers.text_artifacts(spark, str(tmp_path), cited).collect()} == {"a.md": None, "b.md": "encoding", "c.md": "missing"}
     assert parsers.markdown_corpus(spark, str(tmp_path)).count() == 2
+
+
+def test_evidence_takes_every_query(spark):
+    asked = {r.query_id for r in Q.QUERIES["lexical_topk"](spark, SF).collect()}
+    planned = {p[0] for p in Q._PLANS}
+    assert max(asked) > 10 and asked & planned - set(range(10))
+    rows = lambda name: {r.query_id for r in Q.QUERIES[name](spark, SF).collect()}
+    assert rows("evidence_selection") - set(range(10))  # a plan may take none of a query's chunks
+    assert asked <= rows("parent_substitution")
