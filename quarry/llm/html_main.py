@@ -1,10 +1,11 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines, one per block element. The text lengths of `WINDOW` consecutive lines are summed; where the sum rises
-from little to much is a surge point, where it falls back a dive point. The region between a surge and the next dive that holds most
-text is the core of the article. What is known not to be content (menus, forms, scripts, footers, adverts, comments and the like, by
-element or by class and id words) is left out before; and since short paragraphs at the edges of the core belong to the article as
-well, the core grows to all remaining lines of the innermost article, main or other element that holds it whole.
+from little to much is a surge point, where it falls back a dive point. The regions between each surge and the next dive are the core
+of the article. What is known not to be content (menus, forms, scripts, footers, adverts, comments and the like, by
+element or by class and id words) is left out before. Since short paragraphs, lists and tables between and around the regions belong
+to the article as well, all remaining lines of the innermost article or main are taken that holds at least half of the text; on other
+pages each region grows to the lines of the innermost element that holds it whole.
 
 Defined results: null, empty or text-free html gives an empty text; truncated and badly nested markup is read as far as it goes;
 repeated rows give repeated results; extra columns are ignored. Reading takes time linear in the page.
@@ -16,6 +17,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -55,7 +57,7 @@ def _tag_end(html: str, at: int, none: dict[str, int]) -> int:
 
 
 class Tree:
-    """Block elements in page order: parent, depth, last element inside, and outermost article or main (0: none); 0 is the page."""
+    """Block elements in page order: parent, depth, last element inside, and innermost article or main (0: none); 0 is the page."""
 
     def __init__(self) -> None:
         self.parent, self.depth, self.last, self.held = [0], [0], [0], [0]
@@ -65,7 +67,7 @@ class Tree:
         self.parent.append(parent)
         self.depth.append(self.depth[parent] + 1)
         self.last.append(k)
-        self.held.append(self.held[parent] or k * holds)
+        self.held.append(k if holds else self.held[parent])
         return k
 
     def around(self, a: int, b: int) -> int:
@@ -179,12 +181,12 @@ def lines(html: str) -> tuple[list[tuple[str, int]], Tree]:
     return out, tree
 
 
-def core(sizes: list[int], window: int = WINDOW, surge: int = SURGE) -> tuple[int, int]:
-    """First and last line of the region between a surge and the next dive that holds most text."""
+def cores(sizes: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
+    """First and last line of each region between a surge and the next dive; of none, all lines are one."""
     n = len(sizes)
     block = [sum(sizes[i : i + window]) for i in range(n)]
     level = min(surge, max(block, default=0))
-    best, i = (0, 0, n - 1), 0
+    out, i = [], 0
     while i < n:
         if block[i] < level:
             i += 1
@@ -197,11 +199,9 @@ def core(sizes: list[int], window: int = WINDOW, surge: int = SURGE) -> tuple[in
             begin += 1
         while end > begin and sizes[end] * window < level:
             end -= 1
-        total = sum(sizes[begin : end + 1])
-        if total > best[0]:
-            best = (total, begin, end)
+        out.append((begin, end))
         i = max(i, end + 1)
-    return best[1], best[2]
+    return out or [(0, n - 1)]
 
 
 def main_text(html: str | None) -> str:
@@ -210,19 +210,29 @@ def main_text(html: str | None) -> str:
     got, tree = lines(html)
     if not got:
         return ""
+    sizes = [len(t) for t, _ in got]
     held: Counter[int] = Counter()
     for t, k in got:
         held[tree.held[k]] += len(t)
-    del held[0]
-    if held and 2 * max(held.values()) >= sum(len(t) for t, _ in got):  # most text stands in one article
-        most = max(held, key=held.get)
-        got = [(t, k) for t, k in got if tree.held[k] == most]
-    begin, end = core([len(t) for t, _ in got])
-    inside = [k for _, k in got[begin : end + 1]]
-    top = tree.around(min(inside), max(inside))
-    if begin == end and tree.parent[top]:
-        top = tree.parent[top]  # one block alone: what is around it
-    return "\n".join(t for t, k in got if top <= k <= tree.last[top])
+    for k in range(len(tree.parent) - 1, 0, -1):  # an inner article or main counts for those around it
+        if tree.held[k] == k:
+            held[tree.held[tree.parent[k]]] += held[k]
+    most = [(n, k) for k, n in held.items() if k and 2 * n >= sum(sizes)]
+    if most:
+        top = min(most)[1]
+        return "\n".join(t for t, k in got if top <= k <= tree.last[top])
+    regions = cores(sizes)
+    largest = max(regions, key=lambda r: sum(sizes[r[0] : r[1] + 1]))
+    keep = [0] * (len(tree.parent) + 1)  # +1 where an element to be kept begins, -1 after its last
+    for begin, end in regions:
+        inside = [k for _, k in got[begin : end + 1]]
+        top = tree.around(min(inside), max(inside))
+        if begin == end and tree.parent[top] and (begin, end) == largest:
+            top = tree.parent[top]  # one block alone: what is around it
+        keep[top] += 1
+        keep[tree.last[top] + 1] -= 1
+    keep = list(accumulate(keep))
+    return "\n".join(t for t, k in got if keep[k])
 
 
 _SCHEMA = "page_id long, url string, text string, n_chars long"

@@ -38,3 +38,15 @@ def test_time_is_linear():
         began = time.perf_counter()
         H.main_text(piece * 40_000)
         assert time.perf_counter() - began < 5, piece
+
+
+def test_all_of_a_sectioned_article_and_of_divided_text():
+    first, last = [f"<p>{f'part {k} of the story runs on ' * 12}</p>" for k in range(2)], [f"<p>{f'end {k} of the story runs on ' * 10}</p>" for k in range(2)]
+    few = "".join(f"<li>item{k}</li>" for k in range(5))
+    want = [f"part {k}" for k in range(2)] + [f"item{k}" for k in range(5)] + [f"end {k}" for k in range(2)]
+    got = H.main_text(PAGE % f"<article><section>{''.join(first)}</section><section><ul>{few}</ul></section><section>{''.join(last)}</section></article>")
+    assert [t[: len(w)] for t, w in zip(got.split("\n"), want, strict=True)] == want
+    got = H.main_text(PAGE % f"<div>{''.join(first)}</div><div><ul>{few}</ul></div><div>{''.join(last)}</div>").split("\n")
+    assert [t[:6].strip() for t in got] == ["part 0", "part 1", "end 0", "end 1"]
+    got = H.main_text(PAGE % f"<main><div>{few}</div><article>{''.join(first)}<ul>{few}</ul>{''.join(last)}</article></main>").split("\n")
+    assert len(got) == 9 and got[0].startswith("part 0")
