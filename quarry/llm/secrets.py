@@ -5,6 +5,10 @@ Hoeffding bound on every transition and end frequency) are merged, which gives a
 string of a text is scored by its log-likelihood ratio per character, the best automaton against running prose; candidates of at
 least `threshold` that no base span covers are added as kind `format`.
 
+Candidates are all runs of `SHORTEST` and more characters of credentials, and within a run, if it is none as a whole, the pieces that
+begin after = or / or with a format's common prefix and end before = or / or with the run; of pieces that overlap, the likelier stays.
+Pieces have at most `LONGEST` characters, so that time is linear. Runs without a digit are compared with paths and words in capitals as well.
+
 Symbols are the characters themselves where, among the first `LITERAL`, all of a format's credentials agree, and character classes
 elsewhere, so that prefixes are learnt literally and random parts as classes.
 
@@ -19,8 +23,10 @@ import hashlib
 import math
 import random
 import re
-from collections.abc import Iterable, Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -31,12 +37,13 @@ from .common import keyed_text
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "format")
 LITERAL, ALPHA, THRESHOLD = 8, 0.05, 1.0
+SHORTEST, LONGEST = 16, 256
 
 _ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,}")
-_SUSPECT = r"(?i)passw|secret|token|api_?key|AKIA|[0-9a-f]{24}|[A-Za-z+/_=-]*[0-9][A-Za-z0-9+/_=-]{8}"
+_CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
+_SUSPECT = rf"(?i)passw|secret|token|api_?key|AKIA|[0-9a-f]{{24}}|[A-Za-z0-9+/_=-]{{{SHORTEST}}}"
 
 
 def _class(c: str) -> str:
@@ -126,14 +133,23 @@ class Automaton:
         self.next = [t if i in red else {} for i, t in enumerate(self.next)]
 
     def log2p(self, s: str) -> float:
-        state, total = 0, 0.0
-        for c in self.symbols(s):
+        return self.log2p_of(s, [len(s)])[0]
+
+    def log2p_of(self, s: str, ends: list[int]) -> list[float]:
+        """Of s[:e] for each of the ascending ends."""
+        out, k, state, total = [-math.inf] * len(ends), 0, 0, 0.0
+        for i in range(len(s) + 1):
+            while k < len(ends) and ends[k] == i:
+                out[k], k = total + (math.log2(self.end[state] / self.n[state]) if self.end[state] else -math.inf), k + 1
+            if k == len(ends):
+                break
+            c = f"={s[i]}" if i < len(self.prefix) else _class(s[i])
             step = self.next[state].get(c)
             if step is None:
-                return -math.inf
+                break
             total += math.log2(step[0] / self.n[state]) - _SPREAD.get(c, 0)
             state = step[1]
-        return total + (math.log2(self.end[state] / self.n[state]) if self.end[state] else -math.inf)
+        return out
 
 
 def labelled_credentials(each: int = 48, seed: int = 7) -> list[tuple[str, str]]:
@@ -169,14 +185,48 @@ def infer(labelled: Iterable[tuple[str, str]] | None = None, alpha: float = ALPH
 
 #: Bits a character of running prose takes: mostly lower case, few digits.
 _PROSE = {"a": math.log2(26 / 0.93), "A": math.log2(26 / 0.04), "9": math.log2(10 / 0.01)}
+_CAPITALS = {"a": _PROSE["A"], "A": _PROSE["a"], "9": _PROSE["9"]}
+
+
+def _plain(s: str) -> Callable[[int, int], float]:
+    """log2-likelihood of s[a:z] as prose; what has no digit may also be words in capitals, and signs between words are no rarer than letters."""
+    classes = [_class(c) for c in s]
+    upto = lambda cost: list(accumulate(map(cost, classes), initial=0))
+    digits, mixed = upto(lambda c: c == "9"), upto(lambda c: _PROSE.get(c, _PROSE["9"]))
+    words = [upto(lambda c, m=m: m.get(c, min(m.values()))) for m in (_PROSE, _CAPITALS)]
+    return lambda a, z: -(mixed[z] - mixed[a] if digits[z] > digits[a] else min(w[z] - w[a] for w in words))
 
 
 def likelihood(s: str, automata: dict[str, Automaton]) -> tuple[str, float]:
     """The best format, and its log2-likelihood ratio against prose, per character."""
-    prose = -sum(_PROSE.get(_class(c), _PROSE["9"]) for c in s)
+    prose = _plain(s)(0, len(s))
     return max(((name, (a.log2p(s) - prose) / len(s)) for name, a in automata.items()), key=lambda x: x[1], default=("", -math.inf))
 
 
+def pieces(run: str, automata: dict[str, Automaton], threshold: float = THRESHOLD) -> list[tuple[int, int, float]]:
+    """Start, end and score of what is a credential in a run: the run itself, or pieces of it."""
+    score = likelihood(run, automata)[1]
+    if score >= threshold:
+        return [(0, len(run), score)]
+    cuts = [m.start() for m in re.finditer("[=/]", run)]
+    starts = {c + 1 for c in cuts} | {m.start() for p in {a.prefix for a in automata.values()} if len(p) > 2 for m in re.finditer(re.escape(p), run)} | ({0} if cuts else set())
+    if not starts:
+        return []
+    stops, plain, got = sorted({*cuts, len(run)}), _plain(run), []
+    for a in sorted(starts):
+        ends = [z - a for z in stops[bisect_left(stops, a + SHORTEST) : bisect_right(stops, a + LONGEST)]]
+        part = run[a : a + LONGEST]
+        for z, p in zip(ends, map(max, zip(*(m.log2p_of(part, ends) for m in automata.values()), strict=True)), strict=True):
+            if p > -math.inf and (x := (p - plain(a, a + z)) / z) >= threshold:
+                got.append((-x, a, a + z))
+    out: list[tuple[int, int, float]] = []
+    for x, a, z in sorted(got):
+        k = bisect_left(out, (a,))
+        if (k == 0 or out[k - 1][1] <= a) and (k == len(out) or z <= out[k][0]):
+            out.insert(k, (a, z, -x))
+    return out
+
+
 def spans(text: str, automata: dict[str, Automaton], threshold: float = THRESHOLD) -> list[tuple[str, int, int, float]]:
     found = [("assign", m.start(), m.end(), 1.0) for m in _ASSIGN.finditer(text) if len(m[1]) >= 6]
     found += [("access", m.start(), m.end(), 1.0) for m in _ACCESS.finditer(text) if len(m[0]) >= 20]
@@ -184,10 +234,12 @@ def spans(text: str, automata: dict[str, Automaton], threshold: float = THRESHOL
     if automata:
         base, k, reach = sorted((a, z) for _, a, z, _ in found), 0, 0
         for m in _CANDIDATE.finditer(text):
-            while k < len(base) and base[k][0] < m.end():
-                reach, k = max(reach, base[k][1]), k + 1
-            if reach <= m.start() and (score := likelihood(m[0], automata)[1]) >= threshold:
-                found.append(("format", m.start(), m.end(), score))
+            for a, z, score in pieces(m[0], automata, threshold):
+                a, z = m.start() + a, m.start() + z
+                while k < len(base) and base[k][0] < z:
+                    reach, k = max(reach, base[k][1]), k + 1
+                if reach <= a:
+                    found.append(("format", a, z, score))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 

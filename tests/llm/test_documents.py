@@ -180,6 +180,20 @@ def test_automata_tell_formats_from_words():
     assert all(len([t for t in a.next if t]) < 80 for a in automata.values())
 
 
+def test_all_candidates_are_scored(spark):
+    keys = ["sk_live_" + "abcdefghKLMNOPqrstuvXYZabc"[:24], "sk_live_" + "QwErTyUiOpAsDfGhJkLzXc7b"[:24], "ghp_" + "aB3dE5gH7jK9mN1pQ3sT5vW7yZ9bC1dE3fG5"]
+    rows, want = [], {}
+    for k, key in enumerate(keys):
+        for j, around in enumerate(("see %s here", "AUTH=%s", "KEY=%s/next", "host/path/%s", "x%s")):
+            rows.append((10 * k + j, around % key))
+            at = rows[-1][1].index(key)
+            want[rows[-1][0]] = f"format:{at}:{at + len(key)}"
+    plain = ["INTERNATIONALISATION of everything", "docs/getting/started/with/configuration", "an_identifier_of_some_length = AnotherIdentifierOfSomeLength", "=" * 40, "a/" * 5_000]
+    rows += [(100 + k, t) for k, t in enumerate(plain)]
+    got = {r.doc_id: r.spans for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want | {100 + k: "" for k in range(len(plain))}
+
+
 def test_decontamination(docs, spark):
     rng = random.Random(5)
     item = lambda n: " ".join(f"w{rng.randrange(500)}" for _ in range(n))
