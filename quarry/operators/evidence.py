@@ -94,7 +94,10 @@ def expand_batch(hits: DataFrame, related: DataFrame, budget: int, most: int = 8
 
 
 def substitute(hits: list[dict[str, Any]], budget: int) -> list[tuple[Any, float, int]]:
-    """Each child becomes its parent where the parent fits what is left of the budget; one entry per chunk with its best score."""
+    """Each child becomes its parent where the parent fits what is left of the budget; one entry per chunk with its best score.
+
+    Where the hits alone exceed the budget all of them stay, as themselves unless their parent makes room.
+    """
     used = sum(h["token_count"] for h in hits)
     out: dict[Any, list] = {}
     for h in hits:

@@ -1,5 +1,6 @@
 """Every query with SQL against DuckDB; sequential operators against plain models; streams against batches."""
 
+import hashlib
 import math
 import random
 from pathlib import Path
@@ -206,3 +207,13 @@ def test_evidence_takes_every_query(spark):
     rows = lambda name: {r.query_id for r in Q.QUERIES[name](spark, SF).collect()}
     assert rows("evidence_selection") - set(range(10))  # a plan may take none of a query's chunks
     assert asked <= rows("parent_substitution")
+
+
+def test_no_query_or_document_is_left_out(spark, monkeypatch, tmp_path):
+    rows = [(1, "a - - b"), (2, "- | x"), (3, "plain a-b")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.digest for r in Q.QUERIES["tsquery_sanitise"](spark, str(tmp_path)).collect()}
+    assert got == {k: hashlib.md5(t.encode()).hexdigest() for k, t in ((1, "a b"), (2, "x"), (3, "plain a-b"))}
+    hits = spark.createDataFrame([(1, 10, 0.5, 150_000, 1), (1, 16, 0.4, 150_000, 2), (2, 12, 0.3, 10, 1)], "query_id long, chunk_id long, score double, token_count long, position int")
+    monkeypatch.setattr(Q, "_candidates", lambda *_: hits)
+    assert {(r.query_id, r.chunk_id) for r in Q.QUERIES["parent_substitution"](spark, SF).collect()} == {(1, 10), (1, 16), (2, 10)}
