@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and works on every row that its predecessor kept; all but the last return the columns of
 documents. Between stages, run() writes Parquet to the shared folder and reads it again, so a lost executor costs one stage at most.
 
-Defined results: rows without doc_id cannot be told apart and go at the near-duplicate stage; see the operators for null, empty and
+Defined results: rows without doc_id get a key of their own at the near-duplicate stage and are compared like all others; see the operators for null, empty and
 repeated texts. Extra columns of documents are carried along until packing.
 """
 
@@ -22,9 +22,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of linked documents, the one with the smallest doc_id stays; documents without words are linked with none and stay."""
-    keep = jaccard.link_classes(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_keep"))
-    return docs.join(keep, F.col("doc_id") == F.col("_keep"), "left_semi")
+    """Of each class of linked rows, the one with the smallest doc_id stays, or any one where none has a doc_id; rows without words stay.
+
+    Rows are told apart by a written key, so that rows that share a doc_id, or have none, are rows of their own.
+    """
+    first = "_row_of_" + "_".join(docs.columns)  # no column of docs has this name
+    rows = spool(docs.withColumn(first, F.monotonically_increasing_id()), "rows")
+    keys = rows.select(F.col(first).alias("doc_id"), F.col("text"))
+    linked = jaccard.link_classes(keys).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_class"))
+    ids = rows.select(F.col(first).alias("_row"), F.col("doc_id").alias("_id"))
+    best = linked.join(ids, "_row").groupBy("_class").agg(F.min(F.struct(F.col("_id").isNull().alias("no"), "_id", "_row")).alias("b")).select(F.col("b._row").alias("_keep"))
+    return rows.join(best, F.col(first) == F.col("_keep"), "left_semi").drop(first)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

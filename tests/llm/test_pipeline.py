@@ -78,3 +78,12 @@ def test_held_out_quality(spark):
 def test_vocabulary_is_a_parameter(spark):
     docs = spark.createDataFrame([(1, "one two"), (2, "three")], "doc_id long, text string")
     assert packing.pack(docs, vocabulary=packing.default_vocabulary()).count() == 2
+
+
+def test_near_duplicates_of_rows_without_or_with_the_same_doc_id(spark):
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
+    rows = [(None, text(0)), (None, text(1)), (None, text(1)), (7, text(2)), (7, text(2)), (7, text(3)), (9, text(2)), (5, text(4)), (None, text(4)), (None, ""), (8, None)]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n long")
+    got = corpus_pipeline.near_duplicate_stage(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(None, text(0)), (None, text(1)), (7, text(2)), (7, text(3)), (5, text(4)), (None, ""), (8, None)], key=str)
