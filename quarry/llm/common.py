@@ -48,6 +48,15 @@ def spool(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 4 MB (or one row) go to Python workers, unless the session sets a figure of its own."""
+    if spark.conf.get(_BATCH).rstrip("b") == str(64 << 20):
+        spark.conf.set(_BATCH, str(4 << 20))
+
+
 def partitions(spark: SparkSession) -> int:
     """How many parts a shuffle has; the one figure that is to grow with the input."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -55,4 +64,5 @@ def partitions(spark: SparkSession) -> int:
 
 def keyed_text(docs: DataFrame, *more: str) -> DataFrame:
     """Only doc_id and text, whatever other columns there are; a row without doc_id cannot be named in a result and is left out."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more).where("doc_id is not null")

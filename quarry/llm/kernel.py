@@ -6,7 +6,9 @@ Hashes have 64 bits and are seeded; equal words or n-grams are taken as equal if
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 from typing import NamedTuple
 
 import numpy as np
@@ -136,6 +138,34 @@ def doc_part(ids: np.ndarray, parts: int) -> np.ndarray:
     return part_of(mix(ids.astype(np.int64).view(U)), parts)
 
 
+# --- memory of the Python workers, which Spark keeps for later tasks ---
+
+_held: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], object]):
+    """One large object that a worker keeps from task to task, until a task of another kind begins in it."""
+    if name not in _held:
+        _held[name] = make()
+    return _held[name]
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], name: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same, for mapInArrow: what other kinds of tasks hold goes before, and unused memory goes back to the system after."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for other in [k for k in _held if k != name]:
+            del _held[other]
+        yield from run(batches)
+        if not name:
+            _powers.clear()
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 # --- bucketed exchange: many (doc, value) pairs travel as a few rows of packed bytes ---
 
 BLOB = "part int, docs binary, counts binary, hashes binary, extra binary"

@@ -5,9 +5,11 @@ the partition. Prefix sums over the partitions' totals (one figure a partition)
 stream that all documents make. Pass two cuts the stream at multiples of the window: sequence k holds the ids k * size .. (k + 1) *
 size - 1, and each document is cut where a boundary falls into it. So all sequences are full except the last.
 
-Ids come from the tokenizer file `vocabulary`; each document ends with `end_id`. Tokenising is done once for each distinct stretch
-of text between single blanks or line feeds, which the tokenizer's own pre-tokenisation never joins; a bounded table of such
-stretches is kept for each worker.
+Ids come from the tokenizer file `vocabulary`, as it encodes without special tokens added (those that stand in a text are matched);
+each document ends with `end_id`. With a byte-level tokenizer, tokenising is done once for each distinct stretch of text: cuts are
+made at single blanks and line feeds and between ASCII letters or digits and ASCII punctuation, all places that such a tokenizer's own
+pre-tokenisation never joins. A bounded table of stretches, told apart by 128 bits of hashes, is kept for each worker. With any other
+kind of tokenizer each document is encoded whole.
 
 Defined results: null or empty text is the end id alone; rows that repeat a doc_id are packed one by one; rows without doc_id are
 left out; an empty table gives no rows. Extra columns are ignored.
@@ -15,6 +17,7 @@ left out; an empty table gives no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -29,7 +32,6 @@ from .common import keyed_text, spool
 SIZE, END_ID = 2048, 1
 #: Stretches that a worker remembers, at most; beyond, it begins anew.
 REMEMBERED = 1 << 20
-_workers: dict[str, Encoder] = {}
 
 
 def default_vocabulary() -> str:
@@ -43,10 +45,14 @@ _LEAD = np.zeros(256, bool)
 _LEAD[0xC3:0xE0] = True
 _PLAIN = np.zeros(256, bool)
 _PLAIN[0x21:0x7F] = True
+#: 1 for ASCII letters and digits, 2 for ASCII punctuation other than the apostrophe, which may begin a contraction; 0 for all else.
+_KIND = np.array([1 if chr(b).isalnum() else 2 if 0x21 <= b < 0x7F and b != 0x27 else 0 for b in range(128)] + [0] * 128, np.uint8)
+#: For the second hash of a stretch.
+_OTHER = np.random.Generator(np.random.PCG64(50021)).integers(0, 1 << 64, 256, dtype=K.U)
 
 
-def stretches(seg: np.ndarray, edge: np.ndarray) -> np.ndarray:
-    """Where stretches begin: at documents' ends, and around single blanks (which go with what follows) and line feeds between plain characters."""
+def stretches(seg: np.ndarray, edge: np.ndarray, special: list[bytes]) -> np.ndarray:
+    """Where stretches begin: at documents' ends, around single blanks (which go with what follows) and line feeds between plain characters, and between letters or digits and punctuation."""
     n = len(seg)
     solid_before = _PLAIN[seg].copy()
     tail = np.flatnonzero((seg >= 0x80) & (seg < 0xC0))
@@ -62,6 +68,14 @@ def stretches(seg: np.ndarray, edge: np.ndarray) -> np.ndarray:
     begin = np.zeros(n + 1, bool)
     begin[at] = True
     begin[at[seg[at] == 0x0A] + 1] = True
+    kind = _KIND[seg]
+    begin[1:n] |= (kind[1:] ^ kind[:-1]) == 3
+    data = seg.tobytes() if special else b""
+    for word in special:  # no cut within a special token
+        at = data.find(word)
+        while at >= 0:
+            begin[at + 1 : at + len(word)] = False
+            at = data.find(word, at + 1)
     begin[edge] = True
     begin[n] = False
     return np.flatnonzero(begin)
@@ -74,33 +88,60 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
+        with open(vocabulary, encoding="utf-8") as f:
+            made = json.load(f)
+        kind = made.get("pre_tokenizer") or {}
+        added = [a["content"] for a in made.get("added_tokens", [])]
+        #: Whether stretches may be encoded by themselves.
+        self.cuts = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space", True) and not made.get("normalizer") and not any(a.get("lstrip") or a.get("rstrip") or a.get("single_word") for a in made.get("added_tokens", [])) and not any(c.isspace() for a in added for c in a)
+        self.special = [a.encode() for a in added]
         self.clear()
 
     def clear(self) -> None:
-        self.hash, self.at, self.count, self.ids = np.zeros(0, K.U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.hash, self.check, self.at, self.count, self.ids = np.zeros(0, K.U), np.zeros(0, K.U), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint32)
 
-    def learn(self, h: np.ndarray, texts: list[str]) -> None:
+    def plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts one after another, and their numbers."""
+        got = [e.ids for e in getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)(texts, add_special_tokens=False)]
+        count = np.array([len(g) for g in got], np.int32)
+        return np.fromiter((i for g in got for i in g), np.uint32, int(count.sum())), count
+
+    def learn(self, h: np.ndarray, check: np.ndarray, texts: list[str]) -> None:
         if len(self.hash) + len(h) > REMEMBERED:
             self.clear()
-        got = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        count = np.array([len(g) for g in got], np.int64)
-        at = len(self.ids) + np.cumsum(count) - count
-        self.ids = np.concatenate([self.ids, np.fromiter((i for g in got for i in g), np.uint32, int(count.sum()))])
-        order = np.argsort(hashes := np.concatenate([self.hash, h]), kind="stable")
-        self.hash, self.at, self.count = hashes[order], np.concatenate([self.at, at])[order], np.concatenate([self.count, count])[order]
+        ids, count = self.plain(texts)
+        at = (len(self.ids) + np.cumsum(count) - count).astype(np.int32)
+        self.ids = np.concatenate([self.ids, ids])
+        self.hash = np.concatenate([self.hash, h])
+        order = np.argsort(self.hash, kind="stable")
+        self.hash = self.hash[order]
+        for name, new in (("check", check), ("at", at), ("count", count)):
+            setattr(self, name, np.concatenate([getattr(self, name), new])[order])
+
+    def whole(self, seg: np.ndarray, edge: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        data = seg.tobytes()
+        ids, count = self.plain([data[a:z].decode() for a, z in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)])
+        ends = np.cumsum(count)
+        return np.insert(ids, ends, end_id).astype(np.uint32), count.astype(np.int64) + 1
 
     def encode(self, buf: np.ndarray, off: np.ndarray, lo: int, hi: int, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of documents lo..hi one after another, each with end_id, and their lengths."""
         seg, edge = buf[off[lo] : off[hi]], (off[lo : hi + 1] - off[lo]).astype(np.int64)
         if not len(seg):
             return np.full(hi - lo, end_id, np.uint32), np.ones(hi - lo, np.int64)
-        start = stretches(seg, edge)
+        if not self.cuts:
+            return self.whole(seg, edge, end_id)
+        start = stretches(seg, edge, self.special)
         end = np.append(start[1:], len(seg))
         up, down = K._power(len(seg) + 1)
-        total = np.zeros(len(seg) + 1, K.U)
-        np.cumsum(K._TABLE[seg] * up[: len(seg)], out=total[1:])
-        h, first, which = np.unique(K.mix((total[end] - total[start]) * down[start] + (end - start).astype(K.U)), return_index=True, return_inverse=True)
+        total, both = np.zeros(len(seg) + 1, K.U), []
+        for table in (K._TABLE, _OTHER):
+            np.cumsum(table[seg] * up[: len(seg)], out=total[1:])
+            both.append(K.mix((total[end] - total[start]) * down[start] + (end - start).astype(K.U)))
+        h, first, which = np.unique(both[0], return_index=True, return_inverse=True)
+        which, check = which.ravel(), both[1][first]
+        if not np.array_equal(check[which], both[1]):  # two stretches share 64 bits
+            return self.whole(seg, edge, end_id)
         for again in range(2):
             where = np.minimum(np.searchsorted(self.hash, h), max(0, len(self.hash) - 1))
             new = self.hash[where] != h if len(self.hash) else np.ones(len(h), bool)
@@ -110,9 +151,12 @@ class Encoder:
                 self.clear()
                 new = np.ones(len(h), bool)
             data, f = seg.tobytes(), first[new]
-            self.learn(h[new], [data[a:z].decode() for a, z in zip(start[f].tolist(), end[f].tolist(), strict=True)])
-        where = np.searchsorted(self.hash, h)[which.ravel()]
-        count, doc = self.count[where], np.searchsorted(edge, start, "right") - 1
+            self.learn(h[new], check[new], [data[a:z].decode() for a, z in zip(start[f].tolist(), end[f].tolist(), strict=True)])
+        where = np.searchsorted(self.hash, h)
+        if not np.array_equal(self.check[where], check):
+            return self.whole(seg, edge, end_id)
+        where = where[which]
+        count, doc = self.count[where].astype(np.int64), np.searchsorted(edge, start, "right") - 1
         length = np.bincount(doc, count, hi - lo).astype(np.int64) + 1
         ends = np.cumsum(length)
         out = np.empty(int(ends[-1]), np.uint32)
@@ -123,12 +167,6 @@ class Encoder:
         return out, length
 
 
-def _encoder(vocabulary: str) -> Encoder:
-    if vocabulary not in _workers:
-        _workers[vocabulary] = Encoder(vocabulary)
-    return _workers[vocabulary]
-
-
 _IDS = "part int, row long, doc_id long, before long, doc_tokens long, ids binary"
 
 
@@ -141,7 +179,7 @@ def _tokenise(vocabulary: str, end_id: int):
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        part, row, before, encoder = TaskContext.get().partitionId(), 0, 0, _encoder(vocabulary)
+        part, row, before, encoder = TaskContext.get().partitionId(), 0, 0, K.held(vocabulary, lambda: Encoder(vocabulary))
         for b in batches:
             buf, off = K.text_buffer(b.column(1))
             for lo, hi in K.chunks(off):
@@ -187,10 +225,10 @@ def pack(docs: DataFrame, size: int = SIZE, vocabulary: str | None = None, end_i
     The boundary records are the pieces that begin or end inside a document; the totals that reach the driver are one long per partition.
     """
     spark = docs.sparkSession
-    ids = spool(keyed_text(docs).mapInArrow(_tokenise(vocabulary or default_vocabulary(), end_id), _IDS), "ids")
+    ids = spool(keyed_text(docs).mapInArrow(K.tidy(_tokenise(vocabulary or default_vocabulary(), end_id), vocabulary or default_vocabulary()), _IDS), "ids")
     totals, base = ids.groupBy("part").agg(F.sum("doc_tokens").alias("n")).orderBy("part").collect(), []
     for t in totals:
         base.append((t["part"], base[-1][1] + base[-1][2] if base else 0, t["n"]))
     offsets = spark.createDataFrame([(p, o) for p, o, _ in base], "part int, base long")
     placed = ids.join(F.broadcast(offsets), "part").select("doc_id", "doc_tokens", (F.col("base") + F.col("before")).alias("at"), "ids")
-    return placed.mapInArrow(_cut(size), _PIECES)
+    return placed.mapInArrow(K.tidy(_cut(size)), _PIECES)

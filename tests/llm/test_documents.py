@@ -95,8 +95,7 @@ def test_packing_round_trip(docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.default_vocabulary())
-    t.encode_special_tokens = True
-    odd = ["  a  b", "\n\n x\n y \t z", " lead", "trail ", "it's 'll we’re  \n", "日本 語\n テスト", "\u0085x \u0085 y", "a\r\nb \r c", "x  y 　z", "<|endoftext|> hi", "éà ߿ x\nÀ"]
+    odd = ["  a  b", "\n\n x\n y \t z", " lead", "trail ", "it's 'll we’re  \n", "日本 語\n テスト", "\u0085x \u0085 y", "a\r\nb \r c", "x  y 　z", "<|endoftext|> hi", "a <|endoftext|> b", "x<|endoftext|>y.<|endo", "it's.'s 's1 ''s don''t 1's a'!b (foo)_bar/baz-1.5e3", "éà ߿ x\nÀ"]
     more = docs.select("doc_id", "text").unionByName(docs.sparkSession.createDataFrame([(5000 + i, x) for i, x in enumerate(odd)], "doc_id long, text string"))
     pieces, seqs = defaultdict(list), defaultdict(list)
     for r in packing.pack(more, size=256).collect():
