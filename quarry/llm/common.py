@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import kernel
+
+PART = 32 << 20  # bytes of text for a part of an exchange between blocks
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, read by Spark only (the path may be in any store that Spark knows)."""
@@ -62,6 +66,35 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def blocks(docs: DataFrame) -> DataFrame:
+    """The texts in blocks, each a row with a number of its own, written to the shared folder; see kernel."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        yield from kernel.text_rows(TaskContext.get().partitionId(), batches)
+
+    return spool(keyed_text(docs).mapInArrow(kernel.tidy(run), "block long, size long, a binary, b binary, c binary"), "blocks")
+
+
+def parts_of(text: DataFrame) -> int:
+    """How many parts an exchange between these blocks has: as many as shuffles have, and more where a part's texts would pass PART bytes."""
+    total = text.agg(F.sum("size")).first()[0] or 0
+    return max(partitions(text.sparkSession), -(-total // PART))
+
+
+def asked(text: DataFrame, ask, parts: int) -> DataFrame:
+    """What the blocks ask, brought to the parts."""
+    return text.select("block", "a", "b", "c").mapInArrow(kernel.tidy(ask), kernel.ROW).repartitionById(parts, F.col("part"))
+
+
+def together(text: DataFrame, told: DataFrame, parts: int) -> DataFrame:
+    """The blocks' texts and the answers to them, brought together."""
+    home = F.expr(f"cast(pmod(shiftright(block, 32) + (block & 4294967295) * 7919, {parts}) as int)")
+    own = text.select(home.alias("part"), "block", F.lit(kernel.TEXT).alias("kind"), "a", "b", "c")
+    return own.unionByName(told).repartitionById(parts, F.col("part"))
+
+
 def keyed_text(docs: DataFrame, *more: str) -> DataFrame:
     """Only doc_id and text, whatever other columns there are; a row without doc_id cannot be named in a result and is left out."""
     small_batches(docs.sparkSession)

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-CHUNK = 1 << 21  # bytes that are hashed at once; one longer document makes a chunk of its own
+CHUNK = 1 << 20  # bytes that are hashed at once
 _MASK = (1 << 64) - 1
 _B = 0x9E3779B97F4A7C15 | 1
 _TABLE = np.random.Generator(np.random.PCG64(20011)).integers(0, 1 << 64, 256, dtype=U)
@@ -98,12 +98,23 @@ def words(buf: np.ndarray, off: np.ndarray, lo: int, hi: int, lower: bool = Fals
     after[:-1] = solid[1:]
     after[edge[1:][edge[1:] > 0] - 1] = False
     start, end = np.flatnonzero(solid & ~before), np.flatnonzero(solid & ~after) + 1
-    up, down = _power(n + 1)
-    total = np.empty(n + 1, U)
-    total[0] = 0
-    np.cumsum((_LOWER if lower else _TABLE)[seg] * up[:n], out=total[1:])
-    h = mix((total[end] - total[start]) * down[start] + (end - start).astype(U))
-    return Words(start, end, h, np.searchsorted(start, edge))
+    return Words(start, end, _hashes(seg, start, end, _LOWER if lower else _TABLE), np.searchsorted(start, edge))
+
+
+def _hashes(seg: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Of each word; in stretches of at most CHUNK bytes (or one word), so that memory does not depend on the length of a document."""
+    out, i = np.empty(len(start), U), 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + CHUNK, "right")))
+        a, z = int(start[i]), int(end[j - 1])
+        up, down = _power(z - a + 1)
+        total = np.empty(z - a + 1, U)
+        total[0] = 0
+        np.cumsum(table[seg[a:z]] * up[: z - a], out=total[1:])
+        s, e = start[i:j] - a, end[i:j] - a
+        out[i:j] = mix((total[e] - total[s]) * down[s] + (e - s).astype(U))
+        i = j
+    return out
 
 
 def ngrams(h: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
@@ -118,6 +129,15 @@ def ngrams(h: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     return mix(acc)
 
 
+def ngrams_at(h: np.ndarray, at: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
+    """The same hashes, of the n words from each position in `at` only."""
+    acc = np.full(len(at), U((seed * 0x9E3779B97F4A7C15 + n) & _MASK), U)
+    for j in range(n):
+        acc *= U(0xD6E8FEB86659FD93)
+        acc += h[at + j]
+    return mix(acc)
+
+
 def grams_of(first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Of each document: where its n-grams begin among those of ngrams(), and how many it has."""
     return first[:-1], np.maximum(0, np.diff(first) - n + 1)
@@ -129,15 +149,6 @@ def flat(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + start[owner], owner
 
 
-def part_of(h: np.ndarray, parts: int) -> np.ndarray:
-    """A part in 0..parts-1 for each hash, by its high bits."""
-    return (((h >> U(32)) * U(parts)) >> U(32)).astype(np.int32)
-
-
-def doc_part(ids: np.ndarray, parts: int) -> np.ndarray:
-    return part_of(mix(ids.astype(np.int64).view(U)), parts)
-
-
 # --- memory of the Python workers, which Spark keeps for later tasks ---
 
 _held: dict[str, object] = {}
@@ -166,58 +177,123 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], na
     return wrapped
 
 
-# --- bucketed exchange: many (doc, value) pairs travel as a few rows of packed bytes ---
+# --- blocks of documents, and an exchange by hash between them ---
+#
+# A block is some documents whose texts have at most BLOCK bytes together, or one document. Blocks ask parts about hashes, each hash
+# once, however many of the block's documents have it, and parts answer blocks. So a hash that a third of all documents has costs a
+# part one entry for each block, and no task ever holds all documents of a hash.
 
-BLOB = "part int, docs binary, counts binary, hashes binary, extra binary"
-_BLOB = pa.schema([("part", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary()), ("extra", pa.binary())])
+BLOCK = 4 << 20
+ROW = "part int, block long, kind int, a binary, b binary, c binary"
+TEXT, ASK, TELL = 0, 1, 2
+_ROW = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+KEY = U((1 << 48) - 1)
 
 
-def blobs(part: np.ndarray, doc: np.ndarray, h: np.ndarray, parts: int, extra: np.ndarray | None = None) -> pa.RecordBatch | None:
-    """One row for each part that occurs: runs of documents, their lengths, the hashes, and 32 bits more for each hash if given."""
-    if not len(h):
-        return None
-    order = np.argsort(part.astype(np.uint16 if parts < 65536 else np.uint32), kind="stable")
-    p, d, h = part[order], doc[order], h[order]
-    more = np.zeros(0, np.uint32) if extra is None else extra[order].astype(np.uint32)
-    new = np.empty(len(h), bool)
-    new[0] = True
-    np.not_equal(p[1:], p[:-1], out=new[1:])
-    cut = np.append(np.flatnonzero(new), len(h))
-    new[1:] |= d[1:] != d[:-1]
-    run = np.flatnonzero(new)
-    length = np.diff(np.append(run, len(h))).astype(np.uint32)
-    rd, at = d[run].astype(np.int64), np.searchsorted(run, cut)
-    k = range(len(cut) - 1)
-    cols = [[rd[at[i] : at[i + 1]].tobytes() for i in k], [length[at[i] : at[i + 1]].tobytes() for i in k], [h[cut[i] : cut[i + 1]].tobytes() for i in k], [more[cut[i] : cut[i + 1]].tobytes() for i in k]]
-    return pa.record_batch([pa.array(p[cut[:-1]], pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], schema=_BLOB)
+def row(part: int, block: int, kind: int, a: bytes, b: bytes = b"", c: bytes = b"") -> tuple:
+    return part, block, kind, a, b, c
 
 
-def sizes(doc: np.ndarray, n: np.ndarray, parts: int) -> pa.RecordBatch | None:
-    """A figure for each document, by the document's part; such rows have no hashes."""
-    if not len(doc):
-        return None
-    part = doc_part(doc, parts)
-    own = [np.flatnonzero(part == p) for p in np.unique(part)]
-    cols = [[doc[o].astype(np.int64).tobytes() for o in own], [n[o].astype(np.uint32).tobytes() for o in own], [b""] * len(own), [b""] * len(own)]
-    return pa.record_batch([pa.array(np.unique(part), pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], schema=_BLOB)
+def rows(found: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(list(c), f.type) for c, f in zip(zip(*found, strict=True), _ROW, strict=True)] if found else [pa.array([], f.type) for f in _ROW], schema=_ROW)
 
 
-class Gathered(NamedTuple):
-    """All pairs of one part, and the documents' figures that came with them."""
+def batched(found: Iterator[tuple], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of about `most` bytes."""
+    held, size = [], 0
+    for r in found:
+        held.append(r)
+        size += 64 + len(r[3]) + len(r[4]) + len(r[5])
+        if size >= most:
+            yield rows(held)
+            held, size = [], 0
+    if held:
+        yield rows(held)
 
-    doc: np.ndarray
-    hash: np.ndarray
-    extra: np.ndarray
-    sized: np.ndarray
-    size: np.ndarray
 
+def home(block: np.ndarray | int, parts: int):
+    """The part that a block's text and answers go to; the blocks of a task, and those of all tasks, are spread evenly."""
+    return ((block >> 32) + (block & 0xFFFFFFFF) * 7919) % parts
+
+
+def part_of(key: np.ndarray, parts: int) -> np.ndarray:
+    """A part for each 48-bit key; ascends with the keys."""
+    return (((key >> U(16)) * U(parts)) >> U(32)).astype(np.int64)
+
+
+def narrow(key: np.ndarray) -> bytes:
+    """48-bit keys in six bytes each."""
+    return np.ascontiguousarray(key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def wide(data) -> np.ndarray:
+    six = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(six), 8), np.uint8)
+    out[:, :6] = six
+    return out.view("<u8").ravel().astype(U, copy=False)
+
+
+def slices(key: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
+    """part, begin and end of each part's stretch of ascending keys."""
+    part = part_of(key, parts)
+    if len(part):
+        cut = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        yield from zip(part[cut].tolist(), cut.tolist(), np.append(cut[1:], len(key)).tolist(), strict=True)
+
+
+class Text(NamedTuple):
+    """A block's documents; buf[off[i] : off[i + 1]] is the text of ids[i]."""
+
+    block: int
+    ids: np.ndarray
+    off: np.ndarray
+    buf: np.ndarray
+
+    def words(self, lower: bool = False) -> Words:
+        """Of all documents of the block."""
+        return words(self.buf, self.off, 0, len(self.ids), lower)
+
+
+def text_rows(partition: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """block, size, a (ids), b (offsets), c (texts): the blocks of a task's documents."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    size = seq = 0
+
+    def flush() -> pa.RecordBatch:
+        lengths = np.concatenate([np.diff(o) for _, o, _ in held])
+        off = np.append(0, np.cumsum(lengths)).astype(np.int64)
+        return pa.record_batch([pa.array([(partition << 32) + seq]), pa.array([size]), pa.array([np.concatenate([i for i, _, _ in held]).astype(np.int64).tobytes()], pa.binary()), pa.array([off.tobytes()], pa.binary()), pa.array([np.concatenate([b for *_, b in held]).tobytes()], pa.binary())], names=["block", "size", "a", "b", "c"])
 
-def gather(batches: Iterator[pa.RecordBatch]) -> Gathered:
-    cols: list[list] = [[] for _ in range(6)]
     for b in batches:
-        for d, c, h, x in zip(b.column("docs"), b.column("counts"), b.column("hashes"), b.column("extra"), strict=True):
-            d, c, h, x = np.frombuffer(d.as_buffer(), np.int64), np.frombuffer(c.as_buffer(), np.uint32), np.frombuffer(h.as_buffer(), U), np.frombuffer(x.as_buffer(), np.uint32)
-            for k, v in zip((0, 1, 2, 3) if len(h) else (4, 5), (d, c, h, x), strict=False):
-                cols[k].append(v)
-    d, c, h, x, sd, sn = (np.concatenate(v) if v else np.zeros(0, t) for v, t in zip(cols, (np.int64, np.uint32, U, np.uint32, np.int64, np.uint32), strict=True))
-    return Gathered(np.repeat(d, c), h, x, sd, sn)
+        buf, off = text_buffer(b.column(1))
+        ids = b.column(0).to_numpy(zero_copy_only=False)
+        for lo, hi in chunks(off, BLOCK // 4):
+            n = int(off[hi] - off[lo])
+            if held and size + n > BLOCK:
+                yield flush()
+                held, size, seq = [], 0, seq + 1
+            held.append((ids[lo:hi], off[lo : hi + 1], buf[off[lo] : off[hi]].copy()))
+            size += n
+    if held:
+        yield flush()
+
+
+def texts(b: pa.RecordBatch) -> Iterator[Text]:
+    """The blocks in a batch that has the columns block, a, b, c."""
+    for block, a, o, c in zip(b.column("block"), b.column("a"), b.column("b"), b.column("c"), strict=True):
+        yield Text(block.as_py(), np.frombuffer(a.as_buffer(), np.int64), np.frombuffer(o.as_buffer(), np.int64), np.frombuffer(c.as_buffer(), np.uint8))
+
+
+def met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Text, list[tuple]]]:
+    """Of each block that comes to a part: its text, and the answers to it as (a, b, c)."""
+    text: dict[int, Text] = {}
+    told: dict[int, list[tuple]] = {}
+    for batch in batches:
+        kind = batch.column("kind").to_numpy()
+        for t in texts(batch.take(pa.array(np.flatnonzero(kind == TEXT)))):
+            text[t.block] = t
+        own = batch.take(pa.array(np.flatnonzero(kind != TEXT)))
+        for block, *cols in zip(own.column("block").to_pylist(), own.column("a"), own.column("b"), own.column("c"), strict=True):
+            told.setdefault(block, []).append(tuple(c.as_buffer() for c in cols))
+    for block in sorted(text):
+        yield text.pop(block), told.pop(block, [])

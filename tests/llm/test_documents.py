@@ -7,10 +7,11 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import decontam, jaccard, licenses, packing, pii, quality, secrets, substring, topk
+from quarry.llm import decontam, jaccard, kernel, licenses, packing, pii, quality, secrets, substring, topk
 
 PROSE = ["the", "of", "lantern", "river", "quietly", "under", "a", "stone", "bridge", "Ends", "été", "with", "and", "shadow", "keeps", "its", "own", "counsel"]
 
@@ -67,6 +68,41 @@ def test_substring(docs):
         assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256, got[i].kept_text) == (len(w), len(gone), hashlib.sha256(kept).hexdigest(), kept.decode())
 
 
+def test_factors_copy_from_their_sources(spark):
+    """Every factor's words stand in its source, which is a smaller document; a passage that all documents hold is no hot key."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(300)}"
+    passages = [[word() for _ in range(n)] for n in (13, 20, 40, 90)]
+    rows = [(i, sum(([word() for _ in range(rng.randrange(9))] + rng.choice(passages)[rng.randrange(5) :] for _ in range(4)), [])) for i in range(60)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(7)
+    words, n = dict(rows), 0
+    for r in substring.deduplicate(df).collect():
+        last = 0
+        for f in r.factors.split(",") if r.factors else []:
+            begin, end, source, at = map(int, f.split(":"))
+            assert source < r.doc_id and last <= begin < end and words[r.doc_id][begin:end] == words[source][at : at + end - begin]
+            last, n = end, n + 1
+        spans = [tuple(map(int, s.split(":"))) for s in r.spans.split(",")] if r.spans else []
+        assert all(z - a >= 13 for a, z in spans) and sum(z - a for a, z in spans) == r.n_removed
+    assert n > 200
+
+
+def test_equal_hashes_are_told_apart_by_64_more_bits(docs, monkeypatch):
+    """With windows sieved and sorted by 9 bits only, results stay the same."""
+    want = sorted((r.doc_id, r.n_removed, r.kept_sha256) for r in substring.deduplicate(docs).collect())
+    rows = [r.asDict() for r in docs.select("doc_id", "text").collect()]
+    ids, texts = [r["doc_id"] for r in rows], pa.array([r["text"] for r in rows], pa.string())
+    full = kernel.ngrams
+    monkeypatch.setattr(kernel, "ngrams", lambda h, n, seed=0: full(h, n, seed) & np.uint64(0x1FF0000000000 >> 8))
+    part = lambda run, *batches: list(run(iter(batches)))
+    blocks = [b for k in range(3) for b in part(lambda x, k=k: kernel.text_rows(k, x), pa.record_batch([pa.array(ids[k::3]), texts.take(pa.array(range(k, len(ids), 3)))], names=["doc_id", "text"]))]
+    home = [pa.record_batch([pa.array([kernel.home(b.column("block")[0].as_py(), 1)], pa.int32()), b.column("block"), pa.array([kernel.TEXT], pa.int32()), b.column("a"), b.column("b"), b.column("c")], names=["part", "block", "kind", "a", "b", "c"]) for b in blocks]
+    sieved = part(substring._sieve(1), *part(substring._ask(13, 1), *blocks))
+    told = part(substring._index(1), *part(substring._offer(13, 1), *home, *sieved))
+    got = [r for b in part(substring._parse(13, ["doc_id", "n_removed", "kept_sha256"]), *home, *told) for r in b.to_pylist()]
+    assert sorted((r["doc_id"], r["n_removed"], r["kept_sha256"]) for r in got) == want
+
+
 def test_jaccard(docs):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link_classes(docs).collect()}
     sets = {}
@@ -91,6 +127,12 @@ def test_jaccard(docs):
     assert len({c for _, c in got.values()}) < len(ids) - 10
 
 
+def test_jaccard_of_repeated_ids(spark):
+    rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g"), (3, "q r s t u v"), (3, "x"), (4, "x"), (5, "q r s t u v")]
+    got = jaccard.link_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(tuple, got)) == [(1, 3, 1), (2, 3, 1), (3, 2, 3), (4, 1, 4), (5, 2, 3)]
+
+
 def test_packing_round_trip(docs):
     from tokenizers import Tokenizer
 
