@@ -15,11 +15,12 @@ Distances are Jaccard distances of the documents' sets of distinct word shingles
    class; after `rounds` pivots, the members outside the largest class are compared with members of other classes, except
    pairs that sizes, positions in the order or the triangle inequality over the distances to the pivot rule out.
 
-Shingle counts come from one bucketed exchange of 64-bit hashes: each part counts its shingles and returns those that more than one
-document has. Equal shingle sets are one point of the space and are represented by the smallest doc_id.
+Shingle counts come from one exchange between blocks of documents: each block asks about each of its shingles once, with the number of
+its documents that have it, and is told the sum. Equal shingle sets are one point of the space and are represented by the smallest
+doc_id.
 
 Defined results: text that is null, empty or white space has no shingles and is linked with nothing; a text of fewer than `words`
-words has its whole sequence as only shingle. Rows that repeat a doc_id count as one document with the largest of their sizes.
+words has its whole sequence as only shingle. Of rows that repeat a doc_id, one with the most shingles counts.
 Rows without doc_id are left out. Extra columns are ignored.
 """
 
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import keyed_text, partitions, spool
+from .common import asked, blocks, parts_of, spool, together
 from .graph import components
 
 WORDS, NUM, DEN = 5, 75, 100
@@ -49,39 +50,54 @@ def shingle_sets(w: K.Words, words: int) -> list[np.ndarray]:
     return out
 
 
-def _emit(words: int, parts: int):
+def _ask(words: int, parts: int):
+    """Each distinct shingle of a block, by 48 bits of its hash, with the number of documents that have it; first those that only one has."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            buf, off = K.text_buffer(b.column(1))
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            for lo, hi in K.chunks(off):
-                sets = shingle_sets(K.words(buf, off, lo, hi, lower=True), words)
-                n = np.array([len(s) for s in sets], np.int64)
-                h = np.concatenate(sets)
-                yield K.sizes(ids[lo:hi], n, parts)
-                if (out := K.blobs(K.part_of(h, parts), np.repeat(ids[lo:hi], n), h, parts)) is not None:
-                    yield out
+        def found():
+            for b in batches:
+                for text in K.texts(b):
+                    key, n = np.unique(np.concatenate([np.zeros(0, K.U), *shingle_sets(text.words(lower=True), words)]) & K.KEY, return_counts=True)
+                    one, more, count = key[n == 1], key[n > 1], n[n > 1].astype(np.uint32)
+                    several = {part: (a, z) for part, a, z in K.slices(more, parts)}
+                    single = {part: (a, z) for part, a, z in K.slices(one, parts)}
+                    for part in sorted(single.keys() | several.keys()):
+                        (a, z), (c, d) = single.get(part, (0, 0)), several.get(part, (0, 0))
+                        yield K.row(part, text.block, K.ASK, K.narrow(one[a:z]), K.narrow(more[c:d]), count[c:d].tobytes())
+
+        yield from K.batched(found())
 
     return run
 
 
+MANY = (1 << 16) - 1  # larger counts are not told apart
+
+
 def _count(parts: int):
+    """Tells each block, of its shingles that more than one document has, how many have them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = K.gather(batches)
-        if len(got.sized):
-            yield K.sizes(got.sized, got.size, parts)
-        order = np.argsort(got.hash, kind="stable")
-        doc, h = got.doc[order], got.hash[order]
-        first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
-        df = np.repeat(np.diff(np.append(first, len(h))), np.diff(np.append(first, len(h))))
-        doc, h, df = doc[df > 1], h[df > 1], df[df > 1]
-        order = np.argsort(doc, kind="stable")
-        doc, h, df = doc[order], h[order], df[order]
-        step = 1 << 20
-        for i in range(0, len(h), step):
-            d = doc[i : i + step]
-            if (out := K.blobs(K.doc_part(d, parts), d, h[i : i + step], parts, np.minimum(df[i : i + step], (1 << 32) - 1))) is not None:
-                yield out
+        block, keys, counts = [], [], []
+        for b in batches:
+            for n, one, more, count in zip(b.column("block").to_pylist(), b.column("a"), b.column("b"), b.column("c"), strict=True):
+                one, more = K.wide(one.as_buffer()), K.wide(more.as_buffer())
+                block.append(n)
+                keys.append(np.concatenate([one, more]))
+                counts.append(np.concatenate([np.ones(len(one), np.uint32), np.frombuffer(count.as_buffer(), np.uint32)]))
+        if not keys:
+            return
+        of = np.repeat(np.arange(len(keys), dtype=np.uint32), [len(k) for k in keys])
+        key, count = np.concatenate(keys), np.concatenate(counts)
+        keys.clear(), counts.clear()
+        order = np.argsort(key, kind="stable")
+        key, of, count = key[order], of[order], count[order]
+        begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        total = np.repeat(np.minimum(np.add.reduceat(count, begin, dtype=np.int64), MANY).astype(np.uint16), np.diff(np.append(begin, len(key))))
+        key, of, total = key[total > 1], of[total > 1], total[total > 1]
+        order = np.argsort(of, kind="stable")
+        key, of, total = key[order], of[order], total[order]
+        cut = np.searchsorted(of, np.arange(len(block) + 1))
+        yield from K.batched(K.row(K.home(n, parts), n, K.TELL, K.narrow(key[cut[i] : cut[i + 1]]), total[cut[i] : cut[i + 1]].tobytes()) for i, n in enumerate(block) if cut[i + 1] > cut[i])
 
     return run
 
@@ -89,47 +105,51 @@ def _count(parts: int):
 _POINTS = "doc_id long, n long, own long, sig1 long, sig2 long, window int, short_window int, shared array<long>"
 
 
-def _points(num: int, den: int):
+def _points(words: int, num: int, den: int):
     """The points that can have a link have their shared shingles, rarest first; the others only a size."""
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("own", pa.int64()), ("sig1", pa.int64()), ("sig2", pa.int64()), ("window", pa.int32()), ("short_window", pa.int32()), ("shared", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = K.gather(batches)
-        order = np.lexsort((got.hash, got.extra, got.doc))
-        doc, h = got.doc[order], got.hash[order]
-        if len(doc):
-            keep = np.append(True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1]))
-            doc, h = doc[keep], h[keep]
-        out: list[tuple] = []
-        order = np.lexsort((got.size, got.sized))
-        sized, size = got.sized[order], got.size[order]
-        last = np.append(sized[1:] != sized[:-1], True) if len(sized) else np.zeros(0, bool)
-        sized, size = sized[last], size[last]
-        lo, hi = np.searchsorted(doc, sized), np.searchsorted(doc, sized, "right")
-        for d, n, a, z in zip(sized.tolist(), size.tolist(), lo.tolist(), hi.tolist(), strict=True):
-            own = max(0, n - (z - a))
-            wide, short = n - ceil(num * n / den) + 1 - own, n - ceil(2 * num * n / (num + den)) + 1 - own
-            if z > a and wide > 0:
-                s = h[a:z]
-                sig = K.mix(s)
-                same = (int(sig.sum(dtype=K.U).view(np.int64)), int(np.bitwise_xor.reduce(K.mix(sig + K.U(1))).view(np.int64))) if own == 0 else (d, d)  # with a shingle of its own, a set has no copy
-                out.append((d, n, own, *same, wide, max(0, short), s.view(np.int64)))
-            else:
-                out.append((d, n, own, None, None, None, None, None))
-            if len(out) == 1000:
-                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-                out = []
-        if out:
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+        for text, told in K.met(batches):
+            key, count = np.zeros(0, K.U), np.zeros(0, np.uint16)
+            if told:
+                key, count = np.concatenate([K.wide(a) for a, *_ in told]), np.concatenate([np.frombuffer(b, np.uint16) for _, b, _ in told])
+                order = np.argsort(key)
+                key, count = key[order], count[order]
+            out: list[tuple] = []
+            for d, h in zip(text.ids.tolist(), shingle_sets(text.words(lower=True), words), strict=True):
+                n = len(h)
+                if len(key):
+                    at = np.minimum(np.searchsorted(key, h & K.KEY), len(key) - 1)
+                    shared = np.flatnonzero(key[at] == h & K.KEY)
+                    s = h[shared][np.lexsort((h[shared], count[at[shared]]))]
+                else:
+                    s = h[:0]
+                own = n - len(s)
+                wide, short = n - ceil(num * n / den) + 1 - own, n - ceil(2 * num * n / (num + den)) + 1 - own
+                if len(s) and wide > 0:
+                    sig = K.mix(s)
+                    same = (int(sig.sum(dtype=K.U).view(np.int64)), int(np.bitwise_xor.reduce(K.mix(sig + K.U(1))).view(np.int64))) if own == 0 else (d, d)  # with a shingle of its own, a set has no copy
+                    out.append((d, n, own, *same, wide, max(0, short), s.view(np.int64)))
+                else:
+                    out.append((d, n, own, None, None, None, None, None))
+            for i in range(0, len(out), 1000):
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out[i : i + 1000], strict=True), schema, strict=True)], schema=schema)
 
     return run
 
 
 def points(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
-    n = partitions(docs.sparkSession)
-    sent = keyed_text(docs).mapInArrow(_emit(words, n), K.BLOB).repartitionById(n, F.col("part"))
-    back = sent.mapInArrow(_count(n), K.BLOB).repartitionById(n, F.col("part"))
-    return back.mapInArrow(_points(num, den), _POINTS)
+    """Spooled; one row per doc_id."""
+    text = blocks(docs)
+    n = parts_of(text)
+    told = spool(asked(text, _ask(words, n), n).mapInArrow(K.tidy(_count(n)), K.ROW), "counts")
+    pts = spool(together(text, told, n).mapInArrow(K.tidy(_points(words, num, den)), _POINTS), "points")
+    again = spool(pts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return pts
+    one = pts.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.struct("n", *(c for c in pts.columns if c not in ("doc_id", "n")))).alias("c")).select("doc_id", "c.*")
+    return spool(pts.join(again, "doc_id", "left_anti").unionByName(one), "points")
 
 
 def _linked(inter, a, b, num: int, den: int):
@@ -145,7 +165,7 @@ def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def link_classes(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id that links reach, itself included."""
-    pts = spool(points(docs, words, num, den), "points")
+    pts = points(docs, words, num, den)
     able = pts.where("shared is not null")
     copies = able.groupBy("n", "own", "sig1", "sig2").agg(F.min("doc_id").alias("rep"))
     sets = spool(able.join(copies.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "sets")
