@@ -2,10 +2,12 @@
 
 Markup is stripped into lines, one per block element. The text lengths of `WINDOW` consecutive lines are summed; where the sum rises
 from little to much is a surge point, where it falls back a dive point. The regions between each surge and the next dive are the core
-of the article. What is known not to be content (menus, forms, scripts, footers, adverts, comments and the like, by
-element or by class and id words) is left out before. Since short paragraphs, lists and tables between and around the regions belong
-to the article as well, all remaining lines of the innermost article or main are taken that holds at least half of the text; on other
-pages each region grows to the lines of the innermost element that holds it whole.
+of the article. What is never content (menus, forms, scripts, footers, asides and the like, by element) is left out before. Elements
+whose class, id or role names a menu, advert, notice, comments and the like are left out as well, but not where they hold the page's
+article: most of its text, and all of its main headings, articles and mains or, where it has none, all of its long lines. Since short paragraphs, lists and tables
+between and around the regions belong to the article as well, all remaining lines of the innermost article or main are taken that holds
+at least half of the text; on other pages each region grows to the lines of the innermost element that holds it whole, without lists
+of links and copyright lines at its edges.
 
 Defined results: null, empty or text-free html gives an empty text; truncated and badly nested markup is read as far as it goes;
 repeated rows give repeated results; extra columns are ignored. Reading takes time linear in the page.
@@ -18,11 +20,15 @@ from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 from itertools import accumulate
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import kernel
+from .common import small_batches
+
 WINDOW, SURGE = 3, 60
 
 #: HTML elements by their role.
@@ -57,17 +63,19 @@ def _tag_end(html: str, at: int, none: dict[str, int]) -> int:
 
 
 class Tree:
-    """Block elements in page order: parent, depth, last element inside, and innermost article or main (0: none); 0 is the page."""
+    """Block elements in page order: name, parent, depth, last element inside, innermost article or main (0: none), and whether a hint names it as noise; 0 is the page."""
 
     def __init__(self) -> None:
-        self.parent, self.depth, self.last, self.held = [0], [0], [0], [0]
+        self.name, self.parent, self.depth, self.last, self.held, self.noise = [""], [0], [0], [0], [0], [False]
 
-    def add(self, parent: int, holds: bool) -> int:
+    def add(self, name: str, parent: int, noise: bool) -> int:
         k = len(self.parent)
+        self.name.append(name)
         self.parent.append(parent)
         self.depth.append(self.depth[parent] + 1)
         self.last.append(k)
-        self.held.append(k if holds else self.held[parent])
+        self.held.append(k if name in _HOLD and not noise else self.held[parent])
+        self.noise.append(noise)
         return k
 
     def around(self, a: int, b: int) -> int:
@@ -80,21 +88,29 @@ class Tree:
         return a
 
 
-def lines(html: str) -> tuple[list[tuple[str, int]], Tree]:
-    """Text of each block that is not left out, in page order, with the number of the element around it."""
-    out: list[tuple[str, int]] = []
+class Line(NamedTuple):
+    text: str
+    element: int  # the block element around it
+    linked: bool  # whether most of it is links
+
+
+def lines(html: str) -> tuple[list[Line], Tree]:
+    """The text of each block that is not left out by its element, in page order."""
+    out: list[Line] = []
     tree = Tree()
     open_: list[tuple[str, int, bool]] = []  # name, number of the block (its own or the one around it), left out
     names: Counter[str] = Counter()
     parts: list[str] = []
     dropped, n, pos, none = 0, len(html), 0, {}
-    holds = 0
+    holds = linked = 0
 
     def flush() -> None:
-        text = " ".join(unescape("".join(parts)).split())
-        parts.clear()
+        nonlocal linked
+        text = " ".join("".join(parts).split())
         if text:
-            out.append((text, open_[-1][1] if open_ else 0))
+            out.append(Line(text, open_[-1][1] if open_ else 0, 10 * linked >= 8 * len(text)))
+        parts.clear()
+        linked = 0
 
     def pop() -> str:
         nonlocal dropped, holds
@@ -102,7 +118,7 @@ def lines(html: str) -> tuple[list[tuple[str, int]], Tree]:
         names[name] -= 1
         dropped -= bad
         holds -= name in _HOLD
-        if name in _BLOCK:
+        if name in _BLOCK or "-" in name:
             tree.last[k] = len(tree.parent) - 1
         return name
 
@@ -111,7 +127,9 @@ def lines(html: str) -> tuple[list[tuple[str, int]], Tree]:
         if lt < 0:
             lt = n
         if lt > pos and not dropped:
-            parts.append(html[pos:lt])
+            parts.append(unescape(html[pos:lt]))
+            if names["a"]:
+                linked += len(parts[-1].strip())
         if lt >= n:
             break
         if html.startswith("<!--", lt):
@@ -130,13 +148,11 @@ def lines(html: str) -> tuple[list[tuple[str, int]], Tree]:
             pos = lt + 1
             continue
         name, pos = m[0].lower(), _tag_end(html, m.end(), none)
-        if name in _BLOCK and not dropped:
+        if (name in _BLOCK or "-" in name) and not dropped:
             flush()
         if closing:
             while names[name] and pop() != name:
                 pass
-            if name in _BLOCK:
-                parts.clear()
             continue
         attributes = html[m.end() : pos - 1]
         if name in _VOID or attributes.endswith("/") and name not in _BLOCK | _RAW:
@@ -165,14 +181,14 @@ def lines(html: str) -> tuple[list[tuple[str, int]], Tree]:
                 if open_[k][0] in _BLOCK and open_[k][0] != "p":
                     break
         hints = " ".join(h.strip("\"'") for h in _HINT.findall(attributes)) if "=" in attributes else ""
-        bad = name in _DROP or (name == "header" and not holds) or bool(name not in ("html", "body", *_HOLD) and hints and _NOISE.search(hints)) or bool(attributes and _HIDDEN.search(attributes))
+        noise = bool(name not in ("html", "body", "main") and hints and _NOISE.search(hints))
+        block = name in _BLOCK or "-" in name
+        bad = name in _DROP or (name == "header" and not holds) or bool(attributes and _HIDDEN.search(attributes)) or (noise and not block)
         k = open_[-1][1] if open_ else 0
-        open_.append((name, tree.add(k, name in _HOLD) if name in _BLOCK else k, bad))
+        open_.append((name, tree.add(name, k, noise) if block else k, bad))
         names[name] += 1
         dropped += bad
         holds += name in _HOLD
-        if bad:
-            parts.clear()
     if not dropped:
         flush()
     while open_:
@@ -204,35 +220,77 @@ def cores(sizes: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tu
     return out or [(0, n - 1)]
 
 
+def denoised(got: list[Line], tree: Tree) -> list[Line]:
+    """Without what stands in elements named as noise, unless such an element holds the article itself."""
+    if not any(tree.noise):
+        return got
+    n = len(tree.parent)
+    upto, heads, dense = [0] * (n + 1), [0] * (n + 1), [0] * (n + 1)  # by elements before: characters, headings and holders, long lines
+    for line in got:
+        upto[line.element + 1] += len(line.text)
+        dense[line.element + 1] += len(line.text) >= SURGE
+    for k in range(1, n):
+        heads[k + 1] = tree.name[k] in ("h1", *_HOLD) and not tree.noise[k]
+    upto, heads, dense = (list(accumulate(x)) for x in (upto, heads, dense))
+    gone = [False] * n
+    for k in range(1, n):
+        gone[k] = gone[tree.parent[k]]
+        if tree.noise[k] and not gone[k]:
+            a, z = k, tree.last[k] + 1
+            most = 2 * (upto[z] - upto[a]) >= upto[n]
+            gone[k] = not (most and heads[z] - heads[a] == heads[n] and (heads[n] or dense[z] - dense[a] == dense[n]))
+    return [line for line in got if not gone[line.element]]
+
+
+_RIGHTS = re.compile(r"(?:copyright\b|©|\(c\) ?[0-9]{4}|all rights reserved)", re.I)
+
+
+def grown(got: list[Line], begin: int, end: int, first: int, last: int) -> tuple[int, int]:
+    """Lines first..last without links and copyright lines at the edges, but with all of begin..end."""
+    extra = lambda line: line.linked or len(line.text) < 2 * SURGE and _RIGHTS.match(line.text)
+    while first < begin and any(map(extra, got[first:begin])):
+        first += 1
+    while last > end and any(map(extra, got[end + 1 : last + 1])):
+        last -= 1
+    return first, last
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
     got, tree = lines(html)
+    got = denoised(got, tree)
     if not got:
         return ""
-    sizes = [len(t) for t, _ in got]
+    sizes = [len(line.text) for line in got]
     held: Counter[int] = Counter()
-    for t, k in got:
-        held[tree.held[k]] += len(t)
+    for line in got:
+        held[tree.held[line.element]] += len(line.text)
     for k in range(len(tree.parent) - 1, 0, -1):  # an inner article or main counts for those around it
         if tree.held[k] == k:
             held[tree.held[tree.parent[k]]] += held[k]
     most = [(n, k) for k, n in held.items() if k and 2 * n >= sum(sizes)]
     if most:
         top = min(most)[1]
-        return "\n".join(t for t, k in got if top <= k <= tree.last[top])
+        return "\n".join(line.text for line in got if top <= line.element <= tree.last[top])
     regions = cores(sizes)
     largest = max(regions, key=lambda r: sum(sizes[r[0] : r[1] + 1]))
-    keep = [0] * (len(tree.parent) + 1)  # +1 where an element to be kept begins, -1 after its last
+    keep = [0] * (len(got) + 1)  # +1 where lines to be kept begin, -1 after their last
+    elements = [line.element for line in got]
     for begin, end in regions:
-        inside = [k for _, k in got[begin : end + 1]]
+        inside = elements[begin : end + 1]
         top = tree.around(min(inside), max(inside))
         if begin == end and tree.parent[top] and (begin, end) == largest:
             top = tree.parent[top]  # one block alone: what is around it
-        keep[top] += 1
-        keep[tree.last[top] + 1] -= 1
-    keep = list(accumulate(keep))
-    return "\n".join(t for t, k in got if keep[k])
+        first = last = begin
+        while first and top <= elements[first - 1] <= tree.last[top]:
+            first -= 1
+        while last + 1 < len(got) and top <= elements[last + 1] <= tree.last[top]:
+            last += 1
+        first, last = grown(got, begin, end, first, last)
+        keep[first] += 1
+        keep[last + 1] -= 1
+    return "\n".join(line.text for line, k in zip(got, accumulate(keep), strict=False) if k)
 
 
 _SCHEMA = "page_id long, url string, text string, n_chars long"
@@ -246,4 +304,5 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars; one row per page."""
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(_extract, _SCHEMA)
+    small_batches(pages.sparkSession)
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(kernel.tidy(_extract), _SCHEMA)

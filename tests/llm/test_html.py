@@ -50,3 +50,39 @@ def test_all_of_a_sectioned_article_and_of_divided_text():
     assert [t[:6].strip() for t in got] == ["part 0", "part 1", "end 0", "end 1"]
     got = H.main_text(PAGE % f"<main><div>{few}</div><article>{''.join(first)}<ul>{few}</ul>{''.join(last)}</article></main>").split("\n")
     assert len(got) == 9 and got[0].startswith("part 0")
+
+
+def test_inline_elements_that_are_left_out_keep_the_text_before_them():
+    for inner in ("<svg><title>x</title></svg>", "<button>press</button>", "<span hidden>secret</span>", '<span class="ad">buy</span>', '<span class="ad"><div>buy</div></span>'):
+        assert H.main_text(f"<article><p>text {inner} after</p></article>") == "text after"
+
+
+def test_names_do_not_take_the_article():
+    story = "".join(f"<p>{f'part {k} of the story runs on ' * 8}</p>" for k in range(4))
+    for name in ("has-sidebar", "notice-board"):
+        assert H.main_text(PAGE % f'<div class="{name}"><h1>Head</h1>{story}<p>End.</p></div>').endswith("\nEnd.")
+        assert H.main_text(PAGE % f'<div class="{name}">{story}<p>End.</p></div>').endswith("\nEnd.")
+        assert H.main_text(PAGE % f'<div class="{name}">{ARTICLE}<div class="sidebar">{story}</div></div>') == TEXT
+    comments = f'<div id="comments">{story * 3}</div>'
+    assert "story" not in H.main_text(PAGE % f"<div><h1>Head</h1><p>{'the article itself is here and it is long enough ' * 3}</p></div>{comments}")
+    assert H.main_text(PAGE % (ARTICLE + '<div class="comments"><article class="comment"><h1>No</h1>' + story + "</article></div>")) == TEXT
+
+
+def test_menu_and_copyright_without_semantic_elements():
+    story = [f"part {k} of the story runs on " * 8 for k in range(4)]
+    menu = "<ul><li><a href='/'>Home</a></li><li><a href='/n'>News</a></li></ul>"
+    page = f"<div>{menu}<h1>Head</h1>{''.join(f'<p>{t}</p>' for t in story)}<p>End.</p>{menu}<p>Copyright 2024 by the paper</p></div>"
+    assert H.main_text(PAGE % page) == "\n".join(["Head", *(t.strip() for t in story), "End."])
+
+
+def test_references_are_decoded_within_their_text():
+    assert H.main_text("<article><p>a&am<b>p;</b> &lt;b&gt; &eacute;&#x41;</p></article>") == "a&amp; <b> éA"
+
+
+def test_extract_gives_one_row_per_page(spark):
+    pages = [(1, "u", PAGE % ARTICLE, 7), (1, "u", PAGE % ARTICLE, 7), (2, None, None, 7), (3, "v", "", 7), (None, "w", "<p>x " + "long " * 300_000 + "</p>", 7)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, text long").repartition(3)
+    got = sorted(H.extract(df).collect(), key=str)
+    long = " ".join(["x"] + ["long"] * 300_000)
+    assert sorted(map(tuple, got), key=str) == sorted([(1, "u", TEXT, len(TEXT)), (1, "u", TEXT, len(TEXT)), (2, None, "", 0), (3, "v", "", 0), (None, "w", long, len(long))], key=str)
+    assert H.extract(df.limit(0)).count() == 0
