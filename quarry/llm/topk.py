@@ -1,11 +1,13 @@
-"""Exact top-k by inner product: a ball tree per shard, searched by branch and bound.
+"""Exact top-k by inner product: a ball tree whose upper levels deal vectors to shards, and one in each shard, by branch and bound.
 
-Vectors are dealt to shards of about `shard_rows` rows by a hash of their ids. In each shard a ball tree is built by splitting at the
-median of the widest component; a ball with centre c and radius r bounds the inner product with q by q.c + |q| r. Every query
-visits the balls of a shard in the order of this bound and stops at the first below its current kth score. That score is shared: a
-query searches its own shard first and takes the kth score found there along to all others.
+A ball tree is built by splitting at the median of the widest component; a ball with centre c and radius r bounds the inner product
+with q by q.c + |q| r. The upper levels are fitted to a sample of at most `SAMPLE` vectors of each length, and end in cells of about
+`CELL_ROWS` vectors, at most `CELLS`; every vector is dealt to a cell, and a cell's radius is the largest distance of any of its vectors. Cells of more
+than `shard_rows` vectors make several shards. In a shard, a query visits the balls in the order of the bound and stops at the first below its
+current kth score. That score is shared: a query searches its own shard first, and the kth score found there goes along to the
+others. A query is only sent to cells whose bound reaches it: no other cell can hold an answer.
 
-Queries are dealt in blocks of `block` (one pass over the shards each), so that no task holds more than a shard and a block.
+Queries of a shard are dealt in blocks of about `block`, so that no task holds more than a shard and a block.
 Components are floor(256 x) of the double x; scores are integer inner products, exact in doubles up to 2**53 and in Python
 integers beyond, clipped to 64 bits.
 
@@ -16,6 +18,7 @@ of the same length; a query without candidates has no rows. Ties go to the small
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
@@ -24,7 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from .common import small_batches, spool
+
 K, EVERY, SHARD_ROWS, LEAF, BLOCK = 5, 50, 16384, 128, 32768
+SAMPLE, CELL_ROWS, CELLS = 4096, 2048, 512
 
 
 def balls(x: np.ndarray, leaf: int = LEAF) -> list[np.ndarray]:
@@ -89,11 +95,92 @@ def search(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, kth:
     return row, who[row, col], best[row, col].astype(np.int64)
 
 
-def _matrix(col: pa.ChunkedArray) -> np.ndarray:
+def _matrix(col: pa.Array | pa.ChunkedArray) -> np.ndarray:
     col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
     return col.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(col), -1) if len(col) else np.zeros((0, 0))
 
 
+class Cells:
+    """The upper levels of the tree over vectors of one length: splits, and the balls of the cells."""
+
+    def __init__(self, sample: np.ndarray, cells: int):
+        self.axis, self.cut, self.down = [], [], []  # of each split; down: the next split if not negative, else the cell -1 - down
+        self.centre: list[np.ndarray] = []
+        size = max(1, ceil(len(sample) / max(1, cells)))
+        todo = [(np.arange(len(sample)), None)]
+        while todo:
+            rows, above = todo.pop()
+            spread = np.ptp(sample[rows], axis=0) if len(rows) > size and sample.shape[1] else np.zeros(1)
+            here = len(self.axis) if spread.max() > 0 else -1 - len(self.centre)
+            if above:
+                self.down[above[0]][above[1]] = here
+            if here < 0:
+                self.centre.append(sample[rows].mean(axis=0))
+                continue
+            axis = int(spread.argmax())
+            x = sample[rows, axis]
+            cut = float(np.median(x))
+            cut = cut if cut < x.max() else float(x[x < x.max()].max())
+            self.axis.append(axis)
+            self.cut.append(cut)
+            self.down.append([0, 0])
+            todo += [(rows[x > cut], (here, 1)), (rows[x <= cut], (here, 0))]
+        self.radius = np.zeros(len(self.centre))
+
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each vector's cell, and its distance from the centre."""
+        at = np.zeros(len(x), np.int64) if self.axis else np.full(len(x), -1)
+        axis, cut, down = np.array(self.axis, np.int64), np.array(self.cut), np.array(self.down, np.int64).reshape(-1, 2)
+        while (inner := np.flatnonzero(at >= 0)).size:
+            k = at[inner]
+            at[inner] = down[k, (x[inner, axis[k]] > cut[k]).astype(np.int64)]
+        cell = -1 - at
+        return cell, np.sqrt(((x - np.array(self.centre)[cell]) ** 2).sum(axis=1))
+
+    def bounds(self, q: np.ndarray) -> np.ndarray:
+        """Of each query and cell: no inner product is larger."""
+        bound = q @ np.array(self.centre).T + np.sqrt((q**2).sum(axis=1))[:, None] * self.radius[None, :]
+        return bound + 1e-9 * np.abs(bound) + 1e-6
+
+
+def _deal(trees: dict[int, Cells]):
+    schema = pa.schema([("vec_id", pa.int64()), ("v", pa.list_(pa.int64())), ("dim", pa.int32()), ("cell", pa.int32()), ("away", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            dims = b.column("dim").to_numpy()
+            for dim in np.unique(dims).tolist():
+                own = b.take(pa.array(np.flatnonzero(dims == dim)))
+                cell, away = trees[dim].place(_matrix(own.column("v")))
+                yield pa.record_batch([own.column("vec_id"), own.column("v"), own.column("dim"), pa.array(cell.astype(np.int32)), pa.array(away)], schema=schema)
+
+    return run
+
+
+def _send(trees: dict[int, Cells], shards: dict[tuple[int, int], int]):
+    """Queries with the shards, other than their own, that can hold an answer."""
+    schema = pa.schema([("dim", pa.int32()), ("cell", pa.int32()), ("shard", pa.int64()), ("part", pa.int64()), ("vec_id", pa.int64()), ("v", pa.list_(pa.int64())), ("kth", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            dims, kth = b.column("dim").to_numpy(), np.nan_to_num(b.column("kth").to_numpy(zero_copy_only=False), nan=-np.inf)
+            for dim in np.unique(dims).tolist():
+                rows = np.flatnonzero(dims == dim)
+                many = np.array([shards.get((dim, c), 0) for c in range(len(trees[dim].centre))], np.int64)
+                for i in range(0, len(rows), 1024):
+                    own = b.take(pa.array(rows[i : i + 1024]))
+                    who, cell = np.nonzero(trees[dim].bounds(_matrix(own.column("v"))) >= kth[rows[i : i + 1024]][:, None])
+                    n = many[cell]
+                    who, cell, shard = np.repeat(who, n), np.repeat(cell, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    other = (cell != own.column("cell").to_numpy()[who]) | (shard != own.column("shard").to_numpy()[who])
+                    who, cell, shard = who[other], cell[other], shard[other]
+                    for k in range(0, len(who), 8192):
+                        w = own.take(pa.array(who[k : k + 8192]))
+                        yield pa.record_batch([w.column("dim"), pa.array(cell[k : k + 8192].astype(np.int32)), pa.array(shard[k : k + 8192]), w.column("part"), w.column("vec_id"), w.column("v"), pa.array(kth[rows[i : i + 1024]][who[k : k + 8192]])], schema=schema)
+
+    return run
+
+
 _FOUND = "query_id long, vec_id long, score long"
 
 
@@ -121,22 +208,42 @@ def quantised(vectors: DataFrame) -> DataFrame:
     return vectors.where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(256 * x.cast("double")).cast("long")).alias("v"))
 
 
-def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, shard_rows: int = SHARD_ROWS, block: int = BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score of each query's k best rows; queries are the rows whose vec_id is divisible by `every`."""
+def _fit(v: DataFrame, sizes: dict[int, int], sample: int, cell_rows: int) -> dict[int, Cells]:
+    """The upper levels for each length, from at most `sample` vectors of it, the first by a hash of their ids."""
+    first = W.Window.partitionBy("dim").orderBy("_hash", "vec_id", "v")
+    rows = v.withColumn("_hash", F.xxhash64("vec_id")).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= sample).select("dim", "v").toArrow()
+    dims = rows.column("dim").to_numpy()
+    return {d: Cells(_matrix(rows.filter(pa.array(dims == d)).column("v")), min(CELLS, ceil(n / cell_rows))) for d, n in sizes.items()}
+
+
+def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, shard_rows: int = SHARD_ROWS, block: int = BLOCK, sample: int = SAMPLE, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """query_id, rank, vec_id, score of each query's k best rows; queries are the rows whose vec_id is divisible by `every`.
+
+    The driver holds the sample, and a row for each length and cell.
+    """
+    small_batches(vectors.sparkSession)
     v = quantised(vectors).withColumn("dim", F.size("v"))
-    sizes = v.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q"))
-    dims = sizes.select("dim", F.ceil(F.col("n") / shard_rows).cast("long").alias("shards"))
-    most = sizes.agg(F.max("q")).first()[0] or 0
-    v = v.join(F.broadcast(dims), "dim").withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")))
-    queries = v.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"])
-    blocks = max(1, ceil(most / block))
-    out = None
-    for b in range(blocks):
-        q = queries.where(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)) == b)
-        meet = lambda side: v.select("dim", "shard", "vec_id", "v").groupBy("dim", "shard").cogroup(side.toDF("qdim", "qshard", "qvec", "qv", "kth").groupBy("qdim", "qshard")).applyInArrow(_search(k), _FOUND)
-        home = meet(q.select("dim", "shard", "vec_id", "v", F.lit(float("-inf")).alias("kth")))
-        kth = _ranked(home, k).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("kth"))
-        away = q.join(kth, "vec_id", "left").withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))).where("to != shard").select("dim", F.col("to").alias("shard"), "vec_id", "v", F.coalesce("kth", F.lit(float("-inf"))).alias("kth"))
-        part = _ranked(home.unionByName(meet(away)), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-        out = part if out is None else out.unionByName(part)
-    return out
+    sizes = {r["dim"]: r["n"] for r in v.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
+    trees = _fit(v, sizes, sample, cell_rows)
+    dealt = spool(v.select("vec_id", "v", "dim").mapInArrow(_deal(trees), "vec_id long, v array<long>, dim int, cell int, away double"), "dealt")
+    found = dealt.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("r"), F.count_if(F.col("vec_id") % every == 0).alias("q")).collect()
+    shards = {(r["dim"], r["cell"]): max(1, ceil(r["n"] / shard_rows)) for r in found}
+    for r in found:
+        trees[r["dim"]].radius[r["cell"]] = r["r"]
+    queries_of: dict[int, int] = {}
+    for r in found:
+        queries_of[r["dim"]] = queries_of.get(r["dim"], 0) + r["q"]
+    blocks = vectors.sparkSession.createDataFrame([(d, c, n, max(1, ceil(queries_of[d] / block))) for (d, c), n in shards.items()], "dim int, cell int, shards long, parts long")
+    v = dealt.join(F.broadcast(blocks), ["dim", "cell"]).withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")))
+    queries = v.where(F.col("vec_id") % every == 0).select("dim", "cell", "shard", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("parts")).alias("part"), "vec_id", "v").dropDuplicates(["vec_id", "v"])
+
+    def meet(side: DataFrame) -> DataFrame:
+        """Shards and the blocks of queries that were sent to them."""
+        keys = ["dim", "cell", "shard", "part"]
+        wanted = side.select(*keys).distinct()
+        return v.select("dim", "cell", "shard", "vec_id", "v").join(wanted, ["dim", "cell", "shard"]).groupBy(*keys).cogroup(side.toDF("qdim", "qcell", "qshard", "qpart", "qvec", "qv", "kth").groupBy("qdim", "qcell", "qshard", "qpart")).applyInArrow(_search(k), _FOUND)
+
+    home = spool(meet(queries.withColumn("kth", F.lit(float("-inf")))), "home")
+    kth = _ranked(home, k).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("kth"))
+    sent = spool(queries.join(kth, "vec_id", "left").select("dim", "cell", "shard", "part", "vec_id", "v", "kth").mapInArrow(_send(trees, shards), "dim int, cell int, shard long, part long, vec_id long, v array<long>, kth double"), "sent")
+    return _ranked(home.unionByName(meet(sent)), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

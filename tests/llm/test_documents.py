@@ -319,8 +319,24 @@ def test_topk(spark):
     for q, x in {i: v for i, v in fine if i % 50 == 0}.items():
         s = sorted((-int((x * y).sum()) if len(x) else 0, j) for j, y in fine if j != q and len(y) == len(x))[:5]
         want |= {(q, r + 1, j, min(-n, 2**63 - 1)) for r, (n, j) in enumerate(s)}
-    for shard_rows, block in ((512, 20), (100000, 100000)):
-        assert {tuple(r) for r in topk.top_k(df, shard_rows=shard_rows, block=block).collect()} == want
+    for shard_rows, block, cell_rows, sample in ((512, 20, 700, 1000), (100000, 100000, 100, 4096), (16384, 32768, 2048, 50)):
+        assert {tuple(r) for r in topk.top_k(df, shard_rows=shard_rows, block=block, cell_rows=cell_rows, sample=sample).collect()} == want
+
+
+def test_cells_that_are_left_out_hold_no_answer():
+    """Clustered vectors: most cells are left out, and none of them holds a score that reaches the kth."""
+    rng = np.random.default_rng(9)
+    middle = rng.normal(size=(40, 16)) * 400
+    x = np.floor(middle[rng.integers(0, 40, 6000)] + rng.normal(size=(6000, 16)) * 20)
+    cells = topk.Cells(x[:1500], 64)
+    cell, away = cells.place(x)
+    cells.radius = np.array([away[cell == c].max(initial=0) for c in range(len(cells.centre))])
+    scores, bounds = x[:200] @ x.T, cells.bounds(x[:200])
+    for q in range(200):
+        kth = np.sort(scores[q])[-5]
+        best = np.array([scores[q][cell == c].max(initial=-np.inf) for c in range(len(cells.centre))])
+        assert (best <= bounds[q]).all() and (best[bounds[q] < kth] < kth).all()
+    assert (bounds < np.sort(scores, axis=1)[:, -5][:, None]).mean() > 0.7
 
 
 def test_licenses(spark):
