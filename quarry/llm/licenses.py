@@ -12,8 +12,8 @@ without a header of its own takes the licence of the nearest ancestor directory
 ancestors of all files' directories with the licensed directories.
 
 Defined results: null or empty text has no licence of its own; a null path is the root; ties between templates go to the smaller
-name, between licence files of one directory to the higher score and then the smaller name; repeated rows are scanned each; rows
-without doc_id are left out. Extra columns are ignored.
+name, between licence files of one directory to the higher score and then the smaller doc_id; rows are told apart by doc_id, path and
+a hash of the text, so repeated rows get equal results; rows without doc_id are left out. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -156,20 +156,21 @@ def scan(files: DataFrame, path: Column, templates: dict[str, str | list[str]] |
     """doc_id, path, own_license, own_score, is_license_file, license, inherited_from; one row per file."""
     templates = flat(templates or TEMPLATES)
     base = files.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_replace(F.coalesce(path.cast("string"), F.lit("")), "^/+", "").alias("path"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    base = base.withColumn("row", F.monotonically_increasing_id()).withColumn("directory", F.regexp_replace("path", "/?[^/]*$", ""))
+    row = ["doc_id", "path", "hash"]  # rows that agree in these are repeated; so many of them change no cosine
+    base = base.withColumn("hash", F.xxhash64("text")).withColumn("directory", F.regexp_replace("path", "/?[^/]*$", ""))
     frequency = spool(document_frequency(base), "frequency")
     df, n = counts_of(frequency, vocabulary(templates))
     vectors = weigh(templates, df, n)
     signs = telling(vectors, df, threshold)
-    suspects = spool(base.where(holds(F.col("text"), signs)).select("doc_id", "row", "directory", "text"), "suspects")
-    lines = suspects.select("doc_id", "row", "directory", F.posexplode(F.split("text", UNIT)).alias("at", "line")).where(holds(F.col("line"), signs))
-    whole = spool(_matches(suspects.select("doc_id", "directory", "row", F.col("text").alias("line")), vectors, frequency, n, threshold), "whole")
-    header = _matches(lines.select("doc_id", "directory", "row", "at", "line"), vectors, frequency, n, threshold).unionByName(whole.withColumn("at", F.lit(-1)))
-    header = header.groupBy("row").agg(F.max(F.struct("score", (-F.col("at")).alias("at"), "license")).alias("b")).select("row", F.col("b.license").alias("own_license"), F.col("b.score").alias("own_score"))
+    suspects = spool(base.where(holds(F.col("text"), signs)).select(*row, "directory", "text"), "suspects")
+    lines = suspects.select(*row, "directory", F.posexplode(F.split("text", UNIT)).alias("at", "line")).where(holds(F.col("line"), signs))
+    whole = spool(_matches(suspects.select(*row, "directory", F.col("text").alias("line")), vectors, frequency, n, threshold), "whole")
+    header = _matches(lines.select(*row, "directory", "at", "line"), vectors, frequency, n, threshold).unionByName(whole.withColumn("at", F.lit(-1)))
+    header = header.groupBy(*row).agg(F.max(F.struct("score", (-F.col("at")).alias("at"), "license")).alias("b")).select(*row, F.col("b.license").alias("own_license"), F.col("b.score").alias("own_score"))
     held = whole.groupBy("directory").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("o"), "license")).alias("b")).select("directory", F.col("b.license").alias("dir_license"))
-    files_ = whole.select("row").withColumn("is_license_file", F.lit(True))
+    files_ = whole.select(*row).distinct().withColumn("is_license_file", F.lit(True))
     directories = base.select("directory").distinct().select("directory", F.posexplode(ancestors(F.col("directory"))).alias("up", "above"))
     nearest = directories.join(held.withColumnRenamed("directory", "above"), "above").groupBy("directory").agg(F.min(F.struct("up", "above", "dir_license")).alias("b")).select("directory", F.col("b.above").alias("above"), F.col("b.dir_license").alias("dir_license"))
-    out = base.select("doc_id", "row", "path", "directory").join(header, "row", "left").join(files_, "row", "left").join(nearest, "directory", "left")
+    out = base.select(*row, "directory").join(header, row, "left").join(files_, row, "left").join(nearest, "directory", "left")
     own = F.col("own_license").isNotNull()
     return out.select("doc_id", "path", "own_license", "own_score", F.coalesce("is_license_file", F.lit(False)).alias("is_license_file"), F.coalesce("own_license", "dir_license").alias("license"), F.when(~own, F.col("above")).alias("inherited_from"))
