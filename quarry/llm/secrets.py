@@ -1,12 +1,14 @@
 """Secrets: fixed patterns, plus format likelihood under probabilistic automata inferred from labelled credentials.
 
 For each format, the labelled credentials make a prefix tree with counts; states whose futures are statistically compatible (the
-Hoeffding bound on every transition and end frequency) are merged, which gives a small probabilistic automaton. Every candidate
+Hoeffding bound on every transition and end frequency) are merged, which gives a small probabilistic automaton. States of one depth
+are merged first, so that there is evidence enough on where strings end when states of different depths are compared; otherwise a
+format of fixed length would melt into a single state. Every candidate
 string of a text is scored by its log-likelihood ratio per character, the best automaton against running prose; candidates of at
 least `threshold` that no base span covers are added as kind `format`.
 
 Candidates are all runs of `SHORTEST` and more characters of credentials, and within a run, if it is none as a whole, the pieces that
-begin after = or / or with a format's common prefix and end before = or / or with the run; of pieces that overlap, the likelier stays.
+begin after = or / or with a format's common prefix and end before = or / or with the run; of pieces that overlap, the one with the larger likelihood ratio as a whole stays.
 Pieces have at most `LONGEST` characters, so that time is linear. Runs without a digit are compared with paths and words in capitals as well.
 
 Symbols are the characters themselves where, among the first `LITERAL`, all of a format's credentials agree, and character classes
@@ -32,6 +34,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from . import kernel
 from .common import keyed_text
 
 BASE = ("assign", "access", "hex")
@@ -85,10 +88,16 @@ class Automaton:
     def _differ(self, f1: int, n1: int, f2: int, n2: int, width: float) -> bool:
         return bool(n1 and n2) and abs(f1 / n1 - f2 / n2) > width * (1 / math.sqrt(n1) + 1 / math.sqrt(n2))
 
+    def _of(self, a: int) -> int:
+        """The state that a was merged into."""
+        while self.into[a] != a:
+            self.into[a] = a = self.into[self.into[a]]
+        return a
+
     def _compatible(self, a: int, b: int, width: float) -> bool:
         todo, seen = [(a, b)], set()
         while todo:
-            a, b = todo.pop()
+            a, b = sorted(map(self._of, todo.pop()))
             if a == b or (a, b) in seen:
                 continue
             seen.add((a, b))
@@ -102,11 +111,14 @@ class Automaton:
                     todo.append((x[1], y[1]))
         return True
 
-    def _fold(self, a: int, b: int) -> None:
-        """Adds the tree under b to a; b is still a tree, so each of its states is met once."""
+    def _merge(self, a: int, b: int) -> None:
+        """Makes a and b one state, and with them whatever two states one symbol would then lead to."""
         todo = [(a, b)]
         while todo:
-            a, b = todo.pop()
+            a, b = sorted(map(self._of, todo.pop()))
+            if a == b:
+                continue
+            self.into[b] = a
             self.n[a] += self.n[b]
             self.end[a] += self.end[b]
             for c, (count, child) in self.next[b].items():
@@ -115,22 +127,41 @@ class Automaton:
                     todo.append((self.next[a][c][1], child))
                 else:
                     self.next[a][c] = [count, child]
+            self.next[b] = {}
 
     def _infer(self, width: float) -> None:
-        red = [0]
-        while True:
-            blue = sorted((t[1], r, c) for r in red for c, t in self.next[r].items() if t[1] not in red)
-            if not blue:
-                break
-            state, parent, c = blue[0]
-            for r in red:
-                if self._compatible(r, state, width):
-                    self.next[parent][c][1] = r
-                    self._fold(r, state)
-                    break
-            else:
-                red.append(state)
-        self.next = [t if i in red else {} for i, t in enumerate(self.next)]
+        self.into = list(range(len(self.n)))
+        level = [0]
+        while level:  # one depth after another
+            kept: list[int] = []
+            for state in sorted({self._of(t[1]) for r in level for t in self.next[r].values()}):
+                mate = next((r for r in kept if self._compatible(r, state, width)), None)
+                if mate is None:
+                    kept.append(state)
+                else:
+                    self._merge(mate, state)
+            level = sorted({self._of(s) for s in kept})
+        red, queue = [0], [0]
+        while queue:  # then each state with those before it
+            for state in sorted({self._of(t[1]) for t in self.next[queue.pop(0)].values()} - set(red)):
+                mate = next((r for r in red if self._compatible(r, state, width)), None)
+                if mate is None:
+                    red.append(state)
+                    queue.append(state)
+                else:
+                    self._merge(mate, state)
+                    red = sorted({self._of(r) for r in red})
+                    queue = sorted({self._of(q) for q in queue} | {self._of(mate)})
+        for moves in self.next:
+            for t in moves.values():
+                t[1] = self._of(t[1])
+        red = sorted({self._of(r) for r in red})
+        self.states = len(red)
+        alphabet = {c for r in red for c in self.next[r] if c[0] != "="}
+        for moves in (self.next[r] for r in red):  # a class that came nowhere else in this place goes where all others go
+            if moves.keys() <= alphabet and len({t[1] for t in moves.values()}) == 1:
+                for c in alphabet - moves.keys():
+                    moves[c] = [0.5, next(iter(moves.values()))[1]]
 
     def log2p(self, s: str) -> float:
         return self.log2p_of(s, [len(s)])[0]
@@ -152,7 +183,7 @@ class Automaton:
         return out
 
 
-def labelled_credentials(each: int = 48, seed: int = 7) -> list[tuple[str, str]]:
+def labelled_credentials(each: int = 96, seed: int = 7) -> list[tuple[str, str]]:
     """(format, credential) pairs made up by rule after publicly documented formats; none is a real one."""
     rng = random.Random(seed)
     pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
@@ -163,10 +194,10 @@ def labelled_credentials(each: int = 48, seed: int = 7) -> list[tuple[str, str]]
         "forge_token": lambda: "ghp_" + pick(alnum, 36),
         "payment_key": lambda: "sk_live_" + pick(alnum, 24),
         "maps_key": lambda: "AIza" + pick(alnum + "_-", 35),
-        "chat_token": lambda: "xoxb-" + pick(digit, 12) + "-" + pick(alnum, 24),
+        "chat_token": lambda: "xoxb-" + "".join(pick(digit, rng.choice((10, 11, 12, 13))) + "-" for _ in range(rng.choice((1, 2)))) + pick(alnum, 24),
         "package_token": lambda: "npm_" + pick(alnum, 36),
-        "hex_digest": lambda: pick(digit + "abcdef", 40),
-        "base64_key": lambda: base64.b64encode(rng.randbytes(30)).decode(),
+        "hex_digest": lambda: pick(digit + "abcdef", rng.choice((32, 40, 64))),
+        "base64_key": lambda: base64.b64encode(rng.randbytes(rng.randrange(24, 66, 3))).decode(),
     }
     return [(name, make()) for name, make in makers.items() for _ in range(each)]
 
@@ -218,12 +249,12 @@ def pieces(run: str, automata: dict[str, Automaton], threshold: float = THRESHOL
         part = run[a : a + LONGEST]
         for z, p in zip(ends, map(max, zip(*(m.log2p_of(part, ends) for m in automata.values()), strict=True)), strict=True):
             if p > -math.inf and (x := (p - plain(a, a + z)) / z) >= threshold:
-                got.append((-x, a, a + z))
+                got.append((-x * z, a, a + z))
     out: list[tuple[int, int, float]] = []
     for x, a, z in sorted(got):
         k = bisect_left(out, (a,))
         if (k == 0 or out[k - 1][1] <= a) and (k == len(out) or z <= out[k][0]):
-            out.insert(k, (a, z, -x))
+            out.insert(k, (a, z, -x / (z - a)))
     return out
 
 
@@ -262,4 +293,4 @@ def _find(automata: dict[str, Automaton], threshold: float):
 
 def find_secrets(docs: DataFrame, labelled: Iterable[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, counts of the base kinds, hash of the base spans, all spans and their scores; one row per document."""
-    return keyed_text(docs).mapInArrow(_find(infer(labelled), threshold), _SCHEMA)
+    return keyed_text(docs).mapInArrow(kernel.tidy(_find(infer(labelled), threshold)), _SCHEMA)
