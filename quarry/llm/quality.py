@@ -11,7 +11,7 @@ bound does not depend on the corpus. Everything else reads all rows.
 
 Defined results: null and empty text get the score of an empty text, computed like any other; rows without doc_id are left out of
 results and kept out of training; a document labelled more than once counts with its smallest label, labels other than 0 and 1 not
-at all; without labels of both classes every score is the share of label 1 (0.5 without labels). Extra columns are ignored.
+at all; without labels of both classes, or where no rule holds for some and not for others, every score is the share of label 1 (0.5 without labels). Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -125,9 +125,10 @@ def _lasso(a: np.ndarray, y: np.ndarray, penalty: float, steps: int = 400) -> tu
 
 
 def fit_rules(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = TREES, depth: int = DEPTH, penalty: float = PENALTY, seed: int = 5) -> RuleEnsemble:
+    share = float(np.clip(y.mean() if len(y) else 0.5, 1e-6, 1 - 1e-6))
+    constant = RuleEnsemble(float(np.log(share / (1 - share))), ())
     if not len(y) or y.min() == y.max():
-        p = float(np.clip(y.mean() if len(y) else 0.5, 1e-6, 1 - 1e-6))
-        return RuleEnsemble(float(np.log(p / (1 - p))), ())
+        return constant
     rng = np.random.default_rng(seed)
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 2)[1:-1])) for j in range(x.shape[1])]
     rules: dict[Rule, None] = {}
@@ -137,7 +138,7 @@ def fit_rules(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = TREES
     held = {r: _holds(r, x, names) for r in rules}
     held = {r: h for r, h in held.items() if 0.002 < h.mean() < 0.998}
     if not held:
-        return fit_rules(x, y[:0], names)
+        return constant
     bias, weight = _lasso(np.column_stack(list(held.values())).astype(float), y.astype(float), penalty)
     return RuleEnsemble(bias, tuple((r, float(w)) for r, w in zip(held, weight, strict=True) if abs(w) > 1e-4))
 
