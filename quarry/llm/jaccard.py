@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import asked, blocks, parts_of, spool, together
+from .common import asked, blocks, drop, parts_of, spool, together
 from .graph import components
 
 WORDS, NUM, DEN = 5, 75, 100
@@ -46,7 +46,7 @@ def shingle_sets(w: K.Words, words: int) -> list[np.ndarray]:
     g = K.ngrams(w.hash, words)
     out = []
     for a, z in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
-        out.append(np.unique(g[a : z - words + 1]) if z - a >= words else K.ngrams(w.hash[a:z], z - a) if z > a else np.zeros(0, K.U))
+        out.append(K.distinct(g[a : z - words + 1]) if z - a >= words else K.ngrams(w.hash[a:z], z - a) if z > a else np.zeros(0, K.U))
     return out
 
 
@@ -57,7 +57,9 @@ def _ask(words: int, parts: int):
         def found():
             for b in batches:
                 for text in K.texts(b):
-                    key, n = np.unique(np.concatenate([np.zeros(0, K.U), *shingle_sets(text.words(lower=True), words)]) & K.KEY, return_counts=True)
+                    key = np.sort(np.concatenate([np.zeros(0, K.U), *shingle_sets(text.words(lower=True), words)]) & K.KEY)
+                    begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+                    key, n = key[begin], np.diff(np.append(begin, len(key)))
                     one, more, count = key[n == 1], key[n > 1], n[n > 1].astype(np.uint32)
                     several = {part: (a, z) for part, a, z in K.slices(more, parts)}
                     single = {part: (a, z) for part, a, z in K.slices(one, parts)}
@@ -145,6 +147,8 @@ def points(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN)
     n = parts_of(text)
     told = spool(asked(text, _ask(words, n), n).mapInArrow(K.tidy(_count(n)), K.ROW), "counts")
     pts = spool(together(text, told, n).mapInArrow(K.tidy(_points(words, num, den)), _POINTS), "points")
+    drop(told)
+    drop(text)
     again = spool(pts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id"), "again")
     if again.isEmpty():
         return pts

@@ -143,6 +143,12 @@ def grams_of(first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return first[:-1], np.maximum(0, np.diff(first) - n + 1)
 
 
+def distinct(a: np.ndarray) -> np.ndarray:
+    """Sorted, each value once."""
+    a = np.sort(a)
+    return a[np.append(True, a[1:] != a[:-1])] if len(a) else a
+
+
 def flat(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions start[i] .. start[i] + count[i] - 1 of all i in turn, and the i of each."""
     owner = np.repeat(np.arange(len(count)), count)
@@ -188,6 +194,7 @@ ROW = "part int, block long, kind int, a binary, b binary, c binary"
 TEXT, ASK, TELL = 0, 1, 2
 _ROW = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 KEY = U((1 << 48) - 1)
+_CODEC = pa.Codec("zstd", compression_level=1)
 
 
 def row(part: int, block: int, kind: int, a: bytes, b: bytes = b"", c: bytes = b"") -> tuple:
@@ -255,14 +262,14 @@ class Text(NamedTuple):
 
 
 def text_rows(partition: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """block, size, a (ids), b (offsets), c (texts): the blocks of a task's documents."""
+    """block, size, a (ids), b (offsets), c (texts, compressed, since they go through two or three exchanges): the blocks of a task's documents."""
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     size = seq = 0
 
     def flush() -> pa.RecordBatch:
         lengths = np.concatenate([np.diff(o) for _, o, _ in held])
         off = np.append(0, np.cumsum(lengths)).astype(np.int64)
-        return pa.record_batch([pa.array([(partition << 32) + seq]), pa.array([size]), pa.array([np.concatenate([i for i, _, _ in held]).astype(np.int64).tobytes()], pa.binary()), pa.array([off.tobytes()], pa.binary()), pa.array([np.concatenate([b for *_, b in held]).tobytes()], pa.binary())], names=["block", "size", "a", "b", "c"])
+        return pa.record_batch([pa.array([(partition << 32) + seq]), pa.array([size]), pa.array([np.concatenate([i for i, _, _ in held]).astype(np.int64).tobytes()], pa.binary()), pa.array([off.tobytes()], pa.binary()), pa.array([_CODEC.compress(np.concatenate([b for *_, b in held]), asbytes=True)], pa.binary())], names=["block", "size", "a", "b", "c"])
 
     for b in batches:
         buf, off = text_buffer(b.column(1))
@@ -281,7 +288,8 @@ def text_rows(partition: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
 def texts(b: pa.RecordBatch) -> Iterator[Text]:
     """The blocks in a batch that has the columns block, a, b, c."""
     for block, a, o, c in zip(b.column("block"), b.column("a"), b.column("b"), b.column("c"), strict=True):
-        yield Text(block.as_py(), np.frombuffer(a.as_buffer(), np.int64), np.frombuffer(o.as_buffer(), np.int64), np.frombuffer(c.as_buffer(), np.uint8))
+        off = np.frombuffer(o.as_buffer(), np.int64)
+        yield Text(block.as_py(), np.frombuffer(a.as_buffer(), np.int64), off, np.frombuffer(_CODEC.decompress(c.as_buffer(), int(off[-1])), np.uint8))
 
 
 def met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Text, list[tuple]]]:

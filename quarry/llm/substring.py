@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import kernel as K
-from .common import asked, blocks, parts_of, spool, together
+from .common import asked, blocks, drop, parts_of, spool, together
 
 WIDTH = 13
 
@@ -49,12 +49,19 @@ class Windows:
         return K.ngrams_at(self.words.hash, self.begin[own], self.width, seed=1)
 
 
+def keys_of(text: K.Text, width: int) -> np.ndarray:
+    """The 48-bit keys of a block's windows."""
+    w = text.words()
+    at, _ = K.flat(*K.grams_of(w.first, width))
+    return K.ngrams(w.hash, width)[at] & K.KEY
+
+
 def _ask(width: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found():
             for b in batches:
                 for text in K.texts(b):
-                    key = np.unique(Windows(text, width).key)
+                    key = K.distinct(keys_of(text, width))
                     for part, a, z in K.slices(key, parts):
                         yield K.row(part, text.block, K.ASK, K.narrow(key[a:z]))
 
@@ -100,7 +107,7 @@ def _least(w: Windows, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 def _shared(w: Windows, told: list[tuple]) -> np.ndarray:
     """The windows that other blocks hold too."""
-    key = np.unique(np.concatenate([K.wide(a) for a, *_ in told])) if told else np.zeros(0, K.U)
+    key = K.distinct(np.concatenate([K.wide(a) for a, *_ in told])) if told else np.zeros(0, K.U)
     if not len(key):
         return np.zeros(0, np.int64)
     return np.flatnonzero(key[np.minimum(np.searchsorted(key, w.key), len(key) - 1)] == w.key)
@@ -223,7 +230,7 @@ def _parse(width: int, names: list[str]):
             for i, doc_id in enumerate(text.ids.tolist()):
                 a, z = int(words.first[i]), int(words.first[i + 1])
                 mine = slice(cut[i], cut[i + 1])
-                parsed = factors(w.at[own[mine]], doc[mine], source[mine], width)
+                parsed = factors(w.at[own[mine]], doc[mine], source[mine], width) if cut[i + 1] > cut[i] else np.zeros((0, 4), np.int64)
                 gone = spans(parsed)
                 kept, last = [], 0
                 for s, e in [*gone.tolist(), (z - a, z - a)]:
@@ -245,5 +252,6 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, with_text: bool = False) ->
     sieved = spool(asked(text, _ask(width, n), n).mapInArrow(K.tidy(_sieve(n)), K.ROW), "sieved")
     offers = together(text, sieved, n).mapInArrow(K.tidy(_offer(width, n)), K.ROW).repartitionById(n, "part")
     told = spool(offers.mapInArrow(K.tidy(_index(n)), K.ROW), "told")
+    drop(sieved)
     names = list(_COLUMNS)[: None if with_text else -1]
     return together(text, told, n).mapInArrow(K.tidy(_parse(width, names)), ", ".join(f"{c} {_COLUMNS[c]}" for c in names))
