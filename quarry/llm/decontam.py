@@ -11,15 +11,15 @@ many as it takes until the others carry less of its weight than `SIMILARITY`. A
 are looked up at every position of every document. No leak is lost by the search, up to 64-bit hash equality.
 
 The similarity of a document to an item is the largest weighted Jaccard similarity of shingles (weights: inverse document frequency
-over the items) of any stretch of its words; it is computed exactly for each candidate, and a document leaks an item at `SIMILARITY`
-or more.
+over all items) of any stretch of its words; it is computed exactly for each candidate, and a document leaks an item at `SIMILARITY`
+or more. An item shorter than a shingle is one shingle, its whole sequence, and only a document that is nothing else has it.
 
-Words are compared in lower case with punctuation left out. Items are taken in blocks of `ITEMS`, one pass over the documents each, so
-the index that goes to every task is bounded.
+Words are compared in lower case with punctuation left out. Items are taken in blocks of at most `ITEMS` items and `ITEM_BYTES` bytes (or
+one item), one pass over the documents each, so the index that goes to every task is bounded; the driver holds one block at a time while it
+builds the index. Shingle frequencies are counted over all items before.
 
-Defined results: null or empty texts leak nothing; items without words are left out; an item shorter than a shingle counts as one
-shingle; rows without doc_id are left out of results and kept by remove_leaks; repeated items or documents give repeated results;
-a document may leak several items. Extra columns are ignored.
+Defined results: null or empty texts leak nothing; items without words are left out; rows without doc_id are left out of results and
+kept by remove_leaks; repeated items or documents give repeated results; a document may leak several items. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,9 +33,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import keyed_text
+from .common import keyed_text, small_batches, spool
 
-WORDS, SIMILARITY, RADIUS, ITEMS = 5, 0.75, 3, 20_000
+WORDS, SIMILARITY, RADIUS, ITEMS, ITEM_BYTES = 5, 0.75, 3, 20_000, 2 << 20
 WIDTHS = (3, 5, 8, 10, 16, 24, 40, 64, 100, 160, 250)
 
 
@@ -63,11 +63,18 @@ def fingerprints(h: np.ndarray, width: int, stride: int) -> np.ndarray:
     return out
 
 
+def _shingles(h: np.ndarray, words: int) -> np.ndarray:
+    """Distinct shingles; of fewer words, the whole sequence as one."""
+    return np.unique(K.ngrams(h, min(words, max(1, len(h)))))
+
+
 class Index:
     """Fingerprints of all items' windows in four tables by 16 bits, the items' weighted shingles, and where the rarest of them stand."""
 
-    def __init__(self, items: list[tuple[int, str]], words: int = WORDS, least: float = SIMILARITY):
+    def __init__(self, items: list[tuple[int, str]], words: int = WORDS, least: float = SIMILARITY, known: dict[int, int] | None = None, count: int = 0):
+        """known: in how many items each shingle stands, count: how many items there are; by default these items are all."""
         self.words, self.least = words, least
+        self.short: dict[int, list[int]] = defaultdict(list)  # items shorter than a shingle, by their only one
         self.ids, self.n, self.shingles = [], [], []
         rows: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         spare: dict[int, int] = {}
@@ -76,20 +83,26 @@ class Index:
             h = K.words(buf, off, 0, 1, lower=True, space=K.PUNCT).hash
             if not len(h):
                 continue
-            w = _width(len(h))
-            spare[w] = min(spare.get(w, 1 << 30), len(h) - w + 1)
-            rows[w] += [(int(f), len(self.ids), k) for k, f in enumerate(fingerprints(h, w, 1))]
             self.ids.append(item)
             self.n.append(len(h))
-            self.shingles.append(self._shingles(h))
+            self.shingles.append(_shingles(h, words))
+            if len(h) < words:
+                self.short[int(self.shingles[-1][0])].append(len(self.ids) - 1)
+                continue
+            w = _width(len(h))
+            spare[w] = min(spare.get(w, 1 << 30), len(h) - w + 1)
+            rows[w] += [(int(f), len(self.ids) - 1, k) for k, f in enumerate(fingerprints(h, w, 1))]
         df: dict[int, int] = defaultdict(int)
         for s in self.shingles:
-            for v in set(s.tolist()):
+            for v in s.tolist():
                 df[v] += 1
-        self.weight = {v: float(np.log1p(len(self.ids) / k)) for v, k in df.items()}
+        if known is not None:
+            df = {v: known[v] for v in df}
+        count = count or len(self.ids)
+        self.weight = {v: float(np.log1p(count / k)) for v, k in df.items()}
         self.total = [sum(self.weight[v] for v in s.tolist()) for s in self.shingles]
         self.own = [frozenset(s.tolist()) for s in self.shingles]
-        self.unseen = float(np.log1p(len(self.ids) or 1))
+        self.unseen = float(np.log1p(count or 1))
         self.classes = {}
         for w, r in rows.items():
             f = np.array([x[0] for x in r], K.U)
@@ -99,27 +112,22 @@ class Index:
                 order = np.argsort(key, kind="stable")
                 tables.append((np.searchsorted(key[order], np.arange(65537)), order))
             self.classes[w] = (spare[w], f, np.array([x[1:] for x in r], np.int64).reshape(-1, 2), tables)
-        rare: dict[int, list[tuple[int, int]]] = defaultdict(list)  # by words in a shingle: hash, item
+        r: list[tuple[int, int]] = []  # hash, item
         for k, s in enumerate(self.shingles):
-            rest = self.total[k]
+            rest = self.total[k] if self.n[k] >= words else 0
             for v in sorted(s.tolist(), key=lambda v: (df[v], v)):
                 if rest < least * self.total[k] - 1e-9:
                     break
-                rare[min(words, self.n[k])].append((v, k))
+                r.append((v, k))
                 rest -= self.weight[v]
-        self.rare = {}
-        for n, r in rare.items():
-            r.sort()
-            v = np.array([x[0] for x in r], K.U)
-            marks = np.zeros(1 << max(16, (16 * len(r)).bit_length()), bool)
-            marks[v & K.U(len(marks) - 1)] = True
-            self.rare[n] = marks, v, np.array([x[1] for x in r], np.int64)
-
-    def _shingles(self, h: np.ndarray) -> np.ndarray:
-        return np.unique(K.ngrams(h, self.words) if len(h) >= self.words else K.ngrams(h, max(1, len(h))))
+        r.sort()
+        v = np.array([x[0] for x in r], K.U)
+        marks = np.zeros(1 << max(16, (16 * len(r)).bit_length()), bool)
+        marks[v & K.U(len(marks) - 1)] = True
+        self.rare = marks, v, np.array([x[1] for x in r], np.int64)
 
     def similarity(self, item: int, h: np.ndarray) -> float:
-        got = self._shingles(h).tolist()
+        got = _shingles(h, self.words).tolist()
         both = sum(self.weight[v] for v in got if v in self.own[item])
         return both / (self.total[item] + sum(self.weight.get(v, self.unseen) for v in got) - both)
 
@@ -146,16 +154,15 @@ class Index:
             i = np.searchsorted(first, rows[:, 1] + n // 2, "right") - 1
             fit = (i >= 0) & (i < len(first) - 1)
             out.update(zip(i[fit].tolist(), rows[fit, 0].tolist(), strict=True))
-        for n, (marks, v, item) in self.rare.items():
-            g = K.ngrams(h, n)
-            at = np.flatnonzero(marks[g & K.U(len(marks) - 1)])
-            lo = np.searchsorted(v, g[at])
-            hit, owner = K.flat(lo, np.searchsorted(v, g[at], "right") - lo)
-            at = at[owner]
-            i = np.searchsorted(first, at, "right") - 1
-            fit = at + n <= first[np.minimum(i + 1, len(first) - 1)]
-            if fit.any():
-                out.update(map(tuple, np.unique(np.column_stack([i[fit], item[hit[fit]]]), axis=0).tolist()))
+        (marks, v, item), g = self.rare, K.ngrams(h, self.words)
+        at = np.flatnonzero(marks[g & K.U(len(marks) - 1)])
+        lo = np.searchsorted(v, g[at])
+        hit, owner = K.flat(lo, np.searchsorted(v, g[at], "right") - lo)
+        at = at[owner]
+        i = np.searchsorted(first, at, "right") - 1
+        fit = at + self.words <= first[np.minimum(i + 1, len(first) - 1)]
+        if fit.any():
+            out.update(map(tuple, np.unique(np.column_stack([i[fit], item[hit[fit]]]), axis=0).tolist()))
         return out
 
     def best(self, item: int, g: np.ndarray) -> float:
@@ -193,11 +200,15 @@ class Index:
     def leaks(self, h: np.ndarray, first: np.ndarray) -> dict[int, dict[int, float]]:
         """Of each document (its words h[first[i] : first[i + 1]]): items that it leaks, with their similarity."""
         out: dict[int, dict[int, float]] = defaultdict(dict)
+        if self.short:
+            size = np.diff(first)
+            for i in np.flatnonzero((size > 0) & (size < self.words)).tolist():
+                out[i].update(dict.fromkeys(self.short.get(int(_shingles(h[first[i] : first[i + 1]], self.words)[0]), ()), 1.0))
         for i, item in self.pairs(h, first):
-            g = K.ngrams(h[first[i] : first[i + 1]], min(self.words, self.n[item]))
+            g = K.ngrams(h[first[i] : first[i + 1]], self.words)
             if len(g) and (s := self.best(item, g)):
                 out[i][item] = s
-        return dict(out)
+        return {i: found for i, found in out.items() if found}
 
 
 def _search(index: Index):
@@ -216,19 +227,44 @@ def _search(index: Index):
     return run
 
 
+def _counted(words: int):
+    schema = pa.schema([("shingle", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            buf, off = K.text_buffer(b.column(0))
+            for lo, hi in K.chunks(off):
+                w = K.words(buf, off, lo, hi, lower=True, space=K.PUNCT)
+                for a, z in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
+                    if z > a:
+                        yield pa.record_batch([pa.array(_shingles(w.hash[a:z], words).view(np.int64))], schema=schema)
+
+    return run
+
+
 def _indexes(benchmark: DataFrame, block: int, least: float) -> Iterator[Index]:
+    small_batches(benchmark.sparkSession)
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    blocks = max(1, -(-items.count() // block))
+    n, size = items.agg(F.count_if(F.regexp_like("text", F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]"))), F.sum(F.octet_length("text"))).first()
+    blocks = max(1, -(-n // block), -(-(size or 0) // ITEM_BYTES))
+    count = spool(items.select("text").mapInArrow(K.tidy(_counted(WORDS)), "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")), "shingles")
+    items = spool(items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))), "items")
     for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
-        yield Index([(r["item_id"], r["text"]) for r in rows], least=least)
+        own = items.where(F.col("block") == k).select("item_id", "text")
+        rows = own.orderBy("item_id", "text").collect()
+        if blocks == 1:
+            yield Index([(r["item_id"], r["text"]) for r in rows], least=least, count=n)
+            continue
+        mine = own.select("text").mapInArrow(K.tidy(_counted(WORDS)), "shingle long").distinct()
+        known = {r["shingle"] & ((1 << 64) - 1): r["n"] for r in count.join(mine, "shingle").collect()}
+        yield Index([(r["item_id"], r["text"]) for r in rows], least=least, known=known, count=n)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, block: int = ITEMS) -> DataFrame:
     """doc_id, item_id, similarity of every item that a document leaks."""
     out = None
     for index in _indexes(benchmark, block, least):
-        part = keyed_text(docs).mapInArrow(_search(index), "doc_id long, item_id long, similarity double")
+        part = keyed_text(docs).mapInArrow(K.tidy(_search(index)), "doc_id long, item_id long, similarity double")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -250,5 +286,5 @@ def _clean(indexes: list[Index], at: int):
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, block: int = ITEMS) -> DataFrame:
     """The same columns without the rows that leak an item."""
     for index in _indexes(benchmark, block, least):
-        docs = docs.mapInArrow(_clean([index], docs.columns.index("text")), docs.schema)
+        docs = docs.mapInArrow(K.tidy(_clean([index], docs.columns.index("text"))), docs.schema)
     return docs

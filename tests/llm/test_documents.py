@@ -261,8 +261,10 @@ def test_decontamination(docs, spark):
     for k, t in items[:10]:
         for v, text in enumerate((t, t.upper().replace(" ", "!! "), " ".join(t.split()[: len(t.split()) // 2]))):
             rows.append((9000 + 10 * k + v, f"{fill(rng.randrange(40))} {text}, {fill(rng.randrange(40))}"))
-            if v < 2:
+            if v < 2 and k:
                 planted[rows[-1][0]] = k
+    rows.append((9800, f"  {items[0][1].upper()}!"))  # an item shorter than a shingle is leaked by what is nothing else
+    planted[9800] = 0
     near = items[7][1].split()
     near[0] = "changed"
     rows.append((9900, fill(7) + " " + " ".join(near)))
@@ -296,6 +298,25 @@ def test_decontamination_of_changed_copies(spark):
     assert {(r.doc_id, r.item_id): r.similarity for r in decontam.leaks(docs, bench).collect()} == want
 
 
+def test_recall_of_changed_copies_is_whole():
+    """Edits spread evenly over items of many lengths: every pair whose similarity by definition reaches 0.75 is found."""
+    rng = random.Random(21)
+    found = wanted = 0
+    for n, edits in ((40, 1), (60, 1), (100, 2), (200, 4), (200, 5), (300, 6), (300, 8)):
+        items = [(k, " ".join(f"w{rng.randrange(3000)}" for _ in range(n))) for k in range(25)]
+        index = decontam.Index(items)
+        for k, t in items:
+            w = t.split()
+            for e in range(edits):
+                w[(2 * e + 1) * n // (2 * edits)] = f"new{rng.randrange(9999)}"
+            hash_of = lambda text: decontam.K.words(*decontam.K.text_buffer(pa.array([text])), 0, 1, lower=True, space=decontam.K.PUNCT).hash
+            copy, doc = hash_of(" ".join(w)), hash_of("before it " * 20 + " ".join(w) + " after it" * 20)
+            if index.similarity(k, copy) >= decontam.SIMILARITY:
+                wanted += 1
+                found += k in index.leaks(doc, np.array([0, len(doc)])).get(0, {})
+    assert wanted > 120 and found == wanted
+
+
 def test_fingerprints_match_the_definition():
     h = np.random.default_rng(1).integers(0, 1 << 63, 50000, dtype=np.uint64) * np.uint64(2)
     got = decontam.fingerprints(h, 16, 9)
