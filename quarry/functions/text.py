@@ -6,7 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Function words that a query does not search for.
-STOP_WORDS = tuple("a an and are as at be but by can do does for from how i in is it its of on or that the this to use using was what when where which who why will with you your".split())
+STOP_WORDS = (
+    "a", "an", "and", "are", "as", "at", "be", "but", "by", "can", "do", "does", "for", "from", "how", "i", "in", "is", "it", "its", "of", "on", "or", "that", "the", "this", "to", "use", "using", "was", "what", "when", "where", "which", "who", "why", "will", "with", "you", "your",
+)
 TERM = "[a-z0-9][a-z0-9._-]*"
 CJK = "[一-鿿㐀-䶿豈-﫿]+"
 MOST_TERMS = 64
@@ -29,6 +31,12 @@ def cjk_bigrams(text: Column) -> Column:
     return F.slice(F.array_distinct(F.flatten(grams)), 1, MOST_TERMS)
 
 
+def cjk_occurrences(text: Column) -> Column:
+    """Document side: the bigrams of each run of Han characters, in order, with repeats."""
+    runs = F.regexp_extract_all(text, F.lit(CJK), 0)
+    return F.flatten(F.transform(runs, lambda r: F.when(F.length(r) == 1, F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.substring(r, i, F.lit(2))))))
+
+
 def sanitise_query(query: Column) -> Column:
     """Runs of - or | and such signs standing alone are layout, not search operators."""
     q = F.regexp_replace(query, "[-|]{2,}", " ")
@@ -72,9 +80,13 @@ def redact_error(message: Column, most: int = 1000) -> Column:
     return F.when(F.length(message) > most, F.concat(F.substring(message, 1, most - 3), F.lit("..."))).otherwise(message)
 
 
+#: What cleaned text is without, in the order of replacement.
+CLEAN = (("(?s)```.*?```", ""), ("(?s)<!--.*?-->", ""), ("\\r\\n", "\n"), ("\\n{3,}", "\n\n"), ("(?m)^\\s*[|\\-]+\\s*$", ""), ("https?://\\S+", ""))
+
+
 def clean(text: Column) -> Column:
     """Without code fences, comments, table rules and bare links; line ends and blank lines made regular."""
-    for pattern, by in (("(?s)```.*?```", ""), ("(?s)<!--.*?-->", ""), ("\\r\\n", "\n"), ("\\n{3,}", "\n\n"), ("(?m)^\\s*[|\\-]+\\s*$", ""), ("https?://\\S+", "")):
+    for pattern, by in CLEAN:
         text = F.regexp_replace(text, pattern, by)
     return F.regexp_replace(text, "^\\s+|\\s+$", "")
 

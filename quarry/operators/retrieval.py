@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from quarry.functions import text as T
+from quarry.functions import websearch
 
 #: Rows of queries that one broadcast may hold; larger batches are joined by shuffles.
 MOST_BROADCAST_QUERIES = 10_000
@@ -26,63 +27,142 @@ def top(hits: DataFrame, k: int | Column, score: str = "score", of: str = "query
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def lexical(chunks: DataFrame, queries: DataFrame, k: int | Column = 10, least: int = 2) -> DataFrame:
-    """queries: query_id, query. Chunks with all terms, or with at least min(least, number of terms) of them.
+def best_of(hits: DataFrame, queries: DataFrame, k: int | str) -> DataFrame:
+    """query_id, chunk_id, score, rank of the k best; k is a number, or the column of queries that has each query's own."""
+    if isinstance(k, str):
+        ranked = top(hits.join(small(queries.select("query_id", F.col(k).alias("_k"))), "query_id"), F.col("_k"))
+    else:
+        ranked = top(hits, k)
+    return ranked.select("query_id", "chunk_id", "score", "rank")
+
+
+def lexical(chunks: DataFrame, queries: DataFrame, k: int | str = 10, least: int = 2) -> DataFrame:
+    """chunks: chunk_id, content; queries: query_id, query. Web search semantics, and beyond them partial matches.
+
+    A chunk matches where it holds what an alternative of the query asks for, or at least min(least, n) of the n words that are no
+    function words, or of the n Han bigrams. Its rank is the cover density of the web search plus half of that of each partial match,
+    which for separate words is 0.1 an occurrence; the score is r / (1 + r).
 
     Terms meet chunks by an equi-join on the term, after counting each chunk's tokens, so no chunk is compared with a query that
-    shares nothing with it. Score: 0.1 a matching occurrence, half of it again for each distinct term beyond the first, then r / (1 + r).
+    shares nothing with it. Positions are only taken of chunks that hold all words of an alternative.
     """
-    terms = queries.select("query_id", T.query_terms(T.sanitise_query(F.col("query"))).alias("ts")).where(F.size("ts") > 0)
-    wanted = terms.select("query_id", F.size("ts").alias("n_terms"), F.explode("ts").alias("term"))
+    text = T.sanitise_query(F.col("query"))
+    asked = queries.select("query_id", T.query_terms(text).alias("latin"), websearch.parse(text).alias("units"), T.cjk_bigrams(text).alias("han"))
+    need = F.filter("units", lambda u: ~u["excluded"])
+    alternatives = F.array_distinct(F.transform(need, lambda u: u["alternative"]))
+    #: By alternative, the distinct words that it cannot do without.
+    required = F.transform(alternatives, lambda a: F.struct(a.alias("alternative"), F.array_distinct(F.flatten(F.transform(F.filter(need, lambda u: u["alternative"] == a), lambda u: u["terms"]))).alias("terms")))
+    asked = asked.withColumn("required", required).withColumn("web", F.array_distinct(F.flatten(F.transform("units", lambda u: u["terms"]))))
+    sole = F.when(F.size("required") == 1, F.element_at("required", 1)["terms"]).otherwise(F.array().cast("array<string>"))
+    wanted = asked.select("query_id", "latin", sole.alias("sole"), F.explode(F.array_union("latin", "web")).alias("term")).select("query_id", "term", F.array_contains("latin", F.col("term")).alias("is_latin"), F.array_contains("sole", F.col("term")).alias("is_sole"), F.size("latin").alias("n_latin"), F.size("sole").alias("n_sole"))
     counts = chunks.select("chunk_id", F.explode(T.tokens(F.col("content"))).alias("term"))
     counts = counts.join(small(wanted.select("term").distinct()), "term", "left_semi").groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    met = counts.join(small(wanted), "term").groupBy("query_id", "chunk_id", "n_terms").agg(F.count(F.lit(1)).alias("matched"), F.sum("tf").alias("occurrences"))
-    raw = F.col("occurrences") * 0.1 + (F.col("matched") - 1) * 0.05
-    return top(met.where(F.col("matched") >= F.least(F.lit(least), F.col("n_terms"))).withColumn("score", F.round(T.normalised_score(raw), 6)), k).select("query_id", "chunk_id", "score", "rank")
+    met = counts.join(small(wanted), "term").groupBy("query_id", "chunk_id").agg(
+        F.count_if("is_latin").alias("matched"), F.sum(F.when(F.col("is_latin"), F.col("tf")).otherwise(0)).alias("occurrences"), F.max("n_latin").alias("n_latin"), ((F.count_if("is_sole") == F.max("n_sole")) & (F.max("n_sole") > 0)).alias("whole")
+    )
+    several = asked.where(F.size("required") > 1).select("query_id", F.explode("required").alias("r")).select("query_id", "r.alternative", F.size("r.terms").alias("n"), F.explode("r.terms").alias("term"))
+    some = counts.join(small(several), "term").groupBy("query_id", "chunk_id", "alternative", "n").agg(F.count(F.lit(1)).alias("have")).where("have = n").select("query_id", "chunk_id")
+    whole = met.where("whole").select("query_id", "chunk_id").unionByName(some).distinct()
+    density = _density(chunks, asked.select("query_id", "units", "web"), whole)
+    partial = met.where((F.col("matched") >= F.least(F.lit(least), "n_latin")) & (F.col("n_latin") > 0)).select("query_id", "chunk_id", (F.col("occurrences") * websearch.WEIGHT).alias("partial"))
+    out = partial.join(density, ["query_id", "chunk_id"], "full")
+    han = asked.select("query_id", F.size("han").alias("n"), F.explode("han").alias("term"))
+    if not han.isEmpty():
+        grams = chunks.select("chunk_id", F.explode(T.cjk_occurrences(F.col("content"))).alias("term")).join(small(han), "term").groupBy("query_id", "chunk_id").agg(F.countDistinct("term").alias("matched"), F.count(F.lit(1)).alias("occurrences"), F.max("n").alias("n"))
+        out = out.join(grams.where(F.col("matched") >= F.least(F.lit(least), "n")).select("query_id", "chunk_id", (F.col("occurrences") * websearch.WEIGHT).alias("grams")), ["query_id", "chunk_id"], "full")
+    else:
+        out = out.withColumn("grams", F.lit(0.0))
+    part = lambda c: F.coalesce(c, F.lit(0.0))
+    raw = part("density") + 0.5 * part("partial") + 0.5 * part("grams")
+    return best_of(out.withColumn("score", F.round(T.normalised_score(raw), 6)), queries, k)
+
+
+def _density(chunks: DataFrame, asked: DataFrame, pairs: DataFrame) -> DataFrame:
+    """query_id, chunk_id, density of the pairs that match; a text's positions of the query's terms are one row."""
+    at = F.filter(F.transform(T.tokens(F.col("content")), lambda t, i: F.struct(t.alias("term"), i.alias("at"))), lambda x: F.array_contains("web", x["term"]))
+    rows = pairs.join(small(asked), "query_id").join(chunks.select("chunk_id", "content"), "chunk_id").select("query_id", "chunk_id", "units", at.alias("found"))
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for units, found in zip(pdf["units"], pdf["found"], strict=True):
+                at: dict[str, list[int]] = {}
+                for x in found:
+                    at.setdefault(x["term"], []).append(x["at"])
+                out.append(websearch.cover_density([(u["alternative"], u["excluded"], list(u["terms"])) for u in units], at))
+            yield pd.DataFrame({"query_id": pdf["query_id"], "chunk_id": pdf["chunk_id"], "density": pd.Series(out, dtype=float)})
+
+    return rows.mapInPandas(run, "query_id long, chunk_id long, density double").where("density is not null and not isnan(density)")
+
 
+#: Bytes of query vectors that one task takes at once, and how many passes of broadcast blocks there may be before blocks are shuffled.
+BLOCK_BYTES, MOST_PASSES = 8 << 20, 4
+_SCORED = "query_id long, chunk_id long, score double"
 
-def vector(chunks: DataFrame, queries: DataFrame, k: int | Column = 10, where: Column | None = None) -> DataFrame:
+
+def vector(chunks: DataFrame, queries: DataFrame, k: int | str = 10, where: Column | None = None, half: bool = False) -> DataFrame:
     """Exact top-k by cosine; chunks: chunk_id, embedding; queries: query_id, query_vector. Filters come before any distance.
 
-    Queries are packed into blocks of a bounded number of rows, each block one broadcast matrix, so a batch of any size is a few
-    passes of block matrix products over the chunks and never a cross join.
+    Queries are packed into blocks of bounded bytes. A few blocks are broadcast, one pass of block matrix products over the chunks
+    each; of more, each is sent to all parts of the chunks. half: vectors are narrowed to half precision (fp16) before distances.
     """
     spark = chunks.sparkSession
     rows = (chunks if where is None else chunks.where(where)).select("chunk_id", "embedding").where("embedding is not null")
-    out = None
-    block = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // MOST_BROADCAST_QUERIES))))
-    for b in sorted(r[0] for r in queries.select(block).distinct().collect()):
-        got = queries.where(block == b).select("query_id", "query_vector").orderBy("query_id").toPandas()
-        ids, matrix = got["query_id"].tolist(), np.array(got["query_vector"].tolist(), float)
-        part = rows.mapInPandas(_best(spark.sparkContext.broadcast((ids, matrix)), k if isinstance(k, int) else 100), "query_id long, chunk_id long, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], "query_id long, chunk_id long, score double")
-    return top(out, k).select("query_id", "chunk_id", "score", "rank")
-
-
-def _best(queries, k: int):
+    n, dim, most = queries.agg(F.count(F.lit(1)), F.max(F.size("query_vector")), F.max(k) if isinstance(k, str) else F.lit(k)).first()
+    blocks = max(1, -(-n * max(dim or 1, 1) * 8 // BLOCK_BYTES))
+    dealt = queries.select("query_id", "query_vector", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"))
+    if not n:
+        out = spark.createDataFrame([], _SCORED)
+    elif blocks <= MOST_PASSES:
+        out = None
+        for b in range(blocks):
+            got = dealt.where(F.col("block") == b).orderBy("query_id").toPandas()
+            part = rows.mapInPandas(_scan(spark.sparkContext.broadcast((got["query_id"].tolist(), np.array(got["query_vector"].tolist(), float))), most, half), _SCORED)
+            out = part if out is None else out.unionByName(part)
+    else:
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        left = rows.withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(parts))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        right = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        out = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInPandas(_meet(most, half), _SCORED)
+    return best_of(out, queries, k)
+
+
+def _unit(vectors, half: bool) -> np.ndarray:
+    x = np.array(list(vectors), float)
+    x = x.astype(np.float16).astype(float) if half else x
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def _nearest(chunk: np.ndarray, x: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int) -> pd.DataFrame:
+    s = np.round(np.clip(0.5 + 0.5 * (q @ x.T), 0, 1), 6)
+    pick = np.lexsort((np.broadcast_to(chunk, s.shape), -s), axis=1)[:, :k]
+    return pd.DataFrame({"query_id": np.repeat(ids, pick.shape[1]), "chunk_id": chunk[pick].ravel(), "score": np.take_along_axis(s, pick, 1).ravel()})
+
+
+def _scan(queries, k: int, half: bool):
     def run(batches):
         ids, q = queries.value
-        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+        q = _unit(q, half) if len(ids) else q
         for pdf in batches:
-            if not len(pdf):
-                continue
-            x = np.array(pdf["embedding"].tolist(), float)
-            s = np.round(np.clip(0.5 + 0.5 * (q @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T), 0, 1), 6)
-            chunk = pdf["chunk_id"].to_numpy()
-            pick = np.lexsort((np.broadcast_to(chunk, s.shape), -s), axis=1)[:, :k]
-            yield pd.DataFrame({"query_id": np.repeat(ids, pick.shape[1]), "chunk_id": chunk[pick].ravel(), "score": np.take_along_axis(s, pick, 1).ravel()})
+            if len(pdf) and len(ids):
+                yield _nearest(pdf["chunk_id"].to_numpy(), _unit(pdf["embedding"], half), np.array(ids), q, k)
+
+    return run
+
+
+def _meet(k: int, half: bool):
+    def run(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(q):
+            return pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
+        return _nearest(x["chunk_id"].to_numpy(), _unit(x["embedding"], half), q["query_id"].to_numpy(), _unit(q["query_vector"], half), k)
 
     return run
 
 
 def narrowed_overlap(chunks: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """Per query: how many of the exact top-k stay in the top-k with vectors of half precision."""
-    half = lambda c: F.transform(c, lambda x: (F.round(x.cast("double") * 2048) / 2048).cast("float"))
-    exact = vector(chunks, queries, k)
-    coarse = vector(chunks.withColumn("embedding", half("embedding")), queries.withColumn("query_vector", half("query_vector")), k).select("query_id", "chunk_id", F.lit(1).alias("_in"))
-    return exact.join(coarse, ["query_id", "chunk_id"], "left").groupBy("query_id").agg(F.count("_in").alias("overlap"), F.count(F.lit(1)).alias("returned"))
+    coarse = vector(chunks, queries, k, half=True).select("query_id", "chunk_id", F.lit(1).alias("_in"))
+    return vector(chunks, queries, k).join(coarse, ["query_id", "chunk_id"], "left").groupBy("query_id").agg(F.count("_in").alias("overlap"), F.count(F.lit(1)).alias("returned"))
 
 
 def fuse(lists: DataFrame, constant: int = RRF) -> DataFrame:
@@ -104,7 +184,7 @@ def running_fusion(lists: DataFrame, constant: int = RRF) -> DataFrame:
 def linear(lexical_hits: DataFrame, vector_hits: DataFrame) -> DataFrame:
     """Half the lexical and half the vector score, a missing one counting 0."""
     a, b = lexical_hits.select("query_id", "chunk_id", F.col("score").alias("l")), vector_hits.select("query_id", "chunk_id", F.col("score").alias("v"))
-    return a.join(b, ["query_id", "chunk_id"], "full").select("query_id", "chunk_id", F.round(0.5 * F.coalesce("l", F.lit(0.0)) + 0.5 * F.coalesce("v", F.lit(0.0)), 6).alias("score"))
+    return a.join(b, ["query_id", "chunk_id"], "full").select("query_id", "chunk_id", F.round(0.5 * F.coalesce("l", F.lit(0.0)) + 0.5 * F.coalesce("v", F.lit(0.0)), 7).alias("score"))
 
 
 def authorised(hits: DataFrame, readable: DataFrame, memory_of: DataFrame) -> DataFrame:
@@ -113,15 +193,25 @@ def authorised(hits: DataFrame, readable: DataFrame, memory_of: DataFrame) -> Da
 
 
 def related(anchors: DataFrame, chunks: DataFrame, most: int = 8) -> DataFrame:
-    """Candidates around anchors in the same memory: same region 1.0, neighbour 0.8, shared entity 0.6, same time 0.4; best first."""
-    a, b = anchors.alias("a"), chunks.alias("b")
-    pairs = a.join(b, (F.col("a.memory_id") == F.col("b.memory_id")) & (F.col("a.chunk_id") != F.col("b.chunk_id")))
-    priority = (
-        F.when(F.col("a.region") == F.col("b.region"), 1.0)
-        .when(F.abs(F.col("a.ordinal") - F.col("b.ordinal")) == 1, 0.8)
-        .when(F.arrays_overlap("a.entity_keys", "b.entity_keys"), 0.6)
-        .when(F.col("a.time_key") == F.col("b.time_key"), 0.4)
-    )
-    found = pairs.select(F.col("a.chunk_id").alias("anchor_id"), F.col("b.chunk_id").alias("chunk_id"), priority.alias("priority")).where("priority is not null")
+    """Candidates around anchors in the same memory: same region 1.0, neighbour 0.8, shared entity 0.6, same time 0.4; best first.
+
+    One equi-join for each relation, on the memory and what the relation shares. A relation's candidates are numbered by chunk_id in their
+    group before the join, and of each group only the first `most` + 1 can stand among an anchor's best, so a large memory is never paired with itself.
+    """
+    key = {
+        "region": (F.col("region"), 1.0),
+        "entity": (F.explode("entity_keys"), 0.6),
+        "time": (F.col("time_key"), 0.4),
+    }
+    side = lambda rows, c: rows.select("memory_id", "chunk_id", c.alias("_key")).where("_key is not null").distinct()
+    near = chunks.select("memory_id", "chunk_id", (F.col("ordinal") + 1).alias("_key")).unionByName(chunks.select("memory_id", "chunk_id", (F.col("ordinal") - 1).alias("_key")))
+    found = None
+    first = W.Window.partitionBy("memory_id", "_key").orderBy("chunk_id")
+    for c, priority in key.values():
+        few = side(chunks, c).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most + 1).drop("_n")
+        part = side(anchors, c).withColumnRenamed("chunk_id", "anchor_id").join(few, ["memory_id", "_key"]).withColumn("priority", F.lit(priority))
+        found = part if found is None else found.unionByName(part)
+    beside = anchors.select("memory_id", F.col("chunk_id").alias("anchor_id"), F.col("ordinal").alias("_key")).join(near, ["memory_id", "_key"]).withColumn("priority", F.lit(0.8))
+    each = found.unionByName(beside).where("anchor_id <> chunk_id").groupBy("anchor_id", "chunk_id").agg(F.max("priority").alias("priority"))
     w = W.Window.partitionBy("anchor_id").orderBy(F.desc("priority"), "chunk_id")
-    return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
+    return each.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)

@@ -358,7 +358,15 @@ _TERMS = f"list_filter(list_distinct(regexp_extract_all(lower(query), '{T.TERM}'
 _Q = f"q AS (SELECT item_id AS query_id, text AS query FROM benchmark), qt AS (SELECT query_id, {_TERMS} AS ts FROM q)"
 _LEX = f"""{_Q}, w AS (SELECT query_id, len(ts) AS n, unnest(ts) AS term FROM qt), tf AS (SELECT doc_id AS chunk_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{T.TERM}')) AS term FROM documents) GROUP BY ALL),
     m AS (SELECT query_id, chunk_id, n, count(*) AS matched, sum(tf) AS occ FROM tf JOIN w USING (term) GROUP BY ALL),
-    s AS (SELECT query_id, chunk_id, (occ * 0.1::DOUBLE + (matched - 1) * 0.05::DOUBLE) AS r FROM m WHERE matched >= least(2, n)),
+    ua AS (SELECT query_id, u, count(*) FILTER (u = 'or') OVER (PARTITION BY query_id ORDER BY i) AS alt FROM (SELECT query_id, generate_subscripts(us, 1) AS i, unnest(us) AS u FROM (SELECT query_id, regexp_extract_all(lower(query), '[^\\s"]+') AS us FROM q))),
+    wt AS (SELECT DISTINCT query_id, alt, term FROM (SELECT query_id, alt, unnest(regexp_extract_all(u, '{T.TERM}')) AS term FROM ua WHERE u <> 'or')),
+    hit AS (SELECT query_id, alt, chunk_id FROM tf JOIN wt USING (term) JOIN (SELECT query_id, alt, count(*) AS need FROM wt GROUP BY ALL) USING (query_id, alt) GROUP BY query_id, alt, chunk_id, need HAVING count(*) = need),
+    pos AS (SELECT chunk_id, p, term FROM (SELECT doc_id AS chunk_id, generate_subscripts(ts, 1) AS p, unnest(ts) AS term FROM (SELECT doc_id, regexp_extract_all(lower(text), '{T.TERM}') AS ts FROM documents WHERE doc_id IN (SELECT chunk_id FROM hit)))),
+    ent AS (SELECT h.query_id, h.chunk_id, p, term FROM (SELECT DISTINCT query_id, chunk_id FROM hit) h JOIN pos USING (chunk_id) JOIN (SELECT DISTINCT query_id, term FROM wt) USING (query_id, term)),
+    seen AS (SELECT e.query_id, e.chunk_id, e.p, wt.alt, max(CASE WHEN e.term = wt.term THEN e.p END) OVER (PARTITION BY e.query_id, e.chunk_id, wt.alt, wt.term ORDER BY e.p) AS l FROM ent e JOIN hit h USING (query_id, chunk_id) JOIN wt ON wt.query_id = e.query_id AND wt.alt = h.alt),
+    covers AS (SELECT query_id, chunk_id, s, min(p) AS e FROM (SELECT query_id, chunk_id, p, max(s) AS s FROM (SELECT query_id, chunk_id, alt, p, CASE WHEN count(l) = count(*) THEN min(l) END AS s FROM seen GROUP BY ALL) GROUP BY ALL) WHERE s IS NOT NULL GROUP BY ALL),
+    den AS (SELECT query_id, chunk_id, sum(0.1::DOUBLE / (1 + (e - s) - (named - 1))) AS density FROM (SELECT c.query_id, c.chunk_id, c.s, c.e, count(*) AS named FROM covers c JOIN ent ON ent.query_id = c.query_id AND ent.chunk_id = c.chunk_id AND ent.p BETWEEN c.s AND c.e GROUP BY ALL) GROUP BY ALL),
+    s AS (SELECT query_id, chunk_id, coalesce(density, 0) + 0.5 * 0.1::DOUBLE * coalesce(occ, 0) AS r FROM (SELECT query_id, chunk_id, occ FROM m WHERE matched >= least(2, n)) FULL JOIN den USING (query_id, chunk_id)),
     lex AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT query_id, chunk_id, round(r / (1 + r), 6) AS score FROM s) QUALIFY rank <= 10)"""
 
 
@@ -373,7 +381,7 @@ def query_term_extraction(spark, sf):
     return _text_queries(spark, sf).select("query_id", F.array_join(F.array_sort(ts), " ").alias("terms"), F.size(ts).cast("long").alias("n")).where("n <= 64")
 
 
-@query("", r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(text, '[-|]{2,}', ' ', 'g'), '(^|\s)[-|](\s|$)', ' ', 'g'), '\s+', ' ', 'g'))) AS digest FROM documents WHERE NOT regexp_matches(text, '(^|\s)[-|]\s[-|](\s|$)')")
+@query("", r"SELECT doc_id, md5(array_to_string(list_filter(regexp_split_to_array(regexp_replace(text, '[-|]{2,}', ' ', 'g'), '[\s\x0B]+'), lambda x: x NOT IN ('-', '|', '')), ' ')) AS digest FROM documents")
 def tsquery_sanitise(spark, sf):
     return L.read(spark, sf, "documents").select("doc_id", F.md5(T.sanitise_query(F.col("text"))).alias("digest"))
 
@@ -391,15 +399,13 @@ def _vectors(spark, sf):
 
 
 def _vector_queries(spark, sf):
-    """The first vector of each label is a query."""
-    v = L.read(spark, sf, "embeddings")
-    first = v.groupBy("label").agg(F.min("vec_id").alias("vec_id"))
-    return v.join(F.broadcast(first), ["label", "vec_id"]).select(F.col("label").cast("long").alias("query_id"), F.col("embedding").alias("query_vector"))
+    """Every tenth vector is a query."""
+    return L.read(spark, sf, "embeddings").where("vec_id % 10 = 0").select(F.expr("vec_id div 10").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
 _SIM = "round(greatest(0, least(1, 0.5 + 0.5 * list_dot_product(list_transform(a.embedding, lambda x: CAST(x AS DOUBLE)), list_transform(b.embedding, lambda x: CAST(x AS DOUBLE))) / sqrt(list_dot_product(list_transform(a.embedding, lambda x: CAST(x AS DOUBLE)), list_transform(a.embedding, lambda x: CAST(x AS DOUBLE))) * list_dot_product(list_transform(b.embedding, lambda x: CAST(x AS DOUBLE)), list_transform(b.embedding, lambda x: CAST(x AS DOUBLE)))))), 6)"
-_VQ = "f AS (SELECT label, min(vec_id) AS vec_id FROM embeddings GROUP BY label), vq AS (SELECT CAST(e.label AS BIGINT) AS query_id, e.embedding FROM embeddings e JOIN f USING (label, vec_id))"
-_VEC = _VQ + ", sc AS (SELECT query_id, b.vec_id AS chunk_id, b.label, " + _SIM + " AS score FROM vq a, embeddings b {}), vec AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sc QUALIFY rank <= 10)"
+_VQ = "vq AS (SELECT vec_id // 10 AS query_id, embedding, label AS qlabel FROM embeddings WHERE vec_id % 10 = 0)"
+_VEC = _VQ + ", sc AS (SELECT query_id, qlabel, b.vec_id AS chunk_id, b.label, " + _SIM + " AS score FROM vq a, embeddings b {}), vec AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sc QUALIFY rank <= 10)"
 
 
 @query("", f"WITH {_VEC.format('')} SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM vec")
@@ -417,7 +423,7 @@ def vector_halfprec_overlap(spark, sf):
     return retrieval.narrowed_overlap(_vectors(spark, sf), _vector_queries(spark, sf))
 
 
-_TWO = f"{_LEX}, {_VEC.format('')}, lists AS (SELECT query_id, 'lexical' AS retriever, chunk_id, rank, score FROM lex WHERE query_id < 10 UNION ALL SELECT query_id, 'vector', chunk_id, rank, score FROM vec)"
+_TWO = f"{_LEX}, {_VEC.format('')}, lists AS (SELECT query_id, 'lexical' AS retriever, chunk_id, rank, score FROM lex UNION ALL SELECT query_id, 'vector', chunk_id, rank, score FROM vec)"
 
 
 def _lists(spark, sf):
@@ -426,34 +432,29 @@ def _lists(spark, sf):
     return a.withColumn("retriever", F.lit("lexical")).unionByName(b.withColumn("retriever", F.lit("vector")))
 
 
-def _two(spark, sf):
-    """The lists that _TWO takes: lexical ones of the first ten items only."""
-    return _lists(spark, sf).where("retriever = 'vector' or query_id < 10")
-
-
 _RRF = f"{_TWO}, e AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS raw, count(*) AS agreement, min(rank) AS best_rank FROM lists GROUP BY ALL), n AS (SELECT *, round(raw / max(raw) OVER (PARTITION BY query_id), 6) AS score FROM e), rrf AS (SELECT query_id, chunk_id, score, agreement, best_rank, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, agreement DESC, best_rank, chunk_id) AS position FROM n)"
 
 
 @query("", f"WITH {_RRF} SELECT query_id, chunk_id, score, agreement, best_rank, CAST(position AS INTEGER) AS position FROM rrf")
 def rrf_fusion(spark, sf):
-    return retrieval.fuse(_two(spark, sf))
+    return retrieval.fuse(_lists(spark, sf))
 
 
 @query("", f"WITH {_TWO}, o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY retriever, rank) AS n FROM lists) SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + n)), 9) AS score FROM o GROUP BY ALL")
 def rrf_running_rank(spark, sf):
-    return retrieval.running_fusion(_two(spark, sf))
+    return retrieval.running_fusion(_lists(spark, sf))
 
 
-@query("", f"WITH {_TWO} SELECT query_id, chunk_id, round(0.5 * coalesce(max(CASE WHEN retriever = 'lexical' THEN score END), 0) + 0.5 * coalesce(max(CASE WHEN retriever = 'vector' THEN score END), 0), 6) AS score FROM lists GROUP BY ALL")
+@query("", f"WITH {_TWO} SELECT query_id, chunk_id, round(0.5 * coalesce(max(CASE WHEN retriever = 'lexical' THEN score END), 0) + 0.5 * coalesce(max(CASE WHEN retriever = 'vector' THEN score END), 0), 7) AS score FROM lists GROUP BY ALL")
 def hybrid_linear_score(spark, sf):
-    both = _two(spark, sf)
+    both = _lists(spark, sf)
     return retrieval.linear(both.where("retriever = 'lexical'"), both.where("retriever = 'vector'"))
 
 
 @query("readable", f"WITH {_RRF} SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY position) AS INTEGER) AS place FROM rrf WHERE chunk_id IN (SELECT memory_id FROM readable)")
 def hybrid_pipeline(spark, sf):
     """Lexical and vector lists, fused, and authorised for the batch's principal in one join."""
-    fused = retrieval.fuse(_two(spark, sf))
+    fused = retrieval.fuse(_lists(spark, sf))
     readable = vis.readable_memories(L.memory_record(spark, sf), L.memory_acl(spark, sf), ME)
     memory_of = L.memory_record(spark, sf).select("memory_id", F.col("memory_id").alias("chunk_id"))
     kept = retrieval.authorised(fused, readable, memory_of)
@@ -690,12 +691,21 @@ def synthetic_corpus(spark, sf):
 
 # --- metrics ---
 
-_GRADED = _VEC.format("") + ", g AS (SELECT query_id, rank, CASE WHEN label = query_id THEN CASE WHEN chunk_id % 3 = 0 THEN 3 ELSE 2 END ELSE chunk_id % 2 END AS grade FROM vec), tot AS (SELECT CAST(label AS BIGINT) AS query_id, count(*) AS relevant FROM embeddings GROUP BY 1)"
+_GRADED = _VEC.format("") + ", g AS (SELECT query_id, rank, CASE WHEN label = qlabel THEN CASE WHEN chunk_id % 3 = 0 THEN 3 ELSE 2 END ELSE chunk_id % 2 END AS grade FROM vec), tot AS (SELECT query_id, count(*) AS relevant FROM vq JOIN embeddings ON label = qlabel GROUP BY 1)"
+
+
+def _query_labels(spark, sf):
+    """The label of each query's own vector; vectors of that label are relevant."""
+    return L.read(spark, sf, "embeddings").where("vec_id % 10 = 0").select(F.expr("vec_id div 10").alias("query_id"), F.col("label").alias("qlabel"))
+
+
+def _relevant(spark, sf):
+    return _vectors(spark, sf).join(retrieval.small(_query_labels(spark, sf)), F.col("label") == F.col("qlabel")).select("query_id", "chunk_id")
 
 
 def _graded(spark, sf):
-    hits = vector_topk_exact(spark, sf).join(_vectors(spark, sf).select("chunk_id", "label"), "chunk_id")
-    grade = F.when(F.col("label") == F.col("query_id"), F.when(F.col("chunk_id") % 3 == 0, 3).otherwise(2)).otherwise(F.col("chunk_id") % 2)
+    hits = vector_topk_exact(spark, sf).join(_vectors(spark, sf).select("chunk_id", "label"), "chunk_id").join(retrieval.small(_query_labels(spark, sf)), "query_id")
+    grade = F.when(F.col("label") == F.col("qlabel"), F.when(F.col("chunk_id") % 3 == 0, 3).otherwise(2)).otherwise(F.col("chunk_id") % 2)
     return hits.select("query_id", "rank", grade.cast("long").alias("grade"))
 
 
@@ -704,21 +714,21 @@ _K = ", ".join(f"round(count(*) FILTER (grade >= 2 AND rank <= {k}) / max(releva
 
 @query("", f"WITH {_GRADED}, h AS (SELECT *, sum(CASE WHEN grade >= 2 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY rank) AS n FROM g) SELECT query_id, round(coalesce(max(CASE WHEN grade >= 2 THEN 1.0::DOUBLE / rank END), 0), 6) AS mrr, round(coalesce(sum(CASE WHEN grade >= 2 THEN n::DOUBLE / rank END) / least(max(relevant), count(*)), 0), 6) AS ap, {_K} FROM h JOIN tot USING (query_id) GROUP BY query_id")
 def retrieval_metrics(spark, sf):
-    totals = _vectors(spark, sf).groupBy(F.col("label").cast("long").alias("query_id")).agg(F.count(F.lit(1)).alias("relevant"))
+    totals = _relevant(spark, sf).groupBy("query_id").agg(F.count(F.lit(1)).alias("relevant"))
     return metrics.ranking_scores(_graded(spark, sf), totals)
 
 
-@query("", f"WITH {_VEC.format('')}, fc AS (SELECT DISTINCT CAST(label AS BIGINT) AS query_id, vec_id % 4 AS facet FROM embeddings), sh AS (SELECT DISTINCT query_id, chunk_id % 4 AS facet FROM vec WHERE label = query_id AND rank <= 5) SELECT query_id, round(count(sh.facet) / count(*), 6) AS coverage FROM fc LEFT JOIN sh USING (query_id, facet) GROUP BY query_id")
+@query("", f"WITH {_VEC.format('')}, fc AS (SELECT DISTINCT query_id, vec_id % 4 AS facet FROM vq JOIN embeddings ON label = qlabel), sh AS (SELECT DISTINCT query_id, chunk_id % 4 AS facet FROM vec WHERE label = qlabel AND rank <= 5) SELECT query_id, round(count(sh.facet) / count(*), 6) AS coverage FROM fc LEFT JOIN sh USING (query_id, facet) GROUP BY query_id")
 def facet_coverage(spark, sf):
     v = _vectors(spark, sf)
-    facets = v.select(F.col("label").cast("long").alias("query_id"), (F.col("chunk_id") % 4).alias("facet"))
-    ranked = vector_topk_exact(spark, sf).join(v.select("chunk_id", "label"), "chunk_id").where("label = query_id").select("query_id", "rank", (F.col("chunk_id") % 4).alias("facet"))
+    facets = _relevant(spark, sf).select("query_id", (F.col("chunk_id") % 4).alias("facet"))
+    ranked = vector_topk_exact(spark, sf).join(v.select("chunk_id", "label"), "chunk_id").join(retrieval.small(_query_labels(spark, sf)), "query_id").where("label = qlabel").select("query_id", "rank", (F.col("chunk_id") % 4).alias("facet"))
     return metrics.facet_coverage(ranked, facets, 5)
 
 
-@query("", f"WITH {_VEC.format('')}, w AS (SELECT f.label::BIGINT AS query_id, vec_id AS chunk_id FROM f), j AS (SELECT query_id, rank FROM w LEFT JOIN vec USING (query_id, chunk_id)) SELECT count(*) AS queries, round(avg(CASE WHEN rank = 1 THEN 1.0 ELSE 0.0 END), 6) AS recall1, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END), 6) AS recall10, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 6) AS mrr, count(*) FILTER (rank IS NULL) AS not_found FROM j")
+@query("", f"WITH {_VEC.format('')}, w AS (SELECT query_id, query_id * 10 AS chunk_id FROM vq), j AS (SELECT query_id, rank FROM w LEFT JOIN vec USING (query_id, chunk_id)) SELECT count(*) AS queries, round(avg(CASE WHEN rank = 1 THEN 1.0 ELSE 0.0 END), 6) AS recall1, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END), 6) AS recall10, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 6) AS mrr, count(*) FILTER (rank IS NULL) AS not_found FROM j")
 def known_item(spark, sf):
-    wanted = L.read(spark, sf, "embeddings").groupBy(F.col("label").cast("long").alias("query_id")).agg(F.min("vec_id").alias("chunk_id"))
+    wanted = _vector_queries(spark, sf).select("query_id", (F.col("query_id") * 10).alias("chunk_id"))
     return metrics.known_item(vector_topk_exact(spark, sf), wanted)
 
 
