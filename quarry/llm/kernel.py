@@ -240,6 +240,15 @@ def wide(data) -> np.ndarray:
     return out.view("<u8").ravel().astype(U, copy=False)
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Compressed; for figures that take few of their bits."""
+    return _CODEC.compress(np.ascontiguousarray(values), asbytes=True)
+
+
+def unpacked(data, kind: type, n: int) -> np.ndarray:
+    return np.frombuffer(_CODEC.decompress(data, n * np.dtype(kind).itemsize), kind)
+
+
 def slices(key: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
     """part, begin and end of each part's stretch of ascending keys."""
     part = part_of(key, parts)

@@ -127,13 +127,19 @@ def _offer(width: int, parts: int):
                 order = np.argsort(h & K.KEY, kind="stable")
                 h, second, first = h[order], second[order], first[order]
                 for part, a, z in K.slices(h & K.KEY, parts):
-                    yield K.row(part, text.block, K.ASK, np.stack([h[a:z], second[a:z]]).tobytes(), w.doc[first[a:z]].tobytes(), w.at[first[a:z]].astype(np.uint32).tobytes())
+                    yield K.row(part, text.block, K.ASK, np.stack([h[a:z], second[a:z]]).tobytes(), K.packed(w.doc[first[a:z]]), K.packed(w.at[first[a:z]].astype(np.uint32)))
 
         yield from K.batched(found())
 
     return run
 
 
+def _places(a, d, p) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Both hashes, document and position, as they travel."""
+    h, second = np.frombuffer(a, K.U).reshape(2, -1)
+    return h, second, K.unpacked(d, np.int64, len(h)), K.unpacked(p, np.uint32, len(h))
+
+
 def _index(parts: int):
     """Tells each block where the smallest document has a window, if that is smaller than the block's own."""
 
@@ -141,7 +147,7 @@ def _index(parts: int):
         block, cols = [], []
         for b in batches:
             block += b.column("block").to_pylist()
-            cols += [(*np.frombuffer(a.as_buffer(), K.U).reshape(2, -1), np.frombuffer(d.as_buffer(), np.int64), np.frombuffer(p.as_buffer(), np.uint32)) for a, d, p in zip(b.column("a"), b.column("b"), b.column("c"), strict=True)]
+            cols += [_places(a.as_buffer(), d.as_buffer(), p.as_buffer()) for a, d, p in zip(b.column("a"), b.column("b"), b.column("c"), strict=True)]
         if not cols:
             return
         of = np.repeat(np.arange(len(cols), dtype=np.uint32), [len(c[0]) for c in cols])
@@ -159,7 +165,7 @@ def _index(parts: int):
             for i, n in enumerate(block):
                 own = late[cut[i] : cut[i + 1]]
                 if len(own):
-                    yield K.row(K.home(n, parts), n, K.TELL, np.stack([h[own], second[own]]).tobytes(), doc[first[own]].tobytes(), at[first[own]].tobytes())
+                    yield K.row(K.home(n, parts), n, K.TELL, np.stack([h[own], second[own]]).tobytes(), K.packed(doc[first[own]]), K.packed(at[first[own]]))
 
         yield from K.batched(found())
 
@@ -173,8 +179,8 @@ def sources(w: Windows, told: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.n
     again = np.zeros(len(order), bool)
     again[order] = np.append(same, False) | np.append(False, same)
     if told:
-        known = np.concatenate([np.frombuffer(a, K.U).reshape(2, -1) for a, *_ in told], axis=1)
-        doc, at = np.concatenate([np.frombuffer(d, np.int64) for _, d, _ in told]), np.concatenate([np.frombuffer(p, np.uint32) for *_, p in told]).astype(np.int64)
+        h, second, doc, at = (np.concatenate(c) for c in zip(*(_places(*t) for t in told), strict=True))
+        known, at = np.stack([h, second]), at.astype(np.int64)
         by = np.lexsort((known[1], known[0]))
         known, doc, at = known[:, by], doc[by], at[by]
         again |= known[0][np.minimum(np.searchsorted(known[0], w.hash), len(doc) - 1)] == w.hash
