@@ -15,7 +15,8 @@ CTE: dict[str, str] = {
     "mem": """SELECT doc_id AS memory_id, 't' || (doc_id % 2) AS tenant_id,
         CASE doc_id % 5 WHEN 0 THEN 'public' WHEN 1 THEN 'tenant' WHEN 2 THEN 'agent_private' WHEN 3 THEN 'user_private' ELSE 'session' END AS scope,
         CASE doc_id % 5 WHEN 0 THEN 'system' WHEN 1 THEN 't' || (doc_id % 2) WHEN 2 THEN 'a' || (doc_id % 3) WHEN 3 THEN 'u' || (doc_id % 3) ELSE 's' || (doc_id % 3) END AS owner_id,
-        source AS source_type, CASE WHEN doc_id % 17 = 0 THEN 'deleted' ELSE 'active' END AS status, CAST(doc_id % 4 + 1 AS INTEGER) AS version, text, n_chars FROM documents""",
+        source AS source_type, CASE WHEN doc_id % 17 = 0 THEN 'deleted' ELSE 'active' END AS status, CAST(doc_id % 4 + 1 AS INTEGER) AS version, text, n_chars, lang AS kind,
+        CASE WHEN doc_id % 3 = 0 THEN 'raw' ELSE 'curated' END AS stage, TIMESTAMP '1997-01-01' + to_days(CAST(doc_id % 365 AS INTEGER)) AS updated_at FROM documents""",
     "acl": """SELECT doc_id AS memory_id, 'role' AS principal_type, 'r1' AS principal_id, 'read' AS permission FROM documents WHERE doc_id % 7 = 0
         UNION ALL SELECT doc_id, 'user', 'u1', 'delete' FROM documents WHERE doc_id % 11 = 0
         UNION ALL SELECT doc_id, 'user', 'u2', 'read' FROM documents WHERE doc_id % 13 = 0""",
@@ -23,6 +24,10 @@ CTE: dict[str, str] = {
         OR (scope = 'user_private' AND owner_id = 'u1') OR (scope = 'agent_private' AND owner_id = 'a1')
         OR memory_id IN (SELECT memory_id FROM acl WHERE permission = 'read' AND ((principal_type = 'tenant' AND principal_id = 't1') OR (principal_type = 'user' AND principal_id = 'u1')
         OR (principal_type = 'agent' AND principal_id = 'a1') OR (principal_type = 'role' AND principal_id = 'r1'))))""",
+    "ver": """SELECT i AS index_version_id, 't' || (i % 2) AS tenant_id, CASE WHEN i % 3 = 0 THEN 'other' ELSE 'memory.hybrid' END AS logical_name,
+        CASE WHEN i = 9 THEN 'building' WHEN i % 4 = 3 THEN 'retired' ELSE 'active' END AS status FROM range(0, 10) t(i)""",
+    "chunk": """SELECT doc_id AS chunk_id, doc_id AS memory_id, doc_id % 10 AS index_version_id, CASE WHEN doc_id % 9 = 0 THEN 'parent' ELSE 'child' END AS chunk_level, source AS source_type,
+        text AS content, embedding FROM documents LEFT JOIN embeddings ON vec_id = doc_id""",
     "edge": """SELECT p || ':' || k AS source_node_id, pr AS predicate, q || ':' || t AS target_node_id, 'e.' || p || '.' || k AS edge_id,
         CAST(DATE '1994-01-01' + to_years(CAST(k % 5 AS INTEGER)) AS TIMESTAMP) AS valid_from, CASE WHEN k % 3 <> 0 THEN TIMESTAMP '1998-01-01' END AS valid_to,
         CASE WHEN k % 29 = 0 THEN 'conflict' ELSE 'none' END AS conflict_status, 't' || (k % 2) AS tenant_id,

@@ -43,9 +43,29 @@ def memory_record(spark: SparkSession, sf_dir: str) -> DataFrame:
         (d % 4 + 1).cast("int").alias("version"),
         "text",
         "n_chars",
+        F.col("lang").alias("kind"),
+        F.when(d % 3 == 0, "raw").otherwise("curated").alias("stage"),
+        F.timestamp_add("DAY", (d % 365).cast("int"), F.lit("1997-01-01").cast("timestamp_ntz")).alias("updated_at"),
     )
 
 
+def index_version(spark: SparkSession) -> DataFrame:
+    i = F.col("id")
+    return spark.range(10).select(
+        i.alias("index_version_id"),
+        F.concat(F.lit("t"), s(i % 2)).alias("tenant_id"),
+        F.when(i % 3 == 0, "other").otherwise("memory.hybrid").alias("logical_name"),
+        F.when(i == 9, "building").when(i % 4 == 3, "retired").otherwise("active").alias("status"),
+    )
+
+
+def memory_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chunk for each document; those whose id is a vector's id too have an embedding."""
+    d = F.col("doc_id")
+    rows = read(spark, sf_dir, "documents").select(d.alias("chunk_id"), d.alias("memory_id"), (d % 10).alias("index_version_id"), F.when(d % 9 == 0, "parent").otherwise("child").alias("chunk_level"), F.col("source").alias("source_type"), F.col("text").alias("content"))
+    return rows.join(read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), "chunk_id", "left")
+
+
 def memory_acl(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("memory_id"))
     grant = lambda n, kind, who, what: F.when(F.col("memory_id") % n == 0, F.struct(F.lit(kind).alias("principal_type"), F.lit(who).alias("principal_id"), F.lit(what).alias("permission")))
