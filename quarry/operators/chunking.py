@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import accumulate, groupby
+from operator import itemgetter
 from typing import Any
 
 import pandas as pd
@@ -103,17 +105,22 @@ def contextual(text: str, label: str = "", least: int = 120, most: int = 700) ->
 
 
 def whole_or_paragraphs(text: str, most: int = 6000, least: int = 200) -> list[str]:
-    """The prototype's chunker: short texts whole; else paragraphs until the next would pass `most` and `least` is reached."""
+    """The prototype's chunker: short texts whole; of others, runs of paragraphs.
+
+    A run ends before the paragraph that would take its text past `most`, but never while it holds fewer than `least` characters.
+    Where runs end follows from the paragraphs' lengths alone, so those are folded first and the text is cut afterwards.
+    """
     if len(text) <= most:
         return [text]
-    out, held = [], ""
-    for p in text.split("\n\n"):
-        if len(held) >= least and len(held) + len(p) > most:
-            out.append(held)
-            held = p
-        else:
-            held = (held + "\n\n" + p).strip()
-    return out + [held] if held else out
+    paragraphs = [p for p in text.split("\n\n") if p.strip()]
+
+    def place(state: tuple[int, int], size: int) -> tuple[int, int]:
+        run, length = state
+        return (run + 1, size) if least <= length and length + size > most else (run, length + size + 2 * (length > 0))
+
+    runs = [run for run, _ in accumulate(map(len, paragraphs), place, initial=(0, 0))][1:]
+    joined = ("\n\n".join(p for _, p in own).strip() for _, own in groupby(zip(runs, paragraphs, strict=True), key=itemgetter(0)))
+    return [c for c in joined if c]
 
 
 def table(name: str, headers: list[str], rows: list[list[str]], most: int = TABLE_ROWS) -> list[Draft]:

@@ -19,6 +19,36 @@ EVOLUTION_RUN = {
     "rolled_back": {"outcome_recorded": "learned"},
     "needs_human": {"plan_approved": "executing", "plan_rejected": "rejected", "cancel": "canceled"},
 }
+#: The transitions of learning journeys, missions and plugin releases.
+JOURNEY = {
+    "onboarding": {"start_diagnosis": "diagnosing", "withdraw": "withdrawn"},
+    "diagnosing": {"complete_diagnosis": "planning", "withdraw": "withdrawn"},
+    "planning": {"activate_plan": "active", "wait_for_teacher": "waiting_teacher", "wait_for_consent": "waiting_consent", "withdraw": "withdrawn"},
+    "active": {"start_reflection": "reflecting", "pause": "paused", "wait_for_teacher": "waiting_teacher", "wait_for_consent": "waiting_consent", "withdraw": "withdrawn"},
+    "reflecting": {"schedule_delayed_review": "delayed_review", "withdraw": "withdrawn"},
+    "delayed_review": {"start_transfer": "transferring", "withdraw": "withdrawn"},
+    "transferring": {"complete_journey": "completed", "withdraw": "withdrawn"},
+    "paused": {"resume": "active", "withdraw": "withdrawn"},
+    "waiting_teacher": {"teacher_resolved": "active", "withdraw": "withdrawn"},
+    "waiting_consent": {"consent_granted": "active", "withdraw": "withdrawn"},
+}
+MISSION = {
+    "draft": {"mark_ready": "ready", "abandon": "abandoned"},
+    "ready": {"activate": "active", "abandon": "abandoned"},
+    "active": {"submit_for_assessment": "assessing", "request_support": "waiting_support", "abandon": "abandoned"},
+    "assessing": {"confirm_mastery": "mastered", "require_remediation": "remediation", "request_support": "waiting_support", "abandon": "abandoned"},
+    "remediation": {"retry": "active", "request_support": "waiting_support", "abandon": "abandoned"},
+    "waiting_support": {"support_resolved": "active", "abandon": "abandoned"},
+}
+PLUGIN_RELEASE = {
+    "proposed": {"sandbox_passed": "sandboxed", "sandbox_failed": "failed", "reject": "rejected"},
+    "sandboxed": {"verification_passed": "verified", "verification_failed": "failed"},
+    "verified": {"request_approval": "awaiting_approval"},
+    "awaiting_approval": {"approve": "canary", "reject": "rejected"},
+    "canary": {"canary_succeeded": "active", "canary_degraded": "rolled_back", "rollback": "rolled_back"},
+    "active": {"rollback": "rolled_back", "retire": "retired"},
+    "rolled_back": {"retire": "retired"},
+}
 ORDER = {"created": {"pay": "paid", "cancel": "closed"}, "paid": {"ship": "shipped", "refund": "refunding"}, "shipped": {"receive": "done", "refund": "refunding"}, "refunding": {"refunded": "closed"}}
 
 
@@ -101,3 +131,47 @@ def chain_breaks(transitions: DataFrame) -> DataFrame:
     w = W.Window.partitionBy("entity_id").orderBy("seq")
     rows = transitions.withColumn("_last", F.lag("to_version").over(w))
     return rows.where((F.col("to_version") != F.col("from_version") + 1) | (F.col("_last").isNotNull() & (F.col("_last") != F.col("from_version")))).drop("_last")
+
+
+#: The shares of traffic that a rollout goes through.
+CANARY_STAGES = (5, 50, 100)
+
+
+def due_plans(plans: DataFrame, now: str) -> DataFrame:
+    """plan_id, emergency, place: plans to start now. Emergencies in draft or scheduled come first; then scheduled ones whose time has come.
+
+    plans: plan_id, mode, status, scheduled_at.
+    """
+    emergency = (F.col("mode") == "emergency") & F.col("status").isin("draft", "scheduled")
+    due = (F.col("status") == "scheduled") & (F.col("scheduled_at") <= F.lit(now).cast("timestamp_ntz"))
+    rows = plans.where(emergency | due).select("plan_id", emergency.alias("emergency"), "scheduled_at")
+    return rows.withColumn("place", F.row_number().over(W.Window.partitionBy("emergency").orderBy("scheduled_at", "plan_id")).cast("long")).drop("scheduled_at")
+
+
+def rollouts(observations: DataFrame, stages: tuple[int, ...] = CANARY_STAGES) -> DataFrame:
+    """subject_id, share, outcome: how far a rollout came; it stops at the first stage that was observed as degraded.
+
+    observations: subject_id, share, ok. A stage without an observation is where the rollout stands (`observing`).
+    """
+    each = F.transform(F.array(*map(F.lit, stages)), lambda s: F.struct(s.alias("share"), F.try_element_at("seen", s).alias("ok")))
+    rows = observations.groupBy("subject_id", "share").agg(F.bool_and("ok").alias("ok")).groupBy("subject_id").agg(F.map_from_entries(F.collect_list(F.struct("share", "ok"))).alias("seen"))
+    stop = F.get(F.filter(each, lambda x: ~F.coalesce(x["ok"], F.lit(False))), 0)
+    return rows.withColumn("_s", stop).select("subject_id", F.coalesce(F.col("_s.share"), F.lit(stages[-1])).alias("share"), F.when(F.col("_s").isNull(), "released").when(F.col("_s.ok").isNull(), "observing").otherwise("rolled_back").alias("outcome"))
+
+
+def release_evidence(commands: DataFrame, sandboxes: DataFrame, verifications: DataFrame, canaries: DataFrame) -> DataFrame:
+    """release_id, event, allowed: whether the evidence that a transition of a release asks for is there.
+
+    commands: release_id, version, event; sandboxes: release_id, passed; verifications: release_id, version, passed; canaries:
+    release_id, decided_at, decision. Leaving the sandbox needs a passed run, verification one of this very version, and what ends a
+    canary needs the latest decision to say the same. Other events need nothing.
+    """
+    last = canaries.groupBy("release_id").agg(F.max_by("decision", "decided_at").alias("_decision"))
+    box = sandboxes.where("passed").select("release_id", F.lit(True).alias("_box")).distinct()
+    proof = verifications.where("passed").select("release_id", "version", F.lit(True).alias("_proof")).distinct()
+    rows = commands.join(box, "release_id", "left").join(proof, ["release_id", "version"], "left").join(last, "release_id", "left")
+    allowed = (
+        F.when(F.col("event") == "sandbox_passed", F.col("_box")).when(F.col("event") == "verification_passed", F.col("_proof"))
+        .when(F.col("event") == "canary_succeeded", F.col("_decision") == "promote").when(F.col("event") == "canary_degraded", F.col("_decision") == "rollback").otherwise(True)
+    )
+    return rows.select("release_id", "event", F.coalesce(allowed, F.lit(False)).alias("allowed"))

@@ -137,9 +137,10 @@ def active_memory_scan(spark, sf):
     return rows.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("documents"), F.min("memory_id").alias("first_id"), F.max("memory_id").alias("last_id"))
 
 
-@query()
+@query("mem", """WITH r AS (SELECT tenant_id, memory_id, sha256('{"updated_at":' || epoch_us(updated_at) || ',"memory_id":' || memory_id || ',"version":' || version || ',"digest":"sha256:' || sha256(text) || '"}') AS h FROM mem WHERE status = 'active'),
+    b AS (SELECT tenant_id, memory_id // 4096 AS b, sha256(string_agg(h, '' ORDER BY memory_id)) AS h, count(*) AS n FROM r GROUP BY ALL) SELECT tenant_id, sha256(string_agg(h, '' ORDER BY b)) AS watermark, CAST(sum(n) AS BIGINT) AS documents FROM b GROUP BY tenant_id""")
 def source_watermark(spark, sf):
-    rows = L.memory_record(spark, sf).where("status = 'active'").select("tenant_id", "memory_id", "version", T.digest(F.col("text")).alias("digest"))
+    rows = L.memory_record(spark, sf).where("status = 'active'").select("tenant_id", "updated_at", "memory_id", "version", T.digest(F.col("text")).alias("digest"))
     return parsers.watermark(rows)
 
 

@@ -411,3 +411,64 @@ def degraded_chunks(spark, sf):
     docs = L.read(spark, sf, "documents").select(F.col("doc_id").alias("memory_id"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
     rows = documents.degraded_chunks(chunking.paragraphs(docs, 1 << 20), "table", F.lit("E1"))
     return rows.where("locator['parser_mode'] = 'degraded' and locator['parser_diagnostic'] = 'E1'").groupBy("memory_id", F.col("locator")["expected_structure"].alias("expected")).agg(F.count(F.lit(1)).alias("chunks"))
+
+
+# --- machines, plans, releases ---
+
+
+def _replay(name: str, machine: dict, start: str):
+    """Registers the replay of a machine over events made by rule: each order's lines, an event of the machine each."""
+    events = sorted({e for out in machine.values() for e in out})
+    table = ", ".join(f"('{a}|{e}', '{b}')" for a, out in machine.items() for e, b in out.items())
+    body = f"""WITH RECURSIVE m(k, nxt) AS (VALUES {table}), e AS (SELECT l_orderkey AS entity_id, {events}[CAST((l_linenumber * 5 + l_orderkey) % {len(events)} + 1 AS BIGINT)] AS event,
+        row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS n FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)),
+        w AS (SELECT DISTINCT entity_id, CAST(0 AS BIGINT) AS n, '{start}' AS state, CAST(0 AS BIGINT) AS version, CAST(0 AS BIGINT) AS illegal FROM e
+        UNION ALL SELECT w.entity_id, e.n, coalesce(m.nxt, w.state), w.version + CASE WHEN m.nxt IS NULL THEN 0 ELSE 1 END, w.illegal + CASE WHEN m.nxt IS NULL THEN 1 ELSE 0 END FROM w JOIN e ON e.entity_id = w.entity_id AND e.n = w.n + 1 LEFT JOIN m ON m.k = w.state || '|' || e.event)
+        SELECT entity_id, state, version, illegal FROM w QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY n DESC) = 1"""
+
+    def run(spark, sf):
+        li = L.read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+        at = ((F.col("l_linenumber") * 5 + F.col("l_orderkey")) % len(events) + 1).cast("int")
+        rows = li.select(F.col("l_orderkey").alias("entity_id"), F.col("l_linenumber").cast("long").alias("event_id"), F.element_at(F.array(*map(F.lit, events)), at).alias("event"), F.lit(None).cast("long").alias("expected_version"), F.col("l_linenumber").cast("long").alias("seq"))
+        return lifecycle.replay(rows, machine, start).select("entity_id", "state", "version", "illegal")
+
+    run.__name__ = name
+    query("", body)(run)
+
+
+_replay("evolution_replay", lifecycle.EVOLUTION_RUN, "observed")
+_replay("journey_replay", lifecycle.JOURNEY, "onboarding")
+_replay("mission_replay", lifecycle.MISSION, "draft")
+_replay("release_replay", lifecycle.PLUGIN_RELEASE, "proposed")
+
+
+@query("", "WITH p AS (SELECT o_orderkey AS plan_id, o_orderpriority = '1-URGENT' AS e, CASE o_orderkey % 4 WHEN 0 THEN 'draft' WHEN 1 THEN 'scheduled' WHEN 2 THEN 'scheduled' ELSE 'done' END AS status, o_orderdate AS t FROM orders), d AS (SELECT plan_id, t, e AND status IN ('draft', 'scheduled') AS emergency, status = 'scheduled' AND t <= TIMESTAMP '1998-01-01' AS due FROM p) SELECT plan_id, emergency, row_number() OVER (PARTITION BY emergency ORDER BY t, plan_id) AS place FROM d WHERE emergency OR due")
+def upgrade_plan_schedule(spark, sf):
+    k = F.col("o_orderkey") % 4
+    rows = L.read(spark, sf, "orders").select(F.col("o_orderkey").alias("plan_id"), F.when(F.col("o_orderpriority") == "1-URGENT", "emergency").otherwise("batch").alias("mode"), F.when(k == 0, "draft").when(k < 3, "scheduled").otherwise("done").alias("status"), F.col("o_orderdate").alias("scheduled_at"))
+    return lifecycle.due_plans(rows, NOW)
+
+
+@query("", "WITH o AS (SELECT c_custkey AS subject_id, s AS share, c_custkey % (s + 2) <> 1 AS ok FROM customer, (VALUES (5), (50), (100)) t(s) WHERE NOT (s = 100 AND c_custkey % 4 = 0)), b AS (SELECT subject_id, min(share) FILTER (NOT ok) AS bad, count(*) FILTER (share = 100) AS full_ FROM o GROUP BY subject_id) SELECT subject_id, coalesce(bad, 100) AS share, CASE WHEN bad IS NOT NULL THEN 'rolled_back' WHEN full_ = 0 THEN 'observing' ELSE 'released' END AS outcome FROM b")
+def canary_rollouts(spark, sf):
+    s = F.col("share")
+    rows = L.read(spark, sf, "customer").select(F.col("c_custkey").alias("subject_id"), F.explode(F.array(*map(F.lit, lifecycle.CANARY_STAGES))).alias("share")).where(~((s == 100) & (F.col("subject_id") % 4 == 0)))
+    return lifecycle.rollouts(rows.withColumn("ok", F.col("subject_id") % (s + 2) != 1))
+
+
+@query("", "WITH c AS (SELECT p_partkey AS release_id, p_size % 3 AS version, ['sandbox_passed', 'verification_passed', 'canary_succeeded', 'canary_degraded', 'retire'][CAST(p_partkey % 5 + 1 AS BIGINT)] AS event FROM part), d AS (SELECT l_partkey AS release_id, arg_max(CASE WHEN l_linestatus = 'O' THEN 'promote' ELSE 'rollback' END, l_shipdate::VARCHAR || l_orderkey || '.' || l_linenumber) AS decision FROM lineitem GROUP BY 1) SELECT c.release_id, event, CASE event WHEN 'sandbox_passed' THEN c.release_id % 3 = 0 WHEN 'verification_passed' THEN c.release_id % 4 = 0 AND version = 1 WHEN 'canary_succeeded' THEN coalesce(decision = 'promote', FALSE) WHEN 'canary_degraded' THEN coalesce(decision = 'rollback', FALSE) ELSE TRUE END AS allowed FROM c LEFT JOIN d USING (release_id)")
+def release_evidence(spark, sf):
+    k = F.col("p_partkey")
+    part = L.read(spark, sf, "part")
+    names = ("sandbox_passed", "verification_passed", "canary_succeeded", "canary_degraded", "retire")
+    commands = part.select(k.alias("release_id"), (F.col("p_size") % 3).alias("version"), F.element_at(F.array(*map(F.lit, names)), (k % 5 + 1).cast("int")).alias("event"))
+    runs = part.select(k.alias("release_id"), (k % 3 == 0).alias("passed"))
+    proofs = part.select(k.alias("release_id"), F.lit(1).alias("version"), (k % 4 == 0).alias("passed"))
+    at = F.concat(L.s("l_shipdate"), L.s("l_orderkey"), F.lit("."), L.s("l_linenumber"))
+    decisions = L.read(spark, sf, "lineitem").select(F.col("l_partkey").alias("release_id"), at.alias("decided_at"), F.when(F.col("l_linestatus") == "O", "promote").otherwise("rollback").alias("decision"))
+    return lifecycle.release_evidence(commands, runs, proofs, decisions)
+
+
+@query("", "SELECT event_id FROM events WHERE json_contains(props, '{\"k\": 7}')")
+def json_containment(spark, sf):
+    return L.read(spark, sf, "events").where(T.json_contains(F.col("props"), {"k": 7})).select("event_id")

@@ -191,6 +191,6 @@ def watermark(scan: DataFrame) -> DataFrame:
 
     Rows are hashed first and combined in blocks of ids, so the list that meets in one task is one hash a block.
     """
-    row = F.sha2(F.to_json(F.struct("memory_id", "version", "digest")), 256)
+    row = F.sha2(F.to_json(F.struct(F.unix_micros(F.col("updated_at").cast("timestamp")).alias("updated_at"), "memory_id", "version", "digest")), 256)
     blocks = scan.groupBy("tenant_id", F.floor(F.col("memory_id") / 4096).alias("_b")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("memory_id", row.alias("h")))), lambda x: x["h"]), ""), 256).alias("h"), F.count(F.lit(1)).alias("n"))
     return blocks.groupBy("tenant_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_b", "h"))), lambda x: x["h"]), ""), 256).alias("watermark"), F.sum("n").alias("documents"))
