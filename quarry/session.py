@@ -30,6 +30,8 @@ def scratch_dir(spark: SparkSession) -> str:
     """The folder all executors share, as spark.checkpoint.dir names it; one of our own only where that is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not named and not held.isDefined() and not (spark.sparkContext.master + "[").startswith("local["):
+        raise RuntimeError("on a cluster, spark.checkpoint.dir has to name a folder that all executors share")
     if not held.isDefined():
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="quarry-"))
     return named or spark.sparkContext._jsc.sc().getCheckpointDir().get()
