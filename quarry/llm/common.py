@@ -26,6 +26,8 @@ def scratch_dir(spark: SparkSession) -> str:
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
+    if not (spark.sparkContext.master + "[").startswith("local["):
+        raise RuntimeError("on a cluster, spark.checkpoint.dir has to name a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 

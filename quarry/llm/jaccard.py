@@ -12,8 +12,9 @@ Distances are Jaccard distances of the documents' sets of distinct word shingles
 2. Within a region, the set with the smallest share of shingles of its own is the pivot; all members are compared with it, exactly.
    Members within the radius are one class with it.
 3. What is left joins recursively: a region whose members are in different classes gets a new pivot from those outside its largest
-   class; after `rounds` pivots, the members outside the largest class are compared with members of other classes, except
-   pairs that sizes, positions in the order or the triangle inequality over the distances to the pivot rule out.
+   class, until no more than `LEAF` members of any region are outside, or a round no longer takes a tenth of them in. Then the members outside
+   the largest class are compared with members of other classes, except pairs that sizes, positions in the order or the triangle
+   inequality over the distances to the pivot rule out. Every pair is ruled out by a bound or compared, whenever the recursion ends.
 
 Shingle counts come from one exchange between blocks of documents: each block asks about each of its shingles once, with the number of
 its documents that have it, and is told the sum. Equal shingle sets are one point of the space and are represented by the smallest
@@ -26,6 +27,7 @@ Rows without doc_id are left out. Extra columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from math import ceil
 
@@ -38,7 +40,7 @@ from . import kernel as K
 from .common import asked, blocks, drop, parts_of, spool, together
 from .graph import components
 
-WORDS, NUM, DEN = 5, 75, 100
+WORDS, NUM, DEN, LEAF = 5, 75, 100, 256
 
 
 def shingle_sets(w: K.Words, words: int) -> list[np.ndarray]:
@@ -167,7 +169,7 @@ def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(x, "x").join(p, "p").select("x", "p", "nx", "np", F.size(F.array_intersect("sx", "sp")).cast("long").alias("inter"))
 
 
-def link_classes(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, rounds: int = 2) -> DataFrame:
+def link_classes(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, leaf: int = LEAF) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id that links reach, itself included."""
     pts = points(docs, words, num, den)
     able = pts.where("shared is not null")
@@ -178,7 +180,8 @@ def link_classes(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int =
     post = spool(post.join(busy, "v"), "regions").withColumn("label", F.col("doc_id"))
     known = links = None
     fits = lambda a, b: _linked(F.least(a["n"], b["n"]), a["n"], b["n"], num, den) & _linked(F.least(a["n"] - a["at"], b["n"] - b["at"]), a["n"], b["n"], num, den)
-    for r in range(rounds):
+    before = None
+    for r in itertools.count():
         # what is outside a region's largest class, and the pivot among it
         left = post if r == 0 else _outside(post)
         pivot = left.groupBy("v").agg(F.min(F.struct("apart", "doc_id", "n", "at", "label")).alias("c")).select("v", F.col("c.doc_id").alias("p"), F.col("c.n").alias("n"), F.col("c.at").alias("at"), F.col("c.label").alias("label"))
@@ -189,7 +192,12 @@ def link_classes(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int =
         known = found if known is None else known.unionByName(found)
         links = known.where(_linked(F.col("inter"), F.col("nx"), F.col("np"), num, den)).select("x", "p")
         labels = components(links)
-        post = spool(post.drop("label").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")).select("v", "doc_id", "n", "at", "short", "apart", "label"), f"regions{r}")
+        was, post = post, spool(post.drop("label").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")).select("v", "doc_id", "n", "at", "short", "apart", "label"), f"regions{r}")
+        drop(was) if r else None
+        most, outside = _outside(post).groupBy("v").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
+        if (most or 0) <= leaf or (before is not None and outside > 0.9 * before):
+            break
+        before = outside
     # exact rest: pairs of different classes of a region, one of them outside the largest class
     home = known.groupBy("x").agg(F.min(F.struct((1 - F.col("inter") / (F.col("nx") + F.col("np") - F.col("inter"))).alias("d"), "p")).alias("c")).select(F.col("x").alias("doc_id"), F.col("c.p").alias("p"), F.col("c.d").alias("d"))
     placed = post.join(home, "doc_id", "left")

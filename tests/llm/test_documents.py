@@ -106,6 +106,7 @@ def test_equal_hashes_are_told_apart_by_64_more_bits(docs, monkeypatch):
 
 def test_jaccard(docs):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link_classes(docs).collect()}
+    assert got == {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link_classes(docs, leaf=0).collect()}  # as deep as it goes
     sets = {}
     for r in docs.select("doc_id", "text").collect():
         w = (r.text or "").encode().lower().split()
@@ -128,6 +129,41 @@ def test_jaccard(docs):
     assert len({c for _, c in got.values()}) < len(ids) - 10
 
 
+def test_jaccard_where_all_share_a_passage(spark):
+    """One passage in every document, links near the threshold and chains of them: no link is lost, and the passage links nothing by itself."""
+    rng = random.Random(31)
+    passage = [f"p{k}" for k in range(40)]
+    docs = []
+    for g in range(25):
+        base = [f"g{g}w{k}" for k in range(rng.randrange(60, 160))]
+        for _ in range(rng.randrange(1, 6)):
+            w = base[:]
+            for _ in range(rng.randrange(0, 5)):
+                w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+            docs.append((len(docs) * 3 + 1, " ".join(passage + w if rng.random() < 0.5 else w[:9] + passage + w[9:])))
+    docs += [(1000 + k, " ".join(passage + [f"s{k}"])) for k in range(12)]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in docs}
+    up = {i: i for i in sets}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    close = 0
+    for x in sorted(sets):
+        for y in sorted(sets):
+            o, u = len(sets[x] & sets[y]), len(sets[x] | sets[y])
+            if x < y and 100 * o >= 75 * u:
+                close += 100 * o < 85 * u
+                a, b = sorted((root(x), root(y)))
+                up[b] = a
+    assert close >= 10
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    for leaf in (0, 256):
+        assert {r.doc_id: r.component_id for r in jaccard.link_classes(df, leaf=leaf).collect()} == {i: root(i) for i in sets}
+
+
 def test_jaccard_of_repeated_ids(spark):
     rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g"), (3, "q r s t u v"), (3, "x"), (4, "x"), (5, "q r s t u v")]
     got = jaccard.link_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
