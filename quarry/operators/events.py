@@ -61,3 +61,18 @@ def bounded(events: DataFrame, cap: int) -> DataFrame:
     w = W.Window.partitionBy("subject_id").orderBy("occurred_from", "event_id")
     rows = events.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= cap + 1)
     return rows.groupBy("subject_id").agg(F.least(F.count(F.lit(1)), F.lit(cap)).alias("returned"), (F.count(F.lit(1)) > cap).alias("truncated"))
+
+
+def first_and_last_of_bounded(events: DataFrame, cap: int) -> DataFrame:
+    """first_and_last over the first `cap` rows of each subject. Where there were more, the last event is not known and stays null."""
+    w = W.Window.partitionBy("subject_id").orderBy("occurred_from", "event_id")
+    rows = events.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= cap + 1)
+    more = rows.groupBy("subject_id").agg((F.max("_n") > cap).alias("truncated"))
+    out = first_and_last(rows.where(F.col("_n") <= cap).drop("_n")).join(more, "subject_id")
+    known = lambda c: F.when(~F.col("truncated"), F.col(c)).alias(c)
+    return out.select("subject_id", "event_type", "first_at", "first_event_id", known("last_at"), known("last_event_id"), "truncated")
+
+
+def event_types(events: DataFrame, limit: int = 200) -> DataFrame:
+    """The event types that there are, in order, at most `limit` (the limit is the feature)."""
+    return events.select("event_type").distinct().orderBy("event_type").limit(limit)

@@ -52,6 +52,20 @@ def incidents(found: DataFrame, keys: list[str]) -> DataFrame:
     return found.groupBy(*keys).agg(F.min("occurred_from").alias("first_seen"), F.max("occurred_from").alias("last_seen"), F.count(F.lit(1)).alias("occurrences")).withColumn("incident_id", F.concat(F.lit("incident."), F.substring(F.sha2(text, 256), 1, 24)))
 
 
+def merge_incidents(stored: DataFrame, found: DataFrame) -> DataFrame:
+    """Incidents after new observations: last_seen and occurrences go on, and a resolved one that is seen again is open again.
+
+    stored: incident_id, status (open, resolved), last_seen, occurrences; found: the same without status, as incidents() gives it.
+    """
+    new = found.select("incident_id", F.col("last_seen").alias("_seen"), F.col("occurrences").alias("_n"))
+    rows = stored.join(new, "incident_id", "full")
+    status = F.when(F.col("_n").isNotNull(), "open").otherwise(F.col("status"))
+    return rows.select(
+        "incident_id", status.alias("status"), F.greatest("last_seen", "_seen").alias("last_seen"), (F.coalesce("occurrences", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("occurrences"),
+        F.coalesce((F.col("status") == "resolved") & F.col("_n").isNotNull(), F.lit(False)).alias("reopened"),
+    )
+
+
 #: What follows from each violation.
 VIOLATIONS = {"hop_limit": ("high", "needs_human", "run"), "budget_exhausted": ("high", "needs_human", "run"), "task_repetition": ("medium", "reject", None)}
 MAX_HOPS, MAX_TASKS = 8, 32

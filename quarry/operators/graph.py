@@ -76,6 +76,14 @@ def waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return rest if out is None else out.unionByName(rest)
 
 
+def run_states(nodes: DataFrame, edges: DataFrame, failed: DataFrame) -> DataFrame:
+    """node, state of an execution in waves: failed as given, skipped if it depends on a failed one through any others, else done."""
+    bad = failed.select("node").distinct()
+    below = reachable(edges.select("parent", "child"), bad).select("node").distinct()
+    rows = nodes.select("node").distinct().join(bad.withColumn("_f", F.lit(True)), "node", "left").join(below.withColumn("_s", F.lit(True)), "node", "left")
+    return rows.select("node", F.when(F.col("_s"), "skipped").when(F.col("_f"), "failed").otherwise("done").alias("state"))
+
+
 def dependencies_by_file(items: DataFrame) -> DataFrame:
     """items: item_id, files. Each item depends on the item before it that touches the same file."""
     w = W.Window.partitionBy("file").orderBy("item_id")

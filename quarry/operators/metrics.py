@@ -117,6 +117,31 @@ def weighted_total(scores: DataFrame, weights: DataFrame) -> DataFrame:
     return rows.groupBy("subject_id").agg(F.round(F.sum(F.col("score") * F.col("weight")) / F.sum("weight"), 6).alias("total"), F.count(F.lit(1)).alias("tiers"))
 
 
+def citation_match_rate(expected: DataFrame, hits: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """case_id, score, passed: the share of expected citations (case_id, artifact_id, digest) that some hit of the case carries."""
+    of = ["case_id", "artifact_id", "digest"]
+    met = expected.select(*of).distinct().join(hits.select(*of).distinct().withColumn("_in", F.lit(1)), of, "left")
+    score = F.round(F.count("_in") / F.count(F.lit(1)), 6)
+    return met.groupBy("case_id").agg(score.alias("score")).withColumn("passed", F.col("score") >= threshold)
+
+
+def sample_rows(rows: DataFrame, key: str, every: int) -> DataFrame:
+    """Every n-th row in the order of the key, whatever the keys are; sampling is the feature.
+
+    Sorted rows are numbered inside their partitions, and each partition's rows before it are added (a row for each partition).
+    """
+    from pyspark.sql import window as W
+
+    from quarry.session import cut
+
+    done = cut(rows.orderBy(key).withColumn("_m", F.monotonically_increasing_id()))
+    part = F.shiftright("_m", 33).alias("_part")
+    sizes = done.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(W.Window.orderBy("_part").rowsBetween(W.Window.unboundedPreceding, 0)) - F.col("_n")).drop("_n")
+    placed = done.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn("_at", F.col("_before") + F.col("_m").bitwiseAND((1 << 33) - 1))
+    return placed.where(F.col("_at") % every == 0).drop("_m", "_part", "_before", "_at")
+
+
 def sample_every(rows: DataFrame, key: str, every: int) -> DataFrame:
     """Every n-th row by the order of a dense integer key; sampling is the feature."""
     return rows.where(F.col(key) % every == 0)

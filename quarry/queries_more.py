@@ -472,3 +472,77 @@ def release_evidence(spark, sf):
 @query("", "SELECT event_id FROM events WHERE json_contains(props, '{\"k\": 7}')")
 def json_containment(spark, sf):
     return L.read(spark, sf, "events").where(T.json_contains(F.col("props"), {"k": 7})).select("event_id")
+
+
+# --- further rules ---
+
+
+@query("se", "WITH f AS (SELECT subject_id, event_type, max(occurred_from) AS seen, count(*) AS n FROM se GROUP BY ALL), i AS (SELECT 'incident.' || substr(sha256(subject_id || ':' || event_type), 1, 24) AS incident_id, * FROM f), st AS (SELECT incident_id, CASE WHEN CAST(subject_id AS BIGINT) % 3 = 0 THEN 'resolved' ELSE 'open' END AS status, TIMESTAMP '2024-01-01' AS last_seen, CAST(5 AS BIGINT) AS occurrences FROM i WHERE CAST(subject_id AS BIGINT) % 2 = 0), nw AS (SELECT * FROM i WHERE CAST(subject_id AS BIGINT) % 5 <> 0) SELECT coalesce(st.incident_id, nw.incident_id) AS incident_id, CASE WHEN nw.n IS NOT NULL THEN 'open' ELSE status END AS status, greatest(st.last_seen, nw.seen) AS last_seen, coalesce(occurrences, 0) + coalesce(nw.n, 0) AS occurrences, coalesce(status = 'resolved' AND nw.n IS NOT NULL, FALSE) AS reopened FROM st FULL JOIN nw ON st.incident_id = nw.incident_id")
+def incident_merge(spark, sf):
+    from quarry.operators import governance
+
+    found = governance.incidents(L.structured_event(spark, sf), ["subject_id", "event_type"])
+    k = F.col("subject_id").cast("long")
+    stored = found.where(k % 2 == 0).select("incident_id", F.when(k % 3 == 0, "resolved").otherwise("open").alias("status"), F.lit("2024-01-01").cast("timestamp_ntz").alias("last_seen"), F.lit(5).cast("long").alias("occurrences"))
+    return governance.merge_incidents(stored, found.where(k % 5 != 0))
+
+
+@query("vis", "WITH n AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY occurred_from, event_id) AS n FROM vis), t AS (SELECT subject_id, max(n) > 40 AS truncated FROM n GROUP BY subject_id), r AS (SELECT * FROM n WHERE n <= 40 AND conflict_status = 'none' QUALIFY row_number() OVER (PARTITION BY dedupe_key ORDER BY occurred_from, event_id) = 1) SELECT subject_id, event_type, min(occurred_from) AS first_at, arg_min(event_id, (occurred_from, event_id)) AS first_event_id, CASE WHEN NOT truncated THEN max(occurred_from) END AS last_at, CASE WHEN NOT truncated THEN arg_max(event_id, (occurred_from, event_id)) END AS last_event_id, truncated FROM r JOIN t USING (subject_id) GROUP BY subject_id, event_type, truncated")
+def bounded_first_last(spark, sf):
+    from quarry.operators import events
+
+    return events.first_and_last_of_bounded(vis.readable_facts(L.structured_event(spark, sf), ME), 40)
+
+
+@query("vis", "SELECT DISTINCT event_type FROM vis ORDER BY event_type LIMIT 3")
+def event_type_list(spark, sf):
+    from quarry.operators import events
+
+    return events.event_types(vis.readable_facts(L.structured_event(spark, sf), ME), 3)
+
+
+@query("", "WITH RECURSIVE d AS (SELECT CAST(o_orderkey AS BIGINT) AS child, CAST(o_orderkey // 2 AS BIGINT) AS parent FROM orders), b AS (SELECT child AS node FROM d WHERE child % 97 = 5), s AS (SELECT DISTINCT d.child AS node FROM d JOIN b ON d.parent = b.node UNION SELECT d.child FROM d JOIN s ON d.parent = s.node) SELECT child AS node, CASE WHEN child IN (SELECT node FROM s) THEN 'skipped' WHEN child % 97 = 5 THEN 'failed' ELSE 'done' END AS state FROM d")
+def execution_states(spark, sf):
+    """Each order depends on the one of half its number."""
+    from quarry.operators import graph
+
+    k = F.col("o_orderkey").cast("long")
+    orders = L.read(spark, sf, "orders")
+    return graph.run_states(orders.select(k.alias("node")), orders.select(F.expr("o_orderkey div 2").alias("parent"), k.alias("child")), orders.where(k % 97 == 5).select(k.alias("node")))
+
+
+@query("", "WITH e AS (SELECT doc_id % 40 AS case_id, doc_id AS artifact_id, md5(text) AS digest FROM documents), h AS (SELECT case_id, artifact_id, CASE WHEN artifact_id % 7 = 0 THEN 'changed' ELSE digest END AS digest FROM e WHERE artifact_id % 5 <> 0) SELECT case_id, round(count(h.case_id) / count(*), 6) AS score, round(count(h.case_id) / count(*), 6) >= 0.9 AS passed FROM e LEFT JOIN h USING (case_id, artifact_id, digest) GROUP BY case_id")
+def citation_probe(spark, sf):
+    from quarry.operators import metrics
+
+    k = F.col("artifact_id")
+    rows = L.read(spark, sf, "documents").select((F.col("doc_id") % 40).alias("case_id"), F.col("doc_id").alias("artifact_id"), F.md5("text").alias("digest"))
+    return metrics.citation_match_rate(rows, rows.where(k % 5 != 0).withColumn("digest", F.when(k % 7 == 0, "changed").otherwise(F.col("digest"))))
+
+
+@query("", "SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS n FROM orders) WHERE n % 7 = 0")
+def row_sampling(spark, sf):
+    from quarry.operators import metrics
+
+    return metrics.sample_rows(L.read(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 7)
+
+
+@query("", "WITH p AS (SELECT DISTINCT c_custkey % 40 AS doc, c_nationkey % 6 + 1 AS page FROM customer), n AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY page) AS n FROM p) SELECT doc, min(n) AS first_missing FROM n WHERE page <> n GROUP BY doc UNION ALL SELECT 1000, 1 FROM region WHERE r_regionkey = 0")
+def page_gaps(spark, sf):
+    from quarry.sources import parsers
+
+    k = F.col("c_custkey")
+    rows = L.read(spark, sf, "customer").select((k % 40).alias("doc"), (F.col("c_nationkey") % 6 + 1).alias("page"))
+    return parsers.page_gaps(rows.unionByName(L.read(spark, sf, "region").where("r_regionkey = 0").select(F.lit(1000).alias("doc"), F.lit(3).alias("page"))))
+
+
+@query("", "SELECT doc_id AS memory_id, CAST(CASE WHEN doc_id % 5 IN (0, 3) THEN 3 WHEN doc_id % 5 = 4 THEN 3 ELSE 0 END AS BIGINT) AS n_columns, CAST(CASE doc_id % 5 WHEN 0 THEN 1 WHEN 3 THEN 2 WHEN 4 THEN 0 ELSE 0 END AS BIGINT) AS n_rows, CASE doc_id % 5 WHEN 1 THEN 'headers must be unique and not empty' WHEN 2 THEN 'row 2 has 2 cells, not 3' END AS error FROM documents")
+def csv_documents(spark, sf):
+    """Every document's text as a quoted cell, line ends and quotes and all."""
+    from quarry.sources import parsers
+
+    k = F.col("doc_id") % 5
+    cell = F.concat(F.lit('"'), F.replace(F.substring("text", 1, 30000), F.lit('"'), F.lit('""')), F.lit('"'))
+    row = F.concat_ws(",", L.s("doc_id"), cell, F.col("lang"))
+    text = F.when(k == 0, F.concat(F.lit("\ufeffid,text,lang\n"), row, F.lit("\n\n"))).when(k == 1, F.concat(F.lit("id,Text,text\n"), row)).when(k == 2, F.concat(F.lit("id,text,lang\n1,2\n"))).when(k == 3, F.concat(F.lit("id,text,lang\r\n"), row, F.lit("\r\n"), row)).otherwise(F.lit("id,text,lang\n"))
+    return parsers.csv_tables(L.read(spark, sf, "documents").select(F.col("doc_id").alias("memory_id"), text.alias("text")))

@@ -165,11 +165,38 @@ def layout_errors(regions: DataFrame) -> DataFrame:
     return own.unionByName(twice).groupBy("doc", "error").agg(F.count(F.lit(1)).alias("n"))
 
 
+def page_gaps(regions: DataFrame) -> DataFrame:
+    """doc, first_missing: documents whose pages (doc, page) are not 1, 2, 3, ... without a gap."""
+    each = regions.select("doc", "page").distinct().withColumn("_n", F.row_number().over(W.Window.partitionBy("doc").orderBy("page")))
+    return each.where("page <> _n").groupBy("doc").agg(F.min("_n").cast("long").alias("first_missing"))
+
+
+WORKBOOK = "path string, sheet string, n_columns long, n_rows long, error string"
+
+
+def workbooks(spark: SparkSession, path: str) -> DataFrame:
+    """path, sheet, n_columns, n_rows, error of the workbooks below a path; one that cannot be read is one row with an error."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for where, data in zip(pdf["path"], pdf["content"], strict=True):
+                try:
+                    rows += [(where, name, len(headers), len(body), None) for name, headers, body in workbook_tables(bytes(data))]
+                except (ValueError, KeyError, zipfile.BadZipFile, ElementTree.ParseError) as e:
+                    rows.append((where, None, 0, 0, str(e)[:200]))
+            yield pd.DataFrame(rows, columns=["path", "sheet", "n_columns", "n_rows", "error"])
+
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInPandas(run, WORKBOOK)
+
+
 def text_artifacts(spark: SparkSession, path: str, cited: DataFrame, most: int = 10_000_000) -> DataFrame:
-    """Files as strict UTF-8 whose SHA-256 equals the citation (path, digest); others carry an error."""
-    files = spark.read.format("binaryFile").load(path).where(F.col("length") <= most).select("path", F.sha2("content", 256).alias("_sha"), F.try_validate_utf8(F.col("content").cast("string")).alias("text"))
-    rows = cited.join(files, "path", "left")
-    return rows.select("path", "text", F.when(F.col("_sha").isNull(), "missing").when(F.concat(F.lit("sha256:"), "_sha") != F.col("digest"), "digest").when(F.col("text").isNull(), "encoding").alias("error"))
+    """Files as strict UTF-8 whose SHA-256 equals the citation (path, digest); others carry an error, those over `most` bytes `too_large`."""
+    files = spark.read.format("binaryFile").load(path)
+    known = files.select("path", (F.col("length") > most).alias("_large"))
+    files = files.where(F.col("length") <= most).select("path", F.sha2("content", 256).alias("_sha"), F.try_validate_utf8(F.col("content").cast("string")).alias("text"))
+    rows = cited.join(known, "path", "left").join(files, "path", "left")
+    return rows.select("path", "text", F.when(F.col("_large"), "too_large").when(F.col("_sha").isNull(), "missing").when(F.concat(F.lit("sha256:"), "_sha") != F.col("digest"), "digest").when(F.col("text").isNull(), "encoding").alias("error"))
 
 
 def markdown_corpus(spark: SparkSession, path: str, most: int = 200_000, exclude: str = "/(node_modules|dist)/") -> DataFrame:

@@ -17,6 +17,12 @@ def mailbox(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).json(path)
 
 
+def drain(spark: SparkSession, path: str, schema: str, to: str, checkpoint: str) -> int:
+    """Moves what a mailbox holds and has not been drained yet to a Parquet table, once; how many messages are there now."""
+    mailbox(spark, path, schema).writeStream.format("parquet").option("path", to).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(to).count()
+
+
 def parquet_stream(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
     """A growing Parquet folder as a stream of at most `files` files a batch."""
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files).parquet(path)
