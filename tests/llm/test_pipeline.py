@@ -87,3 +87,30 @@ def test_near_duplicates_of_rows_without_or_with_the_same_doc_id(spark):
     got = corpus_pipeline.near_duplicate_stage(spark, docs, SF)
     assert got.columns == docs.columns
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(None, text(0)), (None, text(1)), (7, text(2)), (7, text(3)), (5, text(4)), (None, ""), (8, None)], key=str)
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows, columns that clash with the operators' own, and an empty table."""
+    words = lambda k, n: " ".join(f"w{k}x{j} and" for j in range(n)) + "."
+    rows = [(k, words(k, 40), "en", "s", 9, "clash", k, True) for k in range(60)]
+    rows += [(k, "!!! BUY NOW !!! " * 30, "en", "s", 9, "clash", k, True) for k in range(60, 90)]
+    rows += [(100, None, None, None, None, None, None, None), (101, "", "en", "s", 0, "", 0, False), (None, words(200, 40), "en", "s", 9, "x", 1, True), (None, None, None, None, None, None, None, None), (5, words(5, 40), "en", "s", 9, "clash", 5, True), (102, words(300, 30_000), "en", "s", 9, "x", 1, True), (103, words(400, 40) + " mail a.b@c.de", "en", "s", 9, "x", 1, True)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, part string, block long, shared boolean"
+    docs = spark.createDataFrame(rows, kind).repartition(3)
+    spark.createDataFrame([(k, int(k < 60), 0) for k in range(90)] + [(None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, words(7, 40)), (2, None), (None, words(8, 40)), (3, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for start in (docs, docs.limit(0)):
+        kept = start
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            after = stage(spark, kept, str(tmp_path))
+            assert after.columns == docs.columns and after.schema == docs.schema, name
+            kept = spark.createDataFrame(after.collect(), docs.schema)
+        got = kept.collect()
+        pieces = corpus_pipeline.STAGES[-1][1](spark, kept, str(tmp_path)).collect()
+        assert {p.doc_id for p in pieces} == {r.doc_id for r in got} - {None}
+        if start is docs:
+            ids = [r.doc_id for r in got]
+            assert ids.count(5) == 1 and 7 not in ids and 8 in ids and {102, 103} <= set(ids) and not {60, 75} & set(ids)
+            assert next(r.text for r in got if r.doc_id == 103).endswith("mail <EMAIL>") and any(r.doc_id is None and r.text for r in got)
+        else:
+            assert not got and not pieces
