@@ -254,3 +254,28 @@ def test_principals_see_only_live_versions(spark):
     versions = spark.createDataFrame([(1, "t1", "m", "active"), (2, "t2", "m", "active"), (3, "t1", "m", "retired"), (4, "t1", "other", "active")], "index_version_id long, tenant_id string, logical_name string, status string")
     chunks = spark.createDataFrame([(10 * v + m, m, v, level) for v in range(1, 5) for m in range(1, 4) for level in ("child", "parent")], "chunk_id long, memory_id long, index_version_id long, chunk_level string")
     assert {r.chunk_id for r in index.searchable(chunks, memories, acl, versions, me, "m").collect()} == {11, 12, 22}
+
+
+def test_gateway_from_end_to_end(spark):
+    from quarry import ports
+
+    text = {i: f"red{i % 3} blue word{i}" for i in range(30)} | {30: "green lantern"}
+    chunks = spark.createDataFrame([(i, t, 10, f"s{i % 4}", [f"e{i}"]) for i, t in text.items()], "chunk_id long, content string, token_count long, source_type string, entity_keys array<string>")
+    lexical = lambda q: retrieval.lexical(chunks, q.select("query_id", "query"), 50)
+    odd = lambda hits: hits.where("chunk_id % 2 = 1 or chunk_id = 30")
+
+    def down(_):
+        raise RuntimeError("down")
+
+    gate = ports.Gateway({"lexical": lexical, "down": down}, odd, chunks, rewriter=lambda q: q.select("query_id", F.lit("green lantern").alias("rewritten")), reranker=gateway.word_overlap, expander=lambda e: e.select("query_id", (F.col("chunk_id") + 2).alias("chunk_id")).unionByName(e.select("query_id", F.lit(0).cast("long").alias("chunk_id"))))
+    assert isinstance(lexical, ports.Retriever) and isinstance(odd, ports.Authoriser)
+    requests = spark.createDataFrame([(1, "red0 blue", "fact_lookup", "x", 1, 4000, 10), (2, "zzz", "fact_lookup", "x", 1, 4000, 10), (3, "red1 blue", "comparison", "x", 1, 4000, 10)], "query_id long, query string, intent string, agent_id string, entity_count long, token_budget long, chunk_tokens long")
+    found, packs = gate.answer(requests)
+    packs = {r.query_id: r for r in packs.collect()}
+    evidence = {(r.query_id, r.chunk_id) for r in found.collect()}
+    assert all(c % 2 == 1 or c == 30 for _, c in evidence) and (2, 30) in evidence
+    assert packs[1].fused > packs[1].authorized > 0 and packs[1].denied == packs[1].fused - packs[1].authorized
+    assert packs[1].status == "sufficient" and packs[1].generation_allowed and packs[2].fused == 1 and packs[2].status == "insufficient"
+    assert packs[3].status == "insufficient" and not packs[3].generation_allowed  # a comparison needs a structured answer
+    with_answer = ports.Gateway({"lexical": lexical}, odd, chunks, aggregator=lambda r: r.where("intent = 'comparison'").select("query_id", F.lit(0).alias("conflicts")))
+    assert {r.query_id: r.generation_allowed for r in with_answer.answer(requests)[1].collect()}[3]
