@@ -67,6 +67,15 @@ ORACLE_SQL: dict[str, str] = {
         removed AS (SELECT doc_id, list(k) AS ks FROM gone GROUP BY doc_id),
         kept AS (SELECT doc_id, len(ws) AS n_words, CASE WHEN ks IS NULL THEN ws ELSE list_filter(list_transform(range(1, len(ws) + 1), lambda k: CASE WHEN list_contains(ks, k) THEN NULL ELSE ws[k] END), lambda x: x IS NOT NULL) END AS left_words FROM w LEFT JOIN removed USING (doc_id))
         SELECT doc_id, n_words, n_words - len(left_words) AS n_removed, sha256(array_to_string(left_words, ' ')) AS kept_sha256 FROM kept""",
+    "op7_ngram_jaccard_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 4), ' ') AS gram FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both_ FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (SELECT x, y FROM o JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * both_ >= 75 * (a.n + b.n - both_)),
+        e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+        r AS (SELECT DISTINCT x AS node, x AS label FROM e UNION SELECT e.y, r.label FROM r JOIN e ON e.x = r.node WHERE r.label < e.y)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, doc_id) AS component_id FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT node AS doc_id, min(label) AS c FROM r GROUP BY node) USING (doc_id)""",
     "op10_exact_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
                    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
