@@ -45,22 +45,30 @@ def _width(n: int) -> int:
     return fit[-1] if fit else n
 
 
+STEP = 16384  # words whose bits are summed at once
+
+
+def fingerprints_of(h: np.ndarray, wanted: list[tuple[int, int]]) -> list[np.ndarray]:
+    """For each (width, stride): SimHash of the windows of `width` words at 0, stride, 2 stride, ...
+
+    Running sums of the words' bits serve all widths; they are taken over STEP words and the longest window at a time.
+    """
+    out: list[list[np.ndarray]] = [[] for _ in wanted]
+    longest = max((w for w, _ in wanted), default=0)
+    for i in range(0, len(h), STEP):
+        own = h[i : i + STEP + longest]
+        total = np.zeros((len(own) + 1, 64), np.int16)
+        total[1:] = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1)
+        np.add.accumulate(total, axis=0, out=total)
+        for k, (width, stride) in enumerate(wanted):
+            s = np.arange(-(-i // stride) * stride, min(i + STEP, len(h) - width + 1), stride) - i
+            if len(s):
+                out[k].append(np.packbits(total[s + width] - total[s] > width // 2, axis=1).view(K.U).ravel())
+    return [np.concatenate(o) if o else np.zeros(0, K.U) for o in out]
+
+
 def fingerprints(h: np.ndarray, width: int, stride: int) -> np.ndarray:
-    """SimHash of the windows of `width` words at 0, stride, 2 stride, ..."""
-    starts = np.arange(0, len(h) - width + 1, stride)
-    if not len(starts):
-        return np.zeros(0, K.U)
-    out = np.empty(len(starts), K.U)
-    step = max(1, 16384 // stride)
-    for i in range(0, len(starts), step):
-        s = starts[i : i + step]
-        own = h[s[0] : s[-1] + width]
-        bits = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1)
-        total = np.zeros((len(own) + 1, 64), np.int16 if len(own) < 30000 else np.int32)
-        np.cumsum(bits, axis=0, dtype=total.dtype, out=total[1:])
-        s = s - s[0]
-        out[i : i + step] = np.packbits(total[s + width] - total[s] > width // 2, axis=1).view(K.U).ravel()
-    return out
+    return fingerprints_of(h, [(width, stride)])[0]
 
 
 def _shingles(h: np.ndarray, words: int) -> np.ndarray:
@@ -134,8 +142,8 @@ class Index:
     def candidates(self, h: np.ndarray) -> dict[int, np.ndarray]:
         """For each width: rows of item, position in h at which the item would begin."""
         out = {}
-        for w, (stride, f, of, tables) in self.classes.items():
-            got = fingerprints(h, w, stride)
+        found = fingerprints_of(h, [(w, stride) for w, (stride, *_) in self.classes.items()])
+        for got, (w, (stride, f, of, tables)) in zip(found, self.classes.items(), strict=True):
             hits = []
             for b, (edge, order) in enumerate(tables):
                 key = ((got >> K.U(16 * b)) & K.U(0xFFFF)).astype(np.int64)
