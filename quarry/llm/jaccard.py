@@ -12,9 +12,10 @@ Distances are Jaccard distances of the documents' sets of distinct word shingles
 2. Within a region, the set with the smallest share of shingles of its own is the pivot; all members are compared with it, exactly.
    Members within the radius are one class with it.
 3. What is left joins recursively: a region whose members are in different classes gets a new pivot from those outside its largest
-   class, until no more than `LEAF` members of any region are outside, or a round no longer takes a tenth of them in. Then the members outside
-   the largest class are compared with members of other classes, except pairs that sizes, positions in the order or the triangle
-   inequality over the distances to the pivot rule out. Every pair is ruled out by a bound or compared, whenever the recursion ends.
+   class, until the pairs of a member outside with any other of its region are at most `LEAF` for each replica, all regions together, or a
+   round no longer takes a tenth of those outside in. Then the members outside the largest class are compared with members of other
+   classes, except pairs that sizes, positions in the order or the triangle inequality over the distances to the pivot rule out.
+   Every pair is ruled out by a bound or compared, whenever the recursion ends.
 
 Shingle counts come from one exchange between blocks of documents: each block asks about each of its shingles once, with the number of
 its documents that have it, and is told the sum. Equal shingle sets are one point of the space and are represented by the smallest
@@ -40,7 +41,7 @@ from . import kernel as K
 from .common import asked, blocks, drop, parts_of, spool, together
 from .graph import components
 
-WORDS, NUM, DEN, LEAF = 5, 75, 100, 256
+WORDS, NUM, DEN, LEAF = 5, 75, 100, 64
 
 
 def shingle_sets(w: K.Words, words: int) -> list[np.ndarray]:
@@ -194,8 +195,9 @@ def link_classes(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int =
         labels = components(links)
         was, post = post, spool(post.drop("label").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")).select("v", "doc_id", "n", "at", "short", "apart", "label"), f"regions{r}")
         drop(was) if r else None
-        most, outside = _outside(post).groupBy("v").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
-        if (most or 0) <= leaf or (before is not None and outside > 0.9 * before):
+        each = post.groupBy("v", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("v").agg(F.sum("m").alias("all"), F.max("m").alias("most"))
+        replicas, outside, pairs = each.agg(F.sum("all"), F.sum(F.col("all") - F.col("most")), F.sum(((F.col("all") - F.col("most")) * F.col("all")).cast("double"))).first()
+        if (pairs or 0) <= leaf * (replicas or 0) or (before is not None and outside > 0.9 * before):
             break
         before = outside
     # exact rest: pairs of different classes of a region, one of them outside the largest class

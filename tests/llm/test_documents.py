@@ -160,7 +160,7 @@ def test_jaccard_where_all_share_a_passage(spark):
                 up[b] = a
     assert close >= 10
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
-    for leaf in (0, 256):
+    for leaf in (0, 64):
         assert {r.doc_id: r.component_id for r in jaccard.link_classes(df, leaf=leaf).collect()} == {i: root(i) for i in sets}
 
 
