@@ -92,6 +92,34 @@ def admitted(requests: DataFrame, stock: DataFrame) -> DataFrame:
     return requests.withColumn("taken", F.sum("quantity").over(w)).join(stock, "item").withColumn("accepted", F.col("taken") <= F.col("stock"))
 
 
+def stock_tiers(requests: DataFrame, stock: DataFrame) -> DataFrame:
+    """Requests for one piece each (item, request_id), accepted in order while there is stock, and what each tier has to touch for it.
+
+    All tiers accept the same requests. The first asks the database about each; the second a counter; the third remembers once an item
+    is sold out, and then refuses without asking (`counter_asked` is false).
+    """
+    w = W.Window.partitionBy("item").orderBy("request_id")
+    place = F.row_number().over(w)
+    return requests.join(stock, "item").withColumn("_n", place).select("item", "request_id", (F.col("_n") <= F.col("stock")).alias("accepted"), (F.col("_n") <= F.greatest("stock", F.lit(0)) + 1).alias("counter_asked"))
+
+
+def pay_callbacks(orders: DataFrame, callbacks: DataFrame) -> DataFrame:
+    """callback_id, outcome. The first callback of a pending order pays it; more of them, or of a paid or done order, change nothing.
+
+    orders: out_trade_no, status; callbacks: callback_id, out_trade_no. A callback without an order is invalid; other states are illegal.
+    """
+    first = F.row_number().over(W.Window.partitionBy("out_trade_no").orderBy("callback_id")) == 1
+    rows = callbacks.withColumn("_first", first).join(orders.select("out_trade_no", "status"), "out_trade_no", "left")
+    outcome = F.when(F.col("status").isNull(), "invalid").when(F.col("status").isin("paid", "done"), "already_paid").when(F.col("status") == "pending", F.when(F.col("_first"), "paid").otherwise("already_paid")).otherwise("illegal")
+    return rows.select("callback_id", outcome.alias("outcome"))
+
+
+def refunds(orders: DataFrame) -> DataFrame:
+    """order_id, allowed, status after a request for a refund: only paid and done orders can be refunded."""
+    allowed = F.col("status").isin("paid", "done")
+    return orders.select("order_id", allowed.alias("allowed"), F.when(allowed, "refunding").otherwise(F.col("status")).alias("status"))
+
+
 def timed_out(orders: DataFrame, now: str, minutes: int = 30) -> DataFrame:
     """Unpaid orders older than the limit."""
     return orders.where((F.col("state") == "created") & (F.timestamp_add("MINUTE", F.lit(minutes), F.col("created_at")) <= _at(now)))

@@ -14,12 +14,16 @@ def valid_at(edges: DataFrame, at: str) -> DataFrame:
     return edges.where((F.col("valid_from") <= t) & (F.col("valid_to").isNull() | (F.col("valid_to") > t)))
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int = 6, both_ways: bool = False) -> DataFrame:
+def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int = 6, both_ways: bool = False, inbound: bool = False) -> DataFrame:
     """pairs: start, target. The first path, in the order of nodes, of the fewest hops up to `most`; conflict edges do not count.
 
+    Edges are walked from source to target, the other way (inbound), or both ways.
+
     Each hop joins the frontier with the edges and keeps one path per node, so a node is expanded once, and cycles end by themselves.
     """
     step = edges.where("conflict_status = 'none'").select(F.col("source_node_id").alias("a"), F.col("target_node_id").alias("b"))
+    if inbound:
+        step = step.select(F.col("b").alias("a"), F.col("a").alias("b"))
     if both_ways:
         step = step.unionByName(step.select(F.col("b").alias("a"), F.col("a").alias("b")))
     step = step.distinct()

@@ -113,7 +113,10 @@ class Gateway:
         first = gateway.fan_out(queries, self.retrievers, "candidate_k")
         lists = first.lists if self.rewriter is None else gateway.rewrite_empty(first, queries, self.rewriter, lambda q: gateway.fan_out(q, self.retrievers, "candidate_k")).drop("rewritten")
         fused = gateway.windows(retrieval.fuse(lists), plans, "fusion_k")
-        allowed = self.authoriser(fused)
+        try:
+            allowed = cut(self.authoriser(fused))
+        except Exception as e:  # nobody may read anything, and could not be checked, are different answers
+            raise gateway.Unavailable(f"authorisation failed: {str(e)[:200]}") from e
         counts = fused.groupBy("query_id").agg(F.count(F.lit(1)).alias("fused")).join(allowed.groupBy("query_id").agg(F.count(F.lit(1)).alias("authorized")), "query_id", "left").na.fill(0, ["authorized"])
         window = gateway.windows(allowed.withColumn("position", F.row_number().over(W.Window.partitionBy("query_id").orderBy("position"))), plans, "rerank_k").select("query_id", "chunk_id", "score", "position")
         if self.reranker is not None:

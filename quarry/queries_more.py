@@ -546,3 +546,44 @@ def csv_documents(spark, sf):
     row = F.concat_ws(",", L.s("doc_id"), cell, F.col("lang"))
     text = F.when(k == 0, F.concat(F.lit("\ufeffid,text,lang\n"), row, F.lit("\n\n"))).when(k == 1, F.concat(F.lit("id,Text,text\n"), row)).when(k == 2, F.concat(F.lit("id,text,lang\n1,2\n"))).when(k == 3, F.concat(F.lit("id,text,lang\r\n"), row, F.lit("\r\n"), row)).otherwise(F.lit("id,text,lang\n"))
     return parsers.csv_tables(L.read(spark, sf, "documents").select(F.col("doc_id").alias("memory_id"), text.alias("text")))
+
+
+@query("", "WITH r AS (SELECT l_suppkey AS item, l_orderkey * 10 + l_linenumber AS request_id, l_partkey FROM lineitem), d AS (SELECT DISTINCT item, request_id FROM r), n AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY request_id) AS n FROM d) SELECT item, request_id, n <= item % 50 AS accepted, n <= item % 50 + 1 AS counter_asked FROM n")
+def stock_tiers(spark, sf):
+    from quarry.operators import governance
+
+    requests = L.read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("item"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("request_id")).distinct()
+    stock = requests.select("item").distinct().withColumn("stock", F.col("item") % 50)
+    return governance.stock_tiers(requests, stock)
+
+
+def _paid_orders(spark, sf):
+    k = F.col("o_orderkey")
+    status = F.when(k % 4 == 0, "pending").when(k % 4 == 1, "paid").when(k % 4 == 2, "done").otherwise("cancelled")
+    return L.read(spark, sf, "orders").select(k.alias("order_id"), F.concat(F.lit("n"), L.s(k)).alias("out_trade_no"), status.alias("status"))
+
+
+@query("", "WITH c AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS callback_id, l_orderkey + CASE WHEN l_linenumber = 7 THEN 100000000 ELSE 0 END AS k FROM lineitem), f AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY callback_id) = 1 AS first_ FROM c) SELECT callback_id, CASE WHEN o_orderkey IS NULL THEN 'invalid' WHEN k % 4 IN (1, 2) THEN 'already_paid' WHEN k % 4 = 0 THEN CASE WHEN first_ THEN 'paid' ELSE 'already_paid' END ELSE 'illegal' END AS outcome FROM f LEFT JOIN orders ON o_orderkey = k")
+def pay_callbacks(spark, sf):
+    from quarry.operators import governance
+
+    k = F.col("l_orderkey")
+    calls = L.read(spark, sf, "lineitem").select((k * 10 + F.col("l_linenumber")).alias("callback_id"), F.concat(F.lit("n"), L.s(k + F.when(F.col("l_linenumber") == 7, 100_000_000).otherwise(0))).alias("out_trade_no")).distinct()
+    return governance.pay_callbacks(_paid_orders(spark, sf), calls)
+
+
+@query("", "SELECT o_orderkey AS order_id, o_orderkey % 4 IN (1, 2) AS allowed, CASE o_orderkey % 4 WHEN 0 THEN 'pending' WHEN 3 THEN 'cancelled' ELSE 'refunding' END AS status FROM orders")
+def refund_guard(spark, sf):
+    from quarry.operators import governance
+
+    return governance.refunds(_paid_orders(spark, sf))
+
+
+@query("edge", "WITH e AS (SELECT DISTINCT source_node_id AS a, target_node_id AS b FROM edge WHERE conflict_status = 'none'), p AS (SELECT 'region:' || r_regionkey AS start, 'supplier:' || s_suppkey AS target FROM region, supplier WHERE s_suppkey % 10 = r_regionkey), h1 AS (SELECT start, target, a AS m FROM p JOIN e ON e.b = p.start), f AS (SELECT start, target, min(start || '>' || m || '>' || target) AS path FROM h1 JOIN e ON e.b = h1.m AND e.a = h1.target GROUP BY ALL) SELECT p.start, p.target, path, CAST(CASE WHEN path IS NOT NULL THEN 2 END AS BIGINT) AS hops FROM p LEFT JOIN f USING (start, target)")
+def relation_path_inbound(spark, sf):
+    """From a region to a supplier, against the edges."""
+    from quarry.operators import graph
+
+    regions, suppliers = L.read(spark, sf, "region"), L.read(spark, sf, "supplier")
+    pairs = suppliers.join(F.broadcast(regions), F.col("s_suppkey") % 10 == F.col("r_regionkey")).select(F.concat(F.lit("region:"), L.s("r_regionkey")).alias("start"), F.concat(F.lit("supplier:"), L.s("s_suppkey")).alias("target"))
+    return graph.shortest_paths(L.structured_edge(spark, sf), pairs, 2, inbound=True)
