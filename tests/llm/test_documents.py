@@ -164,6 +164,28 @@ def test_jaccard_where_all_share_a_passage(spark):
         assert {r.doc_id: r.component_id for r in jaccard.link_classes(df, leaf=leaf).collect()} == {i: root(i) for i in sets}
 
 
+def test_components_of_paths_rings_and_stars(spark):
+    from quarry.llm import graph
+
+    rng = random.Random(41)
+    name = rng.sample(range(10_000), 400)
+    edges = [(name[k], name[k + 1]) for k in range(60)] + [(name[70 + k], name[70 + (k + 1) % 20]) for k in range(20)] + [(name[100], name[101 + k]) for k in range(50)] + [(name[200 + rng.randrange(100)], name[200 + rng.randrange(100)]) for _ in range(60)] + [(7, 7)]
+    up = {}
+
+    def root(i):
+        while up.setdefault(i, i) != i:
+            i = up[i]
+        return i
+
+    for a, b in edges:
+        if a != b:
+            x, y = sorted((root(a), root(b)))
+            up[y] = x
+    got = {r.node: r.label for r in graph.components(spark.createDataFrame(edges, "x long, p long").repartition(3)).collect()}
+    assert got == {i: root(i) for i in list(up)}
+    assert graph.components(spark.createDataFrame([], "x long, p long")).count() == 0
+
+
 def test_jaccard_of_repeated_ids(spark):
     rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g"), (3, "q r s t u v"), (3, "x"), (4, "x"), (5, "q r s t u v")]
     got = jaccard.link_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
