@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_main, jaccard, licenses, packing, pii, quality, secrets, substring, topk
+from . import codes, decontam, html_main, jaccard, licenses, packing, pii, quality, rules, secrets, substring, topk, whitening
 from .common import table
 
 
@@ -54,7 +54,19 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_pii, op3_substring_dedup, op4_html_extraction, op5_packing, op6_secret_scan, op7_ngram_jaccard_join, op8_decontamination, op9_quality_classifier, op10_exact_topk)}
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_pii, op3_substring_dedup, op4_html_extraction, op5_packing, op6_secret_scan, op7_ngram_jaccard_join, op8_decontamination, op9_quality_classifier, op10_exact_topk, op11_embedding_whitening, op12_quality_rules, op13_vector_codes)}
 
 #: Where DuckDB can express a query. The others are tested against brute force, an exact round trip or held-out accuracy.
 ORACLE_SQL: dict[str, str] = {
@@ -83,4 +95,32 @@ ORACLE_SQL: dict[str, str] = {
               FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op12_quality_rules": r"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        a AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM t),
+        g AS (SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 7), ' ') AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM a WHERE len(ws) >= 8)),
+        twice AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1),
+        r AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, i + j FROM twice, range(0, 8) k(j)) GROUP BY doc_id),
+        c AS (SELECT doc_id, len(ws) AS n_words, array_to_string(ws, '') AS j, len(ls) AS lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+              len(list_filter(ws, lambda w: list_contains({stop}, lower(rtrim(w, '.,;:!?'))))) AS stop FROM a LEFT JOIN r USING (doc_id)),
+        d AS (SELECT *, length(j) AS word_chars, length(j) - length(regexp_replace(j, '[#*$%&|<>]+', '', 'g')) AS n_symbols, length(j) - length(replace(j, '!', '')) AS bangs,
+              length(j) - length(regexp_replace(j, '\p{L}+', '', 'g')) AS letters, length(j) - length(regexp_replace(j, '\p{Lu}+', '', 'g')) AS capitals FROM c),
+        e AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM d)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+            NOT base_failed AND word_chars / n_words BETWEEN 1.5 AND 30 AND n_symbols / n_words <= 0.3 AND bangs / n_words <= 0.5 AND letters / word_chars BETWEEN 0.5 AND 1 AND (letters = 0 OR capitals / letters <= 0.6)
+            AND (n_words < 100 OR stop / n_words BETWEEN 0.02 AND 1) AND n_dup_lines / lines <= 0.5 AND (n_words < 100 OR word_chars / lines >= 8) AS kept FROM e""".replace("{stop}", str(list(rules.STOP_WORDS))),
+    "op13_vector_codes": """
+        WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q, len(embedding) // 16 AS w FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        p AS (SELECT vec_id, label, p, list_slice(q, p * w + 1, (p + 1) * w) AS x FROM v, range(0, 16) r(p)),
+        b0 AS (SELECT p, (SELECT count(*) FROM v u WHERE u.vec_id < t.vec_id) AS k, x AS e FROM p t WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 64)),
+        {rounds}
+        code AS (SELECT vec_id, string_agg(printf('%02x', k), '' ORDER BY p) AS code, CAST(sum(away) AS BIGINT) AS error FROM a2 GROUP BY vec_id),
+        sha AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM b2)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM code JOIN v USING (vec_id), sha""".replace("{rounds}", "".join(f"""
+        d{i} AS (SELECT vec_id, p.p, k, x, list_sum(list_transform(list_zip(x, e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS away FROM p JOIN b{i} USING (p)),
+        a{i} AS (SELECT * FROM d{i} QUALIFY row_number() OVER (PARTITION BY vec_id, p ORDER BY away, k) = 1),"""
+        + (f"""
+        m{i} AS (SELECT p, k, j, CAST(floor(sum(x[j]) / count(*)) AS BIGINT) AS c FROM a{i}, range(1, (SELECT max(w) FROM v) + 1) r(j) GROUP BY ALL),
+        b{i + 1} AS (SELECT p, k, coalesce(c, e) AS e FROM b{i} LEFT JOIN (SELECT p, k, list(c ORDER BY j) AS c FROM m{i} GROUP BY ALL) USING (p, k)),""" if i < 2 else "") for i in range(3))),
 }
