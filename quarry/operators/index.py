@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from quarry import session
 from quarry.functions import text as T
 from quarry.operators import retrieval
 from quarry.operators import visibility as vis
@@ -48,69 +47,16 @@ def searchable(chunks: DataFrame, memories: DataFrame, acl: DataFrame, versions:
 # --- approximate search ---
 
 
-def fit_cells(vectors: DataFrame, cells: int = 64, sample: int = 8192, rounds: int = 8) -> np.ndarray:
-    """Centres of an inverted file over unit vectors, by k-means on at most `sample` vectors, the first by a hash of their ids."""
-    rows = vectors.where("embedding is not null").orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(sample).select("embedding").toPandas()["embedding"]
-    if not len(rows):
-        return np.zeros((0, 0))
-    x = np.array(rows.tolist(), float)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-    centres = x[np.linspace(0, len(x) - 1, min(cells, len(x))).astype(int)]
-    for _ in range(rounds):
-        of = (x @ centres.T).argmax(axis=1)
-        for c in np.unique(of):
-            m = x[of == c].sum(axis=0)
-            centres[c] = m / max(np.linalg.norm(m), 1e-300)
-    return centres
-
-
-def in_cells(vectors: DataFrame, centres: np.ndarray, column: str, probes: int = 1) -> DataFrame:
-    """Adds `cell`: the nearest centres' numbers, nearest first, a row for each of `probes`."""
-    schema = vectors.schema
-    names = [f.name for f in schema]
-
-    def run(batches):
-        for pdf in batches:
-            x = np.array(pdf[column].tolist(), float).reshape(len(pdf), -1)
-            near = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :probes] if len(pdf) else np.zeros((0, probes), int)
-            out = pdf.loc[pdf.index.repeat(near.shape[1])].reset_index(drop=True)
-            yield out.assign(cell=near.ravel())[[*names, "cell"]]
-
-    return vectors.mapInPandas(run, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in schema), "cell int"]))
-
-
-def approximate(cells: DataFrame, centres: np.ndarray, queries: DataFrame, k: int, probes: int = 4) -> DataFrame:
-    """query_id, chunk_id, score: the k best by half-precision cosine among each query's `probes` nearest cells.
-
-    cells: chunk_id, embedding, cell, as in_cells() gives it (the index). Queries meet cells by an equi-join.
-    """
-    asked = in_cells(queries.select("query_id", "query_vector"), centres, "query_vector", probes)
-
-    def run(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(q):
-            return pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
-        best = []
-        for i in range(0, len(x), 65536):  # bounded products
-            part = x.iloc[i : i + 65536]
-            best.append(retrieval._nearest(part["chunk_id"].to_numpy(), retrieval._unit(part["embedding"], True), q["query_id"].to_numpy(), retrieval._unit(q["query_vector"], True), k))
-        return pd.concat(best)
-
-    salt = F.pmod(F.xxhash64("chunk_id"), F.lit(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")))).cast("int")
-    left = cells.select("cell", salt.alias("salt"), "chunk_id", "embedding")
-    right = asked.join(left.select("cell", "salt").distinct(), "cell").select(F.col("cell").alias("qcell"), F.col("salt").alias("qsalt"), "query_id", "query_vector")
-    found = left.groupBy("cell", "salt").cogroup(right.groupBy("qcell", "qsalt")).applyInPandas(run, "query_id long, chunk_id long, score double")
-    return retrieval.top(found, k).select("query_id", "chunk_id", "score", "rank")
-
-
 def overfetched(search, queries: DataFrame, allowed: DataFrame, k: int) -> DataFrame:
     """Searches that cannot see who may read what: fetch more than k, filter, and fetch twice as many where too few are left.
 
     search(queries, limit, attempt) gives query_id, chunk_id, score, rank; allowed: chunk_id. A query is done when it has k results or
-    when its search returned fewer candidates than it might have. All queries that are not done go on together, at most ATTEMPTS times.
+    when its search returned fewer candidates than it might have. All queries that are not done go on together, at most ATTEMPTS times. What an
+    attempt found and what it left over are written, so that a later attempt runs none of the earlier ones again.
     """
     out, left, limit = None, queries, max(OVERFETCH * k, LEAST)
     for attempt in range(ATTEMPTS):
-        found = search(left, limit, attempt).select("query_id", "chunk_id", "score")
+        found = session.cut(search(left, limit, attempt).select("query_id", "chunk_id", "score"))
         kept = retrieval.top(found.join(allowed.select("chunk_id"), "chunk_id", "left_semi"), k)
         offered = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("offered"))
         have = kept.groupBy("query_id").agg(F.count(F.lit(1)).alias("have"))
@@ -121,7 +67,7 @@ def overfetched(search, queries: DataFrame, allowed: DataFrame, k: int) -> DataF
         out = part if out is None else out.unionByName(part)
         if last:
             break
-        left = left.join(done, "query_id", "left_anti")
+        left = session.cut(left.join(done, "query_id", "left_anti"))
         if left.isEmpty():
             break
         limit *= 2

@@ -57,6 +57,18 @@ def rank_correlation(a: DataFrame, b: DataFrame) -> DataFrame:
     return rows.groupBy("query_id").agg(n.alias("shared"), F.round(F.when(n > 1, 1 - 6 * F.sum(d * d) / (n * (n * n - 1))).otherwise(F.lit(None)), 6).alias("spearman"))
 
 
+def index_fidelity(found: DataFrame, exact: DataFrame, vectors: int, k: int = 10) -> DataFrame:
+    """Per query: overlap with the exact top-k, recall, whether the first agrees, whether it was found at all, Spearman's coefficient over what both have, and
+    the share of the `vectors` that the query was compared with. found: query_id, chunk_id, rank, compared."""
+    one = exact.select("query_id", "chunk_id", F.col("rank").alias("_exact"))
+    both = one.join(found.select("query_id", "chunk_id", F.col("rank").alias("_found")), ["query_id", "chunk_id"], "left")
+    each = both.groupBy("query_id").agg(
+        F.count("_found").alias("overlap"), F.round(F.count("_found") / F.count(F.lit(1)), 6).alias("recall"), F.max((F.col("_exact") == 1) & (F.coalesce("_found", F.lit(0)) == 1)).alias("top1_agrees"), F.max((F.col("_exact") == 1) & F.col("_found").isNotNull()).alias("top1_found")
+    )
+    share = found.groupBy("query_id").agg(F.round(F.max("compared") / vectors, 6).alias("compared_share"))
+    return each.join(rank_correlation(exact, found).select("query_id", "spearman"), "query_id", "left").join(share, "query_id", "left")
+
+
 def nearest_rank(values: str, p: float) -> Column:
     """The value at place ceil(p n) of the sorted values."""
     return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {values})")

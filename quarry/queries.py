@@ -733,13 +733,6 @@ def known_item(spark, sf):
     return metrics.known_item(vector_topk_exact(spark, sf), wanted)
 
 
-@query()
-def ann_spearman(spark, sf):
-    exact = vector_topk_exact(spark, sf)
-    coarse = retrieval.vector(_vectors(spark, sf).withColumn("embedding", F.transform("embedding", lambda x: F.round(x, 1))), _vector_queries(spark, sf), 10)
-    return metrics.rank_correlation(exact, coarse)
-
-
 @query("inv", "SELECT provider, count(*) AS n, round(avg(latency_ms), 4) AS mean, quantile_disc(latency_ms, 0.5) AS p50, quantile_disc(latency_ms, 0.95) AS p95, quantile_disc(latency_ms, 0.99) AS p99, count(*) >= 100 AS p99_reliable, max(latency_ms) AS max FROM inv GROUP BY provider")
 def latency_percentiles_nearest_rank(spark, sf):
     return metrics.summary(L.model_invocation(spark, sf), "provider", "latency_ms")

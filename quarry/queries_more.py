@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry import session
 from quarry.functions import text as T
-from quarry.operators import chunking, evaluation, gateway, index, lifecycle, retrieval, store
+from quarry.operators import chunking, evaluation, gateway, index, ivf, lifecycle, metrics, retrieval, store
 from quarry.operators import visibility as vis
 from quarry.plans import planner
 from quarry.queries import _FOLD, _GRADED, _LEX, _RRF, _VEC, ME, NOW, _acks, _chunks, _graded, _lists, _text_queries, _vector_queries, _vectors, lexical_topk, query
@@ -49,19 +50,47 @@ def _allowed(spark, sf):
     return vis.readable_memories(L.memory_record(spark, sf), L.memory_acl(spark, sf), ME).select(F.col("memory_id").alias("chunk_id"))
 
 
+def _vector_index(spark, sf):
+    """The stored index of the vectors, built once for these files."""
+    build = lambda path: ivf.Stored.build(_vectors(spark, sf), path)
+    return ivf.Stored.open(spark, session.stored(spark, "vectors-" + session.stamp(spark, f"{sf}/embeddings.parquet"), build))
+
+
 @query("readable", _OVER)
 def vector_topk_overfetch(spark, sf):
-    vectors = _vectors(spark, sf)
-    return index.overfetched(lambda q, limit, attempt: retrieval.vector(vectors, q, limit), _vector_queries(spark, sf), _allowed(spark, sf), 10)
+    """Over-fetch over the stored index, which goes on until no cell can hold a better vector."""
+    stored = _vector_index(spark, sf)
+    return index.overfetched(lambda q, limit, attempt: stored.search(q, limit, exact=True, half=False), _vector_queries(spark, sf), _allowed(spark, sf), 10)
 
 
 @query()
 def vector_topk_approximate(spark, sf):
-    """An inverted file over half-precision vectors; it widens its probes as the over-fetch widens its windows."""
-    vectors = _vectors(spark, sf).select("chunk_id", "embedding")
-    centres = index.fit_cells(vectors, cells=16)
-    cells = index.in_cells(vectors, centres, "embedding")
-    return index.overfetched(lambda q, limit, attempt: index.approximate(cells, centres, q, limit, probes=8 << attempt), _vector_queries(spark, sf), _allowed(spark, sf), 10)
+    """The stored index over half-precision vectors; it widens its probes as the over-fetch widens its windows."""
+    stored = _vector_index(spark, sf)
+    return index.overfetched(lambda q, limit, attempt: stored.search(q, limit, ivf.PROBES * 2**attempt), _vector_queries(spark, sf), _allowed(spark, sf), 10)
+
+
+@query()
+def ann_fidelity(spark, sf):
+    """Of each query: the stored index against the exact search, and the share of the vectors that it was compared with."""
+    queries, vectors = _vector_queries(spark, sf), _vectors(spark, sf)
+    return metrics.index_fidelity(_vector_index(spark, sf).search(queries, 10), retrieval.vector(vectors, queries, 10), vectors.count())
+
+
+@query()
+def ann_spearman(spark, sf):
+    """The order that the stored index gives what it shares with the exact search."""
+    queries = _vector_queries(spark, sf)
+    return metrics.rank_correlation(retrieval.vector(_vectors(spark, sf), queries, 10), _vector_index(spark, sf).search(queries, 10))
+
+
+@query("", "SELECT vec_id AS chunk_id, CAST(1 AS BIGINT) AS copies, TRUE AS away_holds FROM embeddings")
+def index_layout(spark, sf):
+    """Every vector lies once in the index, as far from its cell's centre as is written beside it."""
+    stored = _vector_index(spark, sf)
+    centres = spark.read.parquet(f"{stored.path}/centres").select("cell", "centre")
+    apart = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * T.cosine(F.col("embedding"), F.col("centre"))))
+    return stored.table(spark).join(F.broadcast(centres), "cell").groupBy("chunk_id").agg(F.count(F.lit(1)).alias("copies"), F.bool_and(F.abs(apart - F.col("away")) < 1e-6).alias("away_holds"))
 
 
 _BUILT = "b.vec_id % 10 = 9 AND b.vec_id IN (SELECT memory_id FROM readable) AND b.vec_id IN (SELECT chunk_id FROM chunk WHERE chunk_level = 'child')"

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
+import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +40,34 @@ def scratch_dir(spark: SparkSession) -> str:
     return named or spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+def stamp(spark: SparkSession, *paths: str) -> str:
+    """What the files at these paths are: their names, lengths and times of change, as a short digest; read by Spark's own file systems."""
+    jvm, found = spark.sparkContext._jvm, []
+    for p in paths:
+        where = jvm.org.apache.hadoop.fs.Path(p)
+        fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        each = fs.listFiles(where, True)
+        while each.hasNext():
+            f = each.next()
+            found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()[:24]
+
+
+_stored: dict[tuple[str, str], str] = {}
+
+
+def stored(spark: SparkSession, name: str, build: Callable[[str], None]) -> str:
+    """The folder that build(path) filled, in the shared folder; built once per application and name, which has to say what it was built from."""
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _stored:
+        path = f"{scratch_dir(spark).rstrip('/')}/quarry-stored-{name}-{uuid.uuid4().hex}"
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+        build(path)
+        _stored[key] = path
+    return _stored[key]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut in the shared folder."""
     scratch_dir(df.sparkSession)

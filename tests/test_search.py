@@ -3,13 +3,15 @@
 import hashlib
 import json
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import websearch
-from quarry.operators import evaluation, gateway, index, retrieval, store
+from quarry import queries as Q
+from quarry.operators import evaluation, gateway, index, ivf, retrieval, store
 from quarry.operators import visibility as vis
 from quarry.plans import planner
 from quarry.sources import documents
@@ -86,25 +88,48 @@ def test_vector_search_by_blocks(spark, monkeypatch):
     assert {r.query_id: r.overlap for r in retrieval.narrowed_overlap(chunks, queries, 5).collect()} == {q: len(exact[q] & narrow[q]) for q in range(40)}
 
 
-def test_approximate_search_reaches_recall(spark):
+def test_approximate_search_reaches_recall(spark, tmp_path):
     rng = np.random.default_rng(2)
     middle = rng.normal(size=(30, 16)) * 3
     x = middle[rng.integers(0, 30, 3000)] + rng.normal(size=(3000, 16))
     chunks = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "chunk_id long, embedding array<double>")
     queries = chunks.where("chunk_id % 50 = 0").select((F.col("chunk_id")).alias("query_id"), F.col("embedding").alias("query_vector"))
-    centres = index.fit_cells(chunks, cells=32)
-    cells = index.in_cells(chunks, centres, "embedding")
-    assert cells.count() == 3000
+    stored = ivf.Stored.build(chunks.where("chunk_id < 2000"), str(tmp_path / "index"), cells=96)
+    stored.insert(chunks.where("chunk_id >= 2000"))  # no rebuild
+    stored.insert(spark.createDataFrame([(9001, None), (9002, [0.0] * 16), (9003, [float("nan")] * 16)], "chunk_id long, embedding array<double>"))
+    stored = ivf.Stored.open(spark, stored.path)
+    assert sorted(r.chunk_id for r in stored.table(spark).select("chunk_id").collect()) == list(range(3000))
     exact = {(r.query_id, r.chunk_id) for r in retrieval.vector(chunks, queries, 10).collect()}
-    got = {(r.query_id, r.chunk_id) for r in index.approximate(cells, centres, queries, 10, probes=6).collect()}
-    assert len(exact & got) >= 0.9 * len(exact)
+    rows = stored.search(queries, 10).collect()
+    assert len({(r.query_id, r.chunk_id) for r in rows} & exact) >= 0.9 * len(exact)
+    assert max(r.compared for r in rows) < 3000 / 2 and np.mean([r.compared for r in rows]) < 3000 / 4
+    for k in (1, 10):
+        whole = stored.search(queries, k, probes=0.02, exact=True, half=False)
+        assert {(r.query_id, r.chunk_id, r.rank, r.score) for r in whole.collect()} == {(r.query_id, r.chunk_id, r.rank, r.score) for r in retrieval.vector(chunks, queries, k).collect()}
+    plan = stored.search(queries.limit(1), 10, probes=0.02)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*part#\d+ (=|IN)", plan) and "away" not in plan.partition("ReadSchema")[2]  # only wanted parts, only needed columns
+    assert stored.search(queries.limit(0), 10).count() == 0
     allowed = chunks.where("chunk_id % 7 = 0").select("chunk_id")
-    wide = index.overfetched(lambda q, limit, attempt: index.approximate(cells, centres, q, limit, probes=8 << attempt), queries, allowed, 10)
+    wide = index.overfetched(lambda q, limit, attempt: stored.search(q, limit, ivf.PROBES * 2**attempt), queries, allowed, 10)
     want = {(r.query_id, r.chunk_id) for r in retrieval.vector(chunks.where("chunk_id % 7 = 0"), queries, 10).collect()}
     found = {(r.query_id, r.chunk_id) for r in wide.collect()}
     assert len(found) == len(want) and len(found & want) >= 0.9 * len(want)
 
 
+def test_stored_index_on_the_tables_own_vectors(spark):
+    """No clusters to speak of: recall of at least 0.9 while a query meets under a quarter of the vectors."""
+    rows = Q.QUERIES["ann_fidelity"](spark, "/root/testdata/sf0.1").collect()
+    assert len(rows) == 200 and np.mean([r.recall for r in rows]) >= 0.9
+    assert np.mean([r.compared_share for r in rows]) < 0.25 and all(r.top1_found for r in rows)
+
+
+def test_empty_stored_index(spark, tmp_path):
+    none = spark.createDataFrame([], "chunk_id long, embedding array<double>")
+    stored = ivf.Stored.build(none, str(tmp_path / "index"))
+    ask = spark.createDataFrame([(1, [1.0, 2.0])], "query_id long, query_vector array<double>")
+    assert stored.search(ask, 5).collect() == [] == stored.search(ask, 5, exact=True).collect()
+
+
 def test_filters_and_evaluation_refuse(spark):
     for bad in ({"owner_id": "x"}, {"kind": ""}, {"kind": 3}):
         with pytest.raises(ValueError, match="filter"):
