@@ -7,8 +7,7 @@ nothing. An alternative that only excludes matches nothing.
 
 from __future__ import annotations
 
-from bisect import bisect_right
-
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,44 +31,42 @@ def parse(query: Column) -> Column:
     return F.filter(F.flatten(F.transform(found, unit)), lambda x: F.size(x["terms"]) > 0)
 
 
-def places(terms: list[str], at: dict[str, list[int]]) -> list[tuple[int, int]]:
-    """First and last position of every place of a phrase (or word), ascending."""
-    later = [frozenset(at.get(t, ())) for t in terms[1:]]
-    return [(p, p + len(later)) for p in at.get(terms[0], ()) if all(p + 1 + k in s for k, s in enumerate(later))]
+def places(terms: list, at: dict) -> np.ndarray:
+    """First positions of every place of a phrase (or word), ascending."""
+    none = np.zeros(0, np.int64)
+    first = np.asarray(at.get(terms[0], none))
+    for k, t in enumerate(terms[1:], 1):
+        first = first[np.isin(first + k, np.asarray(at.get(t, none)))]
+    return first
 
 
-def cover_density(units: list[tuple[int, bool, list[str]]], at: dict[str, list[int]]) -> float | None:
-    """Of a text with these positions of the query's terms: the sum over its covers, or None where it does not match.
+def cover_density(units: list[tuple[int, bool, list]], at: dict) -> float | None:
+    """Of a text with these ascending positions of the query's terms: the sum over its covers, or None where it does not match.
 
     A cover is a stretch that holds what some alternative asks for and no shorter one with the same begin or end; it counts WEIGHT,
     divided by one more than the number of words in it that the query does not name. Exclusions decide on the match only.
     """
-    asked: dict[int, list[list[tuple[int, int]]]] = {}
+    asked: dict[int, list[tuple[np.ndarray, int]]] = {}
     ruled_out = set()
     for alternative, excluded, terms in units:
         found = places(terms, at)
-        if excluded:
-            if found:
-                ruled_out.add(alternative)
-        else:
-            asked.setdefault(alternative, []).append(found)
-    matched = [a for a, found in asked.items() if all(found) and a not in ruled_out]
-    if not matched:
+        if not excluded:
+            asked.setdefault(alternative, []).append((found, len(terms) - 1))
+        elif len(found):
+            ruled_out.add(alternative)
+    live = {a: found for a, found in asked.items() if all(len(first) for first, _ in found)}
+    if not set(live) - ruled_out:
         return None
-    begin_of: dict[int, int] = {}  # by begin, the first end
-    ends = sorted({z for a in asked.values() if all(a) for found in a for _, z in found})
-    columns = [[([z for _, z in found], [p for p, _ in found]) for found in a] for a in asked.values() if all(a)]
-    for end in ends:
-        begin = -1
-        for alternative in columns:
-            last = [bisect_right(zs, end) for zs, _ in alternative]
-            if all(last):
-                begin = max(begin, min(ps[k - 1] for k, (_, ps) in zip(last, alternative, strict=True)))
-        if begin >= 0:
-            begin_of.setdefault(begin, end)
-    entries = sorted({p for positions in at.values() for p in positions})
-    total = 0.0
-    for begin, end in begin_of.items():
-        named = bisect_right(entries, end) - bisect_right(entries, begin - 1)
-        total += WEIGHT / (1 + (end - begin) - (named - 1))
-    return total
+    ends = np.unique(np.concatenate([first + more for found in live.values() for first, more in found]))
+    begin = np.full(len(ends), -1)
+    for found in live.values():
+        latest = np.full(len(ends), np.iinfo(np.int64).max)
+        for first, more in found:
+            before = np.searchsorted(first + more, ends, "right")
+            latest = np.minimum(latest, np.where(before > 0, first[before - 1], -1))
+        begin = np.maximum(begin, latest)
+    begin, first_end = np.unique(begin, return_index=True)
+    begin, end = begin[begin >= 0], ends[first_end[begin >= 0]]
+    entries = np.unique(np.concatenate([np.asarray(p) for p in at.values()]))
+    named = np.searchsorted(entries, end, "right") - np.searchsorted(entries, begin, "left")
+    return sum((WEIGHT / (1 + (end - begin) - (named - 1))).tolist())

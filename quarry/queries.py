@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from quarry import session
 from quarry.functions import text as T
-from quarry.operators import chunking, evidence, governance, graph, ledger, lifecycle, metrics, retrieval
+from quarry.operators import chunking, evidence, governance, graph, ledger, lifecycle, metrics, postings, retrieval
 from quarry.operators import events as ev
 from quarry.operators import visibility as vis
 from quarry.oracle import sql
@@ -354,6 +355,12 @@ def _text_queries(spark, sf):
     return L.read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+def _lexical_index(spark, sf):
+    """The stored index of the texts, built once for these files."""
+    build = lambda path: postings.Stored.build(_chunks(spark, sf), path)
+    return postings.Stored.open(spark, session.stored(spark, "texts-" + session.stamp(spark, f"{sf}/documents.parquet"), build))
+
+
 _STOP = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
 _TERMS = f"list_filter(list_distinct(regexp_extract_all(lower(query), '{T.TERM}')), lambda t: length(t) >= 2 AND NOT list_contains({_STOP}, t))"
 _Q = f"q AS (SELECT item_id AS query_id, text AS query FROM benchmark), qt AS (SELECT query_id, {_TERMS} AS ts FROM q)"
@@ -373,7 +380,8 @@ _LEX = f"""{_Q}, w AS (SELECT query_id, len(ts) AS n, unnest(ts) AS term FROM qt
 
 @query("", f"WITH {_LEX} SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM lex")
 def lexical_topk(spark, sf):
-    return retrieval.lexical(_chunks(spark, sf), _text_queries(spark, sf), 10)
+    """Over the stored index: the texts are not read again."""
+    return _lexical_index(spark, sf).search(_text_queries(spark, sf), 10)
 
 
 @query("", f"WITH {_Q} SELECT query_id, array_to_string(list_sort(ts), ' ') AS terms, CAST(len(ts) AS BIGINT) AS n FROM qt WHERE len(ts) <= 64")

@@ -9,7 +9,7 @@ from quarry.functions import text as T
 from quarry.operators import chunking, evaluation, gateway, index, ivf, lifecycle, metrics, retrieval, store
 from quarry.operators import visibility as vis
 from quarry.plans import planner
-from quarry.queries import _FOLD, _GRADED, _LEX, _RRF, _VEC, ME, NOW, _acks, _chunks, _graded, _lists, _text_queries, _vector_queries, _vectors, lexical_topk, query
+from quarry.queries import _FOLD, _GRADED, _LEX, _RRF, _VEC, ME, NOW, _acks, _chunks, _graded, _lexical_index, _lists, _text_queries, _vector_queries, _vectors, lexical_topk, query
 from quarry.sources import documents
 from quarry.sources import logical as L
 
@@ -36,7 +36,7 @@ def index_filtered(spark, sf):
 
 @query("chunk readable ver", f"WITH dsub AS (SELECT chunk_id AS doc_id, content AS text FROM ({_VISIBLE})), {_LEX.replace('FROM documents', 'FROM dsub')} SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM lex")
 def index_lexical(spark, sf):
-    return retrieval.lexical(_searchable(spark, sf).select("chunk_id", "content"), _text_queries(spark, sf), 10)
+    return _lexical_index(spark, sf).search(_text_queries(spark, sf), 10, allowed=_searchable(spark, sf).select("chunk_id"))
 
 
 _OVER = f"""WITH {_VEC.format('').replace('QUALIFY rank <= 10', '')}, f AS (SELECT *, chunk_id IN (SELECT memory_id FROM readable) AS ok FROM vec),
