@@ -124,24 +124,3 @@ def cosine(a: Column, b: Column) -> Column:
 def similarity(a: Column, b: Column) -> Column:
     """1 - distance / 2, within 0..1."""
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - (1 - cosine(a, b)) / 2))
-
-
-def json_contains(document: Column, wanted: dict | list | str | int | float | bool | None, path: str = "$") -> Column:
-    """Whether a JSON text holds what `wanted` says: objects by their named fields, arrays by their elements, scalars by value."""
-    import json
-
-    if isinstance(wanted, dict):
-        out = F.coalesce(F.get_json_object(document, path).startswith("{"), F.lit(False))
-        for name, value in wanted.items():
-            out = out & json_contains(document, value, f"{path}.{name}")
-        return out
-    found = F.get_json_object(document, path)
-    if isinstance(wanted, list):
-        elements = F.from_json(found, "array<string>")
-        out = F.coalesce(found.startswith("["), F.lit(False))
-        for value in wanted:
-            out = out & F.coalesce(F.array_contains(elements, value if isinstance(value, str) else json.dumps(value)), F.lit(False))
-        return out
-    if wanted is None:
-        return F.coalesce(F.get_json_object(document, path).isNull(), F.lit(True))
-    return F.coalesce(found == (wanted if isinstance(wanted, str) else json.dumps(wanted)), F.lit(False))

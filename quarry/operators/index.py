@@ -85,7 +85,8 @@ def counts(chunks: DataFrame) -> DataFrame:
 def evaluate(chunks: DataFrame, memories: DataFrame, acl: DataFrame, version: DataFrame, p: vis.Principal, cases: DataFrame, stage: str, k: int = 10) -> DataFrame:
     """What a version that is still being built would answer; cases: query_id, query, query_vector (null for lexical).
 
-    version: its one row, which must say `building`. hybrid is half the lexical and half the vector score, over all chunks with a vector.
+    version: its one row, which must say `building`. hybrid is half the lexical and half the vector score, over all chunks with a vector: a chunk among the
+    k best either matches the words, and all such pairs get their vector score, or is among the k nearest vectors.
     """
     if stage not in ("lexical", "vector", "hybrid"):
         raise ValueError(f"unknown stage: {stage}")
@@ -95,12 +96,16 @@ def evaluate(chunks: DataFrame, memories: DataFrame, acl: DataFrame, version: Da
     own = chunks.where((F.col("index_version_id") == state[0]["index_version_id"]) & (F.col("chunk_level") == "child")).join(vis.readable_memories(memories, acl, p).select("memory_id"), "memory_id", "left_semi")
     if stage == "lexical":
         return retrieval.lexical(own, cases.select("query_id", "query"), k)
-    near = retrieval.vector(own, cases.where("query_vector is not null").select("query_id", "query_vector"), k if stage == "vector" else 1 << 20)
+    asked = cases.where("query_vector is not null").select("query_id", "query_vector")
+    near = retrieval.vector(own, asked, k)
     if stage == "vector":
         return near
-    words = retrieval.lexical(own.where("embedding is not null"), cases.select("query_id", "query"), 1 << 20)
-    both = near.select("query_id", "chunk_id", F.col("score").alias("v")).join(words.select("query_id", "chunk_id", F.col("score").alias("l")), ["query_id", "chunk_id"], "left")
-    return retrieval.top(both.withColumn("score", F.round(0.5 * F.col("v") + 0.5 * F.coalesce("l", F.lit(0.0)), 7)), k).select("query_id", "chunk_id", "score", "rank")
+    held = own.where("embedding is not null").select("chunk_id", "content", "embedding")
+    words = retrieval.lexical(held, cases.select("query_id", "query"), None).withColumnRenamed("score", "_l")
+    met = words.join(held.select("chunk_id", "embedding"), "chunk_id").join(retrieval.small(asked), "query_id").select("query_id", "chunk_id", "_l", F.round(T.similarity(F.col("query_vector"), F.col("embedding")), 6).alias("_v"))
+    beside = near.select("query_id", "chunk_id", F.col("score").alias("_v")).join(words, ["query_id", "chunk_id"], "left_anti").withColumn("_l", F.lit(0.0))
+    both = met.unionByName(beside).withColumn("score", F.round(0.5 * F.col("_v") + 0.5 * F.col("_l"), 7))
+    return retrieval.top(both, k).select("query_id", "chunk_id", "score", "rank")
 
 
 def degraded_policy(chunks: DataFrame, allow_build: bool = False, auto_activate: bool = False, allow_activation: bool = False) -> DataFrame:

@@ -36,8 +36,10 @@ def best_of(hits: DataFrame, queries: DataFrame, k: int | str) -> DataFrame:
     return ranked.select("query_id", "chunk_id", "score", "rank")
 
 
-def lexical(chunks: DataFrame, queries: DataFrame, k: int | str = 10, least: int = 2) -> DataFrame:
-    """chunks: chunk_id, content; queries: query_id, query. Web search semantics, and beyond them partial matches.
+def lexical(chunks: DataFrame, queries: DataFrame, k: int | str | None = 10, least: int = 2) -> DataFrame:
+    """chunks: chunk_id, content; queries: query_id, query. Web search semantics, and beyond them partial matches. k: None for all matches, without rank.
+
+    This reads the texts; postings.Stored answers the same from a stored index.
 
     A chunk matches where it holds what an alternative of the query asks for, or at least min(least, n) of the n words that are no
     function words, or of the n Han bigrams. Its rank is the cover density of the web search plus half of that of each partial match,
@@ -74,7 +76,8 @@ def lexical(chunks: DataFrame, queries: DataFrame, k: int | str = 10, least: int
         out = out.withColumn("grams", F.lit(0.0))
     part = lambda c: F.coalesce(c, F.lit(0.0))
     raw = part("density") + 0.5 * part("partial") + 0.5 * part("grams")
-    return best_of(out.withColumn("score", F.round(T.normalised_score(raw), 6)), queries, k)
+    scored = out.withColumn("score", F.round(T.normalised_score(raw), 6))
+    return scored.select("query_id", "chunk_id", "score") if k is None else best_of(scored, queries, k)
 
 
 def _density(chunks: DataFrame, asked: DataFrame, pairs: DataFrame) -> DataFrame:

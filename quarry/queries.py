@@ -470,26 +470,32 @@ def hybrid_pipeline(spark, sf):
     return kept.select("query_id", "chunk_id", "score", F.row_number().over(W.Window.partitionBy("query_id").orderBy("position")).alias("place"))
 
 
-_PLANS = [(k * 3 + a, i[0], agent, 1 + k, 4000 * (1 + a), 300) for k, i in enumerate(planner.INTENTS) for a, agent in enumerate(("learning-scientist", "experience-engineer", "learning-director"))]
+_AGENTS = ("learning-scientist", "experience-engineer", "learning-director")
 
 
-def _plans(spark):
-    return planner.plan(spark.createDataFrame(_PLANS, "query_id long, intent string, agent_id string, entity_count long, token_budget long, chunk_tokens long"))
+def _requests(spark, sf):
+    """A request for every query of either list: its id deals intent, agent and budget, its words the number of entities."""
+    i = F.col("query_id")
+    either = _text_queries(spark, sf).join(_vector_queries(spark, sf).select("query_id"), "query_id", "full").withColumn("n", F.size(F.split(F.coalesce("query", F.lit("")), " ")))
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (n % len(names) + 1).cast("int"))
+    return either.select("query_id", pick([x[0] for x in planner.INTENTS], i).alias("intent"), pick(_AGENTS, i).alias("agent_id"), (1 + F.col("n") % 7).cast("long").alias("entity_count"), (4000 * (1 + i % 5)).alias("token_budget"), F.lit(300).cast("long").alias("chunk_tokens"))
 
 
-_PLAN_SQL = (
-    "WITH r(query_id, intent, agent_id, e, b, t) AS (VALUES " + ", ".join(map(str, _PLANS)) + "), i(intent, ca, fu, re, co, score_floor, marginal_gain_floor, st, stages) AS (VALUES "
+_PLAN = (
+    "pr AS (SELECT coalesce(item_id, v) AS query_id, list_extract(" + str([i[0] for i in planner.INTENTS]) + ", 1 + coalesce(item_id, v) % 7) AS intent, list_extract(" + str(list(_AGENTS)) + ", 1 + coalesce(item_id, v) % 3) AS agent_id, "
+    + "1 + len(string_split(coalesce(text, ''), ' ')) % 7 AS e, 4000 * (1 + coalesce(item_id, v) % 5) AS b, 300 AS t FROM benchmark FULL JOIN (SELECT vec_id // 10 AS v FROM embeddings WHERE vec_id % 10 = 0) ON v = item_id), pi(intent, ca, fu, re, co, score_floor, marginal_gain_floor, st, stages) AS (VALUES "
     + ", ".join(f"('{i[0]}', {i[1]}, {i[2]}, {i[3]}, {i[4]}, {i[5]}::DOUBLE, {i[6]}::DOUBLE, {i[7]}, '{','.join(s for s in i[8] if s in ('lexical', 'vector'))}')" for i in planner.INTENTS)
-    + """), m AS (SELECT *, (CASE agent_id WHEN 'learning-scientist' THEN 1.2::DOUBLE WHEN 'experience-engineer' THEN 0.85::DOUBLE ELSE 1 END) * least(1.5::DOUBLE, 1 + (e - 1) * 0.12::DOUBLE) AS f, greatest(1, floor(round(b * 0.7::DOUBLE / t, 9))) AS cap FROM r JOIN i USING (intent))
-    SELECT CAST(query_id AS BIGINT) AS query_id, intent, CAST(least(100, ceil(round(ca * f, 9))) AS BIGINT) AS candidate_k, CAST(least(150, ceil(round(fu * f, 9))) AS BIGINT) AS fusion_k, CAST(least(50, ceil(round(re * f, 9))) AS BIGINT) AS rerank_k,
+    + """), pm AS (SELECT *, (CASE agent_id WHEN 'learning-scientist' THEN 1.2::DOUBLE WHEN 'experience-engineer' THEN 0.85::DOUBLE ELSE 1 END) * least(1.5::DOUBLE, 1 + (e - 1) * 0.12::DOUBLE) AS f, greatest(1, floor(round(b * 0.7::DOUBLE / t, 9))) AS cap FROM pr JOIN pi USING (intent)),
+    plan AS (SELECT CAST(query_id AS BIGINT) AS query_id, intent, CAST(least(100, ceil(round(ca * f, 9))) AS BIGINT) AS candidate_k, CAST(least(150, ceil(round(fu * f, 9))) AS BIGINT) AS fusion_k, CAST(least(50, ceil(round(re * f, 9))) AS BIGINT) AS rerank_k,
     CAST(least(30, greatest(1, least(ceil(round(co * f, 9)), cap))) AS BIGINT) AS context_k, CAST(least(CASE intent WHEN 'count_events' THEN 3 ELSE 2 END, cap) AS BIGINT) AS min_context_k, CAST(greatest(t, floor(round(b * 0.7::DOUBLE, 9))) AS BIGINT) AS max_context_tokens,
-    score_floor, marginal_gain_floor, CASE WHEN st THEN 0.95::DOUBLE ELSE 0.8::DOUBLE END AS coverage_target, stages FROM m"""
+    score_floor, marginal_gain_floor, CASE WHEN st THEN 0.95::DOUBLE ELSE 0.8::DOUBLE END AS coverage_target, stages FROM pm)"""
 )
 
 
-@query("", _PLAN_SQL)
+@query("", f"WITH {_PLAN} SELECT * FROM plan")
 def plan_table(spark, sf):
-    return _plans(spark)
+    """A plan for every query."""
+    return planner.plan(_requests(spark, sf))
 
 
 def _candidates(spark, sf):
@@ -497,9 +503,22 @@ def _candidates(spark, sf):
     return retrieval.fuse(_lists(spark, sf)).join(docs, "chunk_id")
 
 
-@query()
+_CANDIDATES = "cand AS (SELECT query_id, chunk_id, score, greatest(1, CAST(ceil(length(text) / 4) AS BIGINT)) AS tok, source, lang, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS n FROM rrf JOIN documents ON doc_id = chunk_id)"
+_EVIDENCE = f"""WITH RECURSIVE {_RRF}, {_CANDIDATES}, {_PLAN},
+    walk AS (SELECT query_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS chunk_id, CAST(0 AS BIGINT) AS taken, CAST(0 AS BIGINT) AS tokens, CAST([] AS VARCHAR[]) AS langs, CAST([] AS VARCHAR[]) AS given, 0::DOUBLE AS last, '' AS first_source, FALSE AS took, '' AS why FROM plan
+    UNION ALL SELECT query_id, n, chunk_id, taken + CASE WHEN why = '' AND took THEN 1 ELSE 0 END, tokens + CASE WHEN why = '' AND took THEN tok ELSE 0 END, CASE WHEN why = '' AND took THEN list_append(langs, lang) ELSE langs END, CASE WHEN why = '' AND took THEN list_append(given, source) ELSE given END,
+        CASE WHEN why = '' AND took THEN score ELSE last END, CASE WHEN why = '' AND took AND taken = 0 THEN source ELSE first_source END, why = '' AND took, why
+        FROM (SELECT w.query_id, c.n, c.chunk_id, c.score, c.tok, c.source || '|' || c.lang AS source, c.lang, w.taken, w.tokens, w.langs, w.given, w.last, w.first_source,
+            NOT (w.taken > 0 AND list_contains(w.langs, c.lang) AND c.source = string_split(w.first_source, '|')[1] AND len(list_filter(w.given, lambda g: g = c.source || '|' || c.lang)) >= 8) AS took,
+            CASE WHEN w.taken >= p.context_k THEN 'context_k' WHEN w.taken >= p.min_context_k AND c.score < p.score_floor THEN 'score_floor' WHEN w.taken >= p.min_context_k AND w.last > 0 AND (w.last - c.score) / w.last >= p.marginal_gain_floor THEN 'marginal_gain' WHEN w.tokens + c.tok > p.max_context_tokens THEN 'token_budget' ELSE '' END AS why
+            FROM walk w JOIN cand c ON c.query_id = w.query_id AND c.n = w.n + 1 JOIN plan p ON p.query_id = w.query_id WHERE w.why = '')),
+    ended AS (SELECT query_id, arg_max(CASE WHEN why = '' THEN 'exhausted' ELSE why END, n) AS stopped_by, arg_max(tokens, n) AS used_tokens FROM walk GROUP BY query_id)
+    SELECT query_id, chunk_id, taken AS place, used_tokens, stopped_by FROM walk JOIN ended USING (query_id) WHERE took"""
+
+
+@query("", _EVIDENCE)
 def evidence_selection(spark, sf):
-    return evidence.select_batch(_candidates(spark, sf), _plans(spark))
+    return evidence.select_batch(_candidates(spark, sf), planner.plan(_requests(spark, sf)))
 
 
 def _regions(spark, sf):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry import session
 from quarry.functions import text as T
+from quarry.functions import variants
 from quarry.operators import chunking, evaluation, gateway, index, ivf, lifecycle, metrics, retrieval, store
 from quarry.operators import visibility as vis
 from quarry.plans import planner
@@ -500,7 +501,48 @@ def release_evidence(spark, sf):
 
 @query("", "SELECT event_id FROM events WHERE json_contains(props, '{\"k\": 7}')")
 def json_containment(spark, sf):
-    return L.read(spark, sf, "events").where(T.json_contains(F.col("props"), {"k": 7})).select("event_id")
+    return L.read(spark, sf, "events").where(variants.contains(variants.parse(F.col("props")), {"k": 7})).select("event_id")
+
+
+def _payloads(spark, sf):
+    """Orders with their lines as JSON: nested objects and arrays, keys out of order, numbers, strings, booleans and nulls."""
+    line = F.struct(F.col("l_quantity").cast("long").alias("qty"), F.col("l_returnflag").alias("flag"), F.array(F.col("l_linenumber").cast("long"), F.col("l_linenumber").cast("long") + 1).alias("at"))
+    lines = L.read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", line.alias("x")))).alias("l"))
+    order = F.struct(F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("customer"), (F.col("o_orderkey") % 2 == 0).alias("even"), F.when(F.col("o_custkey") % 3 > 0, F.col("o_custkey").cast("string")).alias("code"))
+    rows = L.read(spark, sf, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    return rows.select(F.col("o_orderkey").alias("id"), F.to_json(F.struct(order.alias("order"), F.transform("l", lambda x: x["x"]).alias("lines"), F.lit("v1").alias("kind")), {"ignoreNullFields": "false"}).alias("payload"))
+
+
+_NESTED = "SELECT o_orderkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE {} GROUP BY o_orderkey"
+
+
+@query("", "WITH x AS (" + _NESTED.format("l_returnflag = 'R' AND CAST(l_quantity AS BIGINT) = 17") + "), y AS (" + _NESTED.format("l_linenumber = 4 OR l_linenumber = 3") + ") SELECT o_orderkey AS id, o_orderstatus = 'F' AND o_orderkey IN (FROM x) AS returned, o_orderkey % 2 = 0 AND o_custkey = 7 AS by_number, FALSE AS by_text, o_custkey % 3 = 0 AS no_code, o_orderkey IN (FROM y) AS at_four FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
+def json_nested_containment(spark, sf):
+    v = variants.parse(F.col("payload"))
+    has = lambda wanted, name: variants.contains(F.col("v"), wanted).alias(name)
+    rows = _payloads(spark, sf).select("id", v.alias("v"))
+    return rows.select("id", has({"order": {"status": "F"}, "lines": [{"flag": "R", "qty": 17}]}, "returned"), has({"order": {"customer": 7, "even": True}}, "by_number"), has({"order": {"customer": "7"}}, "by_text"), has({"order": {"code": None}}, "no_code"), has({"lines": [{"at": [4]}]}, "at_four"))
+
+
+@query("", "WITH l AS (SELECT l_orderkey, min_by(l_returnflag, (l_linenumber, l_partkey, CAST(l_quantity AS BIGINT), l_returnflag)) AS flag, max(l_linenumber) AS n FROM lineitem GROUP BY 1) SELECT o_orderkey AS id, o_orderstatus AS status, CAST(o_custkey AS VARCHAR) AS customer, CASE WHEN o_custkey % 3 > 0 THEN CAST(o_custkey AS VARCHAR) END AS code, CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE 'false' END AS even, flag AS first_flag, CAST(NULL AS VARCHAR) AS absent FROM orders JOIN l ON l_orderkey = o_orderkey")
+def json_text_extract(spark, sf):
+    """Text at paths: keys, array places, typed scalars, nulls and absent fields."""
+    rows = _payloads(spark, sf).select("id", variants.parse(F.col("payload")).alias("v"))
+    at = lambda name, *steps: variants.text_at(F.col("v"), *steps).alias(name)
+    return rows.select("id", at("status", "order", "status"), at("customer", "order", "customer"), at("code", "order", "code"), at("even", "order", "even"), at("first_flag", "lines", 0, "flag"), at("absent", "lines", 99, "flag"))
+
+
+@query("", """WITH l AS (SELECT l_orderkey, '[' || string_agg('{"at":[' || l_linenumber || ',' || (l_linenumber + 1) || '],"flag":"' || l_returnflag || '","qty":' || CAST(l_quantity AS BIGINT) || '}', ',' ORDER BY l_linenumber, l_partkey, CAST(l_quantity AS BIGINT), l_returnflag) || ']' AS ls FROM lineitem GROUP BY 1)
+    SELECT o_orderkey AS id, sha256('{"kind":"v1","lines":' || ls || ',"order":{"code":' || CASE WHEN o_custkey % 3 > 0 THEN '"' || o_custkey || '"' ELSE 'null' END || ',"customer":' || o_custkey || ',"even":' || CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE 'false' END || ',"status":"' || o_orderstatus || '"}}') AS digest FROM orders JOIN l ON l_orderkey = o_orderkey""")
+def canonical_json_nested(spark, sf):
+    return _payloads(spark, sf).select("id", F.sha2(variants.canonical(F.col("payload")), 256).alias("digest"))
+
+
+@query("", "WITH o AS (SELECT o_custkey, o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)) SELECT 'status' AS key, 'string' AS kind, count(*) AS n FROM o UNION ALL SELECT 'customer', 'number', count(*) FROM o UNION ALL SELECT 'even', 'boolean', count(*) FROM o UNION ALL SELECT 'code', CASE WHEN o_custkey % 3 > 0 THEN 'string' ELSE 'null' END, count(*) FROM o GROUP BY 2")
+def json_field_profile(spark, sf):
+    """Which fields the orders' objects have, and of which kinds."""
+    rows = _payloads(spark, sf).select(variants.at(variants.parse(F.col("payload")), "order").alias("v"))
+    return variants.fields(rows, "v").groupBy("key", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- further rules ---
@@ -567,14 +609,16 @@ def page_gaps(spark, sf):
 
 @query("", "SELECT doc_id AS memory_id, CAST(CASE WHEN doc_id % 5 IN (0, 3) THEN 3 WHEN doc_id % 5 = 4 THEN 3 ELSE 0 END AS BIGINT) AS n_columns, CAST(CASE doc_id % 5 WHEN 0 THEN 1 WHEN 3 THEN 2 WHEN 4 THEN 0 ELSE 0 END AS BIGINT) AS n_rows, CASE doc_id % 5 WHEN 1 THEN 'headers must be unique and not empty' WHEN 2 THEN 'row 2 has 2 cells, not 3' END AS error FROM documents")
 def csv_documents(spark, sf):
-    """Every document's text as a quoted cell, line ends and quotes and all."""
+    """Every document's whole text as a quoted cell, line ends and quotes and all; a text may be as long as its source file may be."""
     from quarry.sources import parsers
 
+    limits = parsers.LIMITS | {"chars": 1 << 31, "cell": 1 << 31}
+
     k = F.col("doc_id") % 5
-    cell = F.concat(F.lit('"'), F.replace(F.substring("text", 1, 30000), F.lit('"'), F.lit('""')), F.lit('"'))
+    cell = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
     row = F.concat_ws(",", L.s("doc_id"), cell, F.col("lang"))
     text = F.when(k == 0, F.concat(F.lit("\ufeffid,text,lang\n"), row, F.lit("\n\n"))).when(k == 1, F.concat(F.lit("id,Text,text\n"), row)).when(k == 2, F.concat(F.lit("id,text,lang\n1,2\n"))).when(k == 3, F.concat(F.lit("id,text,lang\r\n"), row, F.lit("\r\n"), row)).otherwise(F.lit("id,text,lang\n"))
-    return parsers.csv_tables(L.read(spark, sf, "documents").select(F.col("doc_id").alias("memory_id"), text.alias("text")))
+    return parsers.csv_tables(L.read(spark, sf, "documents").select(F.col("doc_id").alias("memory_id"), text.alias("text")), limits)
 
 
 @query("", "WITH r AS (SELECT l_suppkey AS item, l_orderkey * 10 + l_linenumber AS request_id, l_partkey FROM lineitem), d AS (SELECT DISTINCT item, request_id FROM r), n AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY request_id) AS n FROM d) SELECT item, request_id, n <= item % 50 AS accepted, n <= item % 50 + 1 AS counter_asked FROM n")

@@ -43,7 +43,7 @@ def csv_table(text: str, limits: dict[str, int] = LIMITS) -> tuple[list[str], li
     return headers, rows[1:]
 
 
-def csv_tables(docs: DataFrame) -> DataFrame:
+def csv_tables(docs: DataFrame, limits: dict[str, int] = LIMITS) -> DataFrame:
     """memory_id, text -> memory_id, n_columns, n_rows, error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -51,7 +51,7 @@ def csv_tables(docs: DataFrame) -> DataFrame:
             rows = []
             for memory, text in zip(pdf["memory_id"], pdf["text"], strict=True):
                 try:
-                    headers, body = csv_table(text or "")
+                    headers, body = csv_table(text or "", limits)
                     rows.append((memory, len(headers), len(body), None))
                 except (ValueError, csv.Error) as e:
                     rows.append((memory, 0, 0, str(e)))
