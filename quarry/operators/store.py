@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -86,43 +85,6 @@ def claim(rows: DataFrame, key: str, due: Column, order: list[str], worker: str,
     return rows.where(due).orderBy(*order, key).limit(limit).select(key, F.lit(worker).alias("lease_owner"), F.timestamp_add("SECOND", F.lit(lease_seconds), t).alias("lease_expires_at"), (F.col("attempt") + 1).alias("attempt"))
 
 
-LEASE = "task_id long, status string, lease_owner string, lease_expires_at double, attempt long, checkpoint string, refused long"
-
-
-def lease_states(events: DataFrame, max_attempts: int = 3) -> DataFrame:
-    """Each task after its events, in order of (at, seq): claim, heartbeat, checkpoint, complete, fail, of a worker.
-
-    events: task_id, seq, at (seconds), event, worker, seconds (of the lease), payload. A claim takes a pending task, or a leased one
-    whose lease ran out, while attempts are left; the other events only count from the owner while the lease lasts. A failed task is
-    pending again until its attempts are used up. What is refused is counted and changes nothing. One task's events are one group.
-    """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        status, owner, until, attempt, checkpoint, refused = "pending", None, None, 0, None, 0
-        for e in pdf.sort_values(["at", "seq"]).itertuples():
-            mine = status == "leased" and owner == e.worker and until > e.at
-            if e.event == "claim":
-                if attempt < max_attempts and (status == "pending" or (status == "leased" and until <= e.at)):
-                    status, owner, until, attempt = "leased", e.worker, e.at + e.seconds, attempt + 1
-                else:
-                    refused += 1
-            elif not mine:
-                refused += 1
-            elif e.event == "heartbeat":
-                until = e.at + e.seconds
-            elif e.event == "checkpoint":
-                checkpoint = e.payload
-            elif e.event == "complete":
-                status, owner, until = "completed", None, None
-            elif e.event == "fail":
-                status, owner, until = ("failed" if attempt >= max_attempts else "pending"), None, None
-            else:
-                refused += 1
-        return pd.DataFrame({"task_id": [pdf["task_id"].iloc[0]], "status": [status], "lease_owner": [owner], "lease_expires_at": [until], "attempt": [attempt], "checkpoint": [checkpoint], "refused": [refused]})
-
-    return events.groupBy("task_id").applyInPandas(fold, LEASE)
-
-
 # --- reconciliation of deletions ---
 
 

@@ -13,6 +13,7 @@ from quarry.plans import planner
 from quarry.queries import _FOLD, _GRADED, _LEX, _RRF, _VEC, ME, NOW, _acks, _chunks, _graded, _lexical_index, _lists, _text_queries, _vector_queries, _vectors, lexical_topk, query
 from quarry.sources import documents
 from quarry.sources import logical as L
+from quarry.streaming import jobs, leases
 
 NAME = "memory.hybrid"
 _VISIBLE = "SELECT c.* FROM chunk c JOIN ver v ON v.index_version_id = c.index_version_id JOIN readable r ON r.memory_id = c.memory_id WHERE c.chunk_level = 'child' AND v.status = 'active' AND v.logical_name = 'memory.hybrid' AND (r.scope = 'public' OR v.tenant_id = 't1')"
@@ -243,12 +244,28 @@ def lease_claim(spark, sf):
     return store.claim(governance.claimable(L.workflow_task(spark, sf), NOW), "task_id", F.lit(True), ["available_at"], "w1", NOW, 300, 50)
 
 
-@query()
+_LEASES = """WITH RECURSIVE e AS (SELECT user_id AS task_id, event_id AS seq, epoch_us(ts) AS t, event_type AS ev, 'w' || (event_id % 2) AS worker, props, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    w AS (SELECT DISTINCT task_id, CAST(0 AS BIGINT) AS n, 'pending' AS status, '' AS owner, CAST(0 AS BIGINT) AS until, CAST(0 AS BIGINT) AS attempt, CAST(NULL AS VARCHAR) AS checkpoint, FALSE AS ok FROM e
+    UNION ALL SELECT task_id, n, CASE WHEN NOT ok THEN now_ WHEN ev = 'view' THEN 'leased' WHEN ev = 'purchase' THEN 'completed' WHEN ev = 'error' THEN CASE WHEN attempt >= 3 THEN 'failed' ELSE 'pending' END ELSE now_ END,
+        CASE WHEN ok AND ev = 'view' THEN worker ELSE owner END, CASE WHEN ok AND ev IN ('view', 'click') THEN t + 43200000000 ELSE until END, attempt + CASE WHEN ok AND ev = 'view' THEN 1 ELSE 0 END, CASE WHEN ok AND ev = 'signup' THEN props ELSE checkpoint END, ok
+        FROM (SELECT *, CASE WHEN ev = 'view' THEN now_ = 'pending' AND attempt < 3 ELSE now_ = 'leased' AND owner = worker END AS ok
+            FROM (SELECT w.task_id, e.n, e.t, e.ev, e.worker, e.props, w.owner, w.until, w.attempt, w.checkpoint, CASE WHEN w.status = 'leased' AND w.until <= e.t THEN CASE WHEN w.attempt >= 3 THEN 'failed' ELSE 'pending' END ELSE w.status END AS now_ FROM w JOIN e ON e.task_id = w.task_id AND e.n = w.n + 1)))
+    SELECT task_id, arg_max(status, n) AS status, max(attempt) AS attempt, arg_max(coalesce(checkpoint, ''), n) AS checkpoint, count(*) FILTER (ok) AS accepted, count(*) FILTER (NOT ok) AS refused FROM w WHERE n > 0 GROUP BY task_id"""
+
+
+@query("", _LEASES)
 def lease_states(spark, sf):
-    """Every user's events, read as one task's."""
+    """Every user's events, read as one task's, as a stream over keyed state; each task as its last event left it."""
     kind = F.create_map(*(F.lit(x) for pair in (("view", "claim"), ("click", "heartbeat"), ("signup", "checkpoint"), ("purchase", "complete"), ("error", "fail")) for x in pair))
-    rows = L.read(spark, sf, "events").select(F.col("user_id").alias("task_id"), F.col("event_id").alias("seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), kind[F.col("event_type")].alias("event"), F.concat(F.lit("w"), L.s(F.col("event_id") % 2)).alias("worker"), F.lit(12 * 3600 * 1_000_000).alias("seconds"), F.col("props").alias("payload"))
-    return store.lease_states(rows)
+
+    def build(path):
+        events = jobs.parquet_stream(spark, f"{sf}/events.parquet", files=1 << 20)
+        rows = events.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), kind[F.col("event_type")].alias("event"), F.concat(F.lit("w"), L.s(F.col("event_id") % 2)).alias("worker"), F.lit(12 * 3600).alias("lease_seconds"), F.col("props").alias("payload"))
+        leases.run(leases.transitions(rows), f"{path}/rows", f"{path}/state").awaitTermination()
+
+    told = leases.table(spark, session.stored(spark, "leases-" + session.stamp(spark, f"{sf}/events.parquet"), build) + "/rows").where("seq is not null")
+    last = lambda c: F.max_by(c, F.struct("at", "seq")).alias(c)
+    return told.groupBy(F.col("key").alias("task_id")).agg(last("status"), F.max("attempt").alias("attempt"), F.coalesce(F.max_by("checkpoint", F.struct("at", "seq")), F.lit("")).alias("checkpoint"), F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("refused"))
 
 
 _STALE = f"{_FOLD}, t AS (SELECT deletion_id, target, status, attempt, TIMESTAMP '1997-01-01' + to_days(CAST(deletion_id % 700 AS INTEGER)) AS updated_at FROM fold), s AS (SELECT * FROM t WHERE status = 'failed' AND updated_at <= TIMESTAMP '1998-01-01' ORDER BY updated_at, deletion_id, target LIMIT 100)"

@@ -24,8 +24,8 @@ def drain(spark: SparkSession, path: str, schema: str, to: str, checkpoint: str)
 
 
 def parquet_stream(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
-    """A growing Parquet folder as a stream of at most `files` files a batch."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files).parquet(path)
+    """A Parquet file, or a growing folder of them, as a stream of at most `files` files a batch."""
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files).parquet(f"{path[:-1]}[{path[-1]}]")  # as a pattern: a plain path has to be a folder
 
 
 def receipts(deliveries: DataFrame, lateness: str = "1 hour") -> DataFrame:

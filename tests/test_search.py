@@ -183,25 +183,6 @@ def test_fan_out_rewrite_and_rerank(spark):
         gateway.rerank(window, lambda q, cs: [], strict=True).collect()
 
 
-def test_lease_states_against_a_plain_model(spark):
-    rng = random.Random(5)
-    rows = [(t, s, float(rng.randrange(60)), rng.choice(("claim", "claim", "heartbeat", "checkpoint", "complete", "fail")), rng.choice("ab"), 8.0, f"p{s}") for t in range(40) for s in range(12)]
-    want = {}
-    for t in range(40):
-        state = {"s": "pending", "o": None, "u": None, "n": 0, "c": None, "r": 0}
-        for _, _, at, event, worker, seconds, payload in sorted((r for r in rows if r[0] == t), key=lambda r: (r[2], r[1])):
-            owns = state["s"] == "leased" and state["o"] == worker and at < state["u"]
-            if event == "claim" and state["n"] < 3 and (state["s"] == "pending" or (state["s"] == "leased" and at >= state["u"])):
-                state |= {"s": "leased", "o": worker, "u": at + seconds, "n": state["n"] + 1}
-            elif event == "claim" or not owns:
-                state["r"] += 1
-            else:
-                state |= {"heartbeat": {"u": at + seconds}, "checkpoint": {"c": payload}, "complete": {"s": "completed", "o": None, "u": None}, "fail": {"s": "failed" if state["n"] >= 3 else "pending", "o": None, "u": None}}[event]
-        want[t] = (state["s"], state["o"], state["u"], state["n"], state["c"], state["r"])
-    got = store.lease_states(spark.createDataFrame(rows, "task_id long, seq long, at double, event string, worker string, seconds double, payload string").repartition(4)).collect()
-    assert {r.task_id: (r.status, r.lease_owner, r.lease_expires_at, r.attempt, r.checkpoint, r.refused) for r in got} == want
-
-
 def test_artifacts_and_appends(spark, tmp_path):
     kind = "artifact_id string, digest string, uri string, scope string, owner_id string, lineage_ids array<string>"
     stored = spark.createDataFrame([("a", "d1", "u:a", "public", "o", []), ("b", "d2", "u:b", "private", "o", [])], kind)
