@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from quarry import session
 from quarry.functions import text as T
 from quarry.functions import variants
-from quarry.operators import chunking, evaluation, gateway, index, ivf, lifecycle, metrics, retrieval, store
+from quarry.operators import chunking, evaluation, gateway, index, ivf, lifecycle, metrics, retrieval, store, writes
 from quarry.operators import visibility as vis
 from quarry.plans import planner
 from quarry.queries import _FOLD, _GRADED, _LEX, _RRF, _VEC, ME, NOW, _acks, _chunks, _graded, _lexical_index, _lists, _text_queries, _vector_queries, _vectors, lexical_topk, query
-from quarry.sources import documents
+from quarry.sources import documents, sink
 from quarry.sources import logical as L
 from quarry.streaming import jobs, leases
 
@@ -180,6 +180,76 @@ def memory_capture(spark, sf):
     return new.select("memory_id", F.lit("new").alias("what")).unionByName(conflicts.select("memory_id", F.lit("conflict").alias("what")))
 
 
+def _chunk_rows(spark, sf):
+    """A chunk for each document; four in five have the first of their five as parent, all of one memory."""
+    d = F.col("doc_id")
+    return L.read(spark, sf, "documents").select(d.alias("chunk_id"), F.expr("doc_id div 5").alias("memory_id"), F.lit(1).cast("long").alias("index_version_id"), F.when(d % 5 > 0, d - d % 5).alias("parent_chunk_id"), F.col("text").alias("content"), T.digest(F.coalesce("text", F.lit(""))).alias("chunk_digest"))
+
+
+def _facts(spark, sf):
+    return L.read(spark, sf, "events").select(F.array(F.col("event_id") % 300, F.col("user_id")).alias("source_memory_ids"))
+
+
+def _store(spark, sf):
+    """A store with two batches of chunks, one of them written again, one refused, one lost on the way, and a deletion."""
+
+    def build(path):
+        rows, gone = _chunk_rows(spark, sf), L.read(spark, sf, "labels").where("quality = 0").select(F.expr("doc_id div 5").alias("memory_id"))
+        writes.put_chunks(path, "even", rows.where("memory_id % 2 = 0"))
+        writes.put_chunks(path, "even", rows)
+        for batch in (rows.withColumn("chunk_digest", F.lit("other")), rows.where("chunk_id % 5 > 0 and memory_id % 2 = 1")):
+            try:
+                writes.put_chunks(path, "odd", batch)
+            except writes.Refused:
+                pass  # that is what is to happen
+        writes.put_chunks(path, "odd", rows)
+        writes.delete_memories(path, "deletion", gone, _facts(spark, sf), "d")
+
+    return session.stored(spark, "chunks-" + session.stamp(spark, *(f"{sf}/{t}.parquet" for t in ("documents", "labels", "events"))), build)
+
+
+_GONE = "gone AS (SELECT DISTINCT doc_id // 5 AS memory_id FROM labels WHERE quality = 0)"
+
+
+@query("", f"WITH {_GONE} SELECT doc_id AS chunk_id, doc_id // 5 AS memory_id, CASE WHEN doc_id % 5 > 0 THEN doc_id - doc_id % 5 END AS parent_chunk_id, 'sha256:' || sha256(coalesce(text, '')) AS chunk_digest FROM documents WHERE doc_id // 5 NOT IN (FROM gone)")
+def chunk_store(spark, sf):
+    """What is read of the store: each chunk once, those of deleted memories not."""
+    return writes.chunks(spark, _store(spark, sf)).select("chunk_id", "memory_id", "parent_chunk_id", "chunk_digest")
+
+
+@query("", f"WITH {_GONE}, c AS (SELECT doc_id // 5 AS memory_id, count(*) AS n FROM documents GROUP BY 1), f AS (SELECT memory_id, count(*) AS n FROM (SELECT event_id % 300 AS memory_id FROM events UNION ALL SELECT user_id FROM events WHERE user_id <> event_id % 300) GROUP BY 1) SELECT 'd.' || memory_id AS deletion_id, memory_id, coalesce(c.n, 0) AS chunks, coalesce(f.n, 0) AS facts, CAST(3 AS BIGINT) AS pending FROM gone LEFT JOIN c USING (memory_id) LEFT JOIN f USING (memory_id)")
+def deletion_store(spark, sf):
+    """Receipts of the deletion, with the targets that it has still to reach."""
+    path = _store(spark, sf)
+    pending = sink.read(spark, path, "deletion_targets").where("status = 'pending'").groupBy("deletion_id").agg(F.count(F.lit(1)).alias("pending"))
+    return sink.read(spark, path, "receipts").drop("_batch").join(pending, "deletion_id", "left")
+
+
+@query("inv", "SELECT run_id, count(*) AS model_calls, CAST(sum(total_tokens) AS BIGINT) AS tokens_used, CAST(sum(CAST(round(cost_usd * 1000000) AS BIGINT)) AS BIGINT) AS ledger_cost, CAST(sum(CAST(ceil(cost_usd * 1000000) AS BIGINT)) AS BIGINT) AS budget_cost FROM (SELECT * FROM inv QUALIFY row_number() OVER (PARTITION BY invocation_id, provider, total_tokens, cost_usd) = 1) GROUP BY run_id")
+def budget_store(spark, sf):
+    """Budgets as the ledger's batches added to them, one batch for each kind of call, one of them twice."""
+
+    def build(path):
+        calls = L.model_invocation(spark, sf).withColumn("invocation_id", F.concat_ws("/", "invocation_id", "provider", L.s("total_tokens"), L.s("cost_usd")))
+        for provider in ("A", "N", "R", "N"):
+            writes.put_invocations(path, provider, calls.where(F.col("provider") == provider))
+        writes.put_invocations(path, "again", calls)
+
+    path = session.stored(spark, "ledger-" + session.stamp(spark, *(f"{sf}/{t}.parquet" for t in ("lineitem", "orders"))), build)
+    return writes.budgets(spark, path)
+
+
+@query("", f"WITH {_LEX} SELECT query_id, '{{\"query_id\":' || query_id || ',\"returned\":' || count(*) || ',\"hits\":[' || string_agg('{{\"rank\":' || rank || ',\"chunk_id\":' || chunk_id || ',\"score\":' || CAST(round(score * 1000000) AS BIGINT) || '}}', ',' ORDER BY rank) || '],\"trace\":{{\"retriever\":\"lexical\"}}}}' AS body FROM lex GROUP BY query_id")
+def response_store(spark, sf):
+    """The answers of a batch of requests, written as documents and read back; scores in millionths."""
+
+    def build(path):
+        writes.put_responses(path, "lexical", lexical_topk(spark, sf).withColumn("score", F.round(F.col("score") * 1_000_000).cast("long")), {"retriever": "lexical"})
+
+    path = session.stored(spark, "responses-" + session.stamp(spark, *(f"{sf}/{t}.parquet" for t in ("documents", "benchmark"))), build)
+    return sink.read(spark, path, "responses").drop("_batch")
+
+
 @query("acl", "SELECT memory_id, principal_type, principal_id, permission FROM acl WHERE memory_id % 2 = 0")
 def acl_grants(spark, sf):
     """Every grant comes twice; those of odd memories are there already."""
