@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -53,41 +53,162 @@ def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
     return out if out is not None else seen.limit(0)
 
 
-def would_cycle(edges: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Candidate edges (parent, child) whose child already reaches the parent, or is the parent."""
-    back = reachable(edges, candidates.select(F.col("child").alias("node"))).select(F.col("start").alias("child"), F.col("node").alias("parent"))
-    loops = candidates.where("parent = child")
-    return candidates.join(back, ["parent", "child"], "left_semi").unionByName(loops).distinct()
+def longest(nodes: DataFrame, edges: DataFrame, own: dict[str, Column], weight: dict[str, int]) -> DataFrame:
+    """node and, for each name, the largest of own(v) + weight * (edges from v to the node) over all v from which the node is reached, itself included.
+
+    Nodes on or behind a cycle have nulls. Chains of nodes with one parent are contracted first: every such node points to its parent, and pointers jump, twice as far
+    in each round, to the first node above that has none or several. Only these are then peeled in rounds, one for each layer of them, whatever the chains between.
+    """
+    names = list(own)
+    edge = cut(edges.select(F.col("parent").alias("node"), F.col("child").alias("to")).distinct().select(F.col("node").alias("parent"), F.col("to").alias("child")))
+    into = edge.groupBy("child").agg(F.count(F.lit(1)).alias("n"), F.max("parent").alias("up"), F.bool_or(F.col("parent") == F.col("child")).alias("loop"))
+    rows = nodes.select("node").distinct().join(into.withColumnRenamed("child", "node"), "node", "left")
+    single = F.coalesce((F.col("n") == 1) & ~F.col("loop"), F.lit(False))
+    # what is known of the way up to `up`, which is not included: hops, and the largest value on it
+    p = cut(rows.select("node", F.when(single, F.col("up")).otherwise(F.col("node")).alias("up"), single.cast("long").alias("hops"), (~single).alias("done"), F.col("n").isNull().alias("source"), *(e.cast("long").alias(k) for k, e in own.items())))
+    settled, active, jumps = p.where("done"), p.where("not done"), 0
+    most = p.count().bit_length() + 1
+    while jumps < most and not active.isEmpty():
+        q = p.select(F.col("node").alias("_node"), F.col("up").alias("_up"), F.col("hops").alias("_hops"), F.col("done").alias("_done"), *(F.col(k).alias(f"_{k}") for k in names))
+        root = F.col("_node") == F.col("_up")
+        further = [F.when(root, F.col(k)).otherwise(F.greatest(F.col(k), F.col(f"_{k}") + weight[k] * F.col("hops"))).alias(k) for k in names]
+        moved = cut(active.join(q, F.col("up") == F.col("_node")).select("node", F.col("_up").alias("up"), (F.col("hops") + F.col("_hops")).alias("hops"), F.col("_done").alias("done"), "source", *further))
+        settled = cut(settled.unionByName(moved.where("done")))
+        active = moved.where("not done")
+        p = settled.unionByName(active)
+        jumps += 1
+    heads = settled.where("hops = 0")
+    values = heads.where("source").select("node", *names)
+    above = edge.join(settled.select(F.col("node").alias("parent"), "up", "hops", *names), "parent", "left").join(heads.where("not source").select(F.col("node").alias("child"), F.lit(True).alias("_head")), "child", "left_semi")
+    # of a head, each way in: the head above it, and what the chain between adds; one without a head above lies behind a cycle
+    open_ = cut(above.select("child", F.col("up").alias("head"), F.col("hops").alias("_hops"), *(F.col(k).alias(f"_{k}") for k in names)))
+    left = cut(heads.where("not source").select("node", *names))
+    known, gathered = values, None
+    while not left.isEmpty():
+        met = open_.join(known.select(F.col("node").alias("head"), *(F.col(k).alias(f"h_{k}") for k in names)), "head")
+        got = met.select("child", *(F.greatest(F.col(f"_{k}"), F.col(f"h_{k}") + weight[k] * F.col("_hops")).alias(k) for k in names))
+        gathered = (got if gathered is None else gathered.unionByName(got)).groupBy("child").agg(*(F.max(k).alias(k) for k in names))
+        gathered, open_ = cut(gathered), cut(open_.join(known.select(F.col("node").alias("head")), "head", "left_anti"))
+        ready = left.join(open_.select(F.col("child").alias("node")), "node", "left_anti").join(gathered.select(F.col("child").alias("node"), *(F.col(k).alias(f"g_{k}") for k in names)), "node")
+        known = cut(ready.select("node", *(F.greatest(F.col(k), F.col(f"g_{k}") + weight[k]).alias(k) for k in names)))
+        if known.isEmpty():
+            break
+        values = values.unionByName(known)
+        left = cut(left.join(known, "node", "left_anti"))
+    up = values.select(F.col("node").alias("up"), *(F.col(k).alias(f"u_{k}") for k in names))
+    out = settled.join(up, "up").select("node", *(F.when(F.col("hops") == 0, F.col(f"u_{k}")).otherwise(F.greatest(F.col(k), F.col(f"u_{k}") + weight[k] * F.col("hops"))).alias(k) for k in names))
+    return nodes.select("node").distinct().join(out, "node", "left")
 
 
 def waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, wave: the longest way to it over edges (parent, child); nodes on or behind a cycle have none."""
-    left, out, wave = nodes.select("node").distinct(), None, 0
-    open_ = edges.select("parent", "child").distinct()
+    return longest(nodes, edges, {"wave": F.lit(0)}, {"wave": 1})
+
+
+def labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, wave, top, low: the wave, and the largest and smallest hash of what the node reaches, itself included.
+
+    Where a node reaches another, its wave is smaller, and its interval from low to top holds the other's. Nulls say nothing.
+    """
+    turned = edges.select(F.col("child").alias("parent"), F.col("parent").alias("child"))
+    h = F.shiftright(F.xxhash64("node"), 1)
+    reach = longest(nodes, turned, {"top": h, "_low": -h}, {"top": 0, "_low": 0}).select("node", "top", (-F.col("_low")).alias("low"))
+    return cut(waves(nodes, edges).join(reach, "node"))
+
+
+def _excluded(a: str, b: str) -> Column:
+    """Whether the labels with prefix a and b say that a's node does not reach b's, another one."""
+    c = F.col
+    return F.coalesce((c(f"{a}wave") >= c(f"{b}wave")) | (c(f"{a}top") < c(f"{b}top")) | (c(f"{a}low") > c(f"{b}low")), F.lit(False))
+
+
+def would_cycle(edges: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Candidate edges (parent, child) whose child already reaches the parent, or is the parent.
+
+    Labels rule out most; where they cannot, a search from the child to its parent only visits nodes that, by their labels, may reach the parent.
+    """
+    asked = candidates.select("parent", "child").distinct()
+    loops = asked.where("parent = child")
+    edge = cut(edges.select("parent", "child").distinct())
+    every = edge.select(F.explode(F.array("parent", "child")).alias("node")).unionByName(asked.select(F.explode(F.array("parent", "child")).alias("node"))).distinct()
+    mark = labels(every, edge)
+    of = lambda prefix: mark.select(*(F.col(c).alias(f"{prefix}{c}") for c in mark.columns))
+    rest = asked.where("parent <> child").join(of("c_"), F.col("child") == F.col("c_node")).join(of("p_"), F.col("parent") == F.col("p_node"))
+    frontier = cut(rest.where(~_excluded("c_", "p_")).select("parent", "child", F.col("child").alias("at"), "p_node", "p_wave", "p_top", "p_low"))
+    seen, found = frontier.select("parent", "child", "at"), None
+    step = edge.select(F.col("parent").alias("from"), F.col("child").alias("to"))
+    while not frontier.isEmpty():
+        near = frontier.join(step, F.col("at") == F.col("from")).drop("at", "from").distinct()
+        hit = near.where(F.col("to") == F.col("parent")).select("parent", "child").distinct()
+        found = cut(hit if found is None else found.unionByName(hit).distinct())
+        on = near.join(found, ["parent", "child"], "left_anti").join(of("n_"), F.col("to") == F.col("n_node")).where(~_excluded("n_", "p_"))
+        frontier = cut(on.select("parent", "child", F.col("to").alias("at"), "p_node", "p_wave", "p_top", "p_low").join(seen, ["parent", "child", "at"], "left_anti"))
+        seen = cut(seen.unionByName(frontier.select("parent", "child", "at")))
+    return loops if found is None else loops.unionByName(found)
+
+
+def below(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """node of everything that some start (column node) reaches over edges (parent, child); starts only where they are reached."""
+    frontier = seen = starts.select("node").distinct()
+    out = None
     while True:
-        ready = left.join(open_.select(F.col("child").alias("node")), "node", "left_anti")
-        ready = cut(ready)
-        if ready.isEmpty():
-            break
-        step = ready.withColumn("wave", F.lit(wave).cast("long"))
-        out = step if out is None else out.unionByName(step)
-        left = left.join(ready, "node", "left_anti")
-        open_ = open_.join(ready.select(F.col("node").alias("parent")), "parent", "left_anti")
-        if wave % 8 == 7:
-            left, open_ = cut(left), cut(open_)
-        wave += 1
-    rest = left.withColumn("wave", F.lit(None).cast("long"))
-    return rest if out is None else out.unionByName(rest)
+        reached = frontier.join(edges, F.col("node") == F.col("parent")).select(F.col("child").alias("node")).distinct()
+        new = cut(reached if out is None else reached.join(out, "node", "left_anti"))
+        if new.isEmpty():
+            return seen.limit(0) if out is None else out
+        out = new if out is None else cut(out.unionByName(new))
+        frontier = new
 
 
 def run_states(nodes: DataFrame, edges: DataFrame, failed: DataFrame) -> DataFrame:
     """node, state of an execution in waves: failed as given, skipped if it depends on a failed one through any others, else done."""
     bad = failed.select("node").distinct()
-    below = reachable(edges.select("parent", "child"), bad).select("node").distinct()
-    rows = nodes.select("node").distinct().join(bad.withColumn("_f", F.lit(True)), "node", "left").join(below.withColumn("_s", F.lit(True)), "node", "left")
+    behind = below(edges.select("parent", "child"), bad)
+    rows = nodes.select("node").distinct().join(bad.withColumn("_f", F.lit(True)), "node", "left").join(behind.withColumn("_s", F.lit(True)), "node", "left")
     return rows.select("node", F.when(F.col("_s"), "skipped").when(F.col("_f"), "failed").otherwise("done").alias("state"))
 
 
+DIRECTIONS = ("outbound", "inbound", "both")
+
+
+def relation_paths(edges: DataFrame, pairs: DataFrame, most: int = 6, direction: str = "outbound", include_conflicts: bool = False) -> DataFrame:
+    """start, target, found, nodes, edge_ids, conflicts, excluded: a path of the fewest hops, and the conflicting edges that the search met.
+
+    Of edges with the same dedupe_key (edge_id where there is none) the first in the order of source, predicate, target and id counts; of paths with the same number of
+    hops, the first in that order of their edges. The search goes on to `most` hops whether the target was found or not, but not beyond the target, and never back to
+    the start. Conflicting edges are walked only if they are included, and told either way; excluded is how many were not walked.
+    An edge whose `direction` is bidirectional is walked both ways.
+    """
+    if direction not in DIRECTIONS:
+        raise ValueError(f"unknown direction: {direction}")
+    order = ["source_node_id", "predicate", "target_node_id", "edge_id"]
+    key = "dedupe_key" if "dedupe_key" in edges.columns else "edge_id"
+    rows = edges.withColumn("_n", F.row_number().over(W.Window.partitionBy(key).orderBy(*order))).where("_n = 1")
+    both = F.lit(direction == "both") | (F.coalesce("direction", F.lit("directed")) == "bidirectional" if "direction" in edges.columns else F.lit(False))
+    way = lambda a, b, when: rows.where(when).select(F.col(a).alias("a"), F.col(b).alias("b"), F.struct(*order).alias("e"), (F.col("conflict_status") != "none").alias("conflict"))
+    step = way("source_node_id", "target_node_id", both | F.lit(direction == "outbound")).unionByName(way("target_node_id", "source_node_id", both | F.lit(direction == "inbound"))).distinct()
+    asked = cut(pairs.select("start", "target").distinct())
+    pair = ["start", "target"]
+    at = asked.select(*pair, F.col("start").alias("node"), F.array("start").alias("nodes"), F.array().cast(f"array<{step.schema['e'].dataType.simpleString()}>").alias("way"))
+    seen, met, hit = at.select(*pair, "node"), None, None
+    for _ in range(most):
+        near = cut(at.join(step, F.col("node") == F.col("a")))
+        bad = near.where("conflict").select(*pair, F.col("e.edge_id").alias("edge_id")).distinct()
+        met = bad if met is None else met.unionByName(bad)
+        walked = near if include_conflicts else near.where("not conflict")
+        best = walked.groupBy(*pair, "b").agg(F.min(F.struct(F.concat("way", F.array("e")).alias("way"), F.concat("nodes", F.array("b")).alias("nodes"))).alias("m"))
+        new = cut(best.select(*pair, F.col("b").alias("node"), "m.nodes", "m.way").join(seen, [*pair, "node"], "left_anti"))
+        seen = seen.unionByName(new.select(*pair, "node"))
+        here = new.where("node = target")
+        hit = here if hit is None else hit.unionByName(here)
+        at = new.where("node <> target")
+    told = met.distinct().groupBy(*pair).agg(F.sort_array(F.collect_list("edge_id")).alias("conflicts"))
+    none = F.array().cast("array<string>")
+    out = asked.join(hit.select(*pair, "nodes", F.transform("way", lambda e: e["edge_id"]).alias("edge_ids"), F.lit(True).alias("found")), pair, "left").join(told, pair, "left")
+    conflicts = F.coalesce("conflicts", none)
+    return out.select(*pair, F.coalesce("found", F.lit(False)).alias("found"), F.coalesce("nodes", none).alias("nodes"), F.coalesce("edge_ids", none).alias("edge_ids"), conflicts.alias("conflicts"), (F.lit(0) if include_conflicts else F.size(conflicts)).cast("long").alias("excluded"))
+
+
 def dependencies_by_file(items: DataFrame) -> DataFrame:
     """items: item_id, files. Each item depends on the item before it that touches the same file."""
     w = W.Window.partitionBy("file").orderBy("item_id")
