@@ -1,8 +1,8 @@
 """A stored inverted index with positions, and top-k search over it with block maxima.
 
-Chunks are dealt to shards by falling length, so that those with many occurrences stand together. A row of the index is the block of one term in one
-shard: which chunks (ordinals in the shard, by chunk_id), how often, where, and the largest count. Rows lie in folders by a hash of the term, sorted by term, so that
-a search reads the folders of its own terms, and no positions unless a chunk holds all words of an alternative.
+The task that reads chunks deals them to shards by their length, so that those with many occurrences stand together, and writes the shards without a
+shuffle. A row of the index is the block of one term in one shard: which chunks (ordinals in the shard, by chunk_id), how often, where, and the largest count. Rows lie in
+folders by a hash of the term, sorted by term, so that a search reads the folders of its own terms, and no positions unless a chunk holds all words of an alternative.
 
 A search of a block of queries runs in three steps:
 1. Block maxima bound what any chunk of a shard can score for a query. The SEEDS shards with the highest bounds are scored first; a query's kth score there is its threshold.
@@ -29,10 +29,10 @@ from quarry.functions import text as T
 from quarry.functions import websearch
 from quarry.operators import retrieval
 
-#: A shard ends at so many chunks or tokens; fewer tokens where a table is small, so that all cores have shards.
-SHARD_CHUNKS, SHARD_TOKENS, LEAST_TOKENS = 16_384, 4 << 20, 1 << 15
-#: Folders by term: one for so many bytes of text, at least LEAST_BUCKETS.
-BUCKET_BYTES, LEAST_BUCKETS, SALTS = 256 << 20, 8, 4
+#: A shard ends at so many chunks or tokens; fewer tokens where a table is small, so that all cores have shards. A task holds four shards' tokens at most.
+SHARD_CHUNKS, SHARD_TOKENS, LEAST_TOKENS = 16_384, 1 << 20, 1 << 15
+#: Folders by term. Each task that writes has a file in each, so large tables are best read in large parts (spark.sql.files.maxPartitionBytes).
+BUCKETS = 16
 SEEDS, BLOCK = 2, 256
 IDS, ALLOWED = -1, -2  # rows of a shard that are no postings
 
@@ -70,32 +70,56 @@ def _blocks_of(shard: int, ids: np.ndarray, tokens: pa.Array) -> Iterator[pa.Rec
     yield from (whole.slice(i, 4096) for i in range(0, n, 4096))
 
 
+class _Class:
+    """Chunks of about the same length that wait for their shard to be full."""
+
+    def __init__(self):
+        self.held, self.chunks, self.tokens = [], 0, 0
+
+    def add(self, rows: pa.RecordBatch, tokens: int) -> None:
+        self.held.append(rows)
+        self.chunks, self.tokens = self.chunks + rows.num_rows, self.tokens + tokens
+
+
 def _shards(most_chunks: int, most_tokens: int, base: int):
+    """Blocks of the shards of a task: chunks are gathered by the power of two of their length, and what is left over at the end by falling length."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        n, held, tokens = 0, [], 0
-        shard = lambda: base + (TaskContext.get().partitionId() << 24) + n
+        first, n, classes = base + (TaskContext.get().partitionId() << 24), 0, {}
 
-        def flush():
-            both = pa.Table.from_batches(held).combine_chunks()
-            return _blocks_of(shard(), both.column("chunk_id").to_numpy(), both.column("tokens").combine_chunks())
+        def flush(some: list[_Class]) -> Iterator[pa.RecordBatch]:
+            nonlocal n
+            both = pa.Table.from_batches([h for c in some for h in c.held]).combine_chunks()
+            n += 1
+            yield from _blocks_of(first + n, both.column("chunk_id").to_numpy(), both.column("tokens").combine_chunks())
 
         for b in batches:
-            size = np.cumsum(np.diff(b.column("tokens").offsets.to_numpy()))
-            start = 0
-            while start < b.num_rows:
-                room = tokens - (size[start - 1] if start else 0)
-                end = max(start + (not held), min(int(np.searchsorted(size + room, most_tokens, "right")), start + most_chunks - sum(h.num_rows for h in held)))
-                if end > start:
-                    held.append(b.slice(start, end - start))
-                    tokens = int(size[end - 1] + room)
-                if end < b.num_rows:
-                    yield from flush()
-                    n, held, tokens = n + 1, [], 0
-                start = end
-        if held:
-            yield from flush()
+            many = np.diff(b.column("tokens").offsets.to_numpy())
+            power = np.frexp(many.astype(float))[1]
+            for c in np.unique(power).tolist():
+                at = np.flatnonzero(power == c)
+                rows, size, start = b.take(pa.array(at)), np.cumsum(many[at]), 0
+                while start < len(at):
+                    own = classes.setdefault(c, _Class())
+                    gone = size[start - 1] if start else 0
+                    end = max(start + 1, min(int(np.searchsorted(size, gone + most_tokens - own.tokens, "right")), start + most_chunks - own.chunks))
+                    end = min(end, len(at))
+                    own.add(rows.slice(start, end - start), int(size[end - 1] - gone))
+                    start = end
+                    if own.chunks >= most_chunks or own.tokens >= most_tokens or end < len(at):
+                        yield from flush([classes.pop(c)])
+            while classes and sum(c.tokens for c in classes.values()) > 4 * most_tokens:
+                yield from flush([classes.pop(max(classes, key=lambda c: classes[c].tokens))])
+        rest: list[_Class] = []
+        for c in sorted(classes, reverse=True):
+            rest.append(classes[c])
+            if sum(x.tokens for x in rest) >= most_tokens or sum(x.chunks for x in rest) >= most_chunks:
+                yield from flush(rest)
+                rest = []
+        if rest:
+            yield from flush(rest)
 
     return run
 
@@ -307,7 +331,7 @@ class Stored:
         """chunks: chunk_id (each once), content. A null content is in no result."""
         spark = chunks.sparkSession
         size = chunks.agg(F.sum(F.length("content"))).first()[0] or 0
-        out = Stored(path, max(LEAST_BUCKETS, size // BUCKET_BYTES))
+        out = Stored(path, BUCKETS)
         spark.createDataFrame([(out.buckets,)], "buckets long").coalesce(1).write.parquet(f"{path}/meta")
         out._write(chunks, size, shard_chunks, shard_tokens, 0)
         return out
@@ -319,7 +343,7 @@ class Stored:
     def insert(self, chunks: DataFrame) -> None:
         """Adds chunks, whose ids are new, as further shards."""
         last = self.table(chunks.sparkSession).where("bucket = -1").agg(F.max("shard")).first()[0]
-        self._write(chunks, chunks.agg(F.sum(F.length("content"))).first()[0] or 0, SHARD_CHUNKS, None, ((last >> 48) + 1 << 48) if last is not None else 0)
+        self._write(chunks, chunks.agg(F.sum(F.length("content"))).first()[0] or 0, SHARD_CHUNKS, None, ((last >> 48) + 1) << 48 if last is not None else 0)
 
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.read.schema(f"{_ROW_SQL}, bucket int").parquet(f"{self.path}/postings")
@@ -327,13 +351,14 @@ class Stored:
     def _write(self, chunks: DataFrame, size: int, shard_chunks: int, shard_tokens: int | None, base: int) -> None:
         spark = chunks.sparkSession
         parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        shard_tokens = shard_tokens or min(SHARD_TOKENS, max(LEAST_TOKENS, size // 6 // (4 * parts)))
+        shard_tokens = shard_tokens or min(SHARD_TOKENS, max(LEAST_TOKENS, size // 6 // (2 * parts)))
+        rows = chunks.where("content is not null").select(F.col("chunk_id").cast("long").alias("chunk_id"), "content")
+        if rows.rdd.getNumPartitions() < parts:  # a small table in few files: all cores are to work
+            rows = rows.repartition(parts)
         words = F.concat(T.tokens(F.col("content")), T.cjk_occurrences(F.col("content")))
-        rows = chunks.where("content is not null").select(F.col("chunk_id").cast("long").alias("chunk_id"), "content").withColumn("_n", F.length("content"))
-        dealt = rows.repartitionByRange(4 * parts, F.desc("_n"), "chunk_id").sortWithinPartitions(F.desc("_n"), "chunk_id").select("chunk_id", words.alias("tokens"))
-        made = dealt.mapInArrow(_shards(shard_chunks, shard_tokens, base), _ROW_SQL)
+        made = rows.select("chunk_id", words.alias("tokens")).mapInArrow(_shards(shard_chunks, shard_tokens, base), _ROW_SQL)
         bucket = F.when(F.col("term") == "", -1).otherwise(F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int"))
-        made.withColumn("bucket", bucket).repartition("bucket", F.pmod("shard", F.lit(SALTS))).sortWithinPartitions("bucket", "term", "shard").write.mode("append").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/postings")
+        made.withColumn("bucket", bucket).sortWithinPartitions("bucket", "term", "shard").write.mode("append").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/postings")
 
     # --- searching ---
 
