@@ -21,7 +21,7 @@ from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry import session
@@ -386,20 +386,30 @@ class Stored:
         return session.cut(own.groupBy("shard").agg(F.sort_array(F.collect_list("at")).alias("docs")))
 
     def _block(self, spark: SparkSession, asked: Asked, limits: DataFrame | None) -> DataFrame:
-        bucket = F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int").alias("bucket")
-        wanted = spark.createDataFrame(list(asked.terms.items()) or [("", 0)], "term string, t int").select("term", "t", bucket)
-        folders = sorted({r["bucket"] for r in wanted.select("bucket").distinct().collect()})
         table = self.table(spark)
-        met = table.where(F.col("bucket").isin(folders)).join(F.broadcast(wanted), ["bucket", "term"])
+
+        def postings_of(terms: dict[str, int]) -> DataFrame:
+            """The blocks of these terms, from the folders that hold them."""
+            bucket = F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int").alias("bucket")
+            wanted = spark.createDataFrame(list(terms.items()) or [("", 0)], "term string, t int").select("term", "t", bucket)
+            folders = [r["bucket"] for r in wanted.groupBy("bucket").count().collect()]
+            return table.where(F.col("bucket").isin(folders)).join(F.broadcast(wanted), ["bucket", "term"])
+
+        def per_query(values, kind: str) -> Column:
+            """The value of each query, by q."""
+            return F.expr(f"element_at(array({', '.join(f'cast({v!r} as {kind})' for v in values)}), q + 1)")
+
+        limit = per_query(asked.k.tolist(), "int")
+        met = postings_of(asked.terms)
         parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))  # given as a number, so that few bytes are not put into few tasks
         bounds = session.cut(met.select("t", "shard", "most").repartition(parts, "shard").groupBy("shard").applyInArrow(_bound(asked), "shard long, q int, bound double"))
         w = retrieval.W.Window.partitionBy("q").orderBy(F.desc("bound"), "shard")
         ranked = bounds.withColumn("_n", F.row_number().over(w))
 
-        def side(pairs: DataFrame, positions: bool = False, terms: list[int] | None = None) -> DataFrame:
+        def side(pairs: DataFrame, positions: bool = False, terms: set[int] | None = None) -> DataFrame:
             """The postings of the shards that pairs name, their chunk ids, and the ordinals that are allowed."""
             shards = retrieval.small(pairs.select("shard").distinct())
-            own = met if terms is None else met.where(F.col("t").isin(terms))
+            own = met if terms is None else postings_of({t: n for t, n in asked.terms.items() if n in terms})
             held = F.col("positions") if positions else F.lit(None).cast("array<int>").alias("positions")
             no = lambda kind: F.lit(None).cast(kind)
             limited = F.lit(limits is not None).alias("limited")
@@ -409,7 +419,7 @@ class Stored:
                 out = out.unionByName(limits.select("shard", F.lit(ALLOWED).alias("t"), "docs", no("array<int>").alias("tfs"), no("array<int>").alias("positions"), no("array<long>").alias("ids"), limited))
             return out.join(shards, "shard", "left_semi")
 
-        def meet(run, pairs: DataFrame, positions: bool = False, terms: list[int] | None = None) -> DataFrame:
+        def meet(run, pairs: DataFrame, positions: bool = False, terms: set[int] | None = None) -> DataFrame:
             right = pairs.select(*(F.col(c).alias({"shard": "in_shard"}.get(c, c)) for c in pairs.columns))
             if "value" in pairs.columns:
                 right = right.withColumn("shard", F.col("in_shard"))
@@ -418,14 +428,13 @@ class Stored:
 
         def kth(hits: DataFrame, score: str) -> dict[int, float]:
             """Of each query with k hits, the rounded value of the kth."""
-            limit = F.element_at(F.array(*map(F.lit, asked.k.tolist())), F.col("q") + 1)
             n = F.row_number().over(retrieval.W.Window.partitionBy("q").orderBy(F.desc(score), "chunk_id"))
             found = hits.withColumn("_n", n).where(F.col("_n") == limit).select("q", score).collect()
             values = _rounded(np.array([r[score] for r in found], float)) if found else []
             return {r["q"]: float(v) for r, v in zip(found, values, strict=True)}
 
         def reach(rows: DataFrame, least: dict[int, float]) -> DataFrame:
-            return rows.where(F.col("bound") >= F.element_at(F.array(*(F.lit(least.get(i, -1.0)) for i in range(len(asked.ids)))), F.col("q") + 1))
+            return rows.where(F.col("bound") >= per_query([least.get(i, -1.0) for i in range(len(asked.ids))], "double"))
 
         hits = meet(_score(asked), ranked.where(F.col("_n") <= SEEDS).select("shard", "q"))
         rest = reach(ranked.where(F.col("_n") > SEEDS), kth(hits, "value"))
@@ -434,9 +443,8 @@ class Stored:
         names = sorted({r["q"] for r in whole.select("q").distinct().collect()})
         final = hits.where("not whole")
         if names:
-            terms = sorted({x for q in names for _, _, ts in asked.units[q] for x in ts})
+            terms = {x for q in names for _, _, ts in asked.units[q] for x in ts}
             final = final.unionByName(meet(_density(asked), whole, True, terms))
-        ids = F.element_at(F.array(*(F.lit(i).cast("long") for i in asked.ids)), F.col("q") + 1)
-        limit = F.element_at(F.array(*map(F.lit, asked.k.tolist())), F.col("q") + 1)
+        ids = per_query(asked.ids, "long")
         scored = final.select(ids.alias("query_id"), "chunk_id", F.round(T.normalised_score(F.col("value")), 6).alias("score"), limit.alias("_k"))
         return retrieval.top(scored, F.col("_k")).select("query_id", "chunk_id", "score", "rank")

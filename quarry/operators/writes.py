@@ -39,8 +39,10 @@ def put_chunks(path: str, batch: str, incoming: DataFrame) -> bool:
     if sink.committed(path, batch):
         return False
     spark = incoming.sparkSession
-    rows = session.cut(incoming.select(*(F.col(c.split(" ")[0]).cast(c.split(" ")[1]) for c in CHUNK.split(", "))))
-    stored = chunks(spark, path)
+    names = [c.split(" ")[0] for c in CHUNK.split(", ")]
+    incoming = incoming.select(*(F.col(c.split(" ")[0]).cast(c.split(" ")[1]) for c in CHUNK.split(", ")))
+    rows = session.cut(incoming.drop("content"))  # texts are not needed to check
+    stored = chunks(spark, path).drop("content")
     fixed = ["memory_id", "index_version_id", "parent_chunk_id", "chunk_digest"]
     new, clash = lifecycle.upsert(stored, rows, "chunk_id", fixed)
     twice = rows.groupBy("chunk_id").agg(F.count_distinct(F.struct(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in fixed))).alias("n")).where("n > 1")
@@ -52,7 +54,13 @@ def put_chunks(path: str, batch: str, incoming: DataFrame) -> bool:
     errors = session.cut(reason(clash.unionByName(twice.select("chunk_id")), "contradicts").unionByName(reason(strays, "parent")).unionByName(reason(dead, "deleted")).distinct())
     if not errors.isEmpty():
         raise Refused(errors)
-    return sink.write(path, batch, {"chunks": new.select(*(c.split(" ")[0] for c in CHUNK.split(", ")))})
+    ids = session.cut(new.select("chunk_id"))
+    total, distinct = rows.count(), rows.select("chunk_id").distinct().count()
+    if ids.count() < distinct:  # texts are only shuffled where some are known or come twice
+        incoming = incoming.join(ids, "chunk_id", "left_semi")
+    if distinct < total:
+        incoming = incoming.dropDuplicates(["chunk_id"])
+    return sink.write(path, batch, {"chunks": incoming.select(*names)})
 
 
 def put_invocations(path: str, batch: str, calls: DataFrame) -> bool:
