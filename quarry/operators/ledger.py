@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
+
+from quarry import session
 
 MICRO = 1_000_000
 
@@ -76,3 +79,45 @@ def trace(tasks: DataFrame, calls: DataFrame) -> DataFrame:
     t = tasks.groupBy("run_id").agg(F.array_join(F.array_sort(F.collect_list(F.col("task_id").cast("string"))), ",").alias("tasks"))
     c = calls.groupBy("run_id").agg(F.array_join(F.array_sort(F.collect_list("invocation_id")), ",").alias("calls"))
     return t.join(c, "run_id", "left").select("run_id", "tasks", F.coalesce("calls", F.lit("")).alias("calls"))
+
+
+def merged(streams: dict[str, DataFrame]) -> DataFrame:
+    """Streams of different shapes as one: run_id, occurred_at, activity_id and kind (the stream's name), and what else each has as a JSON text.
+
+    Every stream has run_id, occurred_at and activity_id; rows without a run or a time are left out of every run's trace.
+    """
+    common, out = ("run_id", "occurred_at", "activity_id"), None
+    for kind, df in streams.items():
+        rest = [c for c in df.columns if c not in common]
+        details = F.to_json(F.struct(*rest)) if rest else F.lit("{}")
+        part = df.where("run_id is not null and occurred_at is not null").select("run_id", F.col("occurred_at").cast("timestamp_ntz").alias("occurred_at"), F.col("activity_id").cast("string").alias("activity_id"), F.lit(kind).alias("kind"), details.alias("details"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+ORDER = ["run_id", "occurred_at", "activity_id", "kind"]
+
+
+def paged(rows: DataFrame, size: int = 100) -> DataFrame:
+    """merged() with place (from 1) and page (from 0) of each row in its run, in the order of time.
+
+    Rows are dealt by ranges of run and time, so that a run with many is in many parts; a part's rows are numbered where they are, and start behind the
+    number of the run's rows in earlier parts, of which only counts are gathered.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = session.cut(rows.repartitionByRange(parts, *ORDER).withColumn("_part", F.spark_partition_id()))
+    counts = dealt.groupBy("run_id", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = W.Window.partitionBy("run_id").orderBy("_part").rowsBetween(W.Window.unboundedPreceding, -1)
+    starts = counts.select("run_id", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    local = F.row_number().over(W.Window.partitionBy("run_id", "_part").orderBy(*ORDER[1:]))
+    placed = dealt.withColumn("_local", local).join(starts, ["run_id", "_part"]).withColumn("place", F.col("_start") + F.col("_local"))
+    return placed.withColumn("page", F.expr(f"(place - 1) div {int(size)}")).drop("_part", "_local", "_start")
+
+
+def page_after(rows: DataFrame, run_id: int, after: tuple | None = None, size: int = 100) -> DataFrame:
+    """The next rows of a run behind (occurred_at, activity_id, kind), by key, so that no page reads those before it."""
+    own = rows.where(F.col("run_id") == run_id)
+    if after is not None:
+        at = F.struct(F.lit(after[0]).cast("timestamp_ntz"), F.lit(after[1]), F.lit(after[2]))
+        own = own.where((F.col("occurred_at") >= F.lit(after[0]).cast("timestamp_ntz")) & (F.struct("occurred_at", "activity_id", "kind") > at))
+    return own.orderBy(*ORDER).limit(size)

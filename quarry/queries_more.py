@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quarry import session
 from quarry.functions import text as T
 from quarry.functions import variants
-from quarry.operators import chunking, evaluation, gateway, index, ivf, lifecycle, metrics, retrieval, store, writes
+from quarry.operators import chunking, evaluation, gateway, governance, index, ivf, ledger, lifecycle, metrics, retrieval, store, writes
 from quarry.operators import visibility as vis
 from quarry.plans import planner
 from quarry.queries import _FOLD, _GRADED, _LEX, _RRF, _VEC, ME, NOW, _acks, _chunks, _graded, _lexical_index, _lists, _text_queries, _vector_queries, _vectors, lexical_topk, query
@@ -591,6 +591,68 @@ def json_containment(spark, sf):
     return L.read(spark, sf, "events").where(variants.contains(variants.parse(F.col("props")), {"k": 7})).select("event_id")
 
 
+def _streams(spark, sf):
+    """What happens in a run: tasks, their deadlines and leases, model calls, shipments of outbox events, and violations."""
+    tasks, calls = L.workflow_task(spark, sf), L.model_invocation(spark, sf)
+    task = F.col("task_id").cast("string")
+    lines = L.read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_returnflag").join(L.read(spark, sf, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    broken = governance.violations(tasks).join(tasks.select("task_id", "run_id", "available_at"), "task_id")
+    return {
+        "agent_task": tasks.select("run_id", F.col("available_at").alias("occurred_at"), task.alias("activity_id"), "subject", "status"),
+        "deadline": tasks.where("status <> 'completed'").select("run_id", F.col("deadline").alias("occurred_at"), task.alias("activity_id"), "attempt"),
+        "lease": tasks.where("lease_expires_at is not null").select("run_id", F.col("lease_expires_at").alias("occurred_at"), task.alias("activity_id")),
+        "model_invocation": calls.select("run_id", F.col("started_at").alias("occurred_at"), F.col("invocation_id").alias("activity_id"), "agent_id", "status", "total_tokens", "cost_usd"),
+        "outbox_event": lines.select(F.col("o_custkey").alias("run_id"), F.col("l_shipdate").alias("occurred_at"), F.concat_ws(".", L.s("l_orderkey"), L.s("l_linenumber")).alias("activity_id"), F.col("l_returnflag").alias("provider")),
+        "violation": broken.select("run_id", F.col("available_at").alias("occurred_at"), F.concat_ws(".", task, "violation").alias("activity_id"), "severity", "action"),
+    }
+
+
+_TRACE = """v AS (SELECT task_id, run_id, available_at, CASE WHEN hop_count > 8 THEN 'hop_limit' WHEN row_number() OVER (PARTITION BY run_id ORDER BY available_at, task_id) > 32 THEN 'budget_exhausted' WHEN row_number() OVER (PARTITION BY run_id, task_fingerprint ORDER BY available_at, task_id) > 1 THEN 'task_repetition' END AS violation FROM task),
+    tr AS (SELECT run_id, available_at AS t, CAST(task_id AS VARCHAR) AS id, 'agent_task' AS kind FROM task UNION ALL SELECT run_id, deadline, CAST(task_id AS VARCHAR), 'deadline' FROM task WHERE status <> 'completed' UNION ALL SELECT run_id, lease_expires_at, CAST(task_id AS VARCHAR), 'lease' FROM task WHERE lease_expires_at IS NOT NULL
+    UNION ALL SELECT run_id, started_at, invocation_id, 'model_invocation' FROM inv UNION ALL SELECT o_custkey, l_shipdate, l_orderkey || '.' || l_linenumber, 'outbox_event' FROM lineitem JOIN orders ON l_orderkey = o_orderkey UNION ALL SELECT run_id, available_at, task_id || '.' || violation, 'violation' FROM v WHERE violation IS NOT NULL)"""
+
+
+@query("task inv", f"WITH {_TRACE}, o AS (SELECT *, (row_number() OVER (PARTITION BY run_id ORDER BY t, id, kind) - 1) // 25 AS page FROM tr) SELECT run_id, page, count(*) AS activities, min(t) AS first_at, max(t) AS last_at, arg_min(kind || ':' || id, (t, id, kind)) AS first_activity, arg_max(kind || ':' || id, (t, id, kind)) AS last_activity, count(DISTINCT kind) AS kinds FROM o GROUP BY run_id, page")
+def run_trace_pages(spark, sf):
+    """Every run's trace over all its streams, in pages of 25."""
+    rows = ledger.paged(ledger.merged(_streams(spark, sf)), 25)
+    name, order = F.concat_ws(":", "kind", "activity_id"), F.struct("occurred_at", "activity_id", "kind")
+    return rows.groupBy("run_id", "page").agg(F.count(F.lit(1)).alias("activities"), F.min("occurred_at").alias("first_at"), F.max("occurred_at").alias("last_at"), F.min_by(name, order).alias("first_activity"), F.max_by(name, order).alias("last_activity"), F.count_distinct("kind").alias("kinds"))
+
+
+@query("task inv", f"WITH {_TRACE} SELECT run_id, kind, count(*) AS n, count(DISTINCT id) AS ids FROM tr GROUP BY ALL")
+def run_trace_streams(spark, sf):
+    """How much each stream gives to each run."""
+    return ledger.merged(_streams(spark, sf)).groupBy("run_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("activity_id").alias("ids"))
+
+
+@query("edge", """WITH f AS (SELECT source_node_id AS a, target_node_id AS b, edge_id, conflict_status <> 'none' AS bad FROM edge), p AS (SELECT 'customer:' || c_custkey AS start, 'region:' || (c_custkey % 5) AS target FROM customer),
+    h1 AS (SELECT p.start, p.target, f.b, f.edge_id, f.bad FROM p JOIN f ON f.a = p.start), h2 AS (SELECT h1.start, h1.target, h1.b AS mid, f.b, h1.edge_id AS e1, f.edge_id, f.bad FROM h1 JOIN f ON f.a = h1.b WHERE NOT h1.bad AND h1.b <> h1.target),
+    hit AS (SELECT start, target, start || '>' || mid || '>' || b AS path, e1 || '>' || edge_id AS edges FROM h2 WHERE b = target AND NOT bad), c AS (SELECT start, target, edge_id FROM h1 WHERE bad UNION SELECT start, target, edge_id FROM h2 WHERE bad)
+    SELECT p.start, p.target, path IS NOT NULL AS found, coalesce(path, '') AS path, coalesce(edges, '') AS edges, coalesce((SELECT string_agg(edge_id, ',' ORDER BY edge_id) FROM c WHERE c.start = p.start), '') AS conflicts, (SELECT count(*) FROM c WHERE c.start = p.start) AS excluded FROM p LEFT JOIN hit USING (start, target)""")
+def relation_path_conflicts(spark, sf):
+    """From each customer to a region over edges that do not conflict, and the conflicting ones that were met."""
+    from quarry.operators import graph
+
+    pairs = L.read(spark, sf, "customer").select(F.concat(F.lit("customer:"), L.s("c_custkey")).alias("start"), F.concat(F.lit("region:"), L.s(F.col("c_custkey") % 5)).alias("target"))
+    rows = graph.relation_paths(L.structured_edge(spark, sf), pairs, 3)
+    return rows.select("start", "target", "found", F.array_join("nodes", ">").alias("path"), F.array_join("edge_ids", ">").alias("edges"), F.array_join("conflicts", ",").alias("conflicts"), "excluded")
+
+
+@query("", "WITH e AS (SELECT DISTINCT o_orderkey // 2 AS parent, o_orderkey AS child FROM orders), a AS (SELECT o_orderkey AS parent, o_orderkey // 4 AS child FROM orders UNION ALL SELECT o_orderkey, o_orderkey // 3 FROM orders UNION ALL SELECT o_orderkey // 5, o_orderkey FROM orders UNION ALL SELECT o_orderkey, o_orderkey FROM orders WHERE o_orderkey % 7 = 0), r AS (SELECT DISTINCT parent, child FROM a) SELECT parent, child FROM r WHERE parent = child OR (EXISTS (SELECT 1 FROM range(0, 40) t(k) WHERE k > 0 AND parent // CAST(pow(2, k) AS BIGINT) = child) AND child < parent AND parent IN (SELECT child FROM e))")
+def cycle_check(spark, sf):
+    """Edges that would close a cycle where each order depends on the one of half its number."""
+    from quarry.operators import graph
+
+    k = F.col("o_orderkey").cast("long")
+    orders = L.read(spark, sf, "orders")
+    asks = (("o_orderkey", "o_orderkey div 4"), ("o_orderkey", "o_orderkey div 3"), ("o_orderkey div 5", "o_orderkey"))
+    asked = orders.where(k % 7 == 0).select(k.alias("parent"), k.alias("child"))
+    for parent, child in asks:
+        asked = asked.unionByName(orders.select(F.expr(parent).cast("long").alias("parent"), F.expr(child).cast("long").alias("child")))
+    return graph.would_cycle(orders.select(F.expr("o_orderkey div 2").alias("parent"), k.alias("child")), asked)
+
+
 def _payloads(spark, sf):
     """Orders with their lines as JSON: nested objects and arrays, keys out of order, numbers, strings, booleans and nulls."""
     line = F.struct(F.col("l_quantity").cast("long").alias("qty"), F.col("l_returnflag").alias("flag"), F.array(F.col("l_linenumber").cast("long"), F.col("l_linenumber").cast("long") + 1).alias("at"))
