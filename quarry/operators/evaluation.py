@@ -61,14 +61,16 @@ def relevant_counts(chunks: DataFrame, prefix: str = "topic.") -> DataFrame:
     return chunks.select(F.substring(key, len(prefix) + 1, 1 << 20).alias("topic")).where("topic is not null and topic <> ''").groupBy("topic").agg(F.count(F.lit(1)).alias("relevant"))
 
 
-def labelled_corpus(spark: SparkSession, topics: int = 32, facets: int = 4, depth: int = 3, distractors: int = 8, uneven: tuple[int, ...] = (1, 2, 4)) -> DataFrame:
+def labelled_corpus(spark: SparkSession, topics: int = 32, facets: int = 4, depth: int = 3, distractors: int = 8, uneven: tuple[int, ...] = (1, 2, 4), of: DataFrame | None = None) -> DataFrame:
     """doc_id, topic, facet, level, copy, grade, distractor, digest: topic x facet x depth, with relevant sets of uneven size.
 
     Level 0 is graded 3, the next 2, deeper ones 1; distractor topics are graded 0. Topic t has uneven[t mod n] copies of each.
+    of: topic and distractor, the topics themselves, in place of their numbers.
     """
     times = F.element_at(F.array(*map(F.lit, uneven)), (F.col("topic") % len(uneven) + 1).cast("int"))
-    grid = spark.range(topics + distractors).select(F.col("id").alias("topic")).withColumn("facet", F.explode(F.sequence(F.lit(0), F.lit(facets - 1)))).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth - 1))))
-    rows = grid.withColumn("copy", F.explode(F.sequence(F.lit(0), times - 1))).withColumn("distractor", F.col("topic") >= topics)
+    named = spark.range(topics + distractors).select(F.col("id").alias("topic"), (F.col("id") >= topics).alias("distractor")) if of is None else of.select("topic", "distractor")
+    grid = named.withColumn("facet", F.explode(F.sequence(F.lit(0), F.lit(facets - 1)))).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth - 1))))
+    rows = grid.withColumn("copy", F.explode(F.sequence(F.lit(0), times - 1)))
     name = F.concat_ws(":", *(F.col(c).cast("string") for c in ("topic", "facet", "level", "copy")))
     grade = F.when(F.col("distractor"), 0).when(F.col("level") == 0, 3).when(F.col("level") == 1, 2).otherwise(1)
     return rows.select(name.alias("doc_id"), "topic", F.col("facet").cast("long").alias("facet"), F.col("level").cast("long").alias("level"), F.col("copy").cast("long").alias("copy"), grade.cast("long").alias("grade"), "distractor", F.substring(F.sha2(name, 256), 1, 16).alias("digest"))

@@ -395,12 +395,17 @@ def tsquery_sanitise(spark, sf):
     return L.read(spark, sf, "documents").select("doc_id", F.md5(T.sanitise_query(F.col("text"))).alias("digest"))
 
 
-_CJK = (("統一資料庫 abc 検索", "統一,一資,資料,料庫,検索"), ("字 only", "字"), ("plain", ""), ("重複重複", "重複,複重"))
+_HAN = "零一二三四五六七八九"
+_RUN = f"translate(CAST({{}} AS VARCHAR), '0123456789', '{_HAN}')"
+_GRAMS = "CASE WHEN length({0}) = 1 THEN [{0}] ELSE list_transform(range(1, length({0})), lambda i: substr({0}, i, 2)) END"
 
 
-@query("", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _CJK) + ") t(text, grams)")
+@query("", f"WITH r AS (SELECT doc_id, {_RUN.format('doc_id')} AS a, {_RUN.format('n_chars')} AS b FROM documents) SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat({_GRAMS.format('a')}, {_GRAMS.format('b')}))), ',') AS grams FROM r")
 def cjk_bigrams(spark, sf):
-    return spark.createDataFrame([(a,) for a, _ in _CJK], "text string").select("text", F.array_join(T.cjk_bigrams(F.col("text")), ",").alias("grams"))
+    """Ids and lengths of documents written in Han numerals, two runs around a Latin word."""
+    run = lambda c: F.translate(L.s(c), "0123456789", _HAN)
+    text = F.concat(run("doc_id"), F.lit(" and ("), run("n_chars"), F.lit(") x"))
+    return L.read(spark, sf, "documents").select("doc_id", F.array_join(F.array_sort(T.cjk_bigrams(text)), ",").alias("grams"))
 
 
 def _vectors(spark, sf):
@@ -618,12 +623,12 @@ def ready_gate_reasons(spark, sf):
     return chunking.gate(rows.unionByName(rows.where("memory_id % 50 = 7 and level = 'child'")), docs)
 
 
-_CSV = [(1, "a,b\n1,2\n3,4\n", 2, 2, None), (2, 'a,"b ""x"""\n"1\n2",3\n\n', 2, 1, None), (3, "a,A\n1,2\n", 0, 0, "headers must be unique and not empty"), (4, "a,b\n1\n", 0, 0, "row 2 has 1 cells, not 2"), (5, "", 0, 0, "no header")]
-
-
-@query("", "SELECT CAST(a AS BIGINT) AS memory_id, CAST(b AS BIGINT) AS n_columns, CAST(c AS BIGINT) AS n_rows, d AS error FROM (VALUES " + ", ".join(f"({a}, {c}, {r}, {'NULL' if e is None else repr(e)})" for a, _, c, r, e in _CSV) + ") t(a, b, c, d)")
+@query("", "WITH r AS (SELECT c_custkey // 100 AS memory_id, c_acctbal, 1 + row_number() OVER (PARTITION BY c_custkey // 100 ORDER BY c_custkey) AS k FROM customer), g AS (SELECT memory_id, count(*) AS n, min(CASE WHEN c_acctbal < -900 THEN k END) AS bad FROM r GROUP BY 1) SELECT memory_id, CAST(CASE WHEN bad IS NULL THEN 3 ELSE 0 END AS BIGINT) AS n_columns, CASE WHEN bad IS NULL THEN n ELSE 0 END AS n_rows, 'row ' || bad || ' has 2 cells, not 3' AS error FROM g")
 def csv_validation(spark, sf):
-    return parsers.csv_tables(spark.createDataFrame([r[:2] for r in _CSV], "memory_id long, text string"))
+    """A file for each hundred customers; those far in debt have no balance, which makes their row too short."""
+    row = F.concat_ws(",", L.s("c_custkey"), F.concat(F.lit('" '), "c_name", F.lit(' ""x""\n"')), F.when(F.col("c_acctbal") >= -900, L.s("c_acctbal")))
+    files = L.read(spark, sf, "customer").groupBy(F.expr("c_custkey div 100").alias("memory_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("c_custkey", row.alias("row")))), lambda r: r["row"]), "\n").alias("rows"))
+    return parsers.csv_tables(files.select("memory_id", F.concat(F.lit("id, name ,balance\n"), "rows", F.lit("\n\n")).alias("text")))
 
 
 @query("", "SELECT conv_id AS memory_id, CASE WHEN conv_id % 9 = 1 THEN 'schema_version' WHEN bool_or(role NOT IN ('user', 'assistant', 'tool', 'speaker')) THEN 'role' WHEN conv_id % 7 = 2 THEN 'ends_before_start' END AS error FROM conversations GROUP BY conv_id")
@@ -670,27 +675,32 @@ def text_clean(spark, sf):
     return L.read(spark, sf, "pages").select("page_id", F.md5(T.clean(F.col("html"))).alias("digest"))
 
 
-_MESSAGES = [
-    (1, "GET postgres://user:pw@host/db failed", "GET [redacted-uri]@host/db failed"),
-    (2, "Authorization: Bearer abc.def-123 rejected", "Authorization: Bearer [redacted] rejected"),
-    (3, "api_key=abcdef123456 is invalid", "[redacted] is invalid"),
-    (4, "use sk-ant-api03-xxxxxxxx now", "use [redacted] now"),
-    (5, "digest 0123456789abcdef0123456789abcdef missing", "digest [redacted] missing"),
-    (6, "plain  message", "plain message"),
-]
+#: By event type: a message with something secret in it, and what is left of it.
+_MESSAGES = {
+    "view": ("GET postgres://user:{}@host/db failed", "GET [redacted-uri]@host/db failed"),
+    "click": ("Authorization: Bearer {} rejected", "Authorization: Bearer [redacted] rejected"),
+    "signup": ("api_key={} is invalid", "[redacted] is invalid"),
+    "purchase": ("digest {} missing", "digest [redacted] missing"),
+    "error": ("plain \t message {0:.0}", "plain message"),
+}
 
 
-@query("", "SELECT CAST(a AS BIGINT) AS id, b AS message FROM (VALUES " + ", ".join(f"({a}, '{c}')" for a, _, c in _MESSAGES) + ") t(a, b)")
+@query("", "SELECT event_id AS id, CASE event_type " + " ".join(f"WHEN '{k}' THEN '{b}'" for k, (_, b) in _MESSAGES.items()) + " END || ' for ' || user_id AS message FROM events")
 def error_redaction(spark, sf):
-    return spark.createDataFrame([m[:2] for m in _MESSAGES], "id long, m string").select("id", T.redact_error(F.col("m")).alias("message"))
-
-
-_MD = [(1, "[![b](x)](y) A `c` *d*", "A c d"), (2, "see [the docs](http://x) # h", "see the docs h"), (3, "![pic](z) | t |", "pic t")]
+    secret, parts = F.md5(L.s("event_id")), []
+    for kind, (text, _) in _MESSAGES.items():
+        before, _, after = text.replace("{0:.0}", "").partition("{}")
+        parts.append((kind, F.concat(F.lit(before), secret if "{}" in text else F.lit(""), F.lit(after))))
+    message = F.coalesce(*(F.when(F.col("event_type") == kind, m) for kind, m in parts))
+    return L.read(spark, sf, "events").select(F.col("event_id").alias("id"), T.redact_error(F.concat(message, F.lit(" for "), L.s("user_id"))).alias("message"))
 
 
-@query("", "SELECT CAST(a AS BIGINT) AS id, b AS plain FROM (VALUES " + ", ".join(f"({a}, '{c}')" for a, _, c in _MD) + ") t(a, b)")
+@query("", "SELECT page_id AS id, 'see ' || regexp_extract(url, '^https?://([^/]+)', 1) || ' at ' || page_id || ' pic d' AS plain FROM pages")
 def markdown_strip(spark, sf):
-    return spark.createDataFrame([m[:2] for m in _MD], "id long, m string").select("id", T.strip_markdown(F.col("m")).alias("plain"))
+    """A badge, a link with the page's own address, an image, and marks."""
+    u, i = F.col("url"), L.s("page_id")
+    text = F.concat(F.lit("[!["), i, F.lit("](x)](y) see ["), F.regexp_extract(u, "^https?://([^/]+)", 1), F.lit("]("), u, F.lit(") at `"), i, F.lit("`\n| ![pic]("), u, F.lit(") *d* |"))
+    return L.read(spark, sf, "pages").select(F.col("page_id").alias("id"), T.strip_markdown(text).alias("plain"))
 
 
 @query("", "SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(url, '[^A-Za-z0-9._/:-]+', '-', 'g'), '^[^A-Za-z0-9]+', ''), ''), 'key') || '.' || substr(sha256(url), 1, 8) AS key FROM pages")
@@ -710,9 +720,10 @@ def path_labels(spark, sf):
     return L.read(spark, sf, "pages").select("page_id", F.regexp_extract(u, "^https?://([^/]+)", 1).alias("host"), F.regexp_extract(u, "^https?://[^/]+/([a-z]+)/", 1).alias("label"))
 
 
-@query("", "SELECT CAST(d AS BIGINT) AS doc, CAST(c AS BIGINT) AS part, md5(d || ':' || c) AS digest, CAST('0x' || substr(md5(d || ':' || c), 1, 7) AS BIGINT) % 512 AS entity FROM range(0, 200) t(d), range(0, 5) u(c)")
+@query("", "SELECT doc_id AS doc, CAST(c AS BIGINT) AS part, md5(doc_id || ':' || c) AS digest, CAST('0x' || substr(md5(doc_id || ':' || c), 1, 7) AS BIGINT) % 512 AS entity FROM documents, range(0, 5) u(c)")
 def synthetic_corpus(spark, sf):
-    rows = spark.range(200).select(F.col("id").alias("doc"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("part")).withColumn("part", F.col("part").cast("long"))
+    """Five chunks for each document of the table."""
+    rows = L.read(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("part")).withColumn("part", F.col("part").cast("long"))
     m = F.md5(F.concat_ws(":", L.s("doc"), L.s("part")))
     return rows.select("doc", "part", m.alias("digest"), (F.conv(F.substring(m, 1, 7), 16, 10).cast("long") % 512).alias("entity"))
 

@@ -468,9 +468,10 @@ def relevant_counts(spark, sf):
     return evaluation.relevant_counts(L.read(spark, sf, "documents").select(keys.alias("entity_keys")))
 
 
-@query("", "SELECT *, substr(sha256(doc_id), 1, 16) AS digest FROM (SELECT topic || ':' || facet || ':' || level || ':' || copy AS doc_id, topic, facet, level, copy, CAST(CASE WHEN topic >= 32 THEN 0 WHEN level = 0 THEN 3 WHEN level = 1 THEN 2 ELSE 1 END AS BIGINT) AS grade, topic >= 32 AS distractor FROM range(0, 40) a(topic), range(0, 4) b(facet), range(0, 3) c(level), range(0, 4) d(copy) WHERE copy < [1, 2, 4][topic % 3 + 1])")
+@query("", "SELECT *, substr(sha256(doc_id), 1, 16) AS digest FROM (SELECT topic || ':' || facet || ':' || level || ':' || copy AS doc_id, topic, facet, level, copy, CAST(CASE WHEN p_size > 40 THEN 0 WHEN level = 0 THEN 3 WHEN level = 1 THEN 2 ELSE 1 END AS BIGINT) AS grade, p_size > 40 AS distractor FROM (SELECT p_partkey AS topic, p_size FROM part) a, range(0, 4) b(facet), range(0, 3) c(level), range(0, 4) d(copy) WHERE copy < [1, 2, 4][topic % 3 + 1])")
 def labelled_corpus(spark, sf):
-    return evaluation.labelled_corpus(spark)
+    """Parts are the topics, the large ones distractors."""
+    return evaluation.labelled_corpus(spark, of=L.read(spark, sf, "part").select(F.col("p_partkey").alias("topic"), (F.col("p_size") > 40).alias("distractor")))
 
 
 @query("", "SELECT n_nationkey AS id, sha256('{\"n_name\":\"' || n_name || '\",\"n_nationkey\":' || n_nationkey || ',\"n_regionkey\":' || n_regionkey || '}') AS digest FROM nation")
