@@ -7,7 +7,8 @@ folders by a hash of the term, sorted by term, so that a search reads the folder
 A search of a block of queries runs in three steps:
 1. Block maxima bound what any chunk of a shard can score for a query. The SEEDS shards with the highest bounds are scored first; a query's kth score there is its threshold.
 2. Of the other shards, only those whose bound reaches the threshold are scored.
-3. Cover density is computed for chunks that hold an alternative whole and whose bound reaches the kth score, from positions.
+3. Cover density is computed, from positions, in shards with chunks that hold an alternative whole and whose bound reaches the kth score. No step gives more than
+   2 k rows for a query and shard, however many copies of a chunk there are.
 Nothing that could be among the k best is left out: bounds are compared after rounding, as scores are.
 
 Chunks are added by further shards, without a rebuild.
@@ -207,8 +208,20 @@ _HIT = pa.schema([("q", pa.int32()), ("shard", pa.int64()), ("chunk_id", pa.int6
 _HIT_SQL = "q int, shard long, chunk_id long, value double, whole boolean, bound double"
 
 
+def _of_shard(rows: pa.Table, t: np.ndarray) -> tuple[int, np.ndarray, np.ndarray | None]:
+    """Its number, the chunk ids by ordinal, and which of them may be in a result (None: all)."""
+    at = int(np.flatnonzero(t == IDS)[0])
+    ids, allowed = rows.column("ids")[at].values.to_numpy(), None
+    if rows.column("limited")[at].as_py():
+        allowed = np.zeros(len(ids), bool)
+        for i in np.flatnonzero(t == ALLOWED):
+            allowed[rows.column("docs")[int(i)].values.to_numpy()] = True
+    return rows.column("shard")[at].as_py(), ids, allowed
+
+
 def _score(asked: Asked):
-    """Of one shard, each wanted query's best chunks by what is known without positions, and all that may hold an alternative and still count."""
+    """Of one shard, each wanted query's k best chunks by what is known without positions: those that hold no alternative whole, which are settled, and those
+    that do, whose values are the least they can have; with these, the most that any of them can have."""
     askers: dict[str, dict[int, list[int]]] = {"latin": {}, "han": {}}
     for kind, of in askers.items():
         for i, ts in enumerate(getattr(asked, kind)):
@@ -224,14 +237,7 @@ def _score(asked: Asked):
         t = rows.column("t").to_numpy()
         if not pairs.num_rows or not (t == IDS).any():
             return _HIT.empty_table()
-        at_ids = int(np.flatnonzero(t == IDS)[0])
-        ids = rows.column("ids")[at_ids].values.to_numpy()
-        shard = rows.column("shard")[at_ids].as_py()
-        allowed = None
-        if rows.column("limited")[at_ids].as_py():
-            allowed = np.zeros(len(ids), bool)
-            for i in np.flatnonzero(t == ALLOWED):
-                allowed[rows.column("docs")[int(i)].values.to_numpy()] = True
+        shard, ids, allowed = _of_shard(rows, t)
         lists = {int(t[i]): (rows.column("docs")[int(i)].values.to_numpy(), rows.column("tfs")[int(i)].values.to_numpy()) for i in np.flatnonzero(t >= 0)}
         out = []
         wanted = np.unique(pairs.column("q").to_numpy())
@@ -273,45 +279,82 @@ def _score(asked: Asked):
                 if asked.simple(q):
                     value = np.where(whole, websearch.WEIGHT * entries + value, value)
                     whole[:] = False
-                which = np.flatnonzero(match)
-                low = _rounded(value[which])
-                high = np.where(whole[which], _rounded((websearch.WEIGHT * entries[which] + value[which]) * (1 + 1e-9)), low)
                 k = int(asked.k[q])
-                order = np.lexsort((which, -low))
-                kth = low[order[k - 1]] if len(order) >= k else -1.0
-                pick = np.union1d(order[:k], np.flatnonzero(whole[which] & (high >= kth)))
-                d = which[pick]
-                out.append(pa.record_batch([np.full(len(d), q, np.int32), np.full(len(d), shard), ids[d], value[d], whole[d], high[pick]], schema=_HIT))
+                for flag, which in ((False, np.flatnonzero(match & ~whole)), (True, np.flatnonzero(whole))):
+                    low = _rounded(value[which])
+                    d = which[np.lexsort((which, -low))[:k]]
+                    if len(d):
+                        high = _high(value[which], entries[which]).max() if flag else 0.0
+                        out.append(pa.record_batch([np.full(len(d), q, np.int32), np.full(len(d), shard), ids[d], value[d], np.full(len(d), flag), np.full(len(d), high)], schema=_HIT))
         return pa.Table.from_batches(out, schema=_HIT)
 
     return run
 
 
+def _high(value: np.ndarray, entries: np.ndarray) -> np.ndarray:
+    """The largest score that so many occurrences of words that begin covers allow."""
+    return _rounded((websearch.WEIGHT * entries + value) * (1 + 1e-9))
+
+
 def _density(asked: Asked):
-    """Hits that hold an alternative, with their cover density added from positions."""
+    """Of one shard, each wanted query's best chunks among those that hold an alternative, with their cover density from positions.
+
+    Chunks with the same positions, such as copies, are worked out once.
+    """
 
-    def run(rows: pa.Table, hits: pa.Table) -> pa.Table:
+    def run(rows: pa.Table, pairs: pa.Table) -> pa.Table:
         t = rows.column("t").to_numpy()
-        if not hits.num_rows or not (t == IDS).any():
+        if not pairs.num_rows or not (t == IDS).any():
             return _HIT.empty_table()
-        ids = rows.column("ids")[int(np.flatnonzero(t == IDS)[0])].values.to_numpy()
+        shard, ids, allowed = _of_shard(rows, t)
         lists = {}
         for i in np.flatnonzero(t >= 0).tolist():
             tfs = rows.column("tfs")[i].values.to_numpy()
-            lists[int(t[i])] = (rows.column("docs")[i].values.to_numpy(), np.append(0, np.cumsum(tfs)), rows.column("positions")[i].values.to_numpy())
-        value = hits.column("value").to_numpy().copy()
-        for n, (q, chunk) in enumerate(zip(hits.column("q").to_pylist(), hits.column("chunk_id").to_pylist(), strict=True)):
-            doc, at = int(np.searchsorted(ids, chunk)), {}
-            for x in {x for _, _, ts in asked.units[q] for x in ts}:
+            lists[int(t[i])] = (rows.column("docs")[i].values.to_numpy(), tfs, np.append(0, np.cumsum(tfs)), rows.column("positions")[i].values.to_numpy())
+        out = []
+        for q, least in zip(pairs.column("q").to_pylist(), pairs.column("least").to_pylist(), strict=True):
+            whole = np.zeros(len(ids), bool)
+            for ts in asked.required[q]:
+                if all(x in lists for x in ts):
+                    have = np.zeros(len(ids), np.int32)
+                    for x in ts:
+                        have[lists[x][0]] += 1
+                    whole |= have == len(ts)
+            d = np.flatnonzero(whole if allowed is None else whole & allowed)
+            value, entries = np.zeros(len(ids)), np.zeros(len(ids), np.int64)
+            for ts in (asked.latin[q], asked.han[q]):
+                occ, met = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int32)
+                for x in ts:
+                    if x in lists:
+                        occ[lists[x][0]] += lists[x][1]
+                        met[lists[x][0]] += 1
+                if ts:
+                    value += np.where(met >= max(1, min(asked.least, len(ts))), 0.5 * (occ * websearch.WEIGHT), 0.0)
+            for x in asked.web(q):
                 if x in lists:
-                    docs, edge, positions = lists[x]
+                    entries[lists[x][0]] += lists[x][1]
+            d = d[_high(value[d], entries[d]) >= least]
+            total, known = np.full(len(d), np.nan), {}
+            named = sorted({x for _, _, ts in asked.units[q] for x in ts if x in lists})
+            for n, doc in enumerate(d.tolist()):
+                at = {}
+                for x in named:
+                    docs, _, edge, positions = lists[x]
                     i = int(np.searchsorted(docs, doc))
                     if i < len(docs) and docs[i] == doc:
                         at[x] = positions[edge[i] : edge[i + 1]]
-            found = websearch.cover_density(asked.units[q], at)
-            value[n] = np.nan if found is None and not value[n] > 0 else value[n] if found is None else found + value[n]
-        out = hits.set_column(hits.schema.get_field_index("value"), "value", pa.array(value)).select(_HIT.names).cast(_HIT)
-        return out.filter(pa.array(~np.isnan(value)))
+                key = tuple((x, p.tobytes()) for x, p in at.items())
+                if key not in known:
+                    known[key] = websearch.cover_density(asked.units[q], at)
+                if known[key] is not None:
+                    total[n] = known[key] + value[doc]
+                elif value[doc] > 0:
+                    total[n] = value[doc]
+            d, total = d[~np.isnan(total)], total[~np.isnan(total)]
+            pick = np.lexsort((d, -_rounded(total)))[: int(asked.k[q])]
+            d, total = d[pick], total[pick]
+            out.append(pa.record_batch([np.full(len(d), q, np.int32), np.full(len(d), shard), ids[d], total, np.ones(len(d), bool), np.zeros(len(d))], schema=_HIT))
+        return pa.Table.from_batches(out, schema=_HIT)
 
     return run
 
@@ -420,9 +463,7 @@ class Stored:
             return out.join(shards, "shard", "left_semi")
 
         def meet(run, pairs: DataFrame, positions: bool = False, terms: set[int] | None = None) -> DataFrame:
-            right = pairs.select(*(F.col(c).alias({"shard": "in_shard"}.get(c, c)) for c in pairs.columns))
-            if "value" in pairs.columns:
-                right = right.withColumn("shard", F.col("in_shard"))
+            right = pairs.withColumnRenamed("shard", "in_shard")
             left = side(pairs, positions, terms).repartition(parts, "shard").groupBy("shard")
             return session.cut(left.cogroup(right.repartition(parts, "in_shard").groupBy("in_shard")).applyInArrow(run, _HIT_SQL))
 
@@ -439,11 +480,12 @@ class Stored:
         hits = meet(_score(asked), ranked.where(F.col("_n") <= SEEDS).select("shard", "q"))
         rest = reach(ranked.where(F.col("_n") > SEEDS), kth(hits, "value"))
         hits = hits.unionByName(meet(_score(asked), rest.select("shard", "q")))
-        whole = session.cut(reach(hits.where("whole"), kth(hits, "value")))
+        least = kth(hits, "value")
+        whole = session.cut(reach(hits.where("whole"), least).select("shard", "q").distinct().withColumn("least", per_query([least.get(i, -1.0) for i in range(len(asked.ids))], "double")))
         names = sorted({r["q"] for r in whole.select("q").distinct().collect()})
         final = hits.where("not whole")
         if names:
-            terms = {x for q in names for _, _, ts in asked.units[q] for x in ts}
+            terms = {x for q in names for x in (*asked.latin[q], *asked.han[q], *(y for _, _, ts in asked.units[q] for y in ts))}
             final = final.unionByName(meet(_density(asked), whole, True, terms))
         ids = per_query(asked.ids, "long")
         scored = final.select(ids.alias("query_id"), "chunk_id", F.round(T.normalised_score(F.col("value")), 6).alias("score"), limit.alias("_k"))
