@@ -540,7 +540,13 @@ def relation_expansion_candidates(spark, sf):
     return retrieval.related(chunks, chunks, 3)
 
 
-@query()
+_NEAR = "SELECT anchor_id, chunk_id, priority, row_number() OVER (PARTITION BY anchor_id ORDER BY priority DESC, chunk_id) AS place FROM (SELECT a.chunk_id AS anchor_id, b.chunk_id, CASE WHEN a.region = b.region THEN 1.0 WHEN abs(a.ordinal - b.ordinal) = 1 THEN 0.8 WHEN a.role = b.role THEN 0.6 WHEN a.time_key = b.time_key THEN 0.4 END::DOUBLE AS priority FROM c a JOIN c b ON a.memory_id = b.memory_id AND a.chunk_id <> b.chunk_id AND a.ordinal = 0) WHERE priority IS NOT NULL QUALIFY place <= 3"
+
+
+@query("", f"""WITH RECURSIVE {_REGION}, tok AS (SELECT conv_id * 100 + turn AS chunk_id, greatest(1, CAST(ceil(length(text) / 4) AS BIGINT)) AS tokens FROM conversations), near AS ({_NEAR}),
+    walk AS (SELECT memory_id AS query_id, chunk_id AS anchor, CAST(0 AS BIGINT) AS n, chunk_id, tokens AS used, CAST(1 AS BIGINT) AS place, TRUE AS took FROM c JOIN tok USING (chunk_id) WHERE ordinal = 0
+    UNION ALL SELECT query_id, anchor, w.n + 1, near.chunk_id, used + CASE WHEN tokens <= 20000 - used THEN tokens ELSE 0 END, w.place + CASE WHEN tokens <= 20000 - used THEN 1 ELSE 0 END, tokens <= 20000 - used FROM walk w JOIN near ON anchor_id = anchor AND near.place = w.n + 1 JOIN tok ON tok.chunk_id = near.chunk_id)
+    SELECT query_id, chunk_id, place FROM walk WHERE took""")
 def context_expansion(spark, sf):
     chunks = _regions(spark, sf)
     near = retrieval.related(chunks, chunks, 3).join(chunks.select("chunk_id", "token_count"), "chunk_id").select("anchor_id", "chunk_id", "priority", "token_count")
@@ -548,7 +554,14 @@ def context_expansion(spark, sf):
     return evidence.expand_batch(hits, near, 20_000)
 
 
-@query()
+_SUBSTITUTED = f"""WITH RECURSIVE {_RRF}, hits AS (SELECT query_id, chunk_id, score, greatest(1, CAST(ceil(length(text) / 4) AS BIGINT)) AS tok, chunk_id - chunk_id % 5 AS parent, row_number() OVER (PARTITION BY query_id ORDER BY position) AS n FROM rrf JOIN documents ON doc_id = chunk_id),
+    walk AS (SELECT query_id, CAST(0 AS BIGINT) AS n, CAST(sum(tok) AS BIGINT) AS used, CAST([] AS BIGINT[]) AS keys, CAST(NULL AS BIGINT) AS key, 0::DOUBLE AS score, CAST(0 AS BIGINT) AS tokens FROM hits GROUP BY query_id
+    UNION ALL SELECT query_id, n, CASE WHEN fits THEN used + grow ELSE used END, list_append(keys, CASE WHEN fits THEN parent ELSE chunk_id END), CASE WHEN fits THEN parent ELSE chunk_id END, score, CASE WHEN fits THEN tok * 2 ELSE tok END
+        FROM (SELECT *, used + grow <= 200000 AS fits FROM (SELECT w.query_id, h.n, w.used, w.keys, h.parent, h.chunk_id, h.score, h.tok, CASE WHEN list_contains(w.keys, h.parent) THEN 0 ELSE h.tok * 2 END - h.tok AS grow FROM walk w JOIN hits h ON h.query_id = w.query_id AND h.n = w.n + 1)))
+    SELECT query_id, key AS chunk_id, max(score) AS score, arg_min(tokens, n) AS token_count FROM walk WHERE n > 0 GROUP BY query_id, key"""
+
+
+@query("", _SUBSTITUTED)
 def parent_substitution(spark, sf):
     rows = _candidates(spark, sf).select("query_id", "chunk_id", "score", "token_count", (F.col("chunk_id") - F.col("chunk_id") % 5).alias("parent_id"), (F.col("token_count") * 2).alias("parent_tokens"), F.col("position").alias("place"))
     return evidence.substitute_batch(rows, 200_000)
@@ -582,7 +595,15 @@ def chunk_digest_check(spark, sf):
     return L.read(spark, sf, "documents").where(T.digest(F.col("text")) != cited).select("doc_id")
 
 
-@query()
+_TURNS = """WITH RECURSIVE t AS (SELECT conv_id AS memory_id, turn, '[' || role || '/' || role || ' #' || turn || '] ' || text AS line, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+    w AS (SELECT memory_id, n, turn, line, CAST(1 AS BIGINT) AS g, length(line) AS size FROM t WHERE n = 1
+    UNION ALL SELECT t.memory_id, t.n, t.turn, t.line, w.g + CASE WHEN w.size + 2 + length(t.line) > 4800 THEN 1 ELSE 0 END, CASE WHEN w.size + 2 + length(t.line) > 4800 THEN length(t.line) ELSE w.size + 2 + length(t.line) END FROM w JOIN t ON t.memory_id = w.memory_id AND t.n = w.n + 1),
+    p AS (SELECT memory_id, g, min(n) + g - 2 AS head, string_agg(line, chr(10) || chr(10) ORDER BY n) AS content, 'turns ' || min(turn) || '-' || max(turn) AS locator FROM w GROUP BY memory_id, g)
+    SELECT memory_id, CAST(head AS BIGINT) AS ordinal, 'parent' AS level, CAST(NULL AS BIGINT) AS parent, content, locator, 'conversation' AS path FROM p
+    UNION ALL SELECT w.memory_id, CAST(w.g + w.n - 1 AS BIGINT), 'child', CAST(head AS BIGINT), line, 'turn ' || turn, 'conversation' FROM w JOIN p USING (memory_id, g)"""
+
+
+@query("", _TURNS)
 def conversation_chunks(spark, sf):
     turns = L.read(spark, sf, "conversations").groupBy("conv_id").agg(F.to_json(F.collect_list(F.struct(F.col("turn").alias("sequence"), "role", "text"))).alias("text"))
 
@@ -601,15 +622,22 @@ def markdown_chunks(spark, sf):
     return chunking.identified(chunking.chunk(docs, chunking.markdown), "v1")
 
 
-@query()
+_ROWS = """WITH RECURSIVE t AS (SELECT c_custkey // 100 AS memory_id, 'key=' || c_custkey || ' | name=' || c_name AS line, row_number() OVER (PARTITION BY c_custkey // 100 ORDER BY c_custkey) AS n FROM customer),
+    w AS (SELECT memory_id, n, line, CAST(1 AS BIGINT) AS g, 189 - length(line) AS room FROM t WHERE n = 1
+    UNION ALL SELECT t.memory_id, t.n, t.line, w.g + CASE WHEN length(t.line) + 1 > w.room THEN 1 ELSE 0 END, CASE WHEN length(t.line) + 1 > w.room THEN 189 - length(t.line) ELSE w.room - length(t.line) - 1 END FROM w JOIN t ON t.memory_id = w.memory_id AND t.n = w.n + 1)
+    SELECT memory_id, CAST(0 AS BIGINT) AS ordinal, 'parent' AS level, CAST(NULL AS BIGINT) AS parent, 'key | name' || chr(10) || string_agg(line, chr(10) ORDER BY n) AS content, 'customer!1-' || max(n) AS locator, 'customer' AS path FROM w GROUP BY memory_id
+    UNION ALL SELECT memory_id, g, 'child', CAST(0 AS BIGINT), 'key | name' || chr(10) || string_agg(line, chr(10) ORDER BY n), 'customer!' || min(n) || '-' || max(n), 'customer' FROM w GROUP BY memory_id, g"""
+
+
+@query("", _ROWS)
 def table_row_chunks(spark, sf):
-    rows = L.read(spark, sf, "nation").groupBy(F.col("n_regionkey").cast("long").alias("memory_id")).agg(F.to_json(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("text"))
+    """A table of each hundred customers, in chunks of 200 characters."""
+    rows = L.read(spark, sf, "customer").groupBy(F.expr("c_custkey div 100").alias("memory_id")).agg(F.to_json(F.sort_array(F.collect_list(F.struct("c_custkey", "c_name")))).alias("text"))
 
     def cut(text: str) -> list:
         import json
 
-        r = json.loads(text)
-        return chunking.table("nation", ["key", "name"], sorted([str(x["n_nationkey"]), x["n_name"]] for x in r), 60)
+        return chunking.table("customer", ["key", "name"], [[str(x["c_custkey"]), x["c_name"]] for x in json.loads(text)], 200)
 
     return chunking.chunk(rows, cut)
 
