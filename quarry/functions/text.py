@@ -124,3 +124,9 @@ def cosine(a: Column, b: Column) -> Column:
 def similarity(a: Column, b: Column) -> Column:
     """1 - distance / 2, within 0..1."""
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - (1 - cosine(a, b)) / 2))
+
+
+def ordered_union(*ids: Column) -> Column:
+    """The members of several arrays in the order in which they first come; null arrays and members count as none."""
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.filter(F.concat(*(F.coalesce(i.cast("array<string>"), none) for i in ids)), lambda x: x.isNotNull()))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections.abc import Callable, Mapping
@@ -108,6 +109,23 @@ def request_errors(request: Mapping, agents: tuple[str, ...] | None = None) -> l
     return [n for n, ok in rules.items() if not ok] + sorted(set(request) - known)
 
 
+def request_faults(requests: DataFrame, agents: tuple[str, ...] | None = None) -> DataFrame:
+    """query_id, faults of a batch of requests, each a JSON text `body`: what request_errors() says; no JSON object is the fault `body`."""
+
+    def faults(text: str | None) -> list[str]:
+        try:
+            body = json.loads(text or "")
+        except ValueError:
+            return ["body"]
+        return request_errors(body, agents) if isinstance(body, dict) else ["body"]
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf[["query_id"]].assign(faults=[faults(t) for t in pdf["body"]])
+
+    return requests.select("query_id", "body").mapInPandas(run, "query_id long, faults array<string>")
+
+
 Retriever = Callable[[DataFrame], DataFrame]
 
 

@@ -654,6 +654,34 @@ def cycle_check(spark, sf):
     return graph.would_cycle(orders.select(F.expr("o_orderkey div 2").alias("parent"), k.alias("child")), asked)
 
 
+@query("", """SELECT event_id AS query_id, array_to_string(list_filter([CASE WHEN event_type = 'error' THEN 'purpose' END, CASE WHEN floor(value) < 1 THEN 'token_budget' END,
+    CASE WHEN event_type IN ('view', 'click') AND (user_id % 9 = 0 OR CAST(json_extract(props, '$.k') AS BIGINT) < 50) THEN 'structured_query' END, CASE WHEN event_type = 'signup' AND user_id % 4 = 0 THEN 'note' END], lambda x: x IS NOT NULL), ',') AS faults FROM events""")
+def request_validation(spark, sf):
+    """A request for each event: errors have no purpose, small values no budget, and ranges may end before they begin."""
+    c, k = F.col, F.get_json_object("props", "$.k").cast("int")
+    timed = c("event_type").isin("view", "click")
+    time = lambda t: F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    asked = F.struct(F.lit("select_event_time").alias("kind"), c("event_type"), L.s("user_id").alias("subject_id"), F.when(c("user_id") % 9 == 0, "middle").otherwise("first").alias("selector"), time(c("ts")).alias("from"), time(F.timestamp_add("DAY", k - 50, c("ts"))).alias("to"))
+    body = F.struct(
+        L.s("event_id").alias("query_id"), F.lit("when was it").alias("original_query"), F.when(c("event_type") == "error", " ").otherwise("answer").alias("purpose"), F.when(timed, "temporal").otherwise("fact_lookup").alias("intent"), F.lit("learning-director").alias("agent_id"),
+        F.struct(F.lit("t1").alias("tenant_id"), F.array(F.lit("r1")).alias("role_ids")).alias("principal"), F.floor("value").alias("token_budget"), F.lit(300).alias("estimated_chunk_tokens"), F.lit(True).alias("require_citations"), F.when(timed, asked).alias("structured_query"),
+        F.when((c("event_type") == "signup") & (c("user_id") % 4 == 0), "x").alias("note"),
+    )
+    faults = gateway.request_faults(L.read(spark, sf, "events").select(c("event_id").alias("query_id"), F.to_json(body).alias("body")))
+    return faults.select("query_id", F.array_join("faults", ",").alias("faults"))
+
+
+@query("se", """WITH e AS (SELECT event_id, conflict_status <> 'none' AS bad, event_type, row_number() OVER (ORDER BY event_id) AS n, CAST(subject_id AS BIGINT) // 2 AS pair, CAST(subject_id AS BIGINT) % 2 AS side FROM se WHERE conflict_status <> 'none'),
+    d AS (SELECT pair, event_type, min((side, event_id)) AS first FROM e GROUP BY ALL) SELECT pair, string_agg(event_type, ',' ORDER BY first) AS types FROM d GROUP BY pair""")
+def ordered_conflict_union(spark, sf):
+    """Of each pair of subjects, the kinds of event that are in conflict: those of the first as they come, then those of the second."""
+    rows = L.structured_event(spark, sf).where("conflict_status <> 'none'")
+    subject = F.col("subject_id").cast("long")
+    first = rows.groupBy(subject.alias("subject"), "event_type").agg(F.min("event_id").alias("at"))
+    each = first.groupBy(F.expr("subject div 2").alias("pair")).agg(*(F.transform(F.sort_array(F.collect_list(F.when(F.col("subject") % 2 == side, F.struct("at", "event_type")))), lambda x: x["event_type"]).alias(f"s{side}") for side in (0, 1)))
+    return each.select("pair", F.array_join(T.ordered_union(F.col("s0"), F.col("s1")), ",").alias("types"))
+
+
 def _payloads(spark, sf):
     """Orders with their lines as JSON: nested objects and arrays, keys out of order, numbers, strings, booleans and nulls."""
     line = F.struct(F.col("l_quantity").cast("long").alias("qty"), F.col("l_returnflag").alias("flag"), F.array(F.col("l_linenumber").cast("long"), F.col("l_linenumber").cast("long") + 1).alias("at"))
