@@ -2,12 +2,12 @@
 
 Markup is stripped into lines, one per block element. The text lengths of `WINDOW` consecutive lines are summed; where the sum rises
 from little to much is a surge point, where it falls back a dive point. The regions between each surge and the next dive are the core
-of the article. What is never content (menus, forms, scripts, footers, asides and the like, by element) is left out before. Elements
-whose class, id or role names a menu, advert, notice, comments and the like are left out as well, but not where they hold the page's
-article: most of its text, and all of its main headings, articles and mains or, where it has none, all of its long lines. Since short paragraphs, lists and tables
-between and around the regions belong to the article as well, all remaining lines of the innermost article or main are taken that holds
-at least half of the text; on other pages each region grows to the lines of the innermost element that holds it whole, without lists
-of links and copyright lines at its edges.
+of the article. What is never content (menus, scripts, footers, asides and the like, by element) is left out before. Forms, elements
+whose class, id or role names a menu, advert, notice, comments and the like, and menus that are never closed are left out as well, but not where they hold the
+page's article: nine in ten of its long lines and all of its articles and mains; or most of its text and all of its main headings, which is what
+elements named after comments have to hold. Since short paragraphs, lists and tables between and around the regions belong to the article as well, a region
+grows: where articles or mains hold at least half of the text, to the innermost one that holds so much, or to another one with a quarter of its text, and regions elsewhere are
+left out; on other pages to the lines of the innermost element that holds it whole, without lists of links and copyright lines at its edges.
 
 Defined results: null, empty or text-free html gives an empty text; truncated and badly nested markup is read as far as it goes;
 repeated rows give repeated results; extra columns are ignored. Reading takes time linear in the page.
@@ -35,10 +35,13 @@ WINDOW, SURGE = 3, 60
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
-_DROP = frozenset("aside audio button canvas datalist dialog embed footer form frameset head iframe map menu nav noembed noframes noscript object option script search select style svg template textarea title video".split())
+_DROP = frozenset("aside audio button canvas datalist dialog embed footer frameset head iframe map menu nav noembed noframes noscript object option script search select style svg template textarea title video".split())
 _HOLD = frozenset("article main".split())
+_MENUS = frozenset("aside footer menu nav search".split())
 #: Words of class, id or role that mark what is not the article.
-_NOISE = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|footer|masthead|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|social|share|sharing|related|recommended|comments?|replies|respond|disqus|widget|toolbar|pagination|pager|skip|search|login|signup)(?:$|[\s_-])", re.I)
+_NOISE = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|footer|masthead|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|social|share|sharing|related|recommended|comment(?!ar)\w*|replies|respond|disqus|widget|toolbar|pagination|pager|skip|search|login|signup)(?:$|[\s_-])", re.I)
+_TALK = re.compile(r"(?:^|[\s_-])(?:comment(?!ar)\w*|replies|respond|disqus)(?:$|[\s_-])", re.I)
+_NOTICE = re.compile(r"\b(?:we|site|website|page|partners)\b.{0,80}\bcookies?\b|\bcookies?\b.{0,80}\b(?:accept|agree|consent|preferences)\b", re.I)
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _HINT = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?:\s|=|$|/)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
@@ -63,12 +66,13 @@ def _tag_end(html: str, at: int, none: dict[str, int]) -> int:
 
 
 class Tree:
-    """Block elements in page order: name, parent, depth, last element inside, innermost article or main (0: none), and whether a hint names it as noise; 0 is the page."""
+    """Block elements in page order: name, parent, depth, last element inside, innermost article or main (0: none), whether it is noise by a hint or kind, and whether by one
+    that names comments; 0 is the page."""
 
     def __init__(self) -> None:
-        self.name, self.parent, self.depth, self.last, self.held, self.noise = [""], [0], [0], [0], [0], [False]
+        self.name, self.parent, self.depth, self.last, self.held, self.noise, self.talk = [""], [0], [0], [0], [0], [False], [False]
 
-    def add(self, name: str, parent: int, noise: bool) -> int:
+    def add(self, name: str, parent: int, noise: bool, talk: bool) -> int:
         k = len(self.parent)
         self.name.append(name)
         self.parent.append(parent)
@@ -76,6 +80,7 @@ class Tree:
         self.last.append(k)
         self.held.append(k if name in _HOLD and not noise else self.held[parent])
         self.noise.append(noise)
+        self.talk.append(talk)
         return k
 
     def around(self, a: int, b: int) -> int:
@@ -94,8 +99,11 @@ class Line(NamedTuple):
     linked: bool  # whether most of it is links
 
 
-def lines(html: str) -> tuple[list[Line], Tree]:
-    """The text of each block that is not left out by its element, in page order."""
+def lines(html: str, open_menus: frozenset[str] = frozenset()) -> tuple[list[Line], Tree, frozenset[str]]:
+    """The text of each block that is not left out by its element, in page order; and which kinds of menu were never closed.
+
+    open_menus: kinds that are not left out for what they are, but noise.
+    """
     out: list[Line] = []
     tree = Tree()
     open_: list[tuple[str, int, bool]] = []  # name, number of the block (its own or the one around it), left out
@@ -103,6 +111,7 @@ def lines(html: str) -> tuple[list[Line], Tree]:
     parts: list[str] = []
     dropped, n, pos, none = 0, len(html), 0, {}
     holds = linked = 0
+    unclosed: set[str] = set()
 
     def flush() -> None:
         nonlocal linked
@@ -151,8 +160,12 @@ def lines(html: str) -> tuple[list[Line], Tree]:
         if (name in _BLOCK or "-" in name) and not dropped:
             flush()
         if closing:
-            while names[name] and pop() != name:
-                pass
+            while names[name]:
+                bad = open_[-1][2]
+                if (last := pop()) == name:
+                    break
+                if bad and last in _MENUS:
+                    unclosed.add(last)
             continue
         attributes = html[m.end() : pos - 1]
         if name in _VOID or attributes.endswith("/") and name not in _BLOCK | _RAW:
@@ -181,20 +194,23 @@ def lines(html: str) -> tuple[list[Line], Tree]:
                 if open_[k][0] in _BLOCK and open_[k][0] != "p":
                     break
         hints = " ".join(h.strip("\"'") for h in _HINT.findall(attributes)) if "=" in attributes else ""
-        noise = bool(name not in ("html", "body", "main") and hints and _NOISE.search(hints))
+        named = name not in ("html", "body", "main") and hints
+        talk = bool(named and _TALK.search(hints))
+        noise = bool(named and _NOISE.search(hints)) or name == "form" or name in open_menus
         block = name in _BLOCK or "-" in name
-        bad = name in _DROP or (name == "header" and not holds) or bool(attributes and _HIDDEN.search(attributes)) or (noise and not block)
+        bad = (name in _DROP and name not in open_menus) or (name == "header" and not holds) or bool(attributes and _HIDDEN.search(attributes)) or (noise and not block)
         k = open_[-1][1] if open_ else 0
-        open_.append((name, tree.add(name, k, noise) if block else k, bad))
+        open_.append((name, tree.add(name, k, noise, talk) if block else k, bad))
         names[name] += 1
         dropped += bad
         holds += name in _HOLD
     if not dropped:
         flush()
     while open_:
+        unclosed |= {open_[-1][0]} & _MENUS if open_[-1][2] else set()
         pop()
     tree.last[0] = len(tree.parent) - 1
-    return out, tree
+    return out, tree, frozenset(unclosed)
 
 
 def cores(sizes: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
@@ -225,23 +241,33 @@ def denoised(got: list[Line], tree: Tree) -> list[Line]:
     if not any(tree.noise):
         return got
     n = len(tree.parent)
-    upto, heads, dense = [0] * (n + 1), [0] * (n + 1), [0] * (n + 1)  # by elements before: characters, headings and holders, long lines
+    upto, heads, holds, dense = ([0] * (n + 1) for _ in range(4))  # by elements before: characters, headings and holders, holders, long lines
     for line in got:
         upto[line.element + 1] += len(line.text)
         dense[line.element + 1] += len(line.text) >= SURGE
     for k in range(1, n):
         heads[k + 1] = tree.name[k] in ("h1", *_HOLD) and not tree.noise[k]
-    upto, heads, dense = (list(accumulate(x)) for x in (upto, heads, dense))
+        holds[k + 1] = tree.name[k] in _HOLD and not tree.noise[k]
+    upto, heads, holds, dense = (list(accumulate(x)) for x in (upto, heads, holds, dense))
     gone = [False] * n
     for k in range(1, n):
         gone[k] = gone[tree.parent[k]]
         if tree.noise[k] and not gone[k]:
             a, z = k, tree.last[k] + 1
-            most = 2 * (upto[z] - upto[a]) >= upto[n]
-            gone[k] = not (most and heads[z] - heads[a] == heads[n] and (heads[n] or dense[z] - dense[a] == dense[n]))
+            of = lambda x: x[z] - x[a]  # noqa: B023, E731
+            whole = 2 * of(upto) >= upto[n] and of(heads) == heads[n] and (heads[n] or of(dense) == dense[n])
+            lies = not tree.talk[k] and dense[n] and 10 * of(dense) >= 9 * dense[n] and of(holds) == holds[n]
+            gone[k] = not (whole or lies)
     return [line for line in got if not gone[line.element]]
 
 
+def without_notices(got: list[Line], tree: Tree) -> list[Line]:
+    """Without what the first and last lines outside of articles say about cookies."""
+    edge = {*range(min(3, len(got))), *range(max(0, len(got) - 3), len(got))}
+    notice = lambda i, line: i in edge and len(line.text) < 400 and not tree.held[line.element] and tree.name[line.element] not in ("h1", "h2", "h3") and _NOTICE.search(line.text)
+    return [line for i, line in enumerate(got) if len(got) == 1 or not notice(i, line)]
+
+
 _RIGHTS = re.compile(r"(?:copyright\b|©|\(c\) ?[0-9]{4}|all rights reserved)", re.I)
 
 
@@ -255,29 +281,45 @@ def grown(got: list[Line], begin: int, end: int, first: int, last: int) -> tuple
     return first, last
 
 
-def main_text(html: str | None) -> str:
-    if not html:
-        return ""
-    got, tree = lines(html)
-    got = denoised(got, tree)
-    if not got:
-        return ""
-    sizes = [len(line.text) for line in got]
+def articles(got: list[Line], tree: Tree) -> list[int]:
+    """The innermost article or main with at least half of the text, and those beside it that are at least a quarter as long; none where no such one is there."""
     held: Counter[int] = Counter()
     for line in got:
         held[tree.held[line.element]] += len(line.text)
     for k in range(len(tree.parent) - 1, 0, -1):  # an inner article or main counts for those around it
         if tree.held[k] == k:
             held[tree.held[tree.parent[k]]] += held[k]
-    most = [(n, k) for k, n in held.items() if k and 2 * n >= sum(sizes)]
-    if most:
-        top = min(most)[1]
-        return "\n".join(line.text for line in got if top <= line.element <= tree.last[top])
+    total = sum(len(line.text) for line in got)
+    most = [(n, -k) for k, n in held.items() if k and 2 * n >= total]
+    if not most:
+        return []
+    size, top = min(most)[0], -min(most)[1]
+    apart = lambda k: not (top <= k <= tree.last[top] or k <= top <= tree.last[k])
+    beside = [k for k, n in held.items() if k and tree.name[k] == "article" and apart(k) and 4 * n >= size]
+    return [top, *(k for k in beside if not any(b != k and b <= k <= tree.last[b] for b in beside))]
+
+
+def main_text(html: str | None) -> str:
+    if not html:
+        return ""
+    got, tree, unclosed = lines(html)
+    if unclosed:  # what a menu without an end holds may be the article
+        got, tree, _ = lines(html, unclosed)
+    got = without_notices(denoised(got, tree), tree)
+    if not got:
+        return ""
+    sizes = [len(line.text) for line in got]
     regions = cores(sizes)
     largest = max(regions, key=lambda r: sum(sizes[r[0] : r[1] + 1]))
-    keep = [0] * (len(got) + 1)  # +1 where lines to be kept begin, -1 after their last
     elements = [line.element for line in got]
-    for begin, end in regions:
+    holders = articles(got, tree)
+    keep = [0] * (len(got) + 1)  # +1 where lines to be kept begin, -1 after their last
+    for top in holders:  # a few; the lines of an element stand together
+        inside = [i for i, e in enumerate(elements) if top <= e <= tree.last[top]]
+        if any(begin <= inside[-1] and end >= inside[0] for begin, end in regions):
+            keep[inside[0]] += 1
+            keep[inside[-1] + 1] -= 1
+    for begin, end in () if holders else regions:
         inside = elements[begin : end + 1]
         top = tree.around(min(inside), max(inside))
         if begin == end and tree.parent[top] and (begin, end) == largest:

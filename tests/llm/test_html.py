@@ -38,6 +38,9 @@ def test_time_is_linear():
         began = time.perf_counter()
         H.main_text(piece * 40_000)
         assert time.perf_counter() - began < 5, piece
+    began = time.perf_counter()
+    H.main_text("<article>" + f"<p>{'words of the story run on ' * 3}</p><p>x</p><p>y</p><p>z</p>" * 20_000 + "</article>")  # many regions
+    assert time.perf_counter() - began < 5
 
 
 def test_all_of_a_sectioned_article_and_of_divided_text():
@@ -79,6 +82,45 @@ def test_references_are_decoded_within_their_text():
     assert H.main_text("<article><p>a&am<b>p;</b> &lt;b&gt; &eacute;&#x41;</p></article>") == "a&amp; <b> éA"
 
 
+LONG = [f"{w} paragraph of the story, which is long enough to be told apart from what stands around it, as such paragraphs are." for w in ("first", "second")]
+STORY = "".join(f"<p>{t}</p>" for t in LONG)
+
+
+def test_density_outweighs_names_forms_and_open_menus():
+    body = "\n".join(LONG)
+    assert H.main_text(PAGE % f'<header><h1>Site</h1></header><div class="content has-sidebar">{STORY}</div>') == body
+    for name in ("notice-board", "page side-by-side", "page with-nav"):
+        assert H.main_text(PAGE % f'<h1>Head</h1><div class="{name}">{STORY}</div>').endswith(body)
+    assert H.main_text(PAGE % f'<form id="aspnetForm"><div>{STORY}</div></form>') == body
+    assert H.main_text(PAGE % f'<div>{STORY}</div><form><p>Tell us what you think of it, and we will write to you as soon as we possibly can.</p></form>') == body
+    for menu in ("nav", "aside", "menu"):
+        assert H.main_text(PAGE % f"<{menu}><ul><li><a href='/'>Home</a></li><li><a href='/n'>News</a></li></ul><div>{STORY}</div>") == body
+    assert H.main_text(PAGE % f"<div>{STORY}</div><nav><a href='/'>Home</a> open to the end") == body
+    side = "".join(f"<p>{'other things that you may want to read about today ' * 2}{k}</p>" for k in range(5))
+    assert H.main_text(PAGE % f'<div><h1>Head</h1>{STORY}</div><div class="sidebar">{side}</div>') == "Head\n" + body
+
+
+def test_two_articles_comment_lists_and_cookies():
+    body = "\n".join(LONG)
+    more = "<p>" + "a longer one " * 40 + "</p>"
+    assert H.main_text(PAGE % f"<article>{STORY}</article><article>{STORY}{more}</article>").startswith(body)
+    assert H.main_text(PAGE % f"<article>{STORY * 3}</article><article><p>Teaser</p></article>") == "\n".join([body] * 3)
+    for name in ("commentlist", "comment-list", "comments"):
+        assert H.main_text(PAGE % f'<article>{STORY}<ol class="{name}"><li>{LONG[0]}</li></ol></article>') == body
+    assert H.main_text(PAGE % f'<article class="commentary">{STORY}</article>') == body
+    notice = "<div>We use cookies to make this site better; accept all of them or choose some.</div>"
+    assert H.main_text(PAGE % f"{notice}<div>{STORY}</div>") == H.main_text(PAGE % f"<div>{STORY}</div>{notice}") == body
+    assert "cookies" in H.main_text(PAGE % f"<article>{STORY}<p>We use cookies in this recipe.</p></article>")
+
+
+def test_every_page_comes_through_the_regions(spark, monkeypatch):
+    count = []
+    real = H.cores
+    monkeypatch.setattr(H, "cores", lambda sizes: count.append(1) or real(sizes))
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect()]
+    assert all(map(H.main_text, pages)) and len(count) == len(pages)
+
+
 def test_extract_gives_one_row_per_page(spark):
     pages = [(1, "u", PAGE % ARTICLE, 7), (1, "u", PAGE % ARTICLE, 7), (2, None, None, 7), (3, "v", "", 7), (None, "w", "<p>x " + "long " * 300_000 + "</p>", 7)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string, text long").repartition(3)
