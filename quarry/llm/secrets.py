@@ -220,12 +220,20 @@ _CAPITALS = {"a": _PROSE["A"], "A": _PROSE["a"], "9": _PROSE["9"]}
 
 
 def _plain(s: str) -> Callable[[int, int], float]:
-    """log2-likelihood of s[a:z] as prose; what has no digit may also be words in capitals, and signs between words are no rarer than letters."""
+    """log2-likelihood of s[a:z] as prose; what has no digit may also be words in capitals, and signs between words are no rarer than letters. What has no letter is a
+    number, in which digits are as likely as in a credential."""
     classes = [_class(c) for c in s]
     upto = lambda cost: list(accumulate(map(cost, classes), initial=0))
     digits, mixed = upto(lambda c: c == "9"), upto(lambda c: _PROSE.get(c, _PROSE["9"]))
     words = [upto(lambda c, m=m: m.get(c, min(m.values()))) for m in (_PROSE, _CAPITALS)]
-    return lambda a, z: -(mixed[z] - mixed[a] if digits[z] > digits[a] else min(w[z] - w[a] for w in words))
+    letters, number = upto(lambda c: c in ("a", "A")), upto(lambda c: math.log2(10) if c == "9" else 1.0)
+
+    def bits(a: int, z: int) -> float:
+        if digits[z] == digits[a]:
+            return min(w[z] - w[a] for w in words)
+        return mixed[z] - mixed[a] if letters[z] > letters[a] else number[z] - number[a]
+
+    return lambda a, z: -bits(a, z)
 
 
 def likelihood(s: str, automata: dict[str, Automaton]) -> tuple[str, float]:

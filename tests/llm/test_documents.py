@@ -538,3 +538,13 @@ def test_empty_tables(spark):
     assert licenses.scan(none, none["text"]).count() == 0
     model = quality.train(none, spark.createDataFrame([], "doc_id long, quality int"))
     assert quality.score(none, model).count() == 0
+
+
+def test_numbers_are_no_secrets():
+    rng, automata = random.Random(8), secrets.infer()
+    for n in (16, 17, 19, 24, 36, 64):
+        for _ in range(50):
+            assert not secrets.spans(f"call {''.join(rng.choice('0123456789') for _ in range(n))} now", automata) or n >= 24
+            assert not [s for s in secrets.spans(f"no. {'-'.join(''.join(rng.choice('0123456789') for _ in range(4)) for _ in range(n // 4))} now", automata) if s[0] == "format"]
+    made = [c for name, c in secrets.labelled_credentials(40, seed=99) if name not in ("hex_digest", "access_key")]
+    assert sum(bool(secrets.spans(f"see {c} here", automata)) for c in made) >= 0.97 * len(made)
