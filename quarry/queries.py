@@ -483,7 +483,7 @@ def _requests(spark, sf):
     i = F.col("query_id")
     either = _text_queries(spark, sf).join(_vector_queries(spark, sf).select("query_id"), "query_id", "full").withColumn("n", F.size(F.split(F.coalesce("query", F.lit("")), " ")))
     pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (n % len(names) + 1).cast("int"))
-    return either.select("query_id", pick([x[0] for x in planner.INTENTS], i).alias("intent"), pick(_AGENTS, i).alias("agent_id"), (1 + F.col("n") % 7).cast("long").alias("entity_count"), (4000 * (1 + i % 5)).alias("token_budget"), F.lit(300).cast("long").alias("chunk_tokens"))
+    return either.select("query_id", "query", pick([x[0] for x in planner.INTENTS], i).alias("intent"), pick(_AGENTS, i).alias("agent_id"), (1 + F.col("n") % 7).cast("long").alias("entity_count"), (4000 * (1 + i % 5)).alias("token_budget"), F.lit(300).cast("long").alias("chunk_tokens"))
 
 
 _PLAN = (
@@ -500,7 +500,7 @@ _PLAN = (
 @query("", f"WITH {_PLAN} SELECT * FROM plan")
 def plan_table(spark, sf):
     """A plan for every query."""
-    return planner.plan(_requests(spark, sf))
+    return planner.plan(_requests(spark, sf).drop("query"))
 
 
 def _candidates(spark, sf):
@@ -509,21 +509,23 @@ def _candidates(spark, sf):
 
 
 _CANDIDATES = "cand AS (SELECT query_id, chunk_id, score, greatest(1, CAST(ceil(length(text) / 4) AS BIGINT)) AS tok, source, lang, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS n FROM rrf JOIN documents ON doc_id = chunk_id)"
-_EVIDENCE = f"""WITH RECURSIVE {_RRF}, {_CANDIDATES}, {_PLAN},
-    walk AS (SELECT query_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS chunk_id, CAST(0 AS BIGINT) AS taken, CAST(0 AS BIGINT) AS tokens, CAST([] AS VARCHAR[]) AS langs, CAST([] AS VARCHAR[]) AS given, 0::DOUBLE AS last, '' AS first_source, FALSE AS took, '' AS why FROM plan
+#: The greedy scan over `cand` under `plan`, candidate by candidate.
+_WALK = """walk AS (SELECT query_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS chunk_id, CAST(0 AS BIGINT) AS taken, CAST(0 AS BIGINT) AS tokens, CAST([] AS VARCHAR[]) AS langs, CAST([] AS VARCHAR[]) AS given, 0::DOUBLE AS last, '' AS first_source, FALSE AS took, '' AS why FROM plan
     UNION ALL SELECT query_id, n, chunk_id, taken + CASE WHEN why = '' AND took THEN 1 ELSE 0 END, tokens + CASE WHEN why = '' AND took THEN tok ELSE 0 END, CASE WHEN why = '' AND took THEN list_append(langs, lang) ELSE langs END, CASE WHEN why = '' AND took THEN list_append(given, source) ELSE given END,
         CASE WHEN why = '' AND took THEN score ELSE last END, CASE WHEN why = '' AND took AND taken = 0 THEN source ELSE first_source END, why = '' AND took, why
         FROM (SELECT w.query_id, c.n, c.chunk_id, c.score, c.tok, c.source || '|' || c.lang AS source, c.lang, w.taken, w.tokens, w.langs, w.given, w.last, w.first_source,
             NOT (w.taken > 0 AND list_contains(w.langs, c.lang) AND c.source = string_split(w.first_source, '|')[1] AND len(list_filter(w.given, lambda g: g = c.source || '|' || c.lang)) >= 8) AS took,
             CASE WHEN w.taken >= p.context_k THEN 'context_k' WHEN w.taken >= p.min_context_k AND c.score < p.score_floor THEN 'score_floor' WHEN w.taken >= p.min_context_k AND w.last > 0 AND (w.last - c.score) / w.last >= p.marginal_gain_floor THEN 'marginal_gain' WHEN w.tokens + c.tok > p.max_context_tokens THEN 'token_budget' ELSE '' END AS why
             FROM walk w JOIN cand c ON c.query_id = w.query_id AND c.n = w.n + 1 JOIN plan p ON p.query_id = w.query_id WHERE w.why = '')),
-    ended AS (SELECT query_id, arg_max(CASE WHEN why = '' THEN 'exhausted' ELSE why END, n) AS stopped_by, arg_max(tokens, n) AS used_tokens FROM walk GROUP BY query_id)
+    ended AS (SELECT query_id, arg_max(CASE WHEN why = '' THEN 'exhausted' ELSE why END, n) AS stopped_by, arg_max(tokens, n) AS used_tokens FROM walk GROUP BY query_id)"""
+_EVIDENCE = f"""WITH RECURSIVE {_RRF}, {_CANDIDATES}, {_PLAN},
+    {_WALK}
     SELECT query_id, chunk_id, taken AS place, used_tokens, stopped_by FROM walk JOIN ended USING (query_id) WHERE took"""
 
 
 @query("", _EVIDENCE)
 def evidence_selection(spark, sf):
-    return evidence.select_batch(_candidates(spark, sf), planner.plan(_requests(spark, sf)))
+    return evidence.select_batch(_candidates(spark, sf), planner.plan(_requests(spark, sf).drop("query")))
 
 
 def _regions(spark, sf):

@@ -10,7 +10,7 @@ from quarry.functions import variants
 from quarry.operators import chunking, evaluation, gateway, governance, index, ivf, ledger, lifecycle, metrics, retrieval, store, writes
 from quarry.operators import visibility as vis
 from quarry.plans import planner
-from quarry.queries import _FOLD, _GRADED, _LEX, _RRF, _VEC, ME, NOW, _acks, _chunks, _graded, _lexical_index, _lists, _text_queries, _vector_queries, _vectors, lexical_topk, query
+from quarry.queries import _FOLD, _GRADED, _LEX, _PLAN, _RRF, _VEC, _WALK, ME, NOW, _acks, _chunks, _graded, _lexical_index, _lists, _requests, _text_queries, _vector_queries, _vectors, lexical_topk, query
 from quarry.sources import documents, sink
 from quarry.sources import logical as L
 from quarry.streaming import jobs, leases
@@ -396,6 +396,29 @@ def gateway_sufficiency(spark, sf):
     return gateway.sufficiency(_funnel(spark, sf)[0], plans)
 
 
+_ANSWERS = f"""WITH RECURSIVE {_PLAN}, {_LEX.replace('QUALIFY rank <= 10', 'QUALIFY rank <= 100')}, {_VEC.format('').replace('QUALIFY rank <= 10', 'QUALIFY rank <= 100')},
+    lists AS (SELECT query_id, chunk_id, rank FROM lex UNION ALL SELECT query_id, chunk_id, rank FROM vec), fu AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS raw, count(*) AS agreement, min(rank) AS best_rank FROM lists JOIN plan USING (query_id) WHERE rank <= candidate_k GROUP BY ALL),
+    rrf AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, agreement DESC, best_rank, chunk_id) AS position FROM (SELECT *, round(raw / max(raw) OVER (PARTITION BY query_id), 6) AS score FROM fu)),
+    fz AS (SELECT rrf.* FROM rrf JOIN plan USING (query_id) WHERE position <= fusion_k), au AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY position) AS place FROM fz WHERE chunk_id IN (SELECT memory_id FROM readable)),
+    cand AS (SELECT query_id, chunk_id, score, greatest(1, CAST(ceil(length(text) / 4) AS BIGINT)) AS tok, source, lang, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS n FROM au JOIN plan USING (query_id) JOIN documents ON doc_id = chunk_id WHERE place <= rerank_k),
+    {_WALK}
+    SELECT query_id, (SELECT count(*) FROM fz WHERE fz.query_id = plan.query_id) AS fused, (SELECT count(*) FROM au WHERE au.query_id = plan.query_id) AS authorized, (SELECT count(*) FROM fz WHERE fz.query_id = plan.query_id) - (SELECT count(*) FROM au WHERE au.query_id = plan.query_id) AS denied,
+        (SELECT count(*) FROM walk WHERE walk.query_id = plan.query_id AND took) AS selected, CASE WHEN EXISTS (SELECT 1 FROM walk WHERE walk.query_id = plan.query_id AND took) THEN stopped_by END AS stopped_by FROM plan LEFT JOIN ended USING (query_id)"""
+
+
+@query("readable", _ANSWERS)
+def gateway_answers(spark, sf):
+    """Every query through the whole gateway: both retrievers, each to its plan's windows, fusion, authorisation and evidence."""
+    from quarry import ports
+
+    docs = L.read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), T.token_estimate(F.col("text")).alias("token_count"), F.col("source").alias("source_type"), F.array("lang").alias("entity_keys"))
+    near = lambda q: retrieval.vector(_vectors(spark, sf), q.join(_vector_queries(spark, sf), "query_id"), "candidate_k")
+    words = lambda q: _lexical_index(spark, sf).search(q, "candidate_k")
+    allowed = lambda hits: retrieval.authorised(hits, _readable(spark, sf), _memory_of(spark, sf)).drop("memory_id")
+    packs = ports.Gateway({"lexical": words, "vector": near}, allowed, docs).answer(_requests(spark, sf))[1]
+    return packs.select("query_id", "fused", "authorized", "denied", "selected", "stopped_by")
+
+
 _WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))"
 
 
