@@ -16,7 +16,9 @@ Chunks are added by further shards, without a rebuild.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from contextlib import suppress
 from dataclasses import dataclass
 from decimal import ROUND_HALF_UP, Decimal
 
@@ -30,11 +32,12 @@ from quarry.functions import text as T
 from quarry.functions import websearch
 from quarry.operators import retrieval
 
-#: A shard ends at so many chunks or tokens; fewer tokens where a table is small, so that all cores have shards. A task holds four shards' tokens at most.
-SHARD_CHUNKS, SHARD_TOKENS, LEAST_TOKENS = 16_384, 1 << 20, 1 << 15
+#: A shard ends at so many chunks or tokens; fewer tokens where a table is small, so that all cores have shards. A task holds two shards' tokens at most.
+SHARD_CHUNKS, SHARD_TOKENS, LEAST_TOKENS = 16_384, 1 << 19, 1 << 15
 #: Folders by term. Each task that writes has a file in each, so large tables are best read in large parts (spark.sql.files.maxPartitionBytes).
 BUCKETS = 16
 SEEDS, BLOCK = 2, 256
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 IDS, ALLOWED = -1, -2  # rows of a shard that are no postings
 
 
@@ -56,9 +59,9 @@ def _blocks_of(shard: int, ids: np.ndarray, tokens: pa.Array) -> Iterator[pa.Rec
     if not len(code):
         return
     doc = np.repeat(np.arange(len(ids), dtype=np.int32), many)
-    at = np.arange(len(code)) - np.repeat(np.cumsum(many) - many, many)
+    at = np.arange(len(code), dtype=np.int32) - np.repeat((np.cumsum(many) - many).astype(np.int32), many)
     by = np.argsort(code, kind="stable")  # by term, then chunk, then position
-    code, doc, at = code[by], doc[by], at[by].astype(np.int32)
+    code, doc, at = code[by], doc[by], at[by]
     new = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])))
     tfs, docs, of = np.diff(np.append(new, len(code))).astype(np.int32), doc[new], code[new]
     first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
@@ -111,7 +114,7 @@ def _shards(most_chunks: int, most_tokens: int, base: int):
                     start = end
                     if own.chunks >= most_chunks or own.tokens >= most_tokens or end < len(at):
                         yield from flush([classes.pop(c)])
-            while classes and sum(c.tokens for c in classes.values()) > 4 * most_tokens:
+            while classes and sum(c.tokens for c in classes.values()) > 2 * most_tokens:
                 yield from flush([classes.pop(max(classes, key=lambda c: classes[c].tokens))])
         rest: list[_Class] = []
         for c in sorted(classes, reverse=True):
@@ -121,10 +124,19 @@ def _shards(most_chunks: int, most_tokens: int, base: int):
                 rest = []
         if rest:
             yield from flush(rest)
+        classes.clear()
+        _give_back()
 
     return run
 
 
+def _give_back() -> None:
+    """Unused memory of a worker, which other kinds of tasks run in after this one, goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 # --- what a block of queries asks ---
 
 
@@ -286,6 +298,7 @@ def _score(asked: Asked):
                     if len(d):
                         high = _high(value[which], entries[which]).max() if flag else 0.0
                         out.append(pa.record_batch([np.full(len(d), q, np.int32), np.full(len(d), shard), ids[d], value[d], np.full(len(d), flag), np.full(len(d), high)], schema=_HIT))
+        _give_back()
         return pa.Table.from_batches(out, schema=_HIT)
 
     return run
@@ -354,6 +367,7 @@ def _density(asked: Asked):
             pick = np.lexsort((d, -_rounded(total)))[: int(asked.k[q])]
             d, total = d[pick], total[pick]
             out.append(pa.record_batch([np.full(len(d), q, np.int32), np.full(len(d), shard), ids[d], total, np.ones(len(d), bool), np.zeros(len(d))], schema=_HIT))
+        _give_back()
         return pa.Table.from_batches(out, schema=_HIT)
 
     return run
@@ -401,7 +415,15 @@ class Stored:
         words = F.concat(T.tokens(F.col("content")), T.cjk_occurrences(F.col("content")))
         made = rows.select("chunk_id", words.alias("tokens")).mapInArrow(_shards(shard_chunks, shard_tokens, base), _ROW_SQL)
         bucket = F.when(F.col("term") == "", -1).otherwise(F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int"))
-        made.withColumn("bucket", bucket).sortWithinPartitions("bucket", "term", "shard").write.mode("append").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/postings")
+        was = spark.conf.get(_BATCH)
+        spark.conf.set(_BATCH, str(2 << 20))  # tokens take several times their bytes in a worker
+        try:
+            self._append(made.withColumn("bucket", bucket))
+        finally:
+            spark.conf.set(_BATCH, was)
+
+    def _append(self, rows: DataFrame) -> None:
+        rows.sortWithinPartitions("bucket", "term", "shard").write.mode("append").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/postings")
 
     # --- searching ---
 
