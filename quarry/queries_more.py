@@ -31,9 +31,9 @@ def index_searchable(spark, sf):
     return _searchable(spark, sf).select("chunk_id", "index_version_id")
 
 
-@query("chunk readable ver", f"SELECT chunk_id FROM ({_VISIBLE} AND c.source_type = 'src0' AND r.kind = 'en' AND r.stage = 'curated')")
+@query("chunk readable ver", f"SELECT chunk_id FROM ({_VISIBLE} AND c.source_type = 'src1' AND r.kind = 'en' AND r.stage = 'curated')")
 def index_filtered(spark, sf):
-    return _searchable(spark, sf, {"source_type": "src0", "kind": "en", "stage": "curated"}).select("chunk_id")
+    return _searchable(spark, sf, {"source_type": "src1", "kind": "en", "stage": "curated"}).select("chunk_id")
 
 
 @query("chunk readable ver", f"WITH dsub AS (SELECT chunk_id AS doc_id, content AS text FROM ({_VISIBLE})), {_LEX.replace('FROM documents', 'FROM dsub')} SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM lex")
