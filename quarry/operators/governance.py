@@ -82,6 +82,44 @@ def violations(tasks: DataFrame, max_hops: int = MAX_HOPS, max_tasks: int = MAX_
     return found.select("task_id", "violation", parts[0].alias("severity"), parts[1].alias("action"), parts[2].alias("quarantine"))
 
 
+def quarantined(tasks: DataFrame, quarantine: DataFrame) -> DataFrame:
+    """Tasks whose run, or whose agent (subject) in that run, is in an active quarantine: run_id, subject_type, subject_id, active."""
+    live = quarantine.where("active")
+    runs = live.where((F.col("subject_type") == "run") & (F.col("subject_id") == F.col("run_id").cast("string"))).select("run_id").distinct()
+    agents = live.where("subject_type = 'agent'").select("run_id", F.col("subject_id").alias("subject")).distinct()
+    return tasks.join(runs, "run_id", "left_semi").unionByName(tasks.join(agents, ["run_id", "subject"], "left_semi")).distinct()
+
+
+def enqueue(stored: DataFrame, incoming: DataFrame, quarantine: DataFrame, max_hops: int = MAX_HOPS, max_tasks: int = MAX_TASKS) -> DataFrame:
+    """task_id, run_id, parent_task_id, violation (null: the task is accepted) of a batch of tasks, as if they came one by one in the order of task_id.
+
+    The first rule that is broken counts: hops beyond the limit; a run that has its tasks already; quarantine; a fingerprint that the run has in the same epoch; and of
+    delegation, that a parent is stored, of the same run and root run, one hop above and of another agent, or that a task without parent has hop 0. What is refused
+    uses up nothing. Both frames: task_id, run_id, root_run_id, parent_task_id, subject, hop_count, task_fingerprint, epoch.
+    """
+    names = ["task_id", "run_id", "root_run_id", "parent_task_id", "subject", "hop_count", "task_fingerprint", "epoch"]
+    above = stored.select(*(F.col(c).alias(f"p_{c}") for c in ("task_id", "run_id", "root_run_id", "subject", "hop_count")), F.lit(True).alias("p_here"))
+    rows = incoming.select(*names).join(above, F.col("parent_task_id") == F.col("p_task_id"), "left")
+    held = quarantined(incoming.select("task_id", "run_id", "subject"), quarantine).select("task_id", F.lit(True).alias("_held"))
+    known = stored.select("run_id", "epoch", "task_fingerprint").distinct().withColumn("_known", F.lit(True))
+    used = stored.groupBy("run_id").agg(F.count(F.lit(1)).alias("_stored"))
+    rows = rows.join(held, "task_id", "left").join(known, ["run_id", "epoch", "task_fingerprint"], "left").join(used, "run_id", "left")
+    c, no = F.col, F.lit(False)
+    child = F.coalesce(c("p_here") & (c("p_run_id") == c("run_id")) & (c("p_root_run_id") == c("root_run_id")) & (c("hop_count") == c("p_hop_count") + 1) & (c("p_subject") != c("subject")), no)
+    delegated = F.when(c("parent_task_id").isNull(), c("hop_count") == 0).otherwise(child)
+    fine = (c("hop_count") <= max_hops) & c("_held").isNull() & c("_known").isNull() & delegated
+    first = F.row_number().over(W.Window.partitionBy("run_id", "epoch", "task_fingerprint", "_fine").orderBy("task_id")) == 1
+    rows = rows.withColumn("_fine", fine).withColumn("_ok", c("_fine") & first)
+    before = F.coalesce(F.sum(c("_ok").cast("int")).over(W.Window.partitionBy("run_id").orderBy("task_id").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))
+    full = F.coalesce("_stored", F.lit(0)) + before >= max_tasks
+    repeated = c("_known").isNotNull() | (c("_fine") & ~c("_ok"))
+    rule = (
+        F.when(c("hop_count") > max_hops, "hop_limit").when(full, "budget_exhausted").when(c("_held").isNotNull(), "delegation_violation").when(repeated, "task_repetition")
+        .when(~delegated, "delegation_violation")
+    )
+    return rows.select("task_id", "run_id", "parent_task_id", rule.alias("violation"))
+
+
 def backoff_ms(attempt: Column, first: int = 1_000, most: int = 60_000) -> Column:
     return F.least(F.lit(float(most)), first * F.pow(F.lit(2.0), attempt - 1)).cast("long")
 

@@ -58,6 +58,19 @@ def readable_artifacts(artifacts: DataFrame, acl: DataFrame, principal_type: str
     return rows.where((F.col("scope") == "public") | (F.col("owner_id") == principal_id) | F.col("_granted").isNotNull()).drop("_granted")
 
 
+MOST_SOURCES = 10_000
+
+
+def active_source(memories: DataFrame, tenant_id: str, limit: int = MOST_SOURCES) -> DataFrame:
+    """What an index of the tenant is built from: active public and tenant memories, by time and id. More than `limit` of them are an error, not a cut."""
+    if limit < 1:
+        raise ValueError("the limit must be at least 1")
+    rows = memories.where((F.col("tenant_id") == tenant_id) & (F.col("status") == "active") & F.col("scope").isin("public", "tenant"))
+    if rows.limit(limit + 1).count() > limit:
+        raise ValueError(f"more than {limit} active memories of {tenant_id}")
+    return rows.orderBy("updated_at", "memory_id")
+
+
 def newest(rows: DataFrame, at: str, key: str, limit: int = 100, where: Column | None = None) -> DataFrame:
     """The newest rows, ties by key; the limit is the feature."""
     return (rows if where is None else rows.where(where)).orderBy(F.desc(at), key).limit(limit)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry import session
 from quarry.operators import ledger, lifecycle
+from quarry.operators import visibility as vis
 from quarry.sources import sink
 
 CHUNK = "chunk_id long, memory_id long, index_version_id long, parent_chunk_id long, content string, chunk_digest string"
@@ -102,3 +103,27 @@ def put_responses(path: str, batch: str, hits: DataFrame, trace: dict[str, str])
     each = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_id", "score"))).alias("hits"))
     body = F.struct(F.col("query_id"), F.size("hits").alias("returned"), F.col("hits"), F.create_map(*(F.lit(x) for pair in sorted(trace.items()) for x in pair)).alias("trace"))
     return sink.write(path, batch, {"responses": each.select("query_id", F.to_json(body).alias("body"))})
+
+
+EVENT = "event_id long, scope string, source_memory_ids array<long>"
+
+
+def put_events(path: str, batch: str, events: DataFrame, memories: DataFrame) -> bool:
+    """Adds events (or edges) that are new. One that is readable by more than some memory it comes from, or comes from none that is active, makes the batch refused."""
+    if sink.committed(path, batch):
+        return False
+    names = [c.split(" ")[0] for c in EVENT.split(", ")]
+    rows = session.cut(events.select(*names).dropDuplicates(["event_id"]))
+    wide = vis.broader_than_source(rows.withColumnRenamed("event_id", "fact_id"), memories).select(F.col("fact_id").alias("event_id"))
+    none = rows.where("source_memory_ids is null or size(source_memory_ids) = 0").select("event_id")
+    errors = session.cut(wide.unionByName(none).select(F.col("event_id").alias("chunk_id"), F.lit("visibility").alias("error")))
+    if not errors.isEmpty():
+        raise Refused(errors)
+    stored = sink.read(events.sparkSession, path, "events", EVENT).select("event_id")
+    return sink.write(path, batch, {"events": rows.join(stored, "event_id", "left_anti").select(*names)})
+
+
+def record_cycle(spark: SparkSession, path: str, cycle_id: str, kind: str, completed_at: str, report: str) -> bool:
+    """A maintenance cycle in the ledger, once for its id."""
+    row = spark.createDataFrame([(cycle_id, kind, completed_at, report)], "cycle_id string, kind string, completed_at string, report string")
+    return sink.write(path, f"cycle.{cycle_id}", {"cycles": row.withColumn("completed_at", F.col("completed_at").cast("timestamp_ntz"))})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from quarry import session
 from quarry.functions import text as T
@@ -705,6 +706,39 @@ def ordered_conflict_union(spark, sf):
     return each.select("pair", F.array_join(T.ordered_union(F.col("s0"), F.col("s1")), ",").alias("types"))
 
 
+_BATCH = """b AS (SELECT *, task_id % 3 <> 0 AS stored, task_id % 6 AS epoch FROM task), c AS (SELECT *, CASE WHEN NOT stored THEN max(CASE WHEN stored THEN task_id END) OVER (PARTITION BY run_id ORDER BY task_id) END AS parent FROM b),
+    d AS (SELECT c.task_id, c.run_id, c.subject, c.stored, c.parent AS parent_task_id, 'f' || (c.task_id % 4) AS fp, c.epoch, CASE WHEN c.stored THEN c.task_id % 9 WHEN p.task_id IS NULL THEN CASE WHEN c.task_id % 5 = 0 THEN 1 ELSE 0 END ELSE p.task_id % 9 + 1 + CASE WHEN c.task_id % 5 = 0 THEN 1 ELSE 0 END END AS hops, p.subject AS p_subject, p.task_id % 9 AS p_hops FROM c LEFT JOIN b p ON p.task_id = c.parent),
+    q AS (SELECT c_custkey AS run_id, c_custkey % 2 = 0 AS whole FROM customer WHERE c_acctbal < -800), s AS (SELECT run_id, count(*) AS n FROM d WHERE stored GROUP BY 1),
+    i AS (SELECT d.*, coalesce(s.n, 0) AS n, EXISTS (SELECT 1 FROM q WHERE q.run_id = d.run_id AND (whole OR subject = '1-URGENT')) AS held, EXISTS (SELECT 1 FROM d k WHERE k.stored AND k.run_id = d.run_id AND k.epoch = d.epoch AND k.fp = d.fp) AS known,
+        CASE WHEN parent_task_id IS NULL THEN hops = 0 ELSE hops = p_hops + 1 AND p_subject <> subject END AS delegated FROM d LEFT JOIN s USING (run_id) WHERE NOT d.stored),
+    f AS (SELECT *, hops <= 8 AND NOT held AND NOT known AND delegated AS fine FROM i), o AS (SELECT *, fine AND row_number() OVER (PARTITION BY run_id, epoch, fp, fine ORDER BY task_id) = 1 AS ok FROM f),
+    u AS (SELECT *, n + coalesce(sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY task_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= 8 AS full_ FROM o)"""
+
+
+@query("task", f"WITH {_BATCH} SELECT task_id, CASE WHEN hops > 8 THEN 'hop_limit' WHEN full_ THEN 'budget_exhausted' WHEN held THEN 'delegation_violation' WHEN known OR (fine AND NOT ok) THEN 'task_repetition' WHEN NOT delegated THEN 'delegation_violation' END AS violation FROM u")
+def governed_enqueue(spark, sf):
+    """A third of the tasks come as a batch to runs that have the others, at most eight a run; runs or agents of customers far in debt are in quarantine."""
+    k = F.col("task_id")
+    rows = L.workflow_task(spark, sf).select("task_id", "run_id", F.col("run_id").alias("root_run_id"), "subject", F.concat(F.lit("f"), L.s(k % 4)).alias("task_fingerprint"), (k % 6).alias("epoch"), (k % 3 != 0).alias("stored"))
+    up = F.max(F.when(F.col("stored"), k)).over(W.Window.partitionBy("run_id").orderBy("task_id"))
+    rows = rows.withColumn("parent_task_id", F.when(~F.col("stored"), up))
+    wrong = F.when(k % 5 == 0, 1).otherwise(0)
+    rows = rows.withColumn("hop_count", F.when(F.col("stored"), k % 9).when(F.col("parent_task_id").isNull(), wrong).otherwise(F.col("parent_task_id") % 9 + 1 + wrong))
+    far = L.read(spark, sf, "customer").where("c_acctbal < -800").select(F.col("c_custkey").alias("run_id"), F.when(F.col("c_custkey") % 2 == 0, "run").otherwise("agent").alias("subject_type"), F.when(F.col("c_custkey") % 2 == 0, L.s("c_custkey")).otherwise("1-URGENT").alias("subject_id"), F.lit(True).alias("active"))
+    return governance.enqueue(rows.where("stored"), rows.where("not stored"), far, max_tasks=8).select("task_id", "violation")
+
+
+@query("mem", "SELECT tenant_id, CAST(row_number() OVER (PARTITION BY tenant_id ORDER BY updated_at, memory_id) AS BIGINT) AS place, memory_id FROM mem WHERE status = 'active' AND scope IN ('public', 'tenant')")
+def active_source(spark, sf):
+    """What the indexes of both tenants are built from, in order."""
+    memories, out = L.memory_record(spark, sf), None
+    for tenant in ("t0", "t1"):
+        rows = store.active_source(memories, tenant, 1 << 30)
+        part = rows.select("tenant_id", F.row_number().over(W.Window.partitionBy("tenant_id").orderBy("updated_at", "memory_id")).cast("long").alias("place"), "memory_id")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def _payloads(spark, sf):
     """Orders with their lines as JSON: nested objects and arrays, keys out of order, numbers, strings, booleans and nulls."""
     line = F.struct(F.col("l_quantity").cast("long").alias("qty"), F.col("l_returnflag").alias("flag"), F.array(F.col("l_linenumber").cast("long"), F.col("l_linenumber").cast("long") + 1).alias("at"))

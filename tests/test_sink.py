@@ -92,3 +92,16 @@ def test_responses(spark, tmp_path):
     hits = spark.createDataFrame([(1, 7, 0.5, 2), (1, 9, 0.75, 1), (2, 7, 0.25, 1)], "query_id long, chunk_id long, score double, rank int")
     assert writes.put_responses(path, "r", hits, {"intent": "fact"})
     assert rows(sink.read(spark, path, "responses").select("body"))[0] == ('{"query_id":1,"returned":2,"hits":[{"rank":1,"chunk_id":9,"score":0.75},{"rank":2,"chunk_id":7,"score":0.5}],"trace":{"intent":"fact"}}',)
+
+
+def test_events_and_cycles(spark, tmp_path):
+    path = str(tmp_path / "store")
+    memories = spark.createDataFrame([(1, "public", "active"), (2, "user_private", "active"), (3, "public", "deleted")], "memory_id long, scope string, status string")
+    event = lambda *some: spark.createDataFrame(list(some), writes.EVENT)
+    assert writes.put_events(path, "1", event((1, "public", [1]), (2, "user_private", [1, 2]), (2, "user_private", [1, 2])), memories)
+    for bad in ((3, "public", [1, 2]), (4, "public", [3]), (5, "public", [99]), (6, "public", [])):
+        with pytest.raises(writes.Refused):
+            writes.put_events(path, "2", event((1, "public", [1]), bad), memories)
+    assert writes.put_events(path, "2", event((1, "public", [1]), (7, "public", [1])), memories) and rows(sink.read(spark, path, "events").select("event_id")) == [(1,), (2,), (7,)]
+    assert writes.record_cycle(spark, path, "a", "gc", "2024-01-01 00:00:00", "{}") and not writes.record_cycle(spark, path, "a", "gc", "2025-01-01 00:00:00", "{}")
+    assert sink.read(spark, path, "cycles").count() == 1
