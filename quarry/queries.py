@@ -432,7 +432,13 @@ def vector_topk_filtered(spark, sf):
     return retrieval.vector(_vectors(spark, sf), _vector_queries(spark, sf), 10, where=F.col("label") < 5)
 
 
-@query()
+#: The nearest number of half precision: eleven significant bits, ties to even, steps of 2**-24 at the least.
+_STEP = "pow(2, greatest(floor(log2(abs(CAST(x AS DOUBLE)))), -14) - 10)"
+_HALVES = f"vh AS (SELECT vec_id, label, list_transform(embedding, lambda x: CASE WHEN x = 0 THEN 0::DOUBLE ELSE round_even(CAST(x AS DOUBLE) / {_STEP}, 0) * {_STEP} END) AS embedding FROM embeddings)"
+_HALF = _VEC.format("").replace("vq AS", "vqh AS").replace("FROM embeddings", "FROM vh").replace("vq a, embeddings b", "vqh a, vh b").replace("sc AS", "sch AS").replace("vec AS", "vech AS").replace("FROM sc", "FROM sch")
+
+
+@query("", f"WITH {_VEC.format('')}, {_HALVES}, {_HALF} SELECT vec.query_id, count(vech.chunk_id) AS overlap, count(*) AS returned FROM vec LEFT JOIN vech ON vech.query_id = vec.query_id AND vech.chunk_id = vec.chunk_id GROUP BY vec.query_id")
 def vector_halfprec_overlap(spark, sf):
     return retrieval.narrowed_overlap(_vectors(spark, sf), _vector_queries(spark, sf))
 
