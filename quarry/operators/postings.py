@@ -432,12 +432,12 @@ class Stored:
         spark = queries.sparkSession
         text = T.sanitise_query(F.col("query"))
         more = [F.col(k).alias("_k")] if isinstance(k, str) else []
-        parsed = session.cut(queries.select("query_id", T.query_terms(text).alias("latin"), websearch.parse(text).alias("units"), T.cjk_bigrams(text).alias("han"), *more).where("latin is not null"))
-        blocks = -(-parsed.count() // BLOCK)
+        parsed = queries.select("query_id", T.query_terms(text).alias("latin"), websearch.parse(text).alias("units"), T.cjk_bigrams(text).alias("han"), *more).where("latin is not null")
+        blocks = -(-queries.count() // BLOCK)
         limits = self._ordinals(spark, allowed) if allowed is not None else None
         out = None
         for b in range(blocks):
-            rows = parsed.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).orderBy("query_id").collect()
+            rows = parsed.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
             if not rows:
                 continue
             found = self._block(spark, Asked.of(rows, k, least), limits)
@@ -457,7 +457,7 @@ class Stored:
             """The blocks of these terms, from the folders that hold them."""
             bucket = F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int").alias("bucket")
             wanted = spark.createDataFrame(list(terms.items()) or [("", 0)], "term string, t int").select("term", "t", bucket)
-            folders = [r["bucket"] for r in wanted.groupBy("bucket").count().collect()]
+            folders = sorted({r["bucket"] for r in wanted.select("bucket").collect()})
             return table.where(F.col("bucket").isin(folders)).join(F.broadcast(wanted), ["bucket", "term"])
 
         def per_query(values, kind: str) -> Column:
@@ -471,9 +471,10 @@ class Stored:
         w = retrieval.W.Window.partitionBy("q").orderBy(F.desc("bound"), "shard")
         ranked = bounds.withColumn("_n", F.row_number().over(w))
 
-        def side(pairs: DataFrame, positions: bool = False, terms: set[int] | None = None) -> DataFrame:
-            """The postings of the shards that pairs name, their chunk ids, and the ordinals that are allowed."""
-            shards = retrieval.small(pairs.select("shard").distinct())
+        def side(pairs: DataFrame, few: bool, positions: bool = False, terms: set[int] | None = None) -> DataFrame:
+            """The postings of the shards that pairs name, their chunk ids, and the ordinals that are allowed. few: there are at most BLOCK * SEEDS of them."""
+            shards = pairs.select("shard").distinct()
+            shards = F.broadcast(shards) if few else retrieval.small(shards)
             own = met if terms is None else postings_of({t: n for t, n in asked.terms.items() if n in terms})
             held = F.col("positions") if positions else F.lit(None).cast("array<int>").alias("positions")
             no = lambda kind: F.lit(None).cast(kind)
@@ -484,9 +485,9 @@ class Stored:
                 out = out.unionByName(limits.select("shard", F.lit(ALLOWED).alias("t"), "docs", no("array<int>").alias("tfs"), no("array<int>").alias("positions"), no("array<long>").alias("ids"), limited))
             return out.join(shards, "shard", "left_semi")
 
-        def meet(run, pairs: DataFrame, positions: bool = False, terms: set[int] | None = None) -> DataFrame:
+        def meet(run, pairs: DataFrame, few: bool = False, positions: bool = False, terms: set[int] | None = None) -> DataFrame:
             right = pairs.withColumnRenamed("shard", "in_shard")
-            left = side(pairs, positions, terms).repartition(parts, "shard").groupBy("shard")
+            left = side(pairs, few, positions, terms).repartition(parts, "shard").groupBy("shard")
             return session.cut(left.cogroup(right.repartition(parts, "in_shard").groupBy("in_shard")).applyInArrow(run, _HIT_SQL))
 
         def kth(hits: DataFrame, score: str) -> dict[int, float]:
@@ -499,16 +500,16 @@ class Stored:
         def reach(rows: DataFrame, least: dict[int, float]) -> DataFrame:
             return rows.where(F.col("bound") >= per_query([least.get(i, -1.0) for i in range(len(asked.ids))], "double"))
 
-        hits = meet(_score(asked), ranked.where(F.col("_n") <= SEEDS).select("shard", "q"))
+        hits = meet(_score(asked), ranked.where(F.col("_n") <= SEEDS).select("shard", "q"), few=True)
         rest = reach(ranked.where(F.col("_n") > SEEDS), kth(hits, "value"))
         hits = hits.unionByName(meet(_score(asked), rest.select("shard", "q")))
         least = kth(hits, "value")
         whole = session.cut(reach(hits.where("whole"), least).select("shard", "q").distinct().withColumn("least", per_query([least.get(i, -1.0) for i in range(len(asked.ids))], "double")))
-        names = sorted({r["q"] for r in whole.select("q").distinct().collect()})
+        names = sorted(r["q"] for r in whole.groupBy("q").count().collect())
         final = hits.where("not whole")
         if names:
             terms = {x for q in names for x in (*asked.latin[q], *asked.han[q], *(y for _, _, ts in asked.units[q] for y in ts))}
-            final = final.unionByName(meet(_density(asked), whole, True, terms))
+            final = final.unionByName(meet(_density(asked), whole, positions=True, terms=terms))
         ids = per_query(asked.ids, "long")
         scored = final.select(ids.alias("query_id"), "chunk_id", F.round(T.normalised_score(F.col("value")), 6).alias("score"), limit.alias("_k"))
         return retrieval.top(scored, F.col("_k")).select("query_id", "chunk_id", "score", "rank")
