@@ -4,8 +4,11 @@ import hashlib
 import json
 import random
 import re
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +91,27 @@ def test_vector_search_by_blocks(spark, monkeypatch):
     assert {r.query_id: r.overlap for r in retrieval.narrowed_overlap(chunks, queries, 5).collect()} == {q: len(exact[q] & narrow[q]) for q in range(40)}
 
 
+def test_exact_search_keeps_only_the_best():
+    """However many batches a task reads, it gives k rows a query, and its memory does not follow queries times vectors."""
+    rng = np.random.default_rng(4)
+    x, q = np.round(rng.normal(size=(12_000, 8)), 1), np.round(rng.normal(size=(1500, 8)), 1)
+    x[3000:6000] = x[0]  # a large group of copies
+    q[7] = x[0]
+    x[11], q[9] = 0, 0
+    ids = rng.permutation(12_000)
+    given = SimpleNamespace(value=(np.arange(1500), q))
+    tracemalloc.start()
+    got = pd.concat(list(retrieval._scan(given, 5, False)(pd.DataFrame({"chunk_id": ids[a : a + 4000], "embedding": list(x[a : a + 4000])}) for a in range(0, 12_000, 4000))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 1500 * 5 and peak < 4000 * 1500 * 8
+    score = np.round(np.clip(0.5 + 0.5 * (retrieval._unit(q, False) @ retrieval._unit(x, False).T), 0, 1), 6)
+    rows = got.groupby("query_id")["chunk_id"].agg(list)
+    for i in range(0, 1500, 7):
+        assert rows[i] == ids[np.lexsort((ids, -score[i]))[:5]].tolist()
+    assert rows[9] == [0, 1, 2, 3, 4]
+
+
 def test_approximate_search_reaches_recall(spark, tmp_path):
     rng = np.random.default_rng(2)
     middle = rng.normal(size=(30, 16)) * 3
