@@ -65,6 +65,16 @@ def test_blocks_of_queries_and_thresholds(spark, chunks, queries, stored, monkey
     assert hits(stored.search(queries, 2)) == want
 
 
+def test_queries_without_text_make_no_blocks(spark, queries, stored, monkeypatch):
+    """A batch may hold many queries that have only a vector."""
+    asked, block = [], postings.Stored._block
+    monkeypatch.setattr(postings.Stored, "_block", lambda self, spark, a, limits: asked.append(len(a.ids)) or block(self, spark, a, limits))
+    monkeypatch.setattr(postings, "BLOCK", 32)
+    silent = spark.range(100, 400).selectExpr("id as query_id", "cast(null as string) as query", "1 as k")
+    assert hits(stored.search(queries.unionByName(silent), 2)) == hits(stored.search(queries, 2))
+    assert asked == [len(QUERIES)] * 2
+
+
 def test_thresholds_leave_shards_out(spark, stored):
     """Shards are ordered by length, so that the first ones hold what a common word is found in most often."""
     asked = postings.Asked.of([{"query_id": 1, "latin": ["amber"], "han": [], "units": [{"alternative": 0, "excluded": False, "terms": ["amber"]}]}], 2, 2)
