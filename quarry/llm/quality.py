@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE, TREES, DEPTH, BINS, PENALTY, CUT = 20_000, 40, 3, 24, 0.002, 0.3
+#: Columns that the fit scales at once.
+COLUMNS = 32
 
 
 def statistics(text: Column) -> dict[str, Column]:
@@ -107,10 +109,17 @@ def _paths(x: np.ndarray, y: np.ndarray, names: list[str], cuts: list[np.ndarray
     return out
 
 
-def _lasso(a: np.ndarray, y: np.ndarray, penalty: float, steps: int = 400) -> tuple[float, np.ndarray]:
-    """Logistic regression with an L1 penalty on all but the bias, by accelerated proximal gradient steps on scaled columns."""
-    scale = np.maximum(a.std(axis=0), 1e-9)
-    z = np.column_stack([np.ones(len(y)), (a - a.mean(axis=0)) / scale])
+def _lasso(held: list[np.ndarray], y: np.ndarray, penalty: float, steps: int = 400) -> tuple[float, np.ndarray]:
+    """Logistic regression with an L1 penalty on all but the bias, by accelerated proximal gradient steps on scaled columns.
+
+    The scaled columns are the only matrix of rows times rules that is held; they are filled in a few at a time.
+    """
+    z = np.ones((len(y), 1 + len(held)))
+    mean, scale = np.zeros(len(held)), np.zeros(len(held))
+    for i in range(0, len(held), COLUMNS):
+        a, own = np.column_stack(held[i : i + COLUMNS]).astype(float), slice(i, i + COLUMNS)
+        mean[own], scale[own] = a.mean(axis=0), np.maximum(a.std(axis=0), 1e-9)
+        z[:, 1 + i : 1 + i + COLUMNS] = (a - mean[own]) / scale[own]
     rate = 4 / max(np.linalg.norm(z.T @ z / len(y), 2), 1e-9)
     w = v = np.zeros(z.shape[1])
     t = 1.0
@@ -121,7 +130,7 @@ def _lasso(a: np.ndarray, y: np.ndarray, penalty: float, steps: int = 400) -> tu
         s = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, w, t = new + (t - 1) / s * (new - w), new, s
     weight = w[1:] / scale
-    return float(w[0] - (weight * a.mean(axis=0)).sum()), weight
+    return float(w[0] - (weight * mean).sum()), weight
 
 
 def fit_rules(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = TREES, depth: int = DEPTH, penalty: float = PENALTY, seed: int = 5) -> RuleEnsemble:
@@ -139,7 +148,7 @@ def fit_rules(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = TREES
     held = {r: h for r, h in held.items() if 0.002 < h.mean() < 0.998}
     if not held:
         return constant
-    bias, weight = _lasso(np.column_stack(list(held.values())).astype(float), y.astype(float), penalty)
+    bias, weight = _lasso(list(held.values()), y.astype(float), penalty)
     return RuleEnsemble(bias, tuple((r, float(w)) for r, w in zip(held, weight, strict=True) if abs(w) > 1e-4))
 
 

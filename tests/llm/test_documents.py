@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -383,6 +384,20 @@ def test_fingerprints_match_the_definition():
         assert np.packbits(bits[k * 9 : k * 9 + 16].sum(axis=0) > 8).view(np.uint64)[0] == got[k]
 
 
+def test_the_fit_holds_one_matrix():
+    """What the driver needs to fit the weights is the scaled matrix and little beside it."""
+    rng = np.random.default_rng(6)
+    y = rng.random(6000) < 0.4
+    held = [(rng.random(6000) < 0.3) ^ (y & (rng.random(6000) < 0.2)) for _ in range(300)]
+    tracemalloc.start()
+    bias, weight = quality._lasso(held, y.astype(float), 0.002, 40)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.6 * 6000 * 301 * 8
+    assert weight.shape == (300,) and np.isfinite(weight).all() and np.isfinite(bias)
+    assert (np.abs(weight) > 0).any() and np.corrcoef(np.column_stack(held) @ weight, y)[0, 1] > 0.5
+
+
 def test_quality(spark):
     rng = random.Random(2)
     rows = []
