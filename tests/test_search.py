@@ -309,3 +309,10 @@ def test_gateway_from_end_to_end(spark):
     assert packs[3].status == "insufficient" and not packs[3].generation_allowed  # a comparison needs a structured answer
     with_answer = ports.Gateway({"lexical": lexical}, odd, chunks, aggregator=lambda r: r.where("intent = 'comparison'").select("query_id", F.lit(0).alias("conflicts")))
     assert {r.query_id: r.generation_allowed for r in with_answer.answer(requests)[1].collect()}[3]
+
+
+def test_trace_asks_the_stored_index(spark, monkeypatch):
+    """The list comes from the index, whose steps are bounded by k, and not from a search over all texts."""
+    monkeypatch.setattr(retrieval, "lexical", lambda *a, **k: (_ for _ in ()).throw(AssertionError("reads every text")))
+    rows = Q.QUERIES["retriever_trace"](spark, SF).collect()
+    assert {(r.retriever, r.failed) for r in rows} == {("lexical", False), ("broken", True)} and sum(r.returned for r in rows) > 0
