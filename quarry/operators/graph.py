@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from quarry.session import cut
+from quarry.session import table as cut
 
 
 def valid_at(edges: DataFrame, at: str) -> DataFrame:
@@ -65,39 +65,35 @@ def longest(nodes: DataFrame, edges: DataFrame, own: dict[str, Column], weight:
     rows = nodes.select("node").distinct().join(into.withColumnRenamed("child", "node"), "node", "left")
     single = F.coalesce((F.col("n") == 1) & ~F.col("loop"), F.lit(False))
     # what is known of the way up to `up`, which is not included: hops, and the largest value on it
-    p = cut(rows.select("node", F.when(single, F.col("up")).otherwise(F.col("node")).alias("up"), single.cast("long").alias("hops"), (~single).alias("done"), F.col("n").isNull().alias("source"), *(e.cast("long").alias(k) for k, e in own.items())))
+    p = cut(rows.select("node", F.when(single, F.col("up")).otherwise(F.col("node")).alias("up"), single.cast("long").alias("hops"), (~single).alias("done"), F.coalesce("n", F.lit(0)).alias("n"), *(e.cast("long").alias(k) for k, e in own.items())))
     settled, active, jumps = p.where("done"), p.where("not done"), 0
     most = p.count().bit_length() + 1
     while jumps < most and not active.isEmpty():
         q = p.select(F.col("node").alias("_node"), F.col("up").alias("_up"), F.col("hops").alias("_hops"), F.col("done").alias("_done"), *(F.col(k).alias(f"_{k}") for k in names))
         root = F.col("_node") == F.col("_up")
         further = [F.when(root, F.col(k)).otherwise(F.greatest(F.col(k), F.col(f"_{k}") + weight[k] * F.col("hops"))).alias(k) for k in names]
-        moved = cut(active.join(q, F.col("up") == F.col("_node")).select("node", F.col("_up").alias("up"), (F.col("hops") + F.col("_hops")).alias("hops"), F.col("_done").alias("done"), "source", *further))
-        settled = cut(settled.unionByName(moved.where("done")))
-        active = moved.where("not done")
+        moved = cut(active.join(q, F.col("up") == F.col("_node")).select("node", F.col("_up").alias("up"), (F.col("hops") + F.col("_hops")).alias("hops"), F.col("_done").alias("done"), "n", *further))
+        settled, active = settled.unionByName(moved.where("done")), moved.where("not done")
         p = settled.unionByName(active)
         jumps += 1
     heads = settled.where("hops = 0")
-    values = heads.where("source").select("node", *names)
-    above = edge.join(settled.select(F.col("node").alias("parent"), "up", "hops", *names), "parent", "left").join(heads.where("not source").select(F.col("node").alias("child"), F.lit(True).alias("_head")), "child", "left_semi")
+    known = values = heads.where("n = 0").select("node", *names)
+    # heads with parents: how many ways in are known, and the largest value over these; each is written again only while some are missing
+    waiting = heads.where("n > 0").select(F.col("node").alias("child"), "n", F.lit(0).cast("long").alias("met"), *names)
+    above = edge.join(settled.select(F.col("node").alias("parent"), "up", "hops", *names), "parent").join(waiting.select("child"), "child", "left_semi")
     # of a head, each way in: the head above it, and what the chain between adds; one without a head above lies behind a cycle
+    way = ["child", "head", "_hops", *(f"_{k}" for k in names)]
     open_ = cut(above.select("child", F.col("up").alias("head"), F.col("hops").alias("_hops"), *(F.col(k).alias(f"_{k}") for k in names)))
-    left = cut(heads.where("not source").select("node", *names))
-    known, gathered = values, None
-    while not left.isEmpty():
-        met = open_.join(known.select(F.col("node").alias("head"), *(F.col(k).alias(f"h_{k}") for k in names)), "head")
-        got = met.select("child", *(F.greatest(F.col(f"_{k}"), F.col(f"h_{k}") + weight[k] * F.col("_hops")).alias(k) for k in names))
-        gathered = (got if gathered is None else gathered.unionByName(got)).groupBy("child").agg(*(F.max(k).alias(k) for k in names))
-        gathered, open_ = cut(gathered), cut(open_.join(known.select(F.col("node").alias("head")), "head", "left_anti"))
-        ready = left.join(open_.select(F.col("child").alias("node")), "node", "left_anti").join(gathered.select(F.col("child").alias("node"), *(F.col(k).alias(f"g_{k}") for k in names)), "node")
-        known = cut(ready.select("node", *(F.greatest(F.col(k), F.col(f"g_{k}") + weight[k]).alias(k) for k in names)))
-        if known.isEmpty():
-            break
+    while not known.isEmpty():
+        met = cut(open_.join(known.select(F.col("node").alias("head"), F.lit(True).alias("h"), *(F.col(k).alias(f"h_{k}") for k in names)), "head", "left"))
+        got = met.where("h").select("child", F.lit(0).cast("long").alias("n"), F.lit(1).cast("long").alias("met"), *((F.greatest(F.col(f"_{k}"), F.col(f"h_{k}") + weight[k] * F.col("_hops")) + weight[k]).alias(k) for k in names))
+        open_ = met.where("h is null").select(*way)
+        waiting = cut(waiting.unionByName(got).groupBy("child").agg(F.max("n").alias("n"), F.sum("met").alias("met"), *(F.max(k).alias(k) for k in names)))
+        known, waiting = waiting.where("met = n").select(F.col("child").alias("node"), *names), waiting.where("met < n")
         values = values.unionByName(known)
-        left = cut(left.join(known, "node", "left_anti"))
     up = values.select(F.col("node").alias("up"), *(F.col(k).alias(f"u_{k}") for k in names))
-    out = settled.join(up, "up").select("node", *(F.when(F.col("hops") == 0, F.col(f"u_{k}")).otherwise(F.greatest(F.col(k), F.col(f"u_{k}") + weight[k] * F.col("hops"))).alias(k) for k in names))
-    return nodes.select("node").distinct().join(out, "node", "left")
+    behind = settled.where("hops > 0").join(up, "up").select("node", *(F.greatest(F.col(k), F.col(f"u_{k}") + weight[k] * F.col("hops")).alias(k) for k in names))
+    return nodes.select("node").distinct().join(values.unionByName(behind), "node", "left")
 
 
 def waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -106,14 +102,17 @@ def waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node, wave, top, low: the wave, and the largest and smallest hash of what the node reaches, itself included.
+    """node, wave, top, low: less the longest way on from it, and the largest and smallest hash of what the node reaches, itself included.
 
-    Where a node reaches another, its wave is smaller, and its interval from low to top holds the other's. Nulls say nothing.
+    Where a node reaches another, its wave is smaller, and its interval from low to top holds the other's. Nulls say nothing: such nodes reach a cycle.
+    If there are any, wave is that of waves() for all nodes.
     """
     turned = edges.select(F.col("child").alias("parent"), F.col("parent").alias("child"))
-    h = F.shiftright(F.xxhash64("node"), 1)
-    reach = longest(nodes, turned, {"top": h, "_low": -h}, {"top": 0, "_low": 0}).select("node", "top", (-F.col("_low")).alias("low"))
-    return cut(waves(nodes, edges).join(reach, "node"))
+    h = F.shiftright(F.hash("node"), 1)
+    reach = cut(longest(nodes, turned, {"top": h, "_low": -h, "_on": F.lit(0)}, {"top": 0, "_low": 0, "_on": 1}).select("node", (-F.col("_on")).alias("wave"), "top", (-F.col("_low")).alias("low")))
+    if reach.where("wave is null").isEmpty():
+        return reach
+    return cut(reach.drop("wave").join(waves(nodes, edges), "node").select("node", "wave", "top", "low"))
 
 
 def _excluded(a: str, b: str) -> Column:
@@ -122,29 +121,43 @@ def _excluded(a: str, b: str) -> Column:
     return F.coalesce((c(f"{a}wave") >= c(f"{b}wave")) | (c(f"{a}top") < c(f"{b}top")) | (c(f"{a}low") > c(f"{b}low")), F.lit(False))
 
 
+def _branching(edges: DataFrame, key: str) -> tuple[int, int]:
+    """How many edges a node has at most on the side of key, and how many pairs of edges share a node there."""
+    each = edges.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum(F.col("n") * F.col("n"))).first()
+    return each[0] or 0, each[1] or 0
+
+
 def would_cycle(edges: DataFrame, candidates: DataFrame) -> DataFrame:
     """Candidate edges (parent, child) whose child already reaches the parent, or is the parent.
 
-    Labels rule out most; where they cannot, a search from the child to its parent only visits nodes that, by their labels, may reach the parent.
+    Labels rule out most; where they cannot, a search between the two only visits nodes that, by their labels, may lie on a way from the child to the parent. It goes
+    the way that the edges branch less: from the child on, or from the parent back. Edges from a node to itself lead nowhere and are left out.
     """
     asked = candidates.select("parent", "child").distinct()
-    loops = asked.where("parent = child")
-    edge = cut(edges.select("parent", "child").distinct())
-    every = edge.select(F.explode(F.array("parent", "child")).alias("node")).unionByName(asked.select(F.explode(F.array("parent", "child")).alias("node"))).distinct()
-    mark = labels(every, edge)
+    edge = cut(edges.select("parent", "child").where("parent <> child").distinct())
+    mark = labels(edge.select(F.explode(F.array("parent", "child")).alias("node")).distinct(), edge)
     of = lambda prefix: mark.select(*(F.col(c).alias(f"{prefix}{c}") for c in mark.columns))
-    rest = asked.where("parent <> child").join(of("c_"), F.col("child") == F.col("c_node")).join(of("p_"), F.col("parent") == F.col("p_node"))
-    frontier = cut(rest.where(~_excluded("c_", "p_")).select("parent", "child", F.col("child").alias("at"), "p_node", "p_wave", "p_top", "p_low"))
-    seen, found = frontier.select("parent", "child", "at"), None
-    step = edge.select(F.col("parent").alias("from"), F.col("child").alias("to"))
+    (most_in, pairs_in), (most_out, pairs_out) = _branching(edge, "child"), _branching(edge, "parent")
+    start, goal = ("parent", "child") if pairs_in < pairs_out else ("child", "parent")
+    apart = (lambda at: _excluded("g_", at)) if start == "parent" else (lambda at: _excluded(at, "g_"))
+    # without branches and cycles, no search comes to a node twice
+    plain = (most_in if start == "parent" else most_out) <= 1 and mark.where("wave is null or top is null").isEmpty()
+    rest = asked.where("parent <> child").join(of("g_"), F.col(goal) == F.col("g_node")).join(of("s_"), F.col(start) == F.col("s_node")).where(~apart("s_"))
+    keep = ["parent", "child", "at", "g_wave", "g_top", "g_low"]
+    frontier = cut(rest.withColumn("at", F.col(start)).select(*keep))
+    seen, found = frontier.select("parent", "child", "at"), asked.where("parent = child")
+    step = edge.select(F.col(goal).alias("from"), F.col(start).alias("to"))
+    step = cut(step.join(of("n_"), F.col("to") == F.col("n_node")).select("from", "to", "n_wave", "n_top", "n_low").repartition("from"))
     while not frontier.isEmpty():
-        near = frontier.join(step, F.col("at") == F.col("from")).drop("at", "from").distinct()
-        hit = near.where(F.col("to") == F.col("parent")).select("parent", "child").distinct()
-        found = cut(hit if found is None else found.unionByName(hit).distinct())
-        on = near.join(found, ["parent", "child"], "left_anti").join(of("n_"), F.col("to") == F.col("n_node")).where(~_excluded("n_", "p_"))
-        frontier = cut(on.select("parent", "child", F.col("to").alias("at"), "p_node", "p_wave", "p_top", "p_low").join(seen, ["parent", "child", "at"], "left_anti"))
-        seen = cut(seen.unionByName(frontier.select("parent", "child", "at")))
-    return loops if found is None else loops.unionByName(found)
+        near = frontier.join(step, F.col("at") == F.col("from")).withColumn("hit", F.col("to") == F.col(goal)).where(F.col("hit") | ~apart("n_"))
+        near = near.select("parent", "child", F.col("to").alias("at"), "g_wave", "g_top", "g_low", "hit")
+        near = cut(near if plain else near.distinct())
+        hit = near.where("hit").select("parent", "child")
+        found, frontier = found.unionByName(hit), near.where("not hit").select(*keep)
+        if not plain:
+            frontier = cut(frontier.join(hit, ["parent", "child"], "left_anti").join(seen, ["parent", "child", "at"], "left_anti"))
+            seen = seen.unionByName(frontier.select("parent", "child", "at"))
+    return found if plain else found.distinct()
 
 
 def below(edges: DataFrame, starts: DataFrame) -> DataFrame:

@@ -87,6 +87,19 @@ def test_cycle_check(spark, seed):
     assert graph.would_cycle(none, none).collect() == []
 
 
+def test_cycle_check_writes_each_layer_once(spark, monkeypatch):
+    written = []
+    real = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: (out := real(df), written.append(out.count()))[0])
+    n = 256
+    tree = spark.createDataFrame([(k // 2, k) for k in range(n)], "parent long, child long")  # with an edge from 0 to itself
+    asked = {(k, k // d) for k in range(n) for d in (3, 4)}
+    got = {(r.parent, r.child) for r in graph.would_cycle(tree, spark.createDataFrame(sorted(asked), "parent long, child long")).collect()}
+    above = lambda k: {k >> i for i in range(1, 10)}
+    assert got == {(p, c) for p, c in asked if p == c or c in above(p)}
+    assert sum(written) < 16 * n
+
+
 def test_run_states_keep_nodes_alone(spark):
     nodes, edges = some(6)
     reach = plain_reach(edges)
