@@ -26,6 +26,8 @@ SAMPLE, MOST_CELLS, PARTS, ROUNDS = 8192, 2048, 16, 10
 PROBES = 0.24
 #: Queries are ranked and sent in blocks of this many.
 BLOCK = 1024
+#: Vectors of a cell that meet its queries at once, and rows that a task gathers, beside the k best of each query of a block, before it keeps only these.
+TILE, HELD = 1024, 1 << 18
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -46,6 +48,12 @@ def _valid(vectors: DataFrame) -> DataFrame:
     return vectors.where(v.isNotNull() & fine).select("chunk_id", "embedding")
 
 
+def _first(rows: list[pd.DataFrame], k: int) -> pd.DataFrame:
+    """The k best of each query, in their order."""
+    got = pd.concat(rows).sort_values(["query_id", "score", "chunk_id"], ascending=[True, False, True], kind="stable")
+    return got[got.groupby("query_id").cumcount() < k]
+
+
 @dataclass(frozen=True)
 class Stored:
     """An index at a path, with its centres, which are few, in memory."""
@@ -135,21 +143,25 @@ class Stored:
 
         def run(batches):
             ids, q, of = shared.value
+            best, held, seen = [], 0, np.zeros(len(ids), np.int64)
             for pdf in batches:
                 cells, x, chunk = pdf["cell"].to_numpy(), retrieval._unit(pdf["embedding"], half), pdf["chunk_id"].to_numpy()
                 order = np.argsort(cells, kind="stable")
                 ends = np.append(np.flatnonzero(np.diff(cells[order])) + 1, len(order))
-                best, seen = [], np.zeros(len(ids), np.int64)
                 for a, z in zip(np.append(0, ends[:-1]), ends, strict=True):
                     if z > a and (who := of.get(int(cells[order[a]]))) is not None:
                         at = order[a:z]
-                        best.append(retrieval._nearest(chunk[at], x[at], who, q[who], k))
+                        for b in range(0, len(at), TILE):
+                            best.append(retrieval._nearest(chunk[at[b : b + TILE]], x[at[b : b + TILE]], who, q[who], k))
+                            held += len(best[-1])
+                            if held > HELD + len(ids) * k:
+                                best, held = (kept := [_first(best, k)]), len(kept[0])
                         seen[who] += len(at)
-                if best:
-                    got = pd.concat(best).sort_values(["query_id", "score", "chunk_id"], ascending=[True, False, True], kind="stable")
-                    got = got[got.groupby("query_id").cumcount() < k]
-                    first = ~got["query_id"].duplicated()
-                    yield got.assign(compared=np.where(first, seen[got["query_id"]], 0), query_id=ids[got["query_id"]])[["query_id", "chunk_id", "score", "compared"]]
+            if best:
+                got = _first(best, k)
+                first = ~got["query_id"].duplicated()
+                out = got.assign(compared=np.where(first, seen[got["query_id"]], 0), query_id=ids[got["query_id"]])[["query_id", "chunk_id", "score", "compared"]]
+                yield from (out[i : i + (1 << 16)] for i in range(0, len(out), 1 << 16))
 
         table = self.table(spark).where(F.col("part").isin(parts)).select("chunk_id", "embedding", "cell")
         found = table.mapInPandas(run, "query_id long, chunk_id long, score double, compared long")

@@ -316,3 +316,24 @@ def test_trace_asks_the_stored_index(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "lexical", lambda *a, **k: (_ for _ in ()).throw(AssertionError("reads every text")))
     rows = Q.QUERIES["retriever_trace"](spark, SF).collect()
     assert {(r.retriever, r.failed) for r in rows} == {("lexical", False), ("broken", True)} and sum(r.returned for r in rows) > 0
+
+
+def test_a_task_of_the_stored_index_gives_k_rows_a_query(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [(i, x.tolist()) for i, x in enumerate(rng.normal(size=(600, 8)))]
+    vectors = spark.createDataFrame(rows, "chunk_id long, embedding array<double>")
+    stored = ivf.Stored.build(vectors, str(tmp_path / "index"), cells=12)
+    given, top = [], retrieval.top
+    monkeypatch.setattr(retrieval, "top", lambda hits, k: given.append(hits.count()) or top(hits, k))
+    monkeypatch.setattr(ivf.Stored, "table", lambda self, spark: spark.read.parquet(f"{self.path}/cells").coalesce(1))
+    queries = vectors.where("chunk_id < 5").selectExpr("chunk_id AS query_id", "embedding AS query_vector")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    try:
+        got = stored.search(queries, 3, probes=1.0, half=False).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert given[0] == 5 * 3 and {r.compared for r in got} == {600}
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = {q: sorted(range(600), key=lambda i: (-round(0.5 + 0.5 * float(x[q] @ x[i]), 6), i))[:3] for q in range(5)}
+    assert {q: [r.chunk_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] for q in range(5)} == want
