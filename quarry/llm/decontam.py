@@ -15,8 +15,8 @@ over all items) of any stretch of its words; it is computed exactly for each can
 or more. An item shorter than a shingle is one shingle, its whole sequence, and only a document that is nothing else has it.
 
 Words are compared in lower case with punctuation left out. Items are taken in blocks of at most `ITEMS` items and `ITEM_BYTES` bytes (or
-one item), one pass over the documents each, so the index that goes to every task is bounded; the driver holds one block at a time while it
-builds the index. Shingle frequencies are counted over all items before.
+one item), one pass over the documents each, so the index of a task is bounded; tasks are sent a block's items, and each worker builds the index of
+them. Shingle frequencies are counted over all items before.
 
 Defined results: null or empty texts leak nothing; items without words are left out; rows without doc_id are left out of results and
 kept by remove_leaks; repeated items or documents give repeated results; a document may leak several items. Extra columns are ignored.
@@ -24,8 +24,10 @@ kept by remove_leaks; repeated items or documents give repeated results; a docum
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -219,10 +221,34 @@ class Index:
         return {i: found for i, found in out.items() if found}
 
 
-def _search(index: Index):
+@dataclass(frozen=True)
+class Items:
+    """What an Index is made of. Plans carry this; a worker makes the index, which is over a hundred times larger, and keeps it from task to task."""
+
+    rows: tuple[tuple[int, str], ...]
+    least: float
+    known: dict[int, int] | None
+    count: int
+    name: str
+
+    def index(self) -> Index:
+        return K.held(self.name, lambda: Index(list(self.rows), least=self.least, known=self.known, count=self.count))
+
+
+def _over(run, items: Items, docs: DataFrame, schema) -> DataFrame:
+    """docs through run(index, batches)."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(items.index(), batches)
+        K._powers.clear()
+
+    return docs.mapInArrow(K.tidy(task, items.name), schema)
+
+
+def _search():
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(index: Index, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             buf, off = K.text_buffer(b.column(1))
             out = []
@@ -250,7 +276,7 @@ def _counted(words: int):
     return run
 
 
-def _indexes(benchmark: DataFrame, block: int, least: float) -> Iterator[Index]:
+def _items(benchmark: DataFrame, block: int, least: float) -> Iterator[Items]:
     small_batches(benchmark.sparkSession)
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     n, size = items.agg(F.count_if(F.regexp_like("text", F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]"))), F.sum(F.octet_length("text"))).first()
@@ -261,31 +287,30 @@ def _indexes(benchmark: DataFrame, block: int, least: float) -> Iterator[Index]:
         own = items.where(F.col("block") == k).select("item_id", "text")
         rows = own.orderBy("item_id", "text").collect()
         if blocks == 1:
-            yield Index([(r["item_id"], r["text"]) for r in rows], least=least, count=n)
+            yield Items(tuple(map(tuple, rows)), least, None, n, f"items-{uuid.uuid4().hex}")
             continue
         mine = own.select("text").mapInArrow(K.tidy(_counted(WORDS)), "shingle long").distinct()
         known = {r["shingle"] & ((1 << 64) - 1): r["n"] for r in count.join(mine, "shingle").collect()}
-        yield Index([(r["item_id"], r["text"]) for r in rows], least=least, known=known, count=n)
+        yield Items(tuple(map(tuple, rows)), least, known, n, f"items-{uuid.uuid4().hex}")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, block: int = ITEMS) -> DataFrame:
     """doc_id, item_id, similarity of every item that a document leaks."""
     out = None
-    for index in _indexes(benchmark, block, least):
-        part = keyed_text(docs).mapInArrow(K.tidy(_search(index)), "doc_id long, item_id long, similarity double")
+    for items in _items(benchmark, block, least):
+        part = _over(_search(), items, keyed_text(docs), "doc_id long, item_id long, similarity double")
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _clean(indexes: list[Index], at: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _clean(at: int):
+    def run(index: Index, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             buf, off = K.text_buffer(b.column(at))
             keep = np.ones(b.num_rows, bool)
             for lo, hi in K.chunks(off):
                 w = K.words(buf, off, lo, hi, lower=True, space=K.PUNCT)
-                for index in indexes:
-                    keep[[lo + i for i in index.leaks(w.hash, w.first)]] = False
+                keep[[lo + i for i in index.leaks(w.hash, w.first)]] = False
             yield b.filter(pa.array(keep))
 
     return run
@@ -293,6 +318,6 @@ def _clean(indexes: list[Index], at: int):
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, block: int = ITEMS) -> DataFrame:
     """The same columns without the rows that leak an item."""
-    for index in _indexes(benchmark, block, least):
-        docs = docs.mapInArrow(K.tidy(_clean([index], docs.columns.index("text"))), docs.schema)
+    for items in _items(benchmark, block, least):
+        docs = _over(_clean(docs.columns.index("text")), items, docs, docs.schema)
     return docs

@@ -63,13 +63,14 @@ class RuleEnsemble:
     rules: tuple[tuple[Rule, float], ...]
 
     def column(self) -> Column:
-        total = F.lit(self.bias)
-        for rule, weight in self.rules:
-            holds = F.lit(True)
-            for name, op, at in rule:
-                holds = holds & (F.col(name) <= at if op == "<=" else F.col(name) > at)
-            total = total + F.when(holds, weight).otherwise(0.0)
-        return 1 / (1 + F.exp(-total))
+        """One sum over a constant array of rules, so that plan and generated code do not grow with the rules."""
+        names = sorted({name for rule, _ in self.rules for name, _, _ in rule})
+        if not names:
+            return F.lit(1 / (1 + float(np.exp(-self.bias))))
+        value = F.array(*names)
+        rules = ", ".join(f"named_struct('weight', {weight!r}D, 'parts', array({', '.join(f"named_struct('name', {names.index(name)}, 'upto', {str(op == '<=').lower()}, 'at', {at!r}D)" for name, op, at in rule)}))" for rule, weight in self.rules)
+        holds = lambda r: F.forall(r["parts"], lambda p: (F.get(value, p["name"]) <= p["at"]) == p["upto"])
+        return 1 / (1 + F.exp(-F.aggregate(F.expr(f"array({rules})"), F.lit(self.bias), lambda total, r: total + F.when(holds(r), r["weight"]).otherwise(0.0))))
 
 
 def _holds(rule: Rule, x: np.ndarray, names: list[str]) -> np.ndarray:
@@ -172,7 +173,10 @@ def score(docs: DataFrame, model: RuleEnsemble, cut: float = CUT) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: RuleEnsemble, cut: float = CUT) -> DataFrame:
-    """The rows whose text scores at least `cut`, with their own columns only."""
+    """The rows whose text scores at least `cut`, with their own columns only.
+
+    The ratios come out of a generator: a filter is not pushed below one, where each of its comparisons would hold, and compute, the statistics anew.
+    """
     counts = docs.select(F.struct("*").alias("_row"), *(e.alias(f"_{k}") for k, e in statistics(F.col("text").cast("string")).items()))
-    ratios = counts.select("_row", *(e.alias(k) for k, e in features().items()))
+    ratios = counts.select("_row", F.inline(F.array(F.struct(*(e.alias(k) for k, e in features().items())))))
     return ratios.where(model.column() >= cut).select("_row.*")

@@ -1,6 +1,7 @@
 """Operators on documents against brute force, with nulls, empties, repeats, ties, long texts and clashing columns."""
 
 import hashlib
+import pickle
 import random
 import re
 import tracemalloc
@@ -563,3 +564,26 @@ def test_numbers_are_no_secrets():
             assert not [s for s in secrets.spans(f"no. {'-'.join(''.join(rng.choice('0123456789') for _ in range(4)) for _ in range(n // 4))} now", automata) if s[0] == "format"]
     made = [c for name, c in secrets.labelled_credentials(40, seed=99) if name not in ("hex_digest", "access_key")]
     assert sum(bool(secrets.spans(f"see {c} here", automata)) for c in made) >= 0.97 * len(made)
+
+
+def test_what_the_driver_holds_does_not_grow_with_rules_or_items(spark):
+    """A plan has the statistics of a text once, however many rules; a task is sent items, and makes their index itself."""
+    docs = spark.createDataFrame([(1, "one two"), (2, "THREE!! four"), (3, None)], "doc_id long, text string")
+    rules = tuple(((("upper", "<=", i / 500), ("marks", ">", i / 900)), (-1) ** i * i / 100) for i in range(250))
+    model = quality.RuleEnsemble(0.25, rules)
+    kept = quality.keep_good(docs, model, 0.5)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") < 20
+    x = {r.doc_id: r for r in quality.with_features(docs).collect()}
+    want = {}
+    for d, r in x.items():
+        total = 0.25
+        for rule, weight in rules:
+            total += weight if all(r[n] <= at if op == "<=" else r[n] > at for n, op, at in rule) else 0.0
+        want[d] = 1 / (1 + np.exp(-total))
+    assert {r.doc_id: pytest.approx(r.score) for r in quality.score(docs, model).collect()} == want
+    assert {r.doc_id for r in kept.collect()} == {d for d, s in want.items() if s >= 0.5}
+    words = [f"w{i}" for i in range(3000)]
+    bench = spark.createDataFrame([(i, " ".join(words[i * 50 : i * 50 + 50])) for i in range(60)], "item_id long, text string")
+    (items,) = decontam._items(bench, decontam.ITEMS, decontam.SIMILARITY)
+    assert len(pickle.dumps(items)) < 2 * sum(len(t) for _, t in items.rows)
