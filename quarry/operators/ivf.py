@@ -28,6 +28,8 @@ PROBES = 0.24
 BLOCK = 1024
 #: Vectors of a cell that meet its queries at once, and rows that a task gathers, beside the k best of each query of a block, before it keeps only these.
 TILE, HELD = 1024, 1 << 18
+#: An exact search asks of this many queries how many cells they need; where they need more than this share, cells exclude too little to be worth a pass for each block.
+TRIED, WORTH = 64, 0.5
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -109,10 +111,15 @@ class Stored:
     def search(self, queries: DataFrame, k: int, probes: float = PROBES, exact: bool = False, half: bool = True) -> DataFrame:
         """query_id, chunk_id, score, rank, compared: the k best of each query's nearest cells, and how many vectors it was compared with.
 
-        probes: the share of the cells. exact: the k best of all. half: distances between vectors narrowed to half precision.
+        probes: the share of the cells. exact: the k best of all, by the cells where these exclude enough, else by products of large blocks of queries with all
+        vectors. half: distances between vectors narrowed to half precision.
         """
         spark = queries.sparkSession
         out = None
+        if exact and len(self.centres) and self._needed(spark, queries, probes, k, half) > WORTH:
+            every = self.table(spark).select("chunk_id", "embedding")
+            asked = queries.where("query_vector is not null").select("query_id", "query_vector")
+            return retrieval.vector(every, asked, k, half=half).withColumn("compared", F.lit(every.count()).cast("long"))
         for rows in _blocks(queries):
             near = self._search(spark, rows, self._wanted(rows, probes), k, half)
             if exact and len(self.centres):
@@ -170,7 +177,20 @@ class Stored:
         return retrieval.top(counted, k).select("query_id", "chunk_id", "score", "rank", "compared")
 
     def _complete(self, spark: SparkSession, rows: pd.DataFrame, near: DataFrame, probes: float, k: int, half: bool) -> DataFrame:
-        """Adds the cells that can hold something better than what `near` has; only the kth scores of a block of queries reach the driver."""
+        """Adds the cells that can hold something better than what `near` has."""
+        more = self._more(spark, rows, near, k, half)
+        return self._search(spark, rows, [np.union1d(a, b) for a, b in zip(more, self._wanted(rows, probes), strict=True)], k, half)
+
+    def _needed(self, spark: SparkSession, queries: DataFrame, probes: float, k: int, half: bool) -> float:
+        """The share of the cells that can hold one of the k best of a query, over the first TRIED queries by a hash of their ids."""
+        rows = queries.where("query_vector is not null").orderBy(F.xxhash64("query_id"), "query_id").limit(TRIED).select("query_id", "query_vector").toPandas()
+        if not len(rows):
+            return 0.0
+        more = self._more(spark, rows, self._search(spark, rows, self._wanted(rows, probes), k, half), k, half)
+        return float(np.mean([len(m) for m in more])) / len(self.centres)
+
+    def _more(self, spark: SparkSession, rows: pd.DataFrame, near: DataFrame, k: int, half: bool) -> list[np.ndarray]:
+        """The cells that can hold something better than what `near` has; only the kth scores of a block of queries reach the driver."""
         kth = {r["query_id"]: r["score"] for r in near.where(F.col("rank") == k).collect()}
         radius = np.full(len(self.centres), -1.0)
         for r in self.table(spark).groupBy("cell").agg(F.max("away").alias("r")).collect():
@@ -179,8 +199,7 @@ class Stored:
         apart = np.sqrt(np.maximum(0, 2 - 2 * self._near(rows))) - radius[None, :]
         best = 1 - np.maximum(0, apart) ** 2 / 4 + slack  # the largest score in the cell
         least = np.array([kth.get(i, -1.0) for i in rows["query_id"].tolist()])
-        more = [np.flatnonzero((radius >= 0) & (b >= low)) for b, low in zip(best, least, strict=True)]
-        return self._search(spark, rows, [np.union1d(a, b) for a, b in zip(more, self._wanted(rows, probes), strict=True)], k, half)
+        return [np.flatnonzero((radius >= 0) & (b >= low)) for b, low in zip(best, least, strict=True)]
 
 
 def _blocks(queries: DataFrame):

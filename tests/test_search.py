@@ -337,3 +337,18 @@ def test_a_task_of_the_stored_index_gives_k_rows_a_query(spark, tmp_path, monkey
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     want = {q: sorted(range(600), key=lambda i: (-round(0.5 + 0.5 * float(x[q] @ x[i]), 6), i))[:3] for q in range(5)}
     assert {q: [r.chunk_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] for q in range(5)} == want
+
+
+def test_exact_search_makes_no_pass_for_each_block_where_cells_exclude_little(spark, tmp_path, monkeypatch):
+    """Vectors without clusters: the answer is that of the exact search, in one product and not two passes a block of queries."""
+    rng, passes = np.random.default_rng(8), []
+    x = rng.normal(size=(600, 24))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(700, [0.0] * 24), (701, None)], "chunk_id long, embedding array<double>")
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(100, 24)))] + [(200, None)], "query_id long, query_vector array<double>")
+    stored = ivf.Stored.build(vectors, str(tmp_path / "index"))
+    monkeypatch.setattr(ivf, "BLOCK", 16)
+    search = ivf.Stored._search
+    monkeypatch.setattr(ivf.Stored, "_search", lambda self, *a: passes.append(1) or search(self, *a))
+    got = {(r.query_id, r["rank"]): (r.chunk_id, r.score, r.compared) for r in stored.search(queries, 20, exact=True, half=False).collect()}
+    want = {(r.query_id, r["rank"]): (r.chunk_id, r.score, 600) for r in retrieval.vector(vectors.where("chunk_id < 600"), queries.where("query_id < 200"), 20).collect()}
+    assert got == want and len(got) == 2000 and len(passes) < 3
