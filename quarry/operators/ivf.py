@@ -43,6 +43,16 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     return centres
 
 
+def _dealt(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each vector, the nearest centre and the distance from it; TILE vectors meet the centres at once, however many a batch has."""
+    cell, away = np.zeros(len(x), int), np.zeros(len(x))
+    for a in range(0, len(x), TILE):
+        near = x[a : a + TILE] @ centres.T
+        cell[a : a + TILE] = own = near.argmax(axis=1)
+        away[a : a + TILE] = np.sqrt(np.maximum(0, 2 - 2 * near[np.arange(len(own)), own]))
+    return cell, away
+
+
 def _valid(vectors: DataFrame) -> DataFrame:
     """Vectors that have a direction."""
     v = F.col("embedding")
@@ -97,9 +107,7 @@ class Stored:
 
         def run(batches):
             for pdf in batches:
-                near = retrieval._unit(pdf["embedding"], False) @ centres.T
-                cell = near.argmax(axis=1)
-                away = np.sqrt(np.maximum(0, 2 - 2 * near[np.arange(len(pdf)), cell]))
+                cell, away = _dealt(retrieval._unit(pdf["embedding"], False), centres)
                 yield pdf.assign(cell=cell.astype(np.int32), away=away, part=part[cell].astype(np.int32))
 
         dealt = rows.mapInPandas(run, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in schema), "cell int, away double, part int"]))
