@@ -64,14 +64,38 @@ def put_chunks(path: str, batch: str, incoming: DataFrame) -> bool:
     return sink.write(path, batch, {"chunks": incoming.select(*names)})
 
 
+#: Stored ids that are compared at once, before there are more slices, and the most slices.
+SLICE, SLICES = 4_000_000, 4
+
+
 def put_invocations(path: str, batch: str, calls: DataFrame) -> bool:
-    """Adds invocations that are new, and what they add to their runs' budgets, in one commit. Of rows with the same id, the smallest counts."""
+    """Adds invocations that are new, and what they add to their runs' budgets, in one commit. Of rows with the same id, the smallest counts.
+
+    Ids are compared first, a slice of them after the other; whole rows are only shuffled where their ids come twice. So calls are read several times, and have to be the same each time.
+    """
     if sink.committed(path, batch):
         return False
     names = [c.split(" ")[0] for c in INVOCATION.split(", ")]
-    stored = sink.read(calls.sparkSession, path, "invocations", INVOCATION).select("invocation_id")
-    new = session.cut(calls.select(*names).groupBy("invocation_id").agg(F.min(F.struct(*names)).alias("c")).select("c.*").join(stored, "invocation_id", "left_anti").select(*names))
-    return sink.write(path, batch, {"invocations": new, "budgets": ledger.budgets(new)})
+    rows, stored = calls.select(*names), sink.read(calls.sparkSession, path, "invocations", INVOCATION).select("invocation_id")
+    ids = rows.select("invocation_id", F.lit(1).alias("_n"), F.lit(False).alias("_known")).unionByName(stored.select("invocation_id", F.lit(0).alias("_n"), F.col("invocation_id").isNotNull().alias("_known")))
+    slices = min(SLICES, 1 + sink.count(path, "invocations") // SLICE)
+    parts = [ids.where(F.pmod(F.xxhash64("invocation_id"), F.lit(slices)) == i) if slices > 1 else ids for i in range(slices)]
+    each = [p.groupBy("invocation_id").agg(F.sum("_n").alias("n"), F.max("_known").alias("known")).where("n > 0") for p in parts]
+    odd = F.col("known") | (F.col("n") > 1)
+    found = [e.agg(F.count_if(~F.col("known")), F.count_if(odd)).first() for e in each]
+    if not any(fresh for fresh, _ in found):
+        rows = rows.limit(0)
+    elif any(others for _, others in found):
+        rest = [n for n in names if n != "invocation_id"]
+        of = None
+        for e, (_, others) in zip(each, found, strict=True):
+            if others:
+                part = session.table(e.where(odd).select(F.col("invocation_id").alias("_id"), "known"))
+                of = part if of is None else of.unionByName(part)
+        same = F.col("invocation_id").eqNullSafe(F.col("_id"))
+        twice = rows.join(of.where(~F.col("known")), same, "left_semi").groupBy("invocation_id").agg(F.min(F.struct(*rest)).alias("c"))
+        rows = rows.join(of, same, "left_anti").unionByName(twice.select("invocation_id", "c.*").select(*names))
+    return sink.write(path, batch, {"invocations": rows, "budgets": lambda staged: ledger.budgets(staged("invocations"))})
 
 
 def budgets(spark: SparkSession, path: str) -> DataFrame:

@@ -104,14 +104,20 @@ def committed(path: str, batch: str) -> bool:
     return where.get_file_info(f"{base}/commits/{batch}.json").type == fs.FileType.File
 
 
-def write(path: str, batch: str, tables: dict[str, DataFrame]) -> bool:
-    """Adds rows to tables under a batch id, all or nothing; False where the batch is there already. The id names a file."""
+def write(path: str, batch: str, tables: dict[str, DataFrame | Callable[[Callable[[str], DataFrame]], DataFrame]]) -> bool:
+    """Adds rows to tables under a batch id, all or nothing; False where the batch is there already. The id names a file.
+
+    What follows from rows of the batch is a function instead: it is given a reader of the tables before it, as this try staged them, so that they are neither worked out twice nor kept elsewhere.
+    """
     if committed(path, batch):
         return False
     attempt = f"{batch}-{uuid.uuid4().hex}"
     manifest: dict[str, dict] = {}
+    spark = next(df.sparkSession for df in tables.values() if isinstance(df, DataFrame))
+    staged = lambda name: _rows(spark, path, manifest[name]["files"], T.StructType.fromJson(manifest[name]["schema"]))
     try:
-        for name, df in tables.items():
+        for name, rows in tables.items():
+            df = rows if isinstance(rows, DataFrame) else rows(staged)
             df.sparkSession.dataSource.register(StoreSource)
             df.write.format(FORMAT).mode("append").options(path=path, table=name, **{"try": attempt}).save()
             where, base = _at(path)
@@ -140,6 +146,10 @@ class _Late(Exception):
     pass
 
 
+def _rows(spark: SparkSession, path: str, files: list[str], schema: T.StructType) -> DataFrame:
+    return spark.read.schema(schema).option("mergeSchema", "false").parquet(*(f"{path}/{f}" for f in files)) if files else spark.createDataFrame([], schema)
+
+
 def read(spark: SparkSession, path: str, table: str, schema: str | T.StructType | None = None) -> DataFrame:
     """The rows of all committed batches, with the column `_batch`; schema is for a table that has none yet."""
     held = {b: m[table] for b, m in _manifests(path).items() if table in m}
@@ -149,10 +159,15 @@ def read(spark: SparkSession, path: str, table: str, schema: str | T.StructType
         if known is None:
             raise ValueError(f"no batch was committed to {table}")
         return spark.createDataFrame([], known).withColumn("_batch", F.lit(""))
-    rows = spark.read.schema(T.StructType.fromJson(parts[0][1]["schema"])).option("mergeSchema", "false").parquet(*(f"{path}/{f}" for _, m in parts for f in m["files"]))
+    rows = _rows(spark, path, [f for _, m in parts for f in m["files"]], T.StructType.fromJson(parts[0][1]["schema"]))
     return rows.withColumn("_batch", F.regexp_extract(F.col("_metadata.file_path"), f"/data/{table}/(.*)-[0-9a-f]{{32}}/", 1))
 
 
+def count(path: str, table: str) -> int:
+    """Rows of all committed batches, as manifests say."""
+    return sum(m[table]["rows"] for m in _manifests(path).values() if table in m)
+
+
 def stream(rows: DataFrame, path: str, checkpoint: str, tables: Callable[[DataFrame], dict[str, DataFrame]], name: str = "stream") -> StreamingQuery:
     """Each micro-batch of a stream is a batch of the store, so that a batch which is run again after a crash is there once."""
 

@@ -1,10 +1,13 @@
 """The store: commits, aborts, repeated batches, several tables at once, streams; and the writes that check first."""
 
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from quarry import queries as Q
+from quarry import session
 from quarry.operators import writes
 from quarry.sources import sink
 from quarry.streaming import jobs
@@ -87,6 +90,33 @@ def test_budgets_are_written_with_their_invocations(spark, tmp_path):
     assert {r.run_id: (r.model_calls, r.tokens_used, r.ledger_cost) for r in writes.budgets(spark, path).collect()} == {1: (2, 17, 625000), 2: (1, 5, 250000)}
 
 
+def test_invocations_are_compared_by_id_alone(spark, tmp_path, monkeypatch):
+    """No copy of the rows is kept beside the store; ids that come twice, are known or are null, in several slices of ids."""
+    monkeypatch.setattr(session, "cut", lambda df: pytest.fail("rows are written a second time"))
+    monkeypatch.setattr(writes, "SLICE", 1, raising=False)
+    path = str(tmp_path / "store")
+    call = lambda *some: spark.createDataFrame([(i, r, "a", "ok", t, 0.5) for i, r, t in some], writes.INVOCATION)
+    assert writes.put_invocations(path, "1", call(*((f"x{i}", i % 3, i) for i in range(20))))
+    assert writes.put_invocations(path, "2", call(("x1", 1, 1), ("new", 1, 9), ("new", 1, 7), ("other", 2, 5), (None, 0, 3), (None, 0, 2)))
+    assert rows(sink.read(spark, path, "invocations").where("_batch = '2'").select(F.coalesce("invocation_id", F.lit("")), "total_tokens")) == [("", 2), ("new", 7), ("other", 5)]
+    assert writes.put_invocations(path, "3", call(*((f"x{i}", i % 3, i) for i in range(20))))
+    assert writes.put_invocations(path, "4", call((None, 0, 3)))  # a null is no id that could be known
+    assert rows(sink.read(spark, path, "invocations").groupBy("_batch").count()) == [("1", 20), ("2", 3), ("4", 1)]
+    assert rows(writes.budgets(spark, path).select("run_id", "model_calls", "tokens_used")) == [(0, 9, 68), (1, 8, 77), (2, 7, 62)]
+
+
+def test_budget_store_leaves_no_shuffle_files(spark, monkeypatch):
+    monkeypatch.setattr(session, "_stored", {})
+    held = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    name, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", held()
+    setting = spark.conf.get(name, None)
+    Q.QUERIES["budget_store"](spark, "/root/testdata/sf0.001")
+    deadline = time.monotonic() + 20
+    while held() > before and time.monotonic() < deadline:  # files go in the background
+        time.sleep(0.2)
+    assert held() <= before and spark.conf.get(name, None) == setting
+
+
 def test_responses(spark, tmp_path):
     path = str(tmp_path / "store")
     hits = spark.createDataFrame([(1, 7, 0.5, 2), (1, 9, 0.75, 1), (2, 7, 0.25, 1)], "query_id long, chunk_id long, score double, rank int")
