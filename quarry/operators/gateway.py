@@ -32,6 +32,10 @@ class Unavailable(RuntimeError):
     """Nothing could be searched or checked, which is not the same as that nothing was found."""
 
 
+class Incomplete(RuntimeError):
+    """A retriever failed where every one of them has to answer."""
+
+
 def _identifier(value) -> bool:
     return isinstance(value, str) and bool(value.strip()) and len(value) <= MOST_IDENTIFIER
 
@@ -138,8 +142,8 @@ class FanOut:
     failed: dict[str, str] = field(default_factory=dict)
 
 
-def fan_out(queries: DataFrame, retrievers: Mapping[str, Retriever], candidate_k: int | str = 10) -> FanOut:
-    """Asks every retriever about all queries. One that fails counts as without results, and is named; if all fail, Unavailable.
+def fan_out(queries: DataFrame, retrievers: Mapping[str, Retriever], candidate_k: int | str = 10, strict: bool = False) -> FanOut:
+    """Asks every retriever about all queries. One that fails counts as without results, and is named; if all fail, Unavailable. If strict, the first that fails ends it as Incomplete.
 
     A retriever's plan is run here once (its list is written to the shared folder), so that its failure is known and stays its own.
     """
@@ -153,6 +157,8 @@ def fan_out(queries: DataFrame, retrievers: Mapping[str, Retriever], candidate_k
             hits = hits.where(F.col("score").isNotNull() & ~F.isnan("score") & (F.col("score") >= 0) & F.col("chunk_id").isNotNull())
             part = session.cut(retrieval.best_of(hits.select("query_id", "chunk_id", "score"), queries, candidate_k).withColumn("retriever", F.lit(name)))
         except Exception as e:  # noqa: BLE001  whatever befalls one retriever must not take the others along
+            if strict:
+                raise Incomplete(f"retriever {name} failed: {str(e)[:200]}") from e
             failed[name] = str(e)[:200]
             continue
         lists = part if lists is None else lists.unionByName(part)

@@ -90,6 +90,9 @@ class Gateway:
 
     chunks: chunk_id, content, token_count, source_type, entity_keys. A plan's numbers bound each window: candidate_k of each list, fusion_k of
     the fused ones, rerank_k of the authorised ones, context_k of the evidence. What an expander adds is authorised again.
+
+    A retriever that fails is named in the packs, and the others' answer stands; with strict_retrieval, it ends the batch (gateway.Incomplete), so that no
+    answer comes from fewer lists than it should.
     """
 
     retrievers: Mapping[str, Retriever]
@@ -98,20 +101,33 @@ class Gateway:
     rewriter: Rewriter | None = None
     reranker: Reranker | None = None
     strict_rerank: bool = False
+    strict_retrieval: bool = False
     expander: Expander | None = None
     aggregator: Aggregator | None = None
 
     def answer(self, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
         """requests: query_id, query, and what planner.plan() takes.
 
-        Evidence (query_id, chunk_id, place), and packs (query_id, fused, authorized, denied, selected, stopped_by, coverage, status, generation_allowed).
+        Evidence (query_id, chunk_id, place), and packs (query_id, fused, authorized, denied, selected, stopped_by, coverage, status, generation_allowed,
+        and failed: the retrievers that failed, of the batch or of its rewritten queries).
         """
         spark = requests.sparkSession
         structured = planner.intents(spark).select("intent", F.col("structured").alias("structured_required"))
         plans = cut(planner.plan(requests.drop("query")).join(F.broadcast(structured), "intent"))
         queries = requests.select("query_id", "query").join(plans.select("query_id", "candidate_k"), "query_id")
-        first = gateway.fan_out(queries, self.retrievers, "candidate_k")
-        lists = first.lists if self.rewriter is None else gateway.rewrite_empty(first, queries, self.rewriter, lambda q: gateway.fan_out(q, self.retrievers, "candidate_k")).drop("rewritten")
+        failed: set[str] = set()
+
+        def ask(q: DataFrame) -> gateway.FanOut:
+            try:
+                out = gateway.fan_out(q, self.retrievers, "candidate_k", self.strict_retrieval)
+            except gateway.Unavailable:
+                failed.update(self.retrievers)
+                raise
+            failed.update(out.failed)
+            return out
+
+        first = ask(queries)
+        lists = first.lists if self.rewriter is None else gateway.rewrite_empty(first, queries, self.rewriter, ask).drop("rewritten")
         fused = gateway.windows(retrieval.fuse(lists), plans, "fusion_k")
         try:
             allowed = cut(self.authoriser(fused))
@@ -132,6 +148,6 @@ class Gateway:
         packs = gateway.sufficiency(found, plans, self.aggregator(requests) if self.aggregator else None)
         why = chosen.groupBy("query_id").agg(F.max("stopped_by").alias("stopped_by"))
         packs = packs.join(counts, "query_id", "left").na.fill(0, ["fused", "authorized"]).join(why, "query_id", "left")
-        return found, packs.select("query_id", "fused", "authorized", (F.col("fused") - F.col("authorized")).alias("denied"), "selected", "stopped_by", "coverage", "status", "generation_allowed")
+        return found, packs.select("query_id", "fused", "authorized", (F.col("fused") - F.col("authorized")).alias("denied"), "selected", "stopped_by", "coverage", "status", "generation_allowed", F.array(*map(F.lit, sorted(failed))).cast("array<string>").alias("failed"))
 
 

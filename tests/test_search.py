@@ -311,6 +311,29 @@ def test_gateway_from_end_to_end(spark):
     assert {r.query_id: r.generation_allowed for r in with_answer.answer(requests)[1].collect()}[3]
 
 
+def test_a_failed_retriever_is_no_answer(spark, monkeypatch):
+    """gateway_answers has no rows from one list of two; a tolerant gateway says which failed, and when only the retry of a rewritten query did."""
+    from quarry import ports, queries_more
+
+    def down(*_):
+        raise RuntimeError("index lost")
+
+    monkeypatch.setattr(queries_more, "_lexical_index", down)
+    with pytest.raises(Exception, match="index lost"):
+        Q.QUERIES["gateway_answers"](spark, SF)
+    chunks = spark.createDataFrame([(1, "red blue", 10, "s", ["e"])], "chunk_id long, content string, token_count long, source_type string, entity_keys array<string>")
+    requests = spark.createDataFrame([(1, "red blue", "fact_lookup", "x", 1, 4000, 10), (2, "zzz", "fact_lookup", "x", 1, 4000, 10)], "query_id long, query string, intent string, agent_id string, entity_count long, token_budget long, chunk_tokens long")
+    words = lambda q: retrieval.lexical(chunks, q.select("query_id", "query"), 50)
+    fresh = lambda q: words(q) if q.where("query = 'green'").isEmpty() else down()
+    failed = lambda names, **more: {tuple(r.failed) for r in ports.Gateway(names, lambda hits: hits, chunks, **more).answer(requests)[1].collect()}
+    green = lambda q: q.select("query_id", F.lit("green").alias("rewritten"))
+    assert failed({"lexical": words}) == {()} and failed({"lexical": words, "down": down}) == {("down",)}
+    assert failed({"lexical": fresh}, rewriter=green) == {("lexical",)}
+    for names, more in (({"lexical": words, "down": down}, {}), ({"lexical": fresh}, {"rewriter": green})):
+        with pytest.raises(gateway.Incomplete, match="index lost"):
+            failed(names, strict_retrieval=True, **more)
+
+
 def test_trace_asks_the_stored_index(spark, monkeypatch):
     """The list comes from the index, whose steps are bounded by k, and not from a search over all texts."""
     monkeypatch.setattr(retrieval, "lexical", lambda *a, **k: (_ for _ in ()).throw(AssertionError("reads every text")))
