@@ -334,6 +334,25 @@ def test_a_failed_retriever_is_no_answer(spark, monkeypatch):
             failed(names, strict_retrieval=True, **more)
 
 
+def test_known_item_ranks_the_whole_table(spark, tmp_path, monkeypatch):
+    """An item behind the tenth place is found at its place, the median of the ranks is there, and blocks that are sent or shuffled count alike."""
+    kind = "vec_id long, embedding array<float>, label int"
+    spark.createDataFrame([(i, [1.0, 2.0, 0.5], 0) for i in range(40)], kind).write.parquet(str(tmp_path / "embeddings.parquet"))
+    (row,) = Q.QUERIES["known_item"](spark, str(tmp_path)).collect()
+    assert row.asDict() == {"queries": 4, "recall1": 0.25, "recall5": 0.25, "recall10": 0.25, "recall20": 0.5, "mrr": round((1 + 1 / 11 + 1 / 21 + 1 / 31) / 4, 6), "median_rank": 11, "not_found": 0}
+    rng = np.random.default_rng(4)
+    x, big = rng.normal(size=(90, 4)).round(1), 1 << 60
+    chunks = spark.createDataFrame([(big + i, v.tolist()) for i, v in enumerate(x)] + [(big + 90, None), (big + 91, [float("nan")] * 4)], "chunk_id long, embedding array<double>").repartition(3)
+    asked = [(i, x[i].tolist(), big + (i * 7) % 90) for i in range(60)] + [(60, None, big), (61, x[0].tolist(), big + 90), (62, x[0].tolist(), big + 91), (63, x[0].tolist(), 5)]
+    wanted = spark.createDataFrame(asked, "query_id long, query_vector array<double>, chunk_id long")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(np.clip(0.5 + 0.5 * unit[:60] @ unit.T, 0, 1), 6)
+    want = {(i, big + (i * 7) % 90): 1 + int(np.sum((s[i] > s[i, (i * 7) % 90]) | ((s[i] == s[i, (i * 7) % 90]) & (np.arange(90) < (i * 7) % 90)))) for i in range(60)}
+    for size in (32 << 20, 2048, 256):
+        monkeypatch.setattr(retrieval, "BLOCK_BYTES", size)
+        assert {(r.query_id, r.chunk_id): r["rank"] for r in retrieval.places(chunks, wanted).collect()} == want, size
+
+
 def test_trace_asks_the_stored_index(spark, monkeypatch):
     """The list comes from the index, whose steps are bounded by k, and not from a search over all texts."""
     monkeypatch.setattr(retrieval, "lexical", lambda *a, **k: (_ for _ in ()).throw(AssertionError("reads every text")))
